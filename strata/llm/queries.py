@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from strata.llm import mixing, quality, secrets, token_counts
+from strata.llm import chats, licenses, mixing, quality, secrets, token_counts
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_source_mix": mixing.op8_source_mix,
+    "op10_chat_format": chats.op10_chat_format,
 }
 
-ORACLE_SQL = {"op6_quality_rules": quality.OP6_SQL, "op8_source_mix": mixing.OP8_SQL}
+ORACLE_SQL = {
+    "op6_quality_rules": quality.OP6_SQL,
+    "op7_license_scan": licenses.OP7_SQL,
+    "op8_source_mix": mixing.OP8_SQL,
+    "op10_chat_format": chats.OP10_SQL,
+}

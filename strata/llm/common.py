@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space that separates words, as a Java character class and as SQL text.
 SPACE = r"\x20\x09-\x0D"
@@ -41,6 +42,11 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def schema_with(df: DataFrame, **more: T.DataType) -> T.StructType:
+    """The schema of ``df`` with further nullable columns."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in more.items())])
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of characters other than ASCII white space; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -26,8 +26,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from strata.llm.common import byte_slices, table
+from strata.llm.common import byte_slices, schema_with, table
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "jwt", "pem", "der", "sshkey")
@@ -203,7 +204,8 @@ def scan_secrets(df: DataFrame, text: str = "text", mask: str | None = None) ->
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kept = df.drop("secret_spans")
-    schema = kept.schema.add("secret_spans", "array<struct<kind:string,begin:int,end:int>>")
+    span = T.StructType().add("kind", T.StringType()).add("begin", T.IntegerType()).add("end", T.IntegerType())
+    schema = schema_with(kept, secret_spans=T.ArrayType(span))
     return kept.mapInArrow(scan, schema)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strata.llm import chats, licenses, mixing, quality, secrets, token_counts
+from strata.llm import bpe, chats, licenses, mixing, quality, secrets, token_counts
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op4_bpe_roundtrip": bpe.op4_bpe_roundtrip,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_license_scan": licenses.op7_license_scan,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, chats, licenses, mixing, quality, secrets, token_counts
+from strata.llm import bpe, chats, licenses, mixing, near, quality, secrets, token_counts
 
 QUERIES = {
+    "op1_jaccard_join": near.op1_jaccard_join,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op4_bpe_roundtrip": bpe.op4_bpe_roundtrip,
     "op5_token_counts": token_counts.op5_token_counts,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, chats, licenses, mixing, near, quality, secrets, token_counts
+from strata.llm import bpe, chats, licenses, mixing, near, quality, secrets, suffixes, token_counts
 
 QUERIES = {
     "op1_jaccard_join": near.op1_jaccard_join,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_source_mix": mixing.op8_source_mix,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_chat_format": chats.op10_chat_format,
 }
 

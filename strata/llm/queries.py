@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, chats, licenses, mixing, near, quality, secrets, suffixes, token_counts
+from strata.llm import bpe, chats, licenses, mixing, near, quality, secrets, suffixes, token_counts, topk
 
 QUERIES = {
     "op1_jaccard_join": near.op1_jaccard_join,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_pivot_topk": topk.op3_pivot_topk,
     "op4_bpe_roundtrip": bpe.op4_bpe_roundtrip,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_pivot_topk": topk.OP3_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op7_license_scan": licenses.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,

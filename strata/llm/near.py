@@ -25,8 +25,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.llm.common import byte_slices, table, written
+from strata.llm.common import byte_slices, schema_with, table, written
 from strata.llm.graph import block_pairs, components, forest, runs
 
 WORDS = 5
@@ -138,10 +139,6 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 columns["grams"] = pa.array([np.unique(grams[e - n : e]).tobytes() for e, n in zip(ends, many, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(own))
 
-    from pyspark.sql import types as T
-
-    from strata.llm.common import schema_with
-
     return rows.mapInArrow(pack, schema_with(rows.drop("text"), grams=T.BinaryType()))
 
 
@@ -254,5 +251,19 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     return with_text.unionByName(none)
 
 
+def with_text_ids(df: DataFrame) -> DataFrame:
+    """Add ``__cid``, the id of each text's word sequence, as in :func:`near_duplicates`."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from strata.llm import textvec as v
+
+        for whole in batches:
+            for batch in byte_slices(whole, "text", BATCH_BYTES):
+                cid = pa.array(v.text_ids(*v.word_hashes(batch.column("text"))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, cid], names=[*batch.schema.names, "__cid"])
+
+    return df.mapInArrow(add, schema_with(df, __cid=T.LongType()))
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("cid")

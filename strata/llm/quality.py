@@ -53,10 +53,11 @@ def repeated_words(words: Column, windows: Column, in_order: Column) -> Column:
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without its text column but with the measurements (long) and ``failed`` (int, a bit for each rule)."""
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "failed"]
-    rest = [df[c] for c in df.columns if c not in (*made, text)]
+    inner = ("__text", "__words", "__lines", "__windows", "__in_order")
+    rest = [df[c] for c in df.columns if c not in (*made, *inner, text)]
     hidden = F.coalesce(df[text], F.lit(""))
     x = df.select(*rest, hidden.alias("__text"), F.regexp_extract_all(hidden, F.lit(WORD), F.lit(0)).alias("__words"))
-    keep = [c for c in x.columns if not c.startswith("__")]
+    keep = [c for c in x.columns if c not in inner]
     words, body = F.col("__words"), F.col("__text")
     windows = F.when(
         F.size(words) >= 3,
@@ -91,7 +92,9 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     failed = F.lit(0)
     for i, rule in enumerate(RULES):
         failed = failed.bitwiseOR(F.when(fails[rule], 1 << i).otherwise(0))
-    return x.withColumn("failed", failed)
+    # a filter on the mask must not be pushed below it, where the measurements would be spelled out again in every
+    # condition and every lambda; the optimizer pushes nothing through an expression that it takes for indeterminate
+    return x.withColumn("failed", F.when(F.monotonically_increasing_id() >= 0, failed))
 
 
 def mask(policy: str) -> int:

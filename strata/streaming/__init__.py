@@ -1,0 +1 @@
+"""Streams: totals of source files that keep arriving. The engine's other operators are one-shot by nature."""

@@ -1,0 +1,12 @@
+"""Running totals per repository over a stream of file facts (repo, rel_path, lines, scanned_at)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def running_totals(facts: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:
+    """Files and lines by repo and window; facts that come later than the watermark allows are left out."""
+    x = facts.withWatermark("scanned_at", late)
+    return x.groupBy(F.window("scanned_at", window), "repo").agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.count_if(F.col("lines") > 500).alias("long_files"))

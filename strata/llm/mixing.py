@@ -89,7 +89,8 @@ def mix(
         "a.source", "bucket", "words", "before", "source_size", "target", "epochs", "rest"
     )
     # buckets wholly within the rest, wholly beyond it, and the one in which it ends
-    plan = plan.withColumn("within", F.when(F.col("before") + F.col("words") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0))
+    none_left = (F.col("rest") <= 0) | (F.col("before") >= F.col("rest"))
+    plan = plan.withColumn("within", F.when(none_left, 0).when(F.col("before") + F.col("words") <= F.col("rest"), 1))
     plan = written(plan, "mix-plan").alias("p")
     # at most BUCKETS rows a source: joined by source and bucket, so that one source's rows spread over all tasks
     x = x.alias("x").join(plan, F.col("x.bucket").eqNullSafe(F.col("p.bucket")) & F.col("x.source").eqNullSafe(F.col("p.source")), "left")

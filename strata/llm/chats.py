@@ -12,7 +12,8 @@ becomes canonical JSON: sorted keys, no spaces, absent fields left out.
 
 Defined cases: if an id is used twice in a conversation, the first call by turn owns it and the
 first result by turn is linked; other results, and results without a call, keep their own turn and
-count as orphans. Calls on a cycle of dependencies keep their own turn and count as cyclic. A row
+count as orphans. A cycle of dependencies is broken at the call that closes it: it keeps its own turn,
+comes before what it waits for, and counts as cyclic. A row
 without conv_id is a conversation of its own; a null turn sorts first; null text is empty content; a
 null role is the role ``unknown``. A tool without schema accepts any object. Conversations of more than
 ``PART_TURNS`` turns come out in several rows, by ``part``, so that no task holds an unbounded one.

@@ -14,22 +14,34 @@ from strata.llm.common import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b) of longs; a component is its smallest node.
 
-    Labels go to neighbours and then jump to their own label's label, in rounds that are each
-    written to the shared folder, until none changes: about as many rounds as the logarithm of the
-    longest path. Nothing is collected but the number of changes.
+    In each round every node that has a smaller neighbour takes the smallest as its parent, parents are
+    replaced by their own until all are roots, edges are drawn between roots instead, and those within one
+    root go. Every step, about as many as the logarithm of the longest path, is written to the shared folder;
+    nothing is collected but whether something is left to do.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = written(both, "cc-edges")
-    now = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "cc-labels")
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = written(edges.where("a <> b").select(*ends("a", "b")).distinct(), "cc-edges")
+    label = None
     while True:
-        near = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = now.join(near, F.col("a") == F.col("node")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = written(step, "cc-step")
-        jump = step.select(F.col("node").alias("at"), F.col("label").alias("to"))
-        new = written(step.join(jump, F.col("label") == F.col("at")).select("node", "old", F.least("to", "label").alias("label")), "cc-labels")
-        if new.where("label <> old").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
-        now = new.select("node", "label")
+        near = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        parent = written(near.select("node", F.least("node", "near").alias("parent")), "cc-parents")
+        while True:
+            up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
+            step = written(parent.join(up, "parent").select("node", "parent", "up"), "cc-parents")
+            parent = step.select("node", F.col("up").alias("parent"))
+            if step.where("up <> parent").isEmpty():
+                break
+        if label is None:
+            label = parent.select("node", F.col("parent").alias("component"))
+        else:
+            p = parent.select(F.col("node").alias("component"), "parent")
+            label = label.join(p, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+        label = written(label, "cc-labels")
+        x = left.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a")
+        x = x.join(parent.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b").where("pa <> pb")
+        left = written(x.select(*ends("pa", "pb")).distinct(), "cc-edges")
+        if left.isEmpty():
+            return label
 
 
 def block_pairs(rows: DataFrame, group: str, node: str, blocks: Column) -> DataFrame:

@@ -233,7 +233,8 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n_shingles") * 8 / GROUP_BYTES)).alias("blocks")
     sizes = written(grouped.groupBy("component").agg(blocks), "near-sizes")
     wanted = written(grouped.join(sizes, "component").drop("n_shingles"), "near-wanted").alias("w")
-    rows = docs.alias("d").join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.copy_of"))).select("w.component", "w.blocks", "w.cid", "w.copies", "d.text")
+    # by sort and merge at every size: which texts are wanted grows with the documents
+    rows = docs.alias("d").join(wanted.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.copy_of"))).select("w.component", "w.blocks", "w.cid", "w.copies", "d.text")
     found = written(verified(shingle_sets(rows)), "near-verified")
 
     links = found.where("links IS NOT NULL").groupBy("cid").agg(F.sum("links").alias("links"))

@@ -10,10 +10,10 @@ words right of it and left of it.
 2. The others are range-partitioned and sorted as a suffix array: by core, right words, left words.
    A key that a third of all texts share is spread over many partitions.
 3. Neighbours, also across partitions, are compared and extended right and left. A match of 50 words
-   or more marks the words it covers.
-4. A suffix that matches neither neighbour over 50 words may match one further off, if its core has
-   several continuations. For such cores all 26 windows of 50 words around the core are counted
-   exactly, so that no repeat is lost.
+   or more marks the words it covers. The same is done in the order of the left words.
+4. The two orders also give the most words that a suffix shares with any other on either side. Where
+   these would make 50 words and yet no neighbour matched, a suffix further off may: for such
+   cores all 26 windows of 50 words around the core are counted, so that no repeat is lost.
 
 Words left and right of the core are compared by a byte each, the core by 64 bits: a match may be taken
 for a word longer than it is in about one case of 128, never shorter. Null and short texts have no passage.
@@ -106,69 +106,74 @@ def agreed(a, b):
     return np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))
 
 
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each row of a sorted run with the next; rows of several batches meet through a row carried over.
+NEAR = ["core", "doc_id", "pos", "reach", "begin", "end", "other", "edge", "right_words", "left_words"]
+NEAR_TYPE = "core long, doc_id long, pos int, reach int, begin int, end int, other long, edge boolean, right_words binary, left_words binary"
 
-    Emits for each row that it is compared: doc_id, pos, begin and end of the match (null, null if under
-    50 words), the other's doc_id, core; and the first and last row of the partition as they are, in ``edge``.
+
+def neighbours(first: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compare each row of a sorted partition with the one before and after it.
+
+    Per row: reach, the most words of side ``first`` shared with a neighbour, and the match that covers most
+    (null if under 50 words). A row at the end of a batch is carried over to the next and comes out twice.
+    The first and last row of the partition also come out with ``edge``, to be compared across partitions.
     """
-    held = None
-    first = last = None
+    held = head = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        first = batch.slice(0, 1) if first is None else first
-        last = batch.slice(batch.num_rows - 1)
-        t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        yield compared(t)
-        held = last
-    for i, edge in enumerate([first, last]):
-        if edge is not None:
-            none = pa.nulls(1, pa.int32())
-            row = edge.to_pylist()[0]
-            yield pa.RecordBatch.from_arrays(
-                [edge.column("doc_id"), edge.column("pos"), none, none, pa.nulls(1, pa.int64()), edge.column("core"), pa.array([i], pa.int32()), pa.array([row["right_words"]], pa.binary()), pa.array([row["left_words"]], pa.binary())],
-                names=NEIGHBOUR_NAMES,
-            )
-
-
-NEIGHBOUR_NAMES = ["doc_id", "pos", "begin", "end", "other", "core", "edge", "right_words", "left_words"]
-NEIGHBOUR_TYPE = "doc_id long, pos int, begin int, end int, other long, core long, edge int, right_words binary, left_words binary"
-
-
-def compared(t: pa.Table) -> pa.RecordBatch:
+        if batch.num_rows:
+            head = batch.slice(0, 1) if head is None else head
+            yield compared(first, pa.Table.from_batches([batch] if held is None else [held, batch]))
+            held = batch.slice(batch.num_rows - 1)
+    for row in (head, held) if held is not None else ():
+        none = pa.nulls(1, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [row.column("core"), row.column("doc_id"), row.column("pos"), none, none, none, pa.nulls(1, pa.int64()), pa.array([True]), row.column("right_words"), row.column("left_words")],
+            names=NEAR,
+        )
+
+
+def compared(first: str, t: pa.Table) -> pa.RecordBatch:
     import numpy as np
 
-    core, pos = t["core"].to_numpy(), t["pos"].to_numpy()
-    doc = t["doc_id"].combine_chunks() if isinstance(t["doc_id"], pa.ChunkedArray) else t["doc_id"]
+    t = t.combine_chunks()
+    whole = lambda c: pa.concat_arrays(t[c].chunks)
+    core, pos, doc = t["core"].to_numpy(), t["pos"].to_numpy(), whole("doc_id")
     doc_n = doc.fill_null(-1).to_numpy(zero_copy_only=False)
     side = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, SIDE)
     right, left = side("right_words"), side("left_words")
     pair = np.flatnonzero((core[1:] == core[:-1]) & ~((doc_n[1:] == doc_n[:-1]) & (pos[1:] == pos[:-1])))
     r, lft = agreed(right[pair], right[pair + 1]), agreed(left[pair], left[pair + 1])
-    good = r + lft + CORE >= PASSAGE
-    who, other = np.concatenate([pair, pair + 1]), np.concatenate([pair + 1, pair])
-    r, lft, good = np.tile(r, 2), np.tile(lft, 2), np.tile(good, 2)
-    begin, end = pos[who] - lft, pos[who] + CORE + r
+    best = np.zeros((3, len(core)), np.int64)  # reach, the two sides of the longer match
+    other = np.zeros(len(core), np.int64)
+    for me, it in ((pair, pair + 1), (pair + 1, pair)):  # either holds a row at most once
+        best[0, me] = np.maximum(best[0, me], r if first == "right" else lft)
+        more = r + lft > best[1, me] + best[2, me]
+        best[1, me[more]], best[2, me[more]], other[me[more]] = r[more], lft[more], it[more]
+    good = best[1] + best[2] + CORE >= PASSAGE
+    n = len(core)
     return pa.RecordBatch.from_arrays(
         [
-            doc.take(pa.array(who)), pa.array(pos[who]), pa.array(begin.astype(np.int32), mask=~good), pa.array(end.astype(np.int32), mask=~good),
-            doc.take(pa.array(other)), pa.array(core[who]), pa.nulls(len(who), pa.int32()), pa.nulls(len(who), pa.binary()), pa.nulls(len(who), pa.binary()),
+            whole("core"), doc, whole("pos"), pa.array(best[0].astype(np.int32)),
+            pa.array((pos - best[2]).astype(np.int32), mask=~good), pa.array((pos + CORE + best[1]).astype(np.int32), mask=~good),
+            doc.take(pa.array(other)), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
         ],
-        names=NEIGHBOUR_NAMES,
+        names=NEAR,
     )
 
 
-def across(edges: DataFrame) -> DataFrame:
-    """The comparison for the first and last rows of all partitions: two rows a partition, in one sorted partition."""
+def in_order(rows: DataFrame, first: str) -> DataFrame:
+    """The suffix array by core, then the words of one side, then those of the other, and its neighbours compared."""
+    sides = ["right_words", "left_words"] if first == "right" else ["left_words", "right_words"]
+    order = ["core", *sides, "doc_id", "pos"]
+    x = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    near = written(x.mapInArrow(lambda batches: neighbours(first, batches), NEAR_TYPE), "suffix-near")
+    edges = near.where("edge").select(*order).distinct()  # two rows a partition
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if got:
-            yield compared(pa.Table.from_batches(got).combine_chunks())
+        if got := list(batches):
+            yield compared(first, pa.Table.from_batches(got))
 
-    kept = edges.select("core", "right_words", "left_words", "doc_id", "pos").distinct()
-    return kept.coalesce(1).sortWithinPartitions("core", "right_words", "left_words", "doc_id", "pos").mapInArrow(compare, NEIGHBOUR_TYPE)
+    across = written(edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, NEAR_TYPE), "suffix-edges")
+    return near.where("edge IS NULL").unionByName(across)
 
 
 def whole_windows(rows: DataFrame) -> DataFrame:
@@ -193,16 +198,16 @@ def repeated_passages(df: DataFrame) -> DataFrame:
     cores = suffixes(docs, sides=False).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     cores = written(cores, "suffix-cores")
     rows = written(suffixes(docs, sides=True).join(cores, "core"), "suffix-rows")
-    order = ["core", "right_words", "left_words", "doc_id", "pos"]
-    in_order = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    near = written(in_order.mapInArrow(neighbours, NEIGHBOUR_TYPE), "suffix-near")
-    edges = near.where("edge IS NOT NULL")
-    near = near.where("edge IS NULL").unionByName(written(across(edges), "suffix-edges"))
-    matches = near.where("begin IS NOT NULL").select("doc_id", "begin", "end", "other")
-    # suffixes that matched neither neighbour, though their core occurs elsewhere
-    missed = near.groupBy("core", "doc_id", "pos").agg(F.max(F.col("begin").isNotNull()).alias("hit")).where("NOT hit").select("core").distinct()
-    rest = rows.join(written(missed, "suffix-missed"), "core", "left_semi")
-    return matches.unionByName(whole_windows(rest))
+    right, left = in_order(rows, "right"), in_order(rows, "left")
+    found = lambda x: x.where("begin IS NOT NULL").select("doc_id", "begin", "end", "other")
+    # no match with a neighbour, although what is shared at most on either side would do
+    told = lambda x, r, lft: x.select("core", "doc_id", "pos", r.alias("r"), lft.alias("l"), F.col("begin").isNotNull().alias("hit"))
+    none = F.lit(0)
+    every = told(right, F.col("reach"), none).unionByName(told(left, none, F.col("reach")))
+    every = every.groupBy("core", "doc_id", "pos").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.max("hit").alias("hit"))
+    open_cores = written(every.where(~F.col("hit") & (F.col("r") + F.col("l") >= SIDE)).select("core").distinct(), "suffix-open")
+    rest = rows.join(open_cores, "core", "left_semi")
+    return found(right).unionByName(found(left)).unionByName(whole_windows(rest))
 
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

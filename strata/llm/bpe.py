@@ -1,8 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
 1. Spark splits every text into the tokenizer's words and counts the distinct ones.
-2. Each distinct word is encoded once (Arrow batches); its ids are decoded by a join with the
-   id-to-piece table, which has one row for each entry of the vocabulary.
+2. Each distinct word is encoded once; its ids are decoded by a join with the id-to-piece table,
+   which has one entry for each of the vocabulary and is held by every Arrow function.
 3. Ids are joined back by position. Words above a count threshold, chosen so that at most
    ``COMMON_WORDS`` of at most ``COMMON_CHARS`` characters pass it, are looked up in a broadcast
    table, whose size is thus bounded. All other occurrences go through a shuffle join by word,
@@ -16,7 +16,9 @@ and text) share their looked-up words and come out as often as they went in.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,20 +26,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import schema_with, table, written
+from strata.llm.common import discard, release, schema_with, small_batches, table, written
 from strata.llm.token_counts import tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 COMMON_WORDS = 1 << 19
 COMMON_CHARS = 32
 SLICE_WORDS = 1 << 20
+ENCODE_WORDS = 2000
 
 _WHITE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 SPECIAL = "<|endoftext|>"
 
 
+@lru_cache(maxsize=2)
 def load(path: str):
+    """The tokenizer, once per worker and without threads of its own: tasks run side by side already."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path if "/" in path else tokenizer_path(path))
@@ -66,59 +72,116 @@ def odd(text: Column) -> Column:
     return text.contains(SPECIAL) | text.rlike(r"\p{Cn}")
 
 
-def with_words(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """Replace column ``text`` by ``words``."""
+def split_odd(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """Replace column ``text`` by ``words``, split by the tokenizer itself."""
 
     def slow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = load(tokenizer)
         for batch in batches:
+            own = load(tokenizer)
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             texts = columns.pop("text").to_pylist()
             columns["words"] = pa.array([split_text(own, x) for x in texts], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    fast = rows.where(~odd(F.col("text"))).withColumn("words", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).drop("text")
-    rest = rows.where(odd(F.col("text")))
-    schema = schema_with(rest.drop("text"), words=T.ArrayType(T.StringType()))
-    return fast.unionByName(rest.mapInArrow(slow, schema))
+    return rows.mapInArrow(slow, schema_with(rows.drop("text"), words=T.ArrayType(T.StringType())))
+
+
+def split_plain(rows: DataFrame) -> DataFrame:
+    """Replace column ``text`` by ``words``, split by the pattern."""
+    return rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).drop("text")
+
+
+def with_words(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """Replace column ``text`` by ``words``, each text split in the way it needs."""
+    return split_plain(rows.where(~odd(F.col("text")))).unionByName(split_odd(rows.where(odd(F.col("text"))), tokenizer))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Replace column ``text`` by ``zipped``: a shuffle of texts then moves and stores about two thirds of the bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        codec = zstandard.ZstdCompressor(level=1, write_checksum=False)
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns["zipped"] = pa.array([codec.compress(x) for x in columns.pop("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return rows.mapInArrow(pack, schema_with(rows.drop("text"), zipped=T.BinaryType()))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """Undo :func:`packed`."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        codec = zstandard.ZstdDecompressor()
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns["text"] = pa.array([codec.decompress(x) for x in columns.pop("zipped").to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return rows.mapInArrow(unpack, schema_with(rows.drop("zipped"), text=T.StringType()))
 
 
-def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
-    """The id-to-piece table: one row (id, piece as bytes) for each entry of the vocabulary."""
+@lru_cache(maxsize=2)
+def pieces(tokenizer: str) -> pa.Array:
+    """The id-to-piece table: the bytes of each entry of the vocabulary, at the place of its id."""
     own, back = load(tokenizer), byte_of_char()
     raw = lambda p: bytes(back[c] for c in p) if all(c in back for c in p) else p.encode()
-    rows = [(i, bytearray(raw(p))) for p, i in own.get_vocab(with_added_tokens=True).items()]
-    return spark.createDataFrame(rows, "id int, piece binary")
+    table = {i: raw(p) for p, i in own.get_vocab(with_added_tokens=True).items()}
+    return pa.array([table.get(i) for i in range(max(table) + 1)], pa.binary())
 
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """Add ``ids`` to a table of distinct words (column ``word``)."""
+def joined_pieces(ids: pa.Array, vocabulary: pa.Array) -> pa.Array:
+    """Lists of ids joined with their pieces, each list's put together by position."""
+    import numpy as np
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = load(tokenizer)
+    n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), vocabulary.take(ids.flatten())), b"")
+
+
+def as_text(raw: pa.Array) -> pa.Array:
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no text: as the library writes them
+        return pa.array([x.decode(errors="replace") for x in raw.to_pylist()], pa.string())
+
+
+def decode_documents(df: DataFrame, ids: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
+    """Add ``decoded`` to every row, from an array of ids; null has no ids."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pieces(tokenizer)
         for batch in batches:
-            ids = [e.ids for e in own.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+            text = as_text(joined_pieces(batch.column(ids), vocabulary))
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
+
+    rows = df.drop("decoded")
+    return rows.mapInArrow(decode, schema_with(rows, decoded=T.StringType()))
 
-    return words.mapInArrow(encode, schema_with(words, ids=T.ArrayType(T.IntegerType())))
 
+def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
+    """Distinct words (word, n) with k (their ids), ids (decimal, joined by commas) and raw (their pieces' bytes)."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, vocabulary = load(tokenizer), pieces(tokenizer)
+        for batch in (whole.slice(i, ENCODE_WORDS) for whole in batches for i in range(0, whole.num_rows, ENCODE_WORDS)):
+            ids = pa.array([e.ids for e in own.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+            text = pa.ListArray.from_arrays(ids.offsets, ids.flatten().cast(pa.string()))
+            columns = [*batch.columns, pc.list_value_length(ids), pc.binary_join(text, ","), joined_pieces(ids, vocabulary)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "k", "ids", "raw"])
 
-def decode(rows: DataFrame, vocabulary: DataFrame, keys: tuple[str, ...], ids: str = "ids") -> DataFrame:
-    """Per key the bytes that the ids stand for: ids joined with their pieces, put together by position."""
-    each = rows.select(*keys, F.posexplode(ids).alias("pos", "id"))
-    each = each.join(F.broadcast(vocabulary), "id")  # as many rows as the vocabulary has entries
-    parts = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts"))
-    joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p.piece)), ""))
-    return parts.select(*keys, joined.alias("raw"))
+    return words.mapInArrow(encode, schema_with(words, k=T.IntegerType(), ids=T.StringType(), raw=T.BinaryType()))
 
 
 def word_table(rows: DataFrame, tokenizer: str) -> DataFrame:
     """Distinct words of column ``words`` with their count, ids, and decoded bytes; written to the shared folder."""
-    counts = written(rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "bpe-counts")
-    coded = written(encode_words(counts, tokenizer), "bpe-coded")
-    raw = decode(coded, pieces(rows.sparkSession, tokenizer), ("word",))
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return written(coded.join(raw, "word").select("word", "n", F.size("ids").alias("k"), ids.alias("ids"), "raw"), "bpe-words")
+    counts = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return written(encode_words(counts, tokenizer), "bpe-words")
 
 
 def common_words(words: DataFrame, most: int = COMMON_WORDS) -> Column:
@@ -126,7 +189,7 @@ def common_words(words: DataFrame, most: int = COMMON_WORDS) -> Column:
     short = F.length("word") <= COMMON_CHARS
     level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     held = {r.level: r.words for r in words.where(short).groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()}  # 63 rows at most
-    total, least = 0, 63
+    total, least = 0, 62
     for k in sorted(held, reverse=True):
         if (total := total + held[k]) > most:
             break
@@ -134,64 +197,66 @@ def common_words(words: DataFrame, most: int = COMMON_WORDS) -> Column:
     return short & (F.col("n") >= (1 << least))
 
 
-def encode_documents(df: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(df: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text", slice_words: int = SLICE_WORDS) -> DataFrame:
     """One row per row of ``df``: the key, n_tokens, ``ids`` (decimal, joined by commas) and ``decoded``."""
     spark = df.sparkSession
+    small_batches(spark)
     body = F.coalesce(df[text], F.lit(""))
     rows = df.select(df[key].alias("key"), F.xxhash64(body).alias("mark"), body.alias("text"))
     words = word_table(with_words(rows.select("text"), tokenizer), tokenizer)
+    release(spark)
     is_common = common_words(words)
     common = words.where(is_common).select("word", "k", "ids", "raw")
-    shared = spark.sparkContext.broadcast(common.toArrow().combine_chunks())  # bounded: see common_words
+    held = common.toArrow()  # bounded: see common_words
+    held = pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in held.columns], names=held.column_names)
+    shared = spark.sparkContext.broadcast(held)
 
     where = with_words(rows, tokenizer).select("key", "mark", F.posexplode("words").alias("pos", "word"))
     rare = where.join(F.broadcast(common.select("word")), "word", "left_anti")
     found = rare.join(words.where(~is_common), "word").groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "k", "ids", "raw")).alias("rare"))
-    a, b = rows.alias("a"), found.alias("b")
-    both = a.join(b, F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.mark") == F.col("b.mark")), "left").select("a.key", "text", "rare")
+    found = written(found, "bpe-rare")
+    discard(words)
+    del where, rare, words, common
+    release(spark)
+
+    def met(part: DataFrame) -> DataFrame:
+        """Texts with what was found for them."""
+        a, b = packed(part).alias("a"), found.alias("b")
+        on = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.mark") == F.col("b.mark"))
+        return unpacked(a.join(b.hint("merge"), on, "left").select("a.key", "zipped", "rare"))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        known = shared.value
-        names = known.column("word").combine_chunks() if isinstance(known.column("word"), pa.ChunkedArray) else known.column("word")
-        ids = np.array(known.column("ids").to_pylist() + [""], dtype=object)
-        raw = np.array(known.column("raw").to_pylist() + [b""], dtype=object)
-        k = np.append(known.column("k").to_numpy(), 0)
+        word, k, ids, raw = (shared.value.column(c) for c in ("word", "k", "ids", "raw"))
         for whole in batches:
             n_words = pc.fill_null(pc.list_value_length(whole.column("words")), 0).to_numpy(zero_copy_only=False)
-            for a, b in slices(n_words):
+            for a, b in slices(n_words, slice_words):
                 batch = whole.slice(a, b - a)
-                flat = batch.column("words").flatten()
-                ends = np.cumsum(n_words[a:b])
-                starts = ends - n_words[a:b]
-                at = pc.fill_null(pc.index_in(flat, value_set=names), len(names)).to_numpy(zero_copy_only=False)
-                own_ids, own_raw, own_k = ids[at], raw[at], k[at]
+                ends = np.concatenate([[0], np.cumsum(n_words[a:b])]).astype(np.int64)
+                at = pc.fill_null(pc.index_in(batch.column("words").flatten(), value_set=word), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 rest = batch.column("rare")
                 spots = rest.flatten()
-                if len(spots):
-                    many = pc.fill_null(pc.list_value_length(rest), 0).to_numpy(zero_copy_only=False)
-                    to = np.repeat(starts, many) + spots.field("pos").to_numpy(zero_copy_only=False)
-                    own_ids[to] = np.array(spots.field("ids").to_pylist(), dtype=object)
-                    own_raw[to] = np.array(spots.field("raw").to_pylist() + [b""], dtype=object)[:-1]
-                    own_k[to] = spots.field("k").to_numpy(zero_copy_only=False)
-                sums = np.concatenate([[0], np.cumsum(own_k)])
-                own_ids, own_raw = own_ids.tolist(), own_raw.tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("key"),
-                        pa.array(sums[ends] - sums[starts], pa.int64()),
-                        pa.array([",".join(own_ids[i:j]) for i, j in zip(starts, ends, strict=True)], pa.string()),
-                        pa.array([b"".join(own_raw[i:j]).decode(errors="replace") for i, j in zip(starts, ends, strict=True)], pa.string()),
-                    ],
-                    names=[key, "n_tokens", "ids", "decoded"],
-                )
+                many = pc.fill_null(pc.list_value_length(rest), 0).to_numpy(zero_copy_only=False)
+                at[np.repeat(ends[:-1], many) + spots.field("pos").to_numpy(zero_copy_only=False)] = len(word) + np.arange(len(spots))
+                place, every = pa.array(at), lambda c, own, spots=spots: pa.concat_arrays([own, spots.field(c)])
+                sums = np.concatenate([[0], np.cumsum(every("k", k).take(place).to_numpy(zero_copy_only=False))])
+                lists = lambda c, own, ends=ends, place=place, every=every: pa.LargeListArray.from_arrays(pa.array(ends), every(c, own).take(place))
+                columns = [
+                    batch.column("key"),
+                    pa.array(np.diff(sums[ends]), pa.int64()),
+                    pc.binary_join(lists("ids", ids), ","),
+                    as_text(pc.binary_join(lists("raw", raw), b"")),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids", "decoded"])
 
     out = f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids string, decoded string"
-    return with_words(both, tokenizer).select("key", "words", "rare").mapInArrow(put_together, out)
+    plain, rest = rows.where(~odd(F.col("text"))), rows.where(odd(F.col("text")))
+    both = split_plain(met(plain)).unionByName(split_odd(met(rest), tokenizer))
+    return both.select("key", "words", "rare").mapInArrow(put_together, out)
 
 
-def slices(sizes, most: int = SLICE_WORDS) -> Iterator[tuple[int, int]]:
+def slices(sizes, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to about ``most`` at most (one row at least)."""
     start, held = 0, 0
     for i, n in enumerate(sizes):

@@ -1,8 +1,7 @@
-"""Shared helpers: tables, the shared folder for written intermediates, Arrow batching by bytes."""
+"""Shared helpers: tables, words, schemas, Arrow batching by bytes; and the written intermediates of the library."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.storage import discard, release, shared_dir, written
+
+__all__ = ["SPACE", "WORD", "byte_slices", "discard", "release", "schema_with", "shared_dir", "small_batches", "table", "word_count", "written"]
+
 #: ASCII white space that separates words, as a Java character class and as SQL text.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -19,27 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: ``spark.checkpoint.dir``, or one of our own where unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (path or "/tmp/checkpoints/strata").rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`written`, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the bytes of an Arrow batch in this session, so that a worker's memory does not follow the rows' sizes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def schema_with(df: DataFrame, **more: T.DataType) -> T.StructType:

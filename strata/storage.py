@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or "/tmp/checkpoints/strata").rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan needs any more: they are deleted once the driver has collected its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession

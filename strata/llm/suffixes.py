@@ -9,8 +9,8 @@ words right of it and left of it.
 1. Suffixes whose core occurs once go (counted by core hash, with partial sums).
 2. The others are range-partitioned and sorted as a suffix array: by core, right words, left words.
    A key that a third of all texts share is spread over many partitions.
-3. Neighbours, also across partitions, are compared and extended right and left. A match of 50 words
-   or more marks the words it covers. The same is done in the order of the left words.
+3. Neighbours, also across partitions, are compared and extended right and left. Every match of 50 words
+   or more, with the one before and with the one after, marks the words it covers. The same is done in the order of the left words.
 4. The two orders also give the most words that a suffix shares with any other on either side. Where
    these would make 50 words and yet no neighbour matched, a suffix further off may: for such
    cores all 26 windows of 50 words around the core are counted, so that no repeat is lost.
@@ -113,8 +113,8 @@ NEAR_TYPE = "core long, doc_id long, pos int, reach int, begin int, end int, oth
 def neighbours(first: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare each row of a sorted partition with the one before and after it.
 
-    Per row: reach, the most words of side ``first`` shared with a neighbour, and the match that covers most
-    (null if under 50 words). A row at the end of a batch is carried over to the next and comes out twice.
+    Per row: reach, the most words of side ``first`` shared with a neighbour, and its match with either neighbour:
+    two rows if both are of 50 words or more, one with null if neither is. A row at the end of a batch is carried over to the next and comes out twice.
     The first and last row of the partition also come out with ``edge``, to be compared across partitions.
     """
     held = head = None
@@ -142,19 +142,23 @@ def compared(first: str, t: pa.Table) -> pa.RecordBatch:
     right, left = side("right_words"), side("left_words")
     pair = np.flatnonzero((core[1:] == core[:-1]) & ~((doc_n[1:] == doc_n[:-1]) & (pos[1:] == pos[:-1])))
     r, lft = agreed(right[pair], right[pair + 1]), agreed(left[pair], left[pair + 1])
-    best = np.zeros((3, len(core)), np.int64)  # reach, the two sides of the longer match
-    other = np.zeros(len(core), np.int64)
-    for me, it in ((pair, pair + 1), (pair + 1, pair)):  # either holds a row at most once
-        best[0, me] = np.maximum(best[0, me], r if first == "right" else lft)
-        more = r + lft > best[1, me] + best[2, me]
-        best[1, me[more]], best[2, me[more]], other[me[more]] = r[more], lft[more], it[more]
-    good = best[1] + best[2] + CORE >= PASSAGE
     n = len(core)
+    reach, both = np.zeros(n, np.int64), np.zeros((3, 2, n), np.int64)  # the words shared right and left, and with which row: with the row after, with the one before
+    for k, (me, it) in enumerate(((pair, pair + 1), (pair + 1, pair))):  # either holds a row at most once
+        reach[me] = np.maximum(reach[me], r if first == "right" else lft)
+        both[:, k, me] = r, lft, it
+    good = both[0] + both[1] + CORE >= PASSAGE
+    # one row for each match, and one for a row without any
+    after, before = np.flatnonzero(good[0] | ~good[1]), np.flatnonzero(good[1])
+    who = np.concatenate([after, before])
+    r, lft, other = np.concatenate([both[:, 0, after], both[:, 1, before]], axis=1)
+    none = ~np.concatenate([good[0, after], good[1, before]])
+    at = pa.array(who)
     return pa.RecordBatch.from_arrays(
         [
-            whole("core"), doc, whole("pos"), pa.array(best[0].astype(np.int32)),
-            pa.array((pos - best[2]).astype(np.int32), mask=~good), pa.array((pos + CORE + best[1]).astype(np.int32), mask=~good),
-            doc.take(pa.array(other)), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
+            whole("core").take(at), doc.take(at), whole("pos").take(at), pa.array(reach[who].astype(np.int32)),
+            pa.array((pos[who] - lft).astype(np.int32), mask=none), pa.array((pos[who] + CORE + r).astype(np.int32), mask=none),
+            doc.take(pa.array(other)), pa.nulls(len(who), pa.bool_()), pa.nulls(len(who), pa.binary()), pa.nulls(len(who), pa.binary()),
         ],
         names=NEAR,
     )

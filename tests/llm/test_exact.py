@@ -300,6 +300,40 @@ def test_repeated_passages(spark):
     assert suffixes.repeated_spans(docs(spark, rows).limit(0)).count() == 0
 
 
+def same_passages(spark, rows):
+    """Marked words against all windows of 50 words; a byte beside a core may agree by chance."""
+    seen = defaultdict(set)
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 49):
+            seen[tuple(w[i : i + 50])].add((d, i))
+    want = defaultdict(set)
+    for places in seen.values():
+        if len(places) > 1:
+            for d, i in places:
+                want[d].update(range(i, i + 50))
+    got = {x.doc_id: x for x in suffixes.repeated_spans(docs(spark, rows)).collect()}
+    assert set(got) == set(want)
+    for d, x in got.items():
+        s = {p for a, b in x.spans for p in range(a, b)}
+        assert want[d] <= s and len(s - want[d]) <= 2, (d, sorted(want[d] - s))
+    return got
+
+
+def test_passages_of_unequal_extents(spark):
+    r = random.Random(13)
+    fresh = lambda n: [f"{r.randrange(1 << 40):x}" for _ in range(n)]
+    rows = []
+    for g in range(40):  # X shares 25 words left, a core and 5 right with P, but 11 left, the core and 25 right with N
+        left, core, right = fresh(25), fresh(25), fresh(25)
+        x = fresh(9) + left + core + right + fresh(9)
+        p = fresh(9) + left + core + right[:5] + fresh(29)
+        n = fresh(23) + left[14:] + core + right + fresh(9)
+        rows += [(10 * g + 5, " ".join(x)), (10 * g, " ".join(p)), (10 * g + 9, " ".join(n))]
+    got = same_passages(spark, rows)
+    assert all(got[10 * g + 5].partner == 10 * g for g in range(40))
+
+
 def test_word_vectors():
     import pyarrow as pa
 

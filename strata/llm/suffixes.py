@@ -12,8 +12,9 @@ words right of it and left of it.
 3. Neighbours, also across partitions, are compared and extended right and left. Every match of 50 words
    or more, with the one before and with the one after, marks the words it covers. The same is done in the order of the left words.
 4. The two orders also give the most words that a suffix shares with any other on either side. Where
-   these would make 50 words and yet no neighbour matched, a suffix further off may: for such
-   cores all 26 windows of 50 words around the core are counted, so that no repeat is lost.
+   these would make 50 words and the matches found do not reach that far on both sides, a suffix further
+   off may share the rest: for such cores all windows of 50 words around the core are counted, so that
+   no repeat is lost. Suffixes are cut to the words shared first; those equal then are counted as one.
 
 Words left and right of the core are compared by a byte each, the core by 64 bits: a match may be taken
 for a word longer than it is in about one case of 128, never shorter. Null and short texts have no passage.
@@ -181,19 +182,30 @@ def in_order(rows: DataFrame, first: str) -> DataFrame:
 
 
 def whole_windows(rows: DataFrame) -> DataFrame:
-    """Matches by counting all windows of 50 words around each core; rows: core, right_words, left_words, doc_id, pos."""
-    j = F.explode(F.sequence(F.lit(0), F.lit(SIDE))).alias("j")
-    x = rows.select("core", "doc_id", "pos", "right_words", "left_words", j)
+    """Matches by counting all windows of 50 words around each core.
+
+    Rows: core, doc_id, pos, right_words and left_words, cut to what each shares at most, SIDE in sum at least.
+    """
+    rows = written(rows.withColumn("kind", F.xxhash64("core", "right_words", "left_words")), "suffix-open-rows")
+    place = F.struct("doc_id", "pos")
+    kinds = rows.groupBy("kind", "core", "right_words", "left_words").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    j = F.explode(F.sequence(SIDE - F.length("right_words"), F.length("left_words"))).alias("j")
+    x = kinds.select("*", j)
     a, b = F.expr("substring(left_words, 1, j)"), F.expr(f"substring(right_words, 1, {SIDE} - j)")
     no_gap = lambda part: ~F.hex(part).rlike("^(..)*00")
-    x = x.where(no_gap(a) & no_gap(b)).select("doc_id", "pos", "j", F.xxhash64("core", "j", a, b).alias("window"))
-    counts = x.select("window", "doc_id", "pos").groupBy("window").agg(
-        F.min(F.struct("doc_id", "pos")).alias("low"), F.max(F.struct("doc_id", "pos")).alias("high")
+    x = x.where(no_gap(a) & no_gap(b)).select("kind", "j", "low", "high", F.xxhash64("core", "j", a, b).alias("window"))
+    x = written(x, "suffix-windows")
+    counts = x.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    twice = counts.where("low <> high").select("window", F.struct(F.col("low.doc_id").alias("low"), F.col("high.doc_id").alias("high")).alias("ends"))
+    # every window holds the core, so that those of a kind are one range of words
+    found = x.select("kind", "j", "window").join(twice, "window").groupBy("kind").agg(
+        F.min("j").alias("least"), F.max("j").alias("most"), F.collect_set("ends").alias("ends")  # 26 at most
     )
-    twice = written(counts.where("low <> high").select("window", F.col("low.doc_id").alias("low"), F.col("high.doc_id").alias("high")), "suffix-windows")
-    begin = (F.col("pos") - F.col("j")).cast("int")
-    other = F.when(F.col("doc_id").eqNullSafe(F.col("low")), F.col("high")).otherwise(F.col("low"))
-    return x.join(twice, "window").select("doc_id", begin.alias("begin"), (begin + PASSAGE).alias("end"), other.alias("other"))
+    begin, end = F.col("pos") - F.col("most"), F.col("pos") - F.col("least") + PASSAGE
+    other = lambda e: F.when(F.col("doc_id").eqNullSafe(e.low), e.high).otherwise(e.low)
+    own = lambda e: other(e).eqNullSafe(F.col("doc_id"))
+    partner = F.array_min(F.transform("ends", lambda e: F.when(~own(e), other(e))))
+    return rows.join(written(found, "suffix-kinds"), "kind").select("doc_id", begin.cast("int").alias("begin"), end.cast("int").alias("end"), partner.alias("other"))
 
 
 def repeated_passages(df: DataFrame) -> DataFrame:
@@ -204,13 +216,18 @@ def repeated_passages(df: DataFrame) -> DataFrame:
     rows = written(suffixes(docs, sides=True).join(cores, "core"), "suffix-rows")
     right, left = in_order(rows, "right"), in_order(rows, "left")
     found = lambda x: x.where("begin IS NOT NULL").select("doc_id", "begin", "end", "other")
-    # no match with a neighbour, although what is shared at most on either side would do
-    told = lambda x, r, lft: x.select("core", "doc_id", "pos", r.alias("r"), lft.alias("l"), F.col("begin").isNotNull().alias("hit"))
+    # the most words shared on either side, and how far the matches found reach
+    told = lambda x, r, lft: x.select("core", "doc_id", "pos", r.alias("r"), lft.alias("l"), "begin", "end")
     none = F.lit(0)
     every = told(right, F.col("reach"), none).unionByName(told(left, none, F.col("reach")))
-    every = every.groupBy("core", "doc_id", "pos").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.max("hit").alias("hit"))
-    open_cores = written(every.where(~F.col("hit") & (F.col("r") + F.col("l") >= SIDE)).select("core").distinct(), "suffix-open")
-    rest = rows.join(open_cores, "core", "left_semi")
+    every = every.groupBy("core", "doc_id", "pos").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.min("begin").alias("begin"), F.max("end").alias("end"))
+    every = written(every.where(F.col("r") + F.col("l") >= SIDE), "suffix-told")
+    short = F.col("begin").isNull() | (F.col("begin") > F.col("pos") - F.col("l")) | (F.col("end") < F.col("pos") + CORE + F.col("r"))
+    open_cores = written(every.where(short).select("core").distinct(), "suffix-open")
+    e, x = every.join(open_cores, "core", "left_semi").alias("e"), rows.alias("x")
+    rest = x.join(e, (F.col("x.core") == F.col("e.core")) & F.col("x.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("x.pos") == F.col("e.pos")))
+    cut = lambda c, n: F.expr(f"substring({c}, 1, {n})").alias(c)
+    rest = rest.select("x.core", "x.doc_id", "x.pos", cut("right_words", "r"), cut("left_words", "l"))
     return found(right).unionByName(found(left)).unionByName(whole_windows(rest))
 
 

@@ -334,6 +334,31 @@ def test_passages_of_unequal_extents(spark):
     assert all(got[10 * g + 5].partner == 10 * g for g in range(40))
 
 
+def test_passages_beside_neighbours(spark):
+    r = random.Random(17)
+    fresh = lambda n: [f"{r.randrange(1 << 40):x}" for _ in range(n)]
+    rows = []
+    for g in range(40):  # X's partner Z on the left is a neighbour in neither order, and all have matches with others
+        far, core, near_, away = fresh(30), fresh(25), fresh(25), fresh(30)
+        x = far[10:] + core + near_
+        y = far[25:] + core + near_[:20]
+        z = far[10:] + core + near_[:10]
+        w = far[8:] + core
+        for k, own in enumerate((x, y, z, w)):
+            own = fresh(7) + own + fresh(7) if k == 0 else fresh(7) + own + away[k : k + 20]
+            rows += [(100 * g + 10 * k + c, " ".join(fresh(3) + own + fresh(3))) for c in range(1 if k == 0 else 2)]
+    for g in range(12):  # templates: one core, and words on either side that part at any depth
+        core, left, right = fresh(25), [fresh(1) for _ in range(3)], [fresh(1) for _ in range(3)]
+        for side in (left, right):
+            for i in range(1, 30):
+                for k, other in enumerate(side):
+                    other.append(side[k - 1][i] if k and r.random() < 0.9 and side[k - 1][:i] == other[:i] else fresh(1)[0])
+        side = lambda words, n: (words[: r.randrange(30)] + fresh(n))[:n]
+        for d in range(16):
+            rows.append((10000 + 100 * g + d, " ".join(side(r.choice(left), 30)[::-1] + core + side(r.choice(right), 30))))
+    same_passages(spark, rows)
+
+
 def test_word_vectors():
     import pyarrow as pa
 

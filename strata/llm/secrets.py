@@ -11,6 +11,9 @@ Confirmed kinds are reported only after the candidate was decoded and parsed:
 * ``sshkey``: base64 or hexadecimal text that decodes to an OpenSSH private key, whose
   length-prefixed fields are in bounds.
 
+Base64 may be wrapped into lines; a key then ends with the line in which its stated length is reached,
+and what follows on the next line is text, or a key of its own.
+
 A text that is null counts as empty: no spans. Texts are scanned whole; offsets are code points,
 ends exclusive. Equal rows give equal results row by row; extra columns are not read by the scan.
 """
@@ -22,7 +25,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +48,8 @@ PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:
 #: DER sequences begin with 0x30, in base64 "M"; OpenSSH keys begin with their magic bytes.
 B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]|b3BlbnNzaC1rZXktdjE)(?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/])){38,}={0,2}")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6f70656e7373682d6b65792d7631)[0-9A-Fa-f]{78,}", re.IGNORECASE)
-SSH_MAGIC = b"openssh-key-v1\0"
+B64_LINE = re.compile(r"[A-Za-z0-9+/]+")
+SSH_MAGIC, SSH_BEGIN = b"openssh-key-v1\0", "b3BlbnNzaC1rZXktdjE"
 
 #: Cheap necessary conditions, so that texts without a candidate skip the patterns.
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
@@ -99,22 +105,65 @@ def is_der_key(data: bytes) -> bool:
     return version == 1 and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])  # SEC1
 
 
-def is_ssh_key(data: bytes) -> bool:
+def der_size(data: bytes) -> int | None:
+    """The bytes of the element that begins the data, by its header."""
+    if len(data) < 2 or not data[1] & 0x80:
+        return 2 + data[1] if len(data) >= 2 else None
+    width = data[1] & 0x7F
+    return 2 + width + int.from_bytes(data[2 : 2 + width], "big") if 1 <= width <= 4 and len(data) >= 2 + width else None
+
+
+def ssh_size(data: bytes) -> int | None:
+    """The bytes of the OpenSSH private key that begins the data: all of them if its private part does not fit, None if it is no key."""
     if not data.startswith(SSH_MAGIC):
-        return False
-    at, fields = len(SSH_MAGIC), 0
-    for part in range(5):  # cipher, kdf, kdf options, number of keys, public key
+        return None
+    at, number = len(SSH_MAGIC), 1
+    for part in range(6 + 64):  # cipher, kdf, kdf options, number of keys, public keys, private part
+        if part > 4 + number:
+            break
         if at + 4 > len(data):
-            return False
+            return None if part < 5 else len(data)
         n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
         if part == 3:
             if not 1 <= n <= 64:
-                return False
+                return None
+            number = n
             continue
         if at + n > len(data):
-            return False
-        at, fields = at + n, fields + 1
-    return fields == 4
+            return None if part < 5 else len(data)
+        at += n
+    return at
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return ssh_size(data) is not None
+
+
+def base64_keys(text: str, begin: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """The keys in a run of base64 lines: each begins a line and ends one, at the length that its own header states."""
+    lines = [m.span() for m in B64_LINE.finditer(text, begin, end)]
+    body = "".join(text[a:b] for a, b in lines)
+    ends = list(accumulate(b - a for a, b in lines))  # in body
+    chars = lambda size: size // 3 * 4 + (0, 2, 3)[size % 3]
+    i = 0
+    while i < len(lines):
+        at, kind, last = ends[i] - (lines[i][1] - lines[i][0]), None, i
+        if body[at] == "M":
+            size = der_size(unbase64(body[at : at + 8]) or b"")
+            stop = at + chars(size) if size else at
+            last = bisect_left(ends, stop)
+            if last < len(ends) and ends[last] == stop > at and is_der_key(unbase64(body[at:stop]) or b""):
+                kind = "der"
+        elif body.startswith(SSH_BEGIN, at):
+            stop = len(body) - ((len(body) - at) % 4 == 1)
+            size = ssh_size(unbase64(body[at:stop]) or b"")
+            if size is not None:
+                kind, last = "sshkey", bisect_left(ends, min(at + chars(size), len(body)))
+        to = 0 if kind is None else end if last == len(lines) - 1 else lines[last][1]
+        if to - lines[i][0] >= 40:
+            yield (kind, lines[i][0], to)
+            i = last
+        i += 1
 
 
 def json_object(data: bytes | None) -> dict | None:
@@ -142,13 +191,16 @@ def confirmed(text: str, long_runs: bool = True) -> Iterator[tuple[str, int, int
             data = unbase64(body)
             if data and (is_der_key(data) or is_ssh_key(data) or m[1].startswith("ENCRYPTED") or "ENCRYPTED" in m[2]):
                 yield ("pem", *m.span())
-    for pattern, decode in () if not long_runs else ((B64, unbase64), (HEXKEY, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
-        for m in pattern.finditer(text):
-            data = decode(m[0])
-            if data and is_der_key(data):
-                yield ("der", *m.span())
-            elif data and is_ssh_key(data):
-                yield ("sshkey", *m.span())
+    if not long_runs:
+        return
+    for m in B64.finditer(text):
+        yield from base64_keys(text, *m.span())
+    for m in HEXKEY.finditer(text):
+        data = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else None
+        if data and is_der_key(data):
+            yield ("der", *m.span())
+        elif data and is_ssh_key(data):
+            yield ("sshkey", *m.span())
 
 
 def spans(text: str) -> list[Span]:

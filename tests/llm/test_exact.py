@@ -99,6 +99,29 @@ def test_confirmed_secrets():
     assert kinds("M" + "a" * 60) == []
 
 
+def test_keys_before_other_lines():
+    import base64
+
+    r = random.Random(3)
+    b64 = lambda x: base64.b64encode(x).rstrip(b"=").decode()
+    kinds = lambda t: [(k, t[a:b]) for a, b, k, _ in secrets.spans(t) if k not in secrets.BASE]
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ed = [b64(der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), der(4, der(4, r.randbytes(32))))) for _ in range(2)]
+    rsa = b64(der(0x30, der(2, b"\0"), *(der(2, r.randbytes(60)) for _ in range(7)), der(2, r.randbytes(59))))
+    ssh = [b64(secrets.SSH_MAGIC + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(r.randbytes(51)) + field(r.randbytes(n))) for n in (136, 137, 138)]
+    assert len(ed[0]) == 64
+    for end in ("\n", "\r\n"):
+        wrapped = end.join(rsa[i : i + 64] for i in range(0, len(rsa), 64))
+        for kind, key in [("der", ed[0]), ("der", rsa), ("der", wrapped), *(("sshkey", x) for x in ssh)]:
+            for after in ("", f"{end}word and more", f"{end}x", f"{end}Main words{end}"):
+                for before in ("", f"see My{end}", f"M1{end}"):
+                    assert kinds(before + key + after) == [(kind, key)], (before, after)
+        keys = [ed[0], ed[1], ssh[0], wrapped, ssh[1], ssh[2]]
+        assert [k for _, k in kinds(end.join([*keys, "prose"]))] == keys
+    text = f"first{chr(10)}{ed[0]}{chr(10)}{ed[1]}{chr(10)}last"
+    assert secrets.masked(text, secrets.spans(text)).split() == ["first", secrets.MASK, secrets.MASK, "last"]
+
+
 def test_secret_scan_rows(spark):
     rows = [*EDGE, (9, "token = " + "ab" * 20)]
     got = secrets.scan_secrets(docs(spark, rows, True), mask=secrets.MASK)

@@ -1,11 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding with exact verification.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Texts with the same word sequence form a class and are compared once, through a representative.
-2. Each class gets a signature for every tree. A tree is a trie of sorted signatures; its prefixes
-   are shortened from the full depth until a pair at the threshold meets under a common prefix of
-   some tree with the target recall. A prefix with two classes or more is a bucket.
+2. Each class gets a signature for every tree: ``DEPTH`` MinHash values, of which a prefix is hashed.
+   The prefix is the longest by which a pair at the threshold meets in some tree with the target
+   recall; that follows from the constants (5 of 6 here), so that this is banding, 20 bands of 5 rows,
+   and no sorted trie. A prefix with two classes or more is a bucket.
 3. In a bucket, classes whose signatures agree enough (several standard deviations below the
    threshold) are joined; the connected groups hold all candidate pairs.
 4. Within a group every pair is verified on the full shingle sets, exactly, in blocks. Only counts

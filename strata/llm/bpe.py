@@ -1,12 +1,13 @@
 """BPE encoding and decoding through a table of distinct words.
 
 1. Spark splits every text into the tokenizer's words and counts the distinct ones.
-2. Each distinct word is encoded once; its ids are decoded by a join with the id-to-piece table,
-   which has one entry for each of the vocabulary and is held by every Arrow function.
+2. Each distinct word is encoded once.
 3. Ids are joined back by position. Words above a count threshold, chosen so that at most
    ``COMMON_WORDS`` of at most ``COMMON_CHARS`` characters pass it, are looked up in a broadcast
    table, whose size is thus bounded. All other occurrences go through a shuffle join by word,
    are gathered by document with their positions, and meet the text again.
+4. The ids put together for a document are decoded: each is looked up in the id-to-piece table, which
+   has one entry for each of the vocabulary and is held by every Arrow function.
 
 The split is a Java pattern with the same classes as the tokenizer's; texts with characters that
 the JVM's Unicode tables do not know, or with a special token's text, are split by the tokenizer
@@ -144,6 +145,12 @@ def joined_pieces(ids: pa.Array, vocabulary: pa.Array) -> pa.Array:
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), vocabulary.take(ids.flatten())), b"")
 
 
+def listed(ids: pa.Array) -> pa.Array:
+    """The ids of each text, from their decimals joined by commas; null for the empty text."""
+    lists = pc.split_pattern(pc.if_else(pc.equal(ids, ""), None, ids), ",")
+    return lists.cast(pa.list_(pa.int32()))
+
+
 def as_text(raw: pa.Array) -> pa.Array:
     try:
         return raw.cast(pa.string())
@@ -165,21 +172,21 @@ def decode_documents(df: DataFrame, ids: str = "ids", tokenizer: str = TOKENIZER
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """Distinct words (word, n) with k (their ids), ids (decimal, joined by commas) and raw (their pieces' bytes)."""
+    """Distinct words (word, n) with k (their ids) and ids (decimal, joined by commas)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vocabulary = load(tokenizer), pieces(tokenizer)
+        own = load(tokenizer)
         for batch in (whole.slice(i, ENCODE_WORDS) for whole in batches for i in range(0, whole.num_rows, ENCODE_WORDS)):
             ids = pa.array([e.ids for e in own.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
             text = pa.ListArray.from_arrays(ids.offsets, ids.flatten().cast(pa.string()))
-            columns = [*batch.columns, pc.list_value_length(ids), pc.binary_join(text, ","), joined_pieces(ids, vocabulary)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "k", "ids", "raw"])
+            columns = [*batch.columns, pc.list_value_length(ids), pc.binary_join(text, ",")]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "k", "ids"])
 
-    return words.mapInArrow(encode, schema_with(words, k=T.IntegerType(), ids=T.StringType(), raw=T.BinaryType()))
+    return words.mapInArrow(encode, schema_with(words, k=T.IntegerType(), ids=T.StringType()))
 
 
 def word_table(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """Distinct words of column ``words`` with their count, ids, and decoded bytes; written to the shared folder."""
+    """Distinct words of column ``words`` with their count and ids; written to the shared folder."""
     counts = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return written(encode_words(counts, tokenizer), "bpe-words")
 
@@ -206,14 +213,14 @@ def encode_documents(df: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_
     words = word_table(with_words(rows.select("text"), tokenizer), tokenizer)
     release(spark)
     is_common = common_words(words)
-    common = words.where(is_common).select("word", "k", "ids", "raw")
+    common = words.where(is_common).select("word", "k", "ids")
     held = common.toArrow()  # bounded: see common_words
     held = pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in held.columns], names=held.column_names)
     shared = spark.sparkContext.broadcast(held)
 
     where = with_words(rows, tokenizer).select("key", "mark", F.posexplode("words").alias("pos", "word"))
     rare = where.join(F.broadcast(common.select("word")), "word", "left_anti")
-    found = rare.join(words.where(~is_common), "word").groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "k", "ids", "raw")).alias("rare"))
+    found = rare.join(words.where(~is_common), "word").groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "k", "ids")).alias("rare"))
     found = written(found, "bpe-rare")
     discard(words)
     del where, rare, words, common
@@ -228,7 +235,8 @@ def encode_documents(df: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        word, k, ids, raw = (shared.value.column(c) for c in ("word", "k", "ids", "raw"))
+        word, k, ids = (shared.value.column(c) for c in ("word", "k", "ids"))
+        vocabulary = pieces(tokenizer)
         for whole in batches:
             n_words = pc.fill_null(pc.list_value_length(whole.column("words")), 0).to_numpy(zero_copy_only=False)
             for a, b in slices(n_words, slice_words):
@@ -241,12 +249,12 @@ def encode_documents(df: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_
                 at[np.repeat(ends[:-1], many) + spots.field("pos").to_numpy(zero_copy_only=False)] = len(word) + np.arange(len(spots))
                 place, every = pa.array(at), lambda c, own, spots=spots: pa.concat_arrays([own, spots.field(c)])
                 sums = np.concatenate([[0], np.cumsum(every("k", k).take(place).to_numpy(zero_copy_only=False))])
-                lists = lambda c, own, ends=ends, place=place, every=every: pa.LargeListArray.from_arrays(pa.array(ends), every(c, own).take(place))
+                coded = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), every("ids", ids).take(place)), ",")
                 columns = [
                     batch.column("key"),
                     pa.array(np.diff(sums[ends]), pa.int64()),
-                    pc.binary_join(lists("ids", ids), ","),
-                    as_text(pc.binary_join(lists("raw", raw), b"")),
+                    coded,
+                    as_text(joined_pieces(listed(coded), vocabulary)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids", "decoded"])
 

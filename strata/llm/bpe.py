@@ -1,18 +1,23 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Spark splits every text into the tokenizer's words and counts the distinct ones.
-2. Each distinct word is encoded once.
-3. Ids are joined back by position. Words above a count threshold, chosen so that at most
-   ``COMMON_WORDS`` of at most ``COMMON_CHARS`` characters pass it, are looked up in a broadcast
-   table, whose size is thus bounded. All other occurrences go through a shuffle join by word,
-   are gathered by document with their positions, and meet the text again.
-4. The ids put together for a document are decoded: each is looked up in the id-to-piece table, which
-   has one entry for each of the vocabulary and is held by every Arrow function.
+1. Spark splits every text into the tokenizer's words. An Arrow function sums them up per batch, and
+   the distinct ones are counted with partial sums.
+2. Each distinct word is encoded once, into a written table.
+3. Ids are joined back by position. Words above a count threshold, chosen so that those that pass it
+   hold at most ``COMMON_BYTES``, are looked up in a broadcast table, whose size is thus bounded: a
+   text becomes a compressed list of places in that table. A word beyond it has a place in
+   its text's own list of rare words instead; these (text, place, word) rows, one for each distinct word
+   of a text, go through a shuffle join by word, and meet the text's list again by the text's identity.
+   The texts themselves are never shuffled.
+4. The ids put together for a document are decoded: each is joined by position with the id-to-piece table,
+   which has one entry for each of the vocabulary and goes along with the function.
 
 The split is a Java pattern with the same classes as the tokenizer's; texts with characters that
 the JVM's Unicode tables do not know, or with a special token's text, are split by the tokenizer
-itself. Null and empty texts have no ids and decode to the empty text. Rows that repeat (same id
-and text) share their looked-up words and come out as often as they went in.
+itself. Null and empty texts have no ids and decode to the empty text; an empty table gives no rows. Rows that repeat (same
+key and text) have one identity: their rare words are looked up once and they come out as often as they went in.
+Very long texts are split and put together whole; only their words' counts are cut into batches. Only the key and
+the text are read of the input's columns, whatever the others are called. There are no ties.
 """
 
 from __future__ import annotations
@@ -27,13 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import discard, release, schema_with, small_batches, table, written
+from strata.llm.common import discard, schema_with, small_batches, table, written
 from strata.llm.token_counts import tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
-COMMON_WORDS = 1 << 19
-COMMON_CHARS = 32
-SLICE_WORDS = 1 << 20
+COMMON_BYTES = 24 << 20
+COMMON_CHARS = 256
+SLICE_WORDS = 1 << 18
 ENCODE_WORDS = 2000
 
 _WHITE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -73,58 +78,27 @@ def odd(text: Column) -> Column:
     return text.contains(SPECIAL) | text.rlike(r"\p{Cn}")
 
 
-def split_odd(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """Replace column ``text`` by ``words``, split by the tokenizer itself."""
-
-    def slow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = load(tokenizer)
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            texts = columns.pop("text").to_pylist()
-            columns["words"] = pa.array([split_text(own, x) for x in texts], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return rows.mapInArrow(slow, schema_with(rows.drop("text"), words=T.ArrayType(T.StringType())))
-
-
-def split_plain(rows: DataFrame) -> DataFrame:
-    """Replace column ``text`` by ``words``, split by the pattern."""
-    return rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).drop("text")
-
-
-def with_words(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """Replace column ``text`` by ``words``, each text split in the way it needs."""
-    return split_plain(rows.where(~odd(F.col("text")))).unionByName(split_odd(rows.where(odd(F.col("text"))), tokenizer))
-
-
-def packed(rows: DataFrame) -> DataFrame:
-    """Replace column ``text`` by ``zipped``: a shuffle of texts then moves and stores about two thirds of the bytes."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        codec = zstandard.ZstdCompressor(level=1, write_checksum=False)
-        for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns["zipped"] = pa.array([codec.compress(x) for x in columns.pop("text").cast(pa.binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return rows.mapInArrow(pack, schema_with(rows.drop("text"), zipped=T.BinaryType()))
+def split(rows: DataFrame) -> DataFrame:
+    """Replace column ``text`` by ``words``, split by the pattern, or by ``odd_text`` where the tokenizer has to split it."""
+    x = rows.withColumn("odd", odd(F.col("text")))
+    words = F.when(~F.col("odd"), F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)))
+    return x.select(*rows.drop("text").columns, words.alias("words"), F.when(F.col("odd"), F.col("text")).alias("odd_text"))
 
 
-def unpacked(rows: DataFrame) -> DataFrame:
-    """Undo :func:`packed`."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        codec = zstandard.ZstdDecompressor()
-        for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns["text"] = pa.array([codec.decompress(x) for x in columns.pop("zipped").to_pylist()], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    return rows.mapInArrow(unpack, schema_with(rows.drop("zipped"), text=T.StringType()))
+def word_lists(batches: Iterator[pa.RecordBatch], tokenizer: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of :func:`split` with all words filled in, of about ``most`` words (one row at least)."""
+    for whole in batches:
+        asked = whole.column("odd_text").is_valid()
+        rest = whole.drop_columns(["odd_text"])
+        plain, strange = rest.filter(pc.invert(asked)), rest.filter(asked)
+        if strange.num_rows:
+            own = load(tokenizer)
+            words = pa.array([split_text(own, x) for x in whole.column("odd_text").filter(asked).to_pylist()], pa.list_(pa.string()))
+            strange = strange.set_column(strange.schema.get_field_index("words"), "words", words)
+        for part in (plain, strange):
+            sizes = pc.fill_null(pc.list_value_length(part.column("words")), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(sizes, most):
+                yield part.slice(a, b - a)
 
 
 @lru_cache(maxsize=2)
@@ -145,12 +119,6 @@ def joined_pieces(ids: pa.Array, vocabulary: pa.Array) -> pa.Array:
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), vocabulary.take(ids.flatten())), b"")
 
 
-def listed(ids: pa.Array) -> pa.Array:
-    """The ids of each text, from their decimals joined by commas; null for the empty text."""
-    lists = pc.split_pattern(pc.if_else(pc.equal(ids, ""), None, ids), ",")
-    return lists.cast(pa.list_(pa.int32()))
-
-
 def as_text(raw: pa.Array) -> pa.Array:
     try:
         return raw.cast(pa.string())
@@ -172,30 +140,35 @@ def decode_documents(df: DataFrame, ids: str = "ids", tokenizer: str = TOKENIZER
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """Distinct words (word, n) with k (their ids) and ids (decimal, joined by commas)."""
+    """Add ``ids`` to a table of distinct words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(tokenizer)
         for batch in (whole.slice(i, ENCODE_WORDS) for whole in batches for i in range(0, whole.num_rows, ENCODE_WORDS)):
             ids = pa.array([e.ids for e in own.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
-            text = pa.ListArray.from_arrays(ids.offsets, ids.flatten().cast(pa.string()))
-            columns = [*batch.columns, pc.list_value_length(ids), pc.binary_join(text, ",")]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "k", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
-    return words.mapInArrow(encode, schema_with(words, k=T.IntegerType(), ids=T.StringType()))
+    return words.mapInArrow(encode, schema_with(words, ids=T.ArrayType(T.IntegerType())))
 
 
 def word_table(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """Distinct words of column ``words`` with their count and ids; written to the shared folder."""
-    counts = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """Distinct words of the split texts with their count and ids; written to the shared folder."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in word_lists(batches, tokenizer, SLICE_WORDS):
+            sums = pc.value_counts(batch.column("words").flatten())
+            yield pa.RecordBatch.from_arrays([sums.field("values"), sums.field("counts")], names=["word", "n"])
+
+    counts = rows.select("words", "odd_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return written(encode_words(counts, tokenizer), "bpe-words")
 
 
-def common_words(words: DataFrame, most: int = COMMON_WORDS) -> Column:
-    """The condition for the broadcast table: at most ``most`` words pass, whatever the table's size."""
+def common_words(words: DataFrame, most: int = COMMON_BYTES) -> Column:
+    """The condition for the broadcast table: the words that pass hold at most ``most`` bytes, whatever the table's size."""
     short = F.length("word") <= COMMON_CHARS
     level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-    held = {r.level: r.words for r in words.where(short).groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()}  # 63 rows at most
+    size = F.sum(F.octet_length("word") + 4 * F.size("ids") + 8)  # with the offsets of both
+    held = {r.level: r.bytes for r in words.where(short).groupBy(level.alias("level")).agg(size.alias("bytes")).collect()}  # 63 rows at most
     total, least = 0, 62
     for k in sorted(held, reverse=True):
         if (total := total + held[k]) > most:
@@ -204,64 +177,100 @@ def common_words(words: DataFrame, most: int = COMMON_WORDS) -> Column:
     return short & (F.col("n") >= (1 << least))
 
 
+def one_array(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def placed(rows: DataFrame, common, tokenizer: str, slice_words: int) -> DataFrame:
+    """Replace the split words by ``places`` (compressed) and ``rare``, the text's distinct words that are not common.
+
+    A place below the number of common words is that word's; from there on places count the rare words.
+    """
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import zstandard
+
+        codec = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
+        known = common.value.column("word")
+        for batch in word_lists(batches, tokenizer, slice_words):
+            words = batch.column("words")
+            sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            flat = words.flatten()
+            at = pc.index_in(flat, value_set=known)
+            missed = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+            at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.uint32)
+            coded = pc.dictionary_encode(flat.take(pa.array(missed)))
+            pair = np.searchsorted(ends, missed, side="right") << 32 | coded.indices.to_numpy(zero_copy_only=False)
+            own, back = np.unique(pair, return_inverse=True)  # by text, then by word
+            text = own >> 32
+            first = np.searchsorted(text, np.arange(len(sizes) + 1))
+            at[missed] = (len(known) + np.arange(len(own)) - first[text])[back]
+            packed = [codec.compress(at[b - n : b].view(np.uint8).reshape(-1, 4).T.tobytes()) if n else b"" for b, n in zip(ends, sizes, strict=True)]
+            rare = pa.ListArray.from_arrays(pa.array(first, pa.int32()), coded.dictionary.take(pa.array(own & 0xFFFFFFFF)))
+            kept = [n for n in batch.schema.names if n != "words"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(packed, pa.binary()), rare], names=[*kept, "places", "rare"])
+
+    kept = rows.drop("words", "odd_text")
+    return rows.mapInArrow(look_up, schema_with(kept, places=T.BinaryType(), rare=T.ArrayType(T.StringType())))
+
+
 def encode_documents(df: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text", slice_words: int = SLICE_WORDS) -> DataFrame:
     """One row per row of ``df``: the key, n_tokens, ``ids`` (decimal, joined by commas) and ``decoded``."""
     spark = df.sparkSession
     small_batches(spark)
     body = F.coalesce(df[text], F.lit(""))
-    rows = df.select(df[key].alias("key"), F.xxhash64(body).alias("mark"), body.alias("text"))
-    words = word_table(with_words(rows.select("text"), tokenizer), tokenizer)
-    release(spark)
+    # a row's identity: two hashes of 64 bits, not null, the same for rows that repeat
+    rows = df.select(df[key].alias("key"), body.alias("text")).withColumns({"a": F.xxhash64("key", "text"), "b": F.xxhash64("text", F.lit("b"), "key")})
+    words = word_table(split(rows.select("text")), tokenizer)
     is_common = common_words(words)
-    common = words.where(is_common).select("word", "k", "ids")
-    held = common.toArrow()  # bounded: see common_words
-    held = pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in held.columns], names=held.column_names)
-    shared = spark.sparkContext.broadcast(held)
-
-    where = with_words(rows, tokenizer).select("key", "mark", F.posexplode("words").alias("pos", "word"))
-    rare = where.join(F.broadcast(common.select("word")), "word", "left_anti")
-    found = rare.join(words.where(~is_common), "word").groupBy("key", "mark").agg(F.collect_list(F.struct("pos", "k", "ids")).alias("rare"))
-    found = written(found, "bpe-rare")
+    held = words.where(is_common).orderBy(F.desc("n"), "word").select("word", "ids").toArrow()  # bounded: see common_words
+    common = spark.sparkContext.broadcast(pa.RecordBatch.from_arrays([one_array(c) for c in held.columns], names=held.column_names))
+    vocabulary = pieces(tokenizer)  # an entry for each id of the vocabulary
+
+    texts = split(rows)
+    lists = placed(texts.drop("key"), common, tokenizer, slice_words).select("a", "b", F.posexplode("rare").alias("place", "word"))
+    lists = lists.repartition("word").distinct()  # by word already, so that rows that repeat become one here
+    found = lists.join(words.where(~is_common).select("word", "ids").hint("merge"), "word").select("a", "b", "place", "ids")
+    found = found.repartition("a", "b").groupBy("a", "b").agg(F.collect_list(F.struct("place", "ids")).alias("found"))  # a text's distinct words at most
+    found = written(found, "bpe-found")
     discard(words)
-    del where, rare, words, common
-    release(spark)
-
-    def met(part: DataFrame) -> DataFrame:
-        """Texts with what was found for them."""
-        a, b = packed(part).alias("a"), found.alias("b")
-        on = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.mark") == F.col("b.mark"))
-        return unpacked(a.join(b.hint("merge"), on, "left").select("a.key", "zipped", "rare"))
+    met = placed(texts, common, tokenizer, slice_words).drop("rare").join(found.hint("merge"), ["a", "b"], "left").select("key", "places", "found")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import zstandard
 
-        word, k, ids = (shared.value.column(c) for c in ("word", "k", "ids"))
-        vocabulary = pieces(tokenizer)
+        codec = zstandard.ZstdDecompressor()
+        ids = common.value.column("ids")
         for whole in batches:
-            n_words = pc.fill_null(pc.list_value_length(whole.column("words")), 0).to_numpy(zero_copy_only=False)
+            packed = [codec.decompress(x) if x else b"" for x in whole.column("places").to_pylist()]
+            n_words = np.array([len(x) // 4 for x in packed], np.int64)
             for a, b in slices(n_words, slice_words):
-                batch = whole.slice(a, b - a)
-                ends = np.concatenate([[0], np.cumsum(n_words[a:b])]).astype(np.int64)
-                at = pc.fill_null(pc.index_in(batch.column("words").flatten(), value_set=word), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                rest = batch.column("rare")
-                spots = rest.flatten()
-                many = pc.fill_null(pc.list_value_length(rest), 0).to_numpy(zero_copy_only=False)
-                at[np.repeat(ends[:-1], many) + spots.field("pos").to_numpy(zero_copy_only=False)] = len(word) + np.arange(len(spots))
-                place, every = pa.array(at), lambda c, own, spots=spots: pa.concat_arrays([own, spots.field(c)])
-                sums = np.concatenate([[0], np.cumsum(every("k", k).take(place).to_numpy(zero_copy_only=False))])
-                coded = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), every("ids", ids).take(place)), ",")
+                ends = np.concatenate([[0], np.cumsum(n_words[a:b])])
+                at = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0] for x in packed[a:b] if x)]).astype(np.int64)
+                rest = whole.column("found").slice(a, b - a)
+                spots, many = rest.flatten(), pc.fill_null(pc.list_value_length(rest), 0).to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(b - a), many)
+                order = np.lexsort((spots.field("place").to_numpy(zero_copy_only=False), owner))
+                rare = at >= len(ids)
+                begin = np.cumsum(many) - many
+                at[rare] += begin[np.repeat(np.arange(b - a), n_words[a:b])[rare]]
+                every = pa.concat_arrays([ids, spots.field("ids").take(pa.array(order)).cast(ids.type)])
+                taken = every.take(pa.array(at))
+                tokens = np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))])[ends]
+                own = pa.LargeListArray.from_arrays(pa.array(tokens, pa.int64()), taken.flatten())
+                decimal = pa.LargeListArray.from_arrays(pa.array(tokens, pa.int64()), own.values.cast(pa.string()))
                 columns = [
-                    batch.column("key"),
-                    pa.array(np.diff(sums[ends]), pa.int64()),
-                    coded,
-                    as_text(joined_pieces(listed(coded), vocabulary)),
+                    whole.column("key").slice(a, b - a),
+                    pa.array(np.diff(tokens), pa.int64()),
+                    pc.binary_join(decimal, ","),
+                    as_text(joined_pieces(own, vocabulary)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids", "decoded"])
 
-    out = f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids string, decoded string"
-    plain, rest = rows.where(~odd(F.col("text"))), rows.where(odd(F.col("text")))
-    both = split_plain(met(plain)).unionByName(split_odd(met(rest), tokenizer))
-    return both.select("key", "words", "rare").mapInArrow(put_together, out)
+    return met.mapInArrow(put_together, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids string, decoded string")
 
 
 def slices(sizes, most: int) -> Iterator[tuple[int, int]]:

@@ -35,6 +35,30 @@ CONFIG_TYPE = (
 )
 
 
+def settings(text: Column) -> Column:
+    """A settings text as layer_order and scoring. Numbers are cast as Python's int() and float() do: texts of numbers count, and
+    int() cuts fractions off. What cannot be cast is the default. No object, or an empty one, is no scoring."""
+    v = F.try_parse_json(text)
+    at = lambda path, kind="variant": F.try_variant_get(v, path, kind)
+
+    def number(x: Column, kind: str) -> Column:
+        said = F.trim(F.try_variant_get(x, "$", "string"))
+        if kind == "double":
+            return F.try_variant_get(x, "$", "double")
+        digits = F.when(said.rlike(r"^[+-]?\d+(_\d+)*$"), F.regexp_replace(said, F.lit("_"), F.lit("")).try_cast("bigint"))
+        cut = F.try_variant_get(x, "$", "double").try_cast("bigint")
+        return F.when(F.schema_of_variant(x) == "STRING", digits).otherwise(cut).try_cast("int")
+
+    def each(path: str, kind: str) -> Column:
+        return F.transform_values(at(path, "map<string,variant>"), lambda _, x: number(x, kind))
+
+    fields = [number(at(f"$.scoring.{k}"), t).alias(k) for k, (t, _) in SCORING.items()]
+    fields += [each("$.scoring.structural_class_penalty_scale", "double").alias("structural_class_penalty_scale"), each("$.scoring.structural_class_health_floor", "int").alias("structural_class_health_floor")]
+    fields.append(at("$.scoring.scoring_profile", "string").alias("scoring_profile"))
+    filled = F.size(at("$.scoring", "map<string,variant>")) > 0
+    return F.struct(at("$.layer_order", "array<string>").alias("layer_order"), F.when(filled, F.struct(*fields)).alias("scoring"))
+
+
 def per_class(kind: Column, given: Column, defaults: dict, other) -> Column:
     """A class's value: the given one unless it is missing or 0, else the default."""
     own = F.lit(other)
@@ -84,11 +108,15 @@ def extremes(stats: DataFrame) -> DataFrame:
     return x.select("repo", *(f for c in cols for f in (F.col(c)["path"].alias(f"most_{c}_file"), (-F.col(c)["n"]).alias(f"most_{c}"))))
 
 
-def repo_facts(stats: DataFrame, edges: DataFrame, cycle: DataFrame | None = None, config: DataFrame | None = None) -> DataFrame:
-    """One row per repo with everything the score needs."""
+def repo_facts(stats: DataFrame, edges: DataFrame, cycle: DataFrame | None = None, config: DataFrame | None = None, repos: DataFrame | None = None) -> DataFrame:
+    """One row per repo with everything the score needs. ``repos``: all valid ones, those without files included."""
     degree = graph.degrees(stats, edges)
     cycle = graph.cycles(graph.strong_components(edges)) if cycle is None else cycle
-    x = with_config(totals(stats), config)
+    x = totals(stats)
+    if repos is not None:
+        sums = [c for c, kind in x.dtypes if kind == "bigint"]
+        x = repos.select("repo").distinct().join(x, "repo", "left").na.fill(0, sums).na.fill(0.0, ["average_lines_per_file"]).na.fill(False, ["only_tests"])
+    x = with_config(x, config)
     x = x.join(graph.edge_totals(edges), "repo", "left").join(graph.max_in_degree_file(degree), "repo", "left")
     sized = cycle.select("repo", F.size("nodes").alias("n"))
     settings = x.select("repo", "cycle_penalty_2_node", "long_file_threshold_low", "long_file_threshold_high", "long_file_penalty_low", "long_file_penalty_high")
@@ -123,27 +151,37 @@ def score(facts: DataFrame) -> DataFrame:
     return x.withColumn("architecture_health_percentage", F.greatest(floor.cast("double"), F.least(F.lit(100.0), health)).cast("long"))
 
 
-def signal_confidence() -> Column:
-    """100 less 25 for each: few files, few imports, only test folders, a large repo without imports across folders."""
+def signal_confidence(files: str = "total_files") -> Column:
+    """100 less 25 for each: few files, few imports, only test folders, a large repo without imports across folders.
+
+    ``files``: the column with the number of files, listed ones where unreadable ones count.
+    """
     c = F.col
-    signs = (c("total_files") < 5, c("total_edges") < 5, F.coalesce(c("only_tests"), F.lit(False)), (c("total_files") > 50) & (c("cross_folder_ratio") == 0))
+    signs = (c(files) < 5, c("total_edges") < 5, F.coalesce(c("only_tests"), F.lit(False)), (c(files) > 50) & (c("cross_folder_ratio") == 0))
     off = sum((F.when(s, 25).otherwise(0) for s in signs), F.lit(0))
     return F.greatest(F.lit(0), F.lit(100) - off)
 
 
-def growth_signs() -> tuple[Column, ...]:
+def growth_signs(files: str = "total_files") -> tuple[Column, ...]:
     """A long largest file, one file with over 40 % of the functions, of the imports, or over half of the lines."""
     c = F.col
     return (
         c("max_lines") > 300,
         (c("total_functions") > 0) & (c("max_functions") > 0) & (100.0 * c("max_functions") / F.nullif(c("total_functions"), F.lit(0)) > 40.0),
         (c("total_edges") > 0) & (c("max_in_degree") > 0) & (100.0 * c("max_in_degree") / F.nullif(c("total_edges"), F.lit(0)) > 40.0),
-        (rules.size_name(c("total_files")) != "Micro") & (c("total_lines") > 0) & (100.0 * c("max_lines") / F.nullif(c("total_lines"), F.lit(0)) > 50.0),
+        (rules.size_name(c(files)) != "Micro") & (c("total_lines") > 0) & (100.0 * c("max_lines") / F.nullif(c("total_lines"), F.lit(0)) > 50.0),
     )
 
 
-def growth_risk() -> Column:
-    return sum((F.coalesce(s, F.lit(False)).cast("int") for s in growth_signs()), F.lit(0))
+def growth_risk(files: str = "total_files") -> Column:
+    return sum((F.coalesce(s, F.lit(False)).cast("int") for s in growth_signs(files)), F.lit(0))
+
+
+def zero_scores(repos: DataFrame) -> DataFrame:
+    """What stands in place of a score for roots that are not valid: no points and no health."""
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    points = ("raw_score", "architecture_health_percentage", "long_file_penalty", "circular_dependency_penalty", "centralization_penalty", "cross_folder_penalty")
+    return repos.where("NOT valid").select("repo", *map(zero, points), F.lit("default").alias("scoring_mode"), F.lit("v2_default").alias("scoring_profile"))
 
 
 def coupling_risk(stats: DataFrame, edges: DataFrame, tests: tuple[str, ...] = rules.TEST_FOLDERS) -> DataFrame:

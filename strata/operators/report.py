@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import json
 import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import rules
+from strata.functions.paths import base_name
 from strata.functions.text import one_decimal
 from strata.operators import graph, metrics
 
 FOLDER = "architecture_report"
+DOCUMENT = "scan.json"
 TITLE = "Architecture Report"
 CSV_FIELDS = (
     "repo", "url", "total_files", "total_lines", "architecture_health_percentage", "raw_score", "long_file_penalty",
@@ -24,7 +28,8 @@ def exact_round(x: Column, digits: int = 4) -> Column:
 
     @F.pandas_udf("double")
     def rounded(s):  # noqa: ANN001, ANN202
-        return s.map(lambda v: round(v, digits), na_action="ignore")
+        known = {v: round(v, digits) for v in s.dropna().unique()}  # Python's rounding, once for each value of a batch
+        return s.map(known)
 
     return rounded(x)
 
@@ -41,12 +46,12 @@ def as_list(rows: DataFrame, value: Column, name: str, order: Column | None = No
 
 
 def scan_documents(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, repos: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
-    """One row per repo: ``document``, the nested scan result. ``repos`` adds rows for roots that are not valid."""
+    """One row per repo: ``document``, the nested scan result. ``repos`` adds roots that have no files and those that are not valid."""
     degree = graph.degrees(stats, edges)
     cycle = graph.cycles(graph.strong_components(edges))
-    scored = metrics.score(metrics.repo_facts(stats, edges, cycle, config))
+    scored = metrics.score(metrics.repo_facts(stats, edges, cycle, config, None if repos is None else repos.where("valid")))
     analysis = graph.cycle_analysis(cycle)
-    coupling = graph.folder_coupling(edges.select("repo", F.col("src").alias("rel_path")), edges)
+    coupling = graph.folder_coupling(stats, edges)
     core = graph.core_modules(degree)
     core = core.select("repo", "path", "in_degree", "out_degree", *(exact_round(F.col(c)).alias(c) for c in ("normalized_in", "normalized_out", "centrality_score")), F.col("centrality_score").alias("exact"))
     god = graph.god_modules(stats, degree)
@@ -81,7 +86,10 @@ def scan_documents(stats: DataFrame, edges: DataFrame, config: DataFrame | None
             x = x.withColumn(c, F.coalesce(c, F.array().cast(kind)))
         elif c.endswith(("coupling_count", "leak_count", "cycle_count")):
             x = x.withColumn(c, F.coalesce(c, F.lit(0)))
-    x = x.withColumn("folder_coupling", F.coalesce("folder_coupling", F.create_map().cast(dict(x.dtypes)["folder_coupling"])))
+    kinds = dict(x.dtypes)
+    for c in ("per_file_stats", "import_map", "in_degree", "folder_coupling"):
+        x = x.withColumn(c, F.coalesce(c, F.create_map().cast(kinds[c])))
+    x = x.na.fill(0, ["todo_count", "fixme_count", "source_files"])
     limits = {"SMALL_MAX_FILES": 50, "MID_MAX_FILES": 300, "SMALL_MAX_LINES": 50_000, "MID_MAX_LINES": 200_000, "CORE_ENGINE_MIN_AVG_LINES": 250.0}
     profile = ("long_file_ratio", "cycle_ratio", "centralization_score")
     document = s(
@@ -116,16 +124,18 @@ def lines_of(items: Column, form) -> Column:
     return F.transform(items, form)
 
 
-def overview(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
-    """One row per repo with every value that the text reports print."""
+def overview(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, markers: DataFrame | None = None, repos: DataFrame | None = None) -> DataFrame:
+    """One row per repo with every value that the text reports print; ``repos`` as in :func:`scan_documents`, of invalid ones only repo, ``error`` and ``message``."""
     degree = graph.degrees(stats, edges)
     cycle = graph.cycles(graph.strong_components(edges))
-    x = metrics.score(metrics.repo_facts(stats, edges, cycle, config))
+    x = metrics.score(metrics.repo_facts(stats, edges, cycle, config, None if repos is None else repos.where("valid")))
     largest = graph.top_rows(stats, 15, F.desc("lines"), "rel_path").select("repo", "rank", "rel_path", "lines")
-    coupled = graph.folder_coupling(edges.select("repo", F.col("src").alias("rel_path")), edges)
+    coupled = graph.folder_coupling(stats, edges)
     coupled = graph.top_rows(coupled, 10, F.desc("external_dependencies"), "folder").select("repo", "rank", "folder", "external_dependencies")
+    long = long_files_by_path(stats)
     parts = [
         metrics.extremes(stats),
+        as_list(long, F.struct("rel_path", "lines"), "long_by_path", F.col("rank")),
         as_list(largest, F.struct("rel_path", "lines"), "largest", F.col("rank")),
         as_list(coupled, F.struct("folder", "external_dependencies"), "coupled", F.col("rank")),
         as_list(graph.bottlenecks(stats, degree), F.col("path"), "bottlenecks"),
@@ -136,9 +146,20 @@ def overview(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None
         x = x.join(part, "repo", "left")
     if markers is None:
         x = x.withColumns({"todo_count": F.lit(0).cast("long"), "fixme_count": F.lit(0).cast("long"), "source_files": F.col("total_files")})
+    x = x.na.fill(0, ["todo_count", "fixme_count", "source_files"])
     x = x.withColumn("coupling_base", rules.coupling_base(F.col("cross_folder_ratio")))
     top = F.col("coupled")[0]["folder"]
-    return x.withColumn("coupling_risk_level", F.when(F.size("coupled") > 0, rules.coupling_level(F.col("cross_folder_ratio"), top)).otherwise("low"))
+    x = x.withColumn("coupling_risk_level", F.when(F.size("coupled") > 0, rules.coupling_level(F.col("cross_folder_ratio"), top)).otherwise("low"))
+    x = x.withColumns({"error": F.lit(None).cast("string"), "message": F.lit(None).cast("string")})
+    if repos is None:
+        return x
+    message = F.col("message") if "message" in repos.columns else told("Invalid scan: ", F.coalesce("error", F.lit("Unknown error")), ".")
+    return x.unionByName(repos.where("NOT valid").select("repo", "error", message.alias("message")), allowMissingColumns=True)
+
+
+def long_files_by_path(stats: DataFrame, n: int = 10) -> DataFrame:
+    """The first n long files of each repo by path."""
+    return graph.top_rows(stats.where("lines > 300"), n, "rel_path").select("repo", "rank", "rel_path", "lines")
 
 
 def summaries(view: DataFrame) -> DataFrame:
@@ -147,13 +168,13 @@ def summaries(view: DataFrame) -> DataFrame:
     pct = lambda a, b: one_decimal(100.0 * a / F.nullif(b, F.lit(0)))
     none = F.lit(None).cast("array<string>")
     some = lambda condition, *items: F.when(condition, F.array(*items)).otherwise(none)
-    growth = metrics.growth_risk()
-    signs = metrics.growth_signs()
+    growth = metrics.growth_risk("source_files")
+    signs = metrics.growth_signs("source_files")
     named = ("  Largest file > 300 lines: ", "  Function share > 40%: ", "  Dependency fan-in share > 40%: ", "  Small+ project dominated by one file (>50% lines): ")
     lowered = c("coupling_base") != c("coupling_risk_level")
     label = F.when(c("coupling_risk_level") == "high", "High coupling risk").when(c("coupling_risk_level") == "moderate", "Moderate coupling").otherwise("Low coupling")
     label = F.concat(label, F.when(lowered, " (dominated by tests/benchmarks)").otherwise(""))
-    confidence = metrics.signal_confidence()
+    confidence = metrics.signal_confidence("source_files")
     share = F.bround(100.0 * c("cross_folder_ratio"), 1).cast("string")
     blocks = [
         F.array(
@@ -186,7 +207,8 @@ def summaries(view: DataFrame) -> DataFrame:
         some(c("most_class_count") > 0, F.lit(""), told("Most classes: ", c("most_class_count_file"), " (", c("most_class_count"), ")")),
     ]
     empty = F.array().cast("array<string>")
-    return view.select("repo", F.array_join(F.concat(*(F.coalesce(b, empty) for b in blocks)), "\n").alias("summary"))
+    text = F.array_join(F.concat(*(F.coalesce(b, empty) for b in blocks)), "\n")
+    return view.select("repo", F.coalesce("message", text).alias("summary"))
 
 
 def markdown(view: DataFrame, title: str = TITLE) -> DataFrame:
@@ -197,25 +219,25 @@ def markdown(view: DataFrame, title: str = TITLE) -> DataFrame:
     text = F.concat(
         F.array(
             F.lit(f"# {title}"), F.lit(""), F.lit("## Summary"), told("- **Project size:** ", rules.size_name(c("source_files")), " (", c("source_files"), " source files)"),
-            told("- **Total lines:** ", c("total_lines")), told("- **Total files:** ", c("source_files")), told("- **Signal confidence:** ", metrics.signal_confidence(), "%"),
-            told("- **Architecture score (deterministic):** ", c("architecture_health_percentage")), F.lit(""), F.lit("## Growth Risks"), told("- **Growth risk indicators:** ", metrics.growth_risk(), "/4 triggered"),
+            told("- **Total lines:** ", c("total_lines")), told("- **Total files:** ", c("source_files")), told("- **Signal confidence:** ", metrics.signal_confidence("source_files"), "%"),
+            told("- **Architecture score (deterministic):** ", c("architecture_health_percentage")), F.lit(""), F.lit("## Growth Risks"), told("- **Growth risk indicators:** ", metrics.growth_risk("source_files"), "/4 triggered"),
         ),
         F.when(F.size(long) > 0, F.concat(F.array(F.lit("- **Long files (>300 lines):**")), lines_of(long, lambda e: told("  - `", e.rel_path, "` (", e.lines, " lines)")))).otherwise(F.array(F.lit("- **Long files:** None"))),
         F.array(F.lit(""), F.lit("## Coupling Analysis"), told("- **Cross-folder dependency ratio:** ", F.bround(100.0 * c("cross_folder_ratio"), 1), "%"), told("- **Coupling risk level:** ", c("coupling_risk_level"))),
         F.when(F.size("coupled") > 0, F.concat(F.array(F.lit("- **Top coupled folders:**")), lines_of(c("coupled"), lambda e: told("  - `", e.folder, "`: ", e.external_dependencies, " external folders")))).otherwise(empty),
         F.array(F.lit(""), F.lit("## Key Issues"), F.lit("- None reported."), F.lit("")),
     )
-    return view.select("repo", F.array_join(text, "\n").alias("markdown"))
+    return view.where("message IS NULL").select("repo", F.array_join(text, "\n").alias("markdown"))
 
 
 def audit_rows(view: DataFrame) -> DataFrame:
-    """What an audit prints per repo: metric and value in order, with the first ten long files."""
+    """What an audit prints per repo: metric and value in order, with the first ten long files by path; of invalid roots status and error."""
     c = F.col
-    long = F.array_sort(F.transform(F.filter("largest", lambda e: e.lines > 300), lambda e: F.struct(e.rel_path.alias("p"), e.lines.alias("n"))))
-    shown = F.array_join(F.transform(F.slice(long, 1, 10), lambda e: told(e.p, " (", e.n, ")")), ", ")
+    good = c("message").isNull()
+    shown = F.array_join(F.transform("long_by_path", lambda e: told(e.rel_path, " (", e.lines, ")")), ", ")
     more = c("long_file_count_300") - 10
     pairs = [
-        ("Path", c("repo")), ("Source files", c("source_files")), ("Total lines", c("total_lines")), ("Structural class", c("structural_class")), ("TODO", c("todo_count")), ("FIXME", c("fixme_count")),
+        ("Status", F.when(~good, "Invalid")), ("Error", c("error")), ("Path", F.when(good, c("repo"))), ("Source files", c("source_files")), ("Total lines", c("total_lines")), ("Structural class", c("structural_class")), ("TODO", c("todo_count")), ("FIXME", c("fixme_count")),
         ("Files > 300 lines", F.when(c("long_file_count_300") > 0, F.concat(shown, F.when(more > 0, told(" … +", more, " more")).otherwise("")))),
         ("Raw score", c("raw_score")), ("Normalized score", c("architecture_health_percentage")), ("Long file penalty", c("long_file_penalty")), ("Circular dependency penalty", c("circular_dependency_penalty")),
         ("Centralization penalty", c("centralization_penalty")), ("Cross-folder penalty", c("cross_folder_penalty")),
@@ -238,20 +260,32 @@ def write_per_repo(rows: DataFrame, column: str, name: str, folder: str = FOLDER
 
 
 def results_table(harness: DataFrame, urls: DataFrame | None = None) -> DataFrame:
-    """Harness rows in the fixed columns of the results file; what is missing is empty."""
+    """Harness rows in the fixed columns of the results file, by name; what is missing is empty."""
     x = harness.join(urls, "repo", "left") if urls is not None else harness.withColumn("url", F.lit(None).cast("string"))
+    x = x.withColumn("repo", base_name(F.col("repo")))
     return x.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CSV_FIELDS)).orderBy("repo")
 
 
-def write_results(harness: DataFrame, path: str, append: bool = False, urls: DataFrame | None = None) -> None:
-    """The results as CSV with a header; nothing is written for no rows."""
-    rows = results_table(harness, urls)
-    if not rows.isEmpty():
-        rows.write.mode("append" if append else "overwrite").option("header", True).option("emptyValue", "").csv(path)
-
-
-def write_summary(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def write_results(harness: DataFrame, path: str, append: bool = False, urls: DataFrame | None = None) -> int:
+    """The results as one CSV file, a line per repository; appended to what is there without a second header. Nothing is
+    written for no rows. Returns the number of rows."""
+    rows = [tuple(r) for r in results_table(harness, urls).toLocalIterator()]
+    if rows:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        more = append and os.path.isfile(path)
+        with open(path, "a" if more else "w", encoding="utf-8", newline="") as f:
+            w = csv.writer(f)
+            w.writerows(rows if more else [CSV_FIELDS, *rows])
+    return len(rows)
+
+
+def write_summary(harness: DataFrame, path: str) -> None:
+    """The metrics of all repositories as one JSON array, by name."""
+    x = harness.withColumnRenamed("repo", "path").withColumn("repo", base_name(F.col("path"))).orderBy("repo")
+    items = [{"repo": r["repo"], **{k: v for k, v in r.asDict().items() if k != "repo"}} for r in x.toLocalIterator()]
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(items, f, indent=2)
 
 
 def benchmark_table(rows: DataFrame) -> DataFrame:

@@ -44,15 +44,15 @@ def parse(source: str) -> tuple[int, int, str, list[dict]]:
 
 
 def file_facts(files: DataFrame) -> DataFrame:
-    """Facts per readable file: lines, markers, functions, classes, raw imports. files: repo, rel_path, content, readable."""
-    text = source_text(F.col("content"))
-    x = files.where("readable").select("repo", "rel_path", text.alias("text"))
+    """Facts per file: lines, markers, functions, classes, raw imports; without any, and with the status ``unreadable``, of
+    files that are listed but cannot be read. files: repo, rel_path, content, readable."""
+    x = files.select("repo", "rel_path", F.when(F.col("readable"), source_text(F.col("content"))).alias("text"))
     x = x.select("repo", "rel_path", "text", line_count(F.col("text")).alias("lines"), marker_count(F.col("text"), "TODO").alias("todo"), marker_count(F.col("text"), "FIXME").alias("fixme"))
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("level", pa.int32()), ("module", pa.string()), ("names", pa.list_(pa.string()))]))
         for batch in batches:
-            rows = [parse(t) for t in batch.column("text").to_pylist()]
+            rows = [(None, None, "unreadable", []) if t is None else parse(t) for t in batch.column("text").to_pylist()]
             kept = [batch.column(c) for c in ("repo", "rel_path", "lines", "todo", "fixme")]
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), kind))]
             yield pa.RecordBatch.from_arrays(

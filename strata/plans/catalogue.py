@@ -22,7 +22,7 @@ def _custom(s):
         '"structural_class_health_floor": {"small_project": 0, "mid_project": 12}, "structural_class_penalty_scale": {"mid_project": 0.5}}}'
     )
     x = s.createDataFrame([("q49_45", text), ("q48_46", text.replace('"small_project": 0', '"small_project": 33'))], "repo string, text string")
-    return x.select("repo", F.from_json("text", metrics.CONFIG_TYPE).alias("j")).select("repo", "j.*")
+    return x.select("repo", metrics.settings(c("text")).alias("j")).select("repo", "j.*")
 
 
 def _cycles(s, d):

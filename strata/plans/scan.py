@@ -27,35 +27,72 @@ class Scan:
         return report.scan_documents(self.stats, self.edges, self.config, self.repos, self.markers)
 
     def overview(self) -> DataFrame:
-        return report.overview(self.stats, self.edges, self.config, self.markers)
+        return report.overview(self.stats, self.edges, self.config, self.markers, self.repos)
 
     def scores(self) -> DataFrame:
-        return metrics.score(metrics.repo_facts(self.stats, self.edges, None, self.config))
+        """One row per valid root, those without files included."""
+        return metrics.score(metrics.repo_facts(self.stats, self.edges, None, self.config, self.repos.where("valid")))
 
 
 def scan(spark: SparkSession, roots: list[str], config_name: str = pytree.CONFIG_NAME) -> Scan:
-    """List, parse once, and resolve imports. The parsed facts are written: everything after reads them, not the sources."""
+    """List and read once, parse once, and resolve imports. The parsed facts are written: everything after reads them, not the sources."""
     repos = pytree.repos(spark, roots)
-    files = pytree.read_trees(spark, roots)
-    facts = written(syntax.file_facts(files), "facts")
-    listed = files.groupBy("repo").agg(F.count("*").alias("source_files"))
-    found = facts.groupBy("repo").agg(F.sum("todo").alias("todo_count"), F.sum("fixme").alias("fixme_count"))
-    edges = written(syntax.import_edges(facts), "edges")
-    stats = facts.select("repo", "rel_path", "lines", "function_count", "class_count", "parse_status")
-    return Scan(repos, files, stats, edges, pytree.read_config(spark, roots, config_name), listed.join(found, "repo", "left").na.fill(0))
+    facts = written(syntax.file_facts(pytree.read_trees(spark, roots)), "facts")
+    markers = facts.groupBy("repo").agg(F.count("*").alias("source_files"), F.sum("todo").alias("todo_count"), F.sum("fixme").alias("fixme_count"))
+    readable = facts.where("parse_status <> 'unreadable'")
+    edges = written(syntax.import_edges(readable), "edges")
+    stats = readable.select("repo", "rel_path", "lines", "function_count", "class_count", "parse_status")
+    return Scan(repos, facts, stats, edges, pytree.read_config(spark, roots, config_name), markers.na.fill(0))
+
+
+DOCUMENT = """source_files long, total_files long, total_lines long, todo_count long, fixme_count long,
+per_file_stats map<string, struct<lines: long, function_count: int, class_count: int>>, dependency_stats struct<import_map: map<string, array<string>>>,
+architecture_score struct<raw_score: double, architecture_health_percentage: double, normalized_score: double,
+  risk_breakdown: struct<long_file_penalty: double, circular_dependency_penalty: double, centralization_penalty: double, cross_folder_penalty: double>,
+  structural_profile: struct<long_file_ratio: double, cycle_ratio: double>>"""
+
+
+def stored(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Stored documents of roots: repo, message (why there is none to use) and ``d``, what reports and the harness read of it."""
+    paths = {f"{root}/{report.FOLDER}/{report.DOCUMENT}": root for root in pytree.absolute(roots)}
+    names = spark.createDataFrame(list(paths.items()), "path string, repo string")
+    return pytree.read_scans(spark, list(paths)).join(names, "path").select("repo", "message", F.from_json("text", DOCUMENT).alias("d"))
+
+
+def stored_scan(spark: SparkSession, roots: list[str]) -> Scan:
+    """The tables of a scan from stored documents instead of sources; roots without one are not valid."""
+    x = written(stored(spark, roots), "stored")
+    good = x.where("message IS NULL")
+    files = good.select("repo", F.explode("d.per_file_stats").alias("rel_path", "s")).select("repo", "rel_path", "s.*")
+    edges = good.select("repo", F.explode("d.dependency_stats.import_map").alias("src", "to")).select("repo", "src", F.explode("to").alias("dst"))
+    zero = lambda c: F.coalesce(f"d.{c}", F.lit(0)).alias(c)
+    markers = good.select("repo", *map(zero, ("source_files", "todo_count", "fixme_count")))
+    repos = x.select("repo", F.col("repo").alias("path"), F.col("message").isNull().alias("valid"), F.regexp_replace("message", F.lit("^Invalid scan: |[.]$"), F.lit("")).alias("error"), "message")
+    return Scan(repos, files, files, edges, None, markers)
+
+
+def stored_metrics(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The recorded metrics of stored documents; what one lacks is taken from its nearest substitute, else 0, ratios are left out."""
+    x = stored(spark, roots).where("message IS NULL")
+    first = lambda name, *fields: F.coalesce(*(F.col(f"d.{f}").cast("long") for f in fields), F.lit(0)).alias(name)
+    score = "architecture_score."
+    points = ("long_file_penalty", "circular_dependency_penalty", "centralization_penalty", "cross_folder_penalty")
+    return x.select(
+        "repo", first("total_files", "total_files", "source_files"), first("total_lines", "total_lines"),
+        first("architecture_health_percentage", score + "architecture_health_percentage", score + "normalized_score"), first("raw_score", score + "raw_score"),
+        *(first(k, f"{score}risk_breakdown.{k}") for k in points), *(F.col(f"d.{score}structural_profile.{k}").alias(k) for k in ("long_file_ratio", "cycle_ratio")),
+    )
 
 
 def audit(spark: SparkSession, root: str, with_markdown: bool = False) -> dict[str, str]:
     """Scan one repository and store its document (and Markdown); returns the texts. An invalid root stores nothing."""
     s = scan(spark, [root])
-    texts = {"document": s.documents().first()["document"]} if not s.documents().isEmpty() else {}
-    if s.repos.first()["valid"] and texts:
-        view = s.overview()
-        texts["summary"] = report.summaries(view).first()["summary"]
-        texts["table"] = "\n".join(f"{r.metric}: {r.value}" for r in report.audit_rows(view).orderBy("place").collect())
-        report.write_per_repo(s.documents(), "document", "scan.json")
-        if with_markdown:
-            report.write_per_repo(report.markdown(view), "markdown", "report.md")
+    view = s.overview()
+    texts = {"document": s.documents().first()["document"], "summary": report.summaries(view).first()["summary"]}
+    texts["table"] = "\n".join(f"{r.metric}: {r.value}" for r in report.audit_rows(view).orderBy("place").collect())
+    report.write_per_repo(s.documents(), "document", report.DOCUMENT)
+    if with_markdown:
+        report.write_per_repo(report.markdown(view), "markdown", "report.md")
     return texts
 
 
@@ -69,6 +106,11 @@ def benchmark(spark: SparkSession, roots: list[str]) -> DataFrame:
     return rows.unionByName(bad, allowMissingColumns=True).orderBy("repo", "path")
 
 
-def harness(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """The recorded metrics of all valid roots."""
-    return metrics.harness_rows(scan(spark, roots).scores())
+def harness(spark: SparkSession, roots: list[str], store: bool = False) -> DataFrame:
+    """The recorded metrics of all valid roots. With ``store`` their documents and reports are stored first, and the metrics are read from them."""
+    s = scan(spark, roots)
+    if not store:
+        return metrics.harness_rows(s.scores())
+    report.write_per_repo(s.documents(), "document", report.DOCUMENT)
+    report.write_per_repo(report.markdown(s.overview()), "markdown", "report.md")
+    return stored_metrics(spark, roots)

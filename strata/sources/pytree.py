@@ -64,10 +64,15 @@ class TreeSource(DataSource):
         return TreeReader(json.loads(self.options["roots"]), self.options.get("suffix", ".py"))
 
 
+def absolute(roots: list[str]) -> list[str]:
+    """Absolute paths of roots, each once."""
+    return list(dict.fromkeys(os.path.realpath(os.path.expanduser(r)) for r in roots))
+
+
 def repos(spark: SparkSession, roots: list[str]) -> DataFrame:
     """One row per root: its absolute path, whether it is a folder, and why not."""
     rows = []
-    for root in dict.fromkeys(os.path.realpath(os.path.expanduser(r)) for r in roots):
+    for root in absolute(roots):
         good = os.path.isdir(root)
         rows.append((root, root, good, None if good else "Not a directory"))
     return spark.createDataFrame(rows, "repo string, path string, valid boolean, error string")
@@ -78,9 +83,20 @@ def local_corpus(base: str, names: list[str]) -> list[str]:
     return [os.path.join(base, n) for n in sorted(names) if os.path.isdir(os.path.join(base, n))]
 
 
+def url_name(url: str) -> str:
+    """The folder that a clone of ``url`` has."""
+    return url.rstrip("/").rpartition("/")[2].removesuffix(".git")
+
+
+def read_urls(path: str) -> list[str]:
+    """The lines of a list of clone URLs, without comments and empty ones."""
+    with open(path, encoding="utf-8") as f:
+        return [x for line in f if (x := line.partition("#")[0].strip())]
+
+
 def read_trees(spark: SparkSession, roots: list[str], suffix: str = ".py") -> DataFrame:
     """All source files of valid roots."""
-    good = [r for r in dict.fromkeys(os.path.realpath(os.path.expanduser(r)) for r in roots) if os.path.isdir(r)]
+    good = [r for r in absolute(roots) if os.path.isdir(r)]
     if not good:
         return spark.createDataFrame([], SCHEMA)
     spark.dataSource.register(TreeSource)
@@ -89,20 +105,18 @@ def read_trees(spark: SparkSession, roots: list[str], suffix: str = ".py") -> Da
 
 def read_config(spark: SparkSession, roots: list[str], name: str = CONFIG_NAME) -> DataFrame:
     """Settings per root: layer_order and scoring. A file that is missing, no JSON or no object gives none; an empty scoring too."""
-    from strata.operators.metrics import CONFIG_TYPE
+    from strata.operators.metrics import settings
 
     rows = []
-    for root in dict.fromkeys(os.path.realpath(os.path.expanduser(r)) for r in roots):
+    for root in absolute(roots):
         try:
             with open(os.path.join(root, name), encoding="utf-8") as f:
                 text = f.read()
-            value = json.loads(text)
+            if isinstance(json.loads(text), dict):
+                rows.append((root, text))
         except (OSError, ValueError):
             continue
-        if isinstance(value, dict):
-            rows.append((root, text if value.get("scoring") else json.dumps(value | {"scoring": None})))
-    table = spark.createDataFrame(rows, "repo string, text string")
-    return table.select("repo", F.from_json("text", CONFIG_TYPE).alias("c")).select("repo", "c.*")
+    return spark.createDataFrame(rows, "repo string, text string").select("repo", settings(F.col("text")).alias("c")).select("repo", "c.*")
 
 
 def read_scans(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -113,9 +127,9 @@ def read_scans(spark: SparkSession, paths: list[str]) -> DataFrame:
             with open(path, encoding="utf-8") as f:
                 rows.append((path, f.read(), None))
         except OSError:
-            rows.append((path, None, f"Scan data not found at {path}"))
+            rows.append((path, None, f"Scan data not found at {path}."))
     x = spark.createDataFrame(rows, "path string, text string, message string")
     v = F.try_parse_json("text")
-    bad = F.when(F.col("text").isNotNull() & v.isNull(), F.concat(F.lit("Invalid scan data: "), "path"))
-    off = F.when(F.try_variant_get(v, "$.valid", "boolean") == F.lit(False), F.concat(F.lit("Invalid scan: "), F.coalesce(F.try_variant_get(v, "$.error", "string"), F.lit("Unknown"))))
+    bad = F.when(F.col("text").isNotNull() & v.isNull(), F.concat(F.lit("Invalid scan data: "), "path", F.lit(".")))
+    off = F.when(F.try_variant_get(v, "$.valid", "boolean") == F.lit(False), F.concat(F.lit("Invalid scan: "), F.coalesce(F.try_variant_get(v, "$.error", "string"), F.lit("Unknown error")), F.lit(".")))
     return x.select("path", "text", F.coalesce("message", bad, off).alias("message"))

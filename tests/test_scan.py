@@ -1,9 +1,11 @@
 """Mini repositories with hand-derived results."""
 
+import csv
 import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata.operators import graph, metrics, report, syntax
 from strata.plans import scan as plans
@@ -46,7 +48,9 @@ def tree(root, files):
 def scanned(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("repos")
     sizes = {f"f{n}.py": "x = 1\n" * n for n in (300, 301, 500, 501, 800, 801)}
-    roots = {n: tree(base / n, f) for n, f in (("mini", MINI), ("quirks", QUIRKS), ("sizes", sizes))}
+    many = {f"f{n:02}.py": "x = 1\n" * (400 + n) for n in range(20)}
+    apart = {"a/x.py": "import os\n", "b/y.py": "import a.x\n"}
+    roots = {n: tree(base / n, f) for n, f in (("mini", MINI), ("quirks", QUIRKS), ("sizes", sizes), ("many", many), ("apart", apart), ("empty", {"notes.txt": ""}))}
     roots["gone"] = str(base / "gone")
     return roots, plans.scan(spark, list(roots.values()))
 
@@ -94,6 +98,38 @@ def test_sizes(documents):
     assert d["architecture_score"]["risk_breakdown"]["long_file_penalty"] == 9
     assert d["architecture_score"]["normalized_score"] == 96
     assert d["architectural_risks"]["god_module_candidates"] == []
+    assert d["dependency_stats"]["folder_coupling"] == {".": {"external_dependencies": 0, "depends_on": []}}
+
+
+def test_folders_that_import_nothing(scanned, documents):
+    want = {"a": {"external_dependencies": 0, "depends_on": []}, "b": {"external_dependencies": 1, "depends_on": ["a"]}}
+    assert documents["apart"]["dependency_stats"]["folder_coupling"] == want
+    roots, s = scanned
+    view = s.overview().where(F.col("repo") == roots["apart"])
+    assert "  - b: 1 external folders\n  - a: 0 external folders" in report.summaries(view).first().summary
+    assert "  - `a`: 0 external folders" in report.markdown(view).first().markdown
+
+
+def test_empty_root(scanned, documents):
+    """A valid root without source files has a whole document, scores and texts."""
+    d = documents["empty"]
+    assert (d["valid"], d["source_files"], d["total_files"], d["total_lines"], d["long_files"], d["per_file_stats"], d["max_in_degree_file"]) == (True, 0, 0, 0, [], {}, "")
+    stats = d["dependency_stats"]
+    assert (stats["import_map"], stats["in_degree"], stats["circular_dependencies"], stats["folder_coupling"], stats["cross_folder_dependency_ratio"]) == ({}, {}, [], {}, 0.0)
+    assert (d["structural_class"], d["architecture_score"]["normalized_score"], d["architecture_score"]["raw_score"]) == ("small_project", 100, 0)
+    roots, s = scanned
+    view = s.overview().where(F.col("repo") == roots["empty"])
+    text = report.summaries(view).first().summary
+    assert "Total files: 0" in text and "Signal confidence: 50%" in text and "Top largest files:" not in text
+    assert "- **Long files:** None" in report.markdown(view).first().markdown
+    assert s.scores().where(F.col("repo") == roots["empty"]).first().total_files == 0
+
+
+def test_first_long_files_by_path(scanned):
+    roots, s = scanned
+    view = s.overview().where(F.col("repo") == roots["many"])
+    row = report.audit_rows(view).where("metric = 'Files > 300 lines'").first().value
+    assert row == ", ".join(f"f{n:02}.py ({400 + n})" for n in range(10)) + " … +10 more"
 
 
 def test_quirks(documents):
@@ -112,6 +148,12 @@ def test_invalid_root(scanned, documents):
     roots, _ = scanned
     assert documents["gone"] == {"path": roots["gone"], "valid": False, "error": "Not a directory"}
     assert not os.path.exists(roots["gone"])
+    s = scanned[1]
+    view = s.overview().where(F.col("repo") == roots["gone"])
+    assert report.summaries(view).first().summary == "Invalid scan: Not a directory." and report.markdown(view).count() == 0
+    assert [(r.metric, r.value) for r in report.audit_rows(view).orderBy("place").collect()] == [("Status", "Invalid"), ("Error", "Not a directory")]
+    zero = metrics.zero_scores(s.repos).first()
+    assert (zero.repo, zero.raw_score, zero.architecture_health_percentage, zero.scoring_profile) == (roots["gone"], 0, 0, "v2_default")
 
 
 def test_reports(scanned):
@@ -123,16 +165,99 @@ def test_reports(scanned):
     sizes = {r.repo: r.summary for r in report.summaries(view).collect()}[roots["sizes"]]
     assert "Largest file share of total lines: 25.0%" in sizes and "Signal confidence: 75%" in sizes
     made = report.write_per_repo(report.markdown(view), "markdown", "report.md")
-    assert len(made) == 3 and all(open(p).read().startswith("# Architecture Report") for p in made)
-    assert report.audit_rows(view).where("metric = 'Raw score'").count() == 3
+    assert len(made) == 6 and all(open(p).read().startswith("# Architecture Report") for p in made)
+    assert report.audit_rows(view).where("metric = 'Raw score'").count() == 6
 
 
-def test_benchmark_rows(scanned, spark, tmp_path):
+def test_benchmark_rows(scanned, tmp_path):
     roots, s = scanned
     rows = metrics.benchmark_rows(s.scores())
-    assert {r.repo: r.architecture_health_percentage for r in rows.collect()} == {"mini": 63, "quirks": 69, "sizes": 96}
-    report.write_results(metrics.harness_rows(s.scores()), str(tmp_path / "out"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
+    assert {r.repo: r.architecture_health_percentage for r in rows.collect() if r.repo in ("mini", "quirks", "sizes", "empty")} == {"mini": 63, "quirks": 69, "sizes": 96, "empty": 100}
+    table = {r.repo: r for r in report.benchmark_table(rows.withColumn("error", F.lit(None).cast("string"))).collect()}
+    assert (table["mini"].Files, table["mini"].Cycles, table["mini"].Score) == ("10", "2", "63")
+
+
+def test_results_files(scanned, tmp_path):
+    _, s = scanned
+    some = metrics.harness_rows(s.scores().where(F.col("repo").rlike("mini$|sizes$")))
+    path = str(tmp_path / "made/results.csv")
+    assert report.write_results(some.limit(0), path) == 0 and not os.path.exists(path)
+    assert report.write_results(some, path, append=True) == 2
+    assert report.write_results(some, path, append=True) == 2
+    with open(path, newline="") as f:
+        lines = list(csv.reader(f))
+    assert lines[0] == list(report.CSV_FIELDS) and [x[0] for x in lines[1:]] == ["mini", "sizes"] * 2
+    assert lines[1][1:5] == ["", "10", "11", "63"]
+    report.write_summary(some, str(tmp_path / "made/summary.json"))
+    items = json.load(open(tmp_path / "made/summary.json"))
+    assert [(x["repo"], x["architecture_health_percentage"]) for x in items] == [("mini", 63), ("sizes", 96)] and items[0]["path"].endswith("/mini")
+
+
+def test_stored_documents(spark, scanned):
+    """What is read from stored documents is what the scan has; missing values have substitutes."""
+    roots, s = scanned
+    report.write_per_repo(s.documents(), "document", report.DOCUMENT)
+    again = plans.stored_scan(spark, list(roots.values()))
+    assert {r.repo: r.summary for r in report.summaries(again.overview()).collect() if r.repo != roots["gone"]} == {
+        r.repo: r.summary for r in report.summaries(s.overview()).collect() if r.repo != roots["gone"]
+    }
+    gone = report.summaries(again.overview()).where(F.col("repo") == roots["gone"]).first().summary
+    assert gone == f"Scan data not found at {roots['gone']}/{report.FOLDER}/{report.DOCUMENT}."
+    live = {r.repo: r for r in metrics.harness_rows(s.scores()).collect()}
+    kept = {r.repo: r for r in plans.stored_metrics(spark, list(roots.values())).collect()}
+    assert kept.keys() == live.keys() and all(kept[k][c] == pytest.approx(live[k][c], abs=1e-4) for k in kept for c in kept[k].asDict() if c != "repo")
+
+
+def test_substitutes_in_stored_documents(spark, tmp_path):
+    texts = {
+        "a": '{"source_files": 7, "architecture_score": {"normalized_score": 55}}',
+        "b": '{"valid": false, "error": "Not a directory"}',
+        "c": "{",
+        "d": "{}",
+    }
+    roots = [tree(tmp_path / n, {f"{report.FOLDER}/{report.DOCUMENT}": t}) for n, t in texts.items()]
+    rows = {os.path.basename(r.repo): r for r in plans.stored_metrics(spark, roots).collect()}
+    assert (rows["a"].total_files, rows["a"].architecture_health_percentage, rows["a"].raw_score, rows["a"].long_file_ratio) == (7, 55, 0, None)
+    assert rows.keys() == {"a", "d"} and rows["d"].total_files == 0
+    text = {os.path.basename(r.repo): r.summary for r in report.summaries(plans.stored_scan(spark, roots).overview()).collect()}
+    assert text["b"] == "Invalid scan: Not a directory." and text["c"].startswith("Invalid scan data: ") and "Total files: 7" in text["a"]
+
+
+def test_unreadable_files_are_listed(spark, tmp_path):
+    """A file that cannot be read counts as a source file and has no facts."""
+    rows = [("r", "a.py", b"import b\n", True), ("r", "b.py", None, False)]
+    facts = syntax.file_facts(spark.createDataFrame(rows, pytree.SCHEMA))
+    got = {r.rel_path: (r.lines, r.parse_status) for r in facts.collect()}
+    assert got == {"a.py": (1, "ok"), "b.py": (None, "unreadable")}
+    x = spark.createDataFrame([(4, 5, 9, False, 0.0)], "total_files long, source_files long, total_edges long, only_tests boolean, cross_folder_ratio double")
+    assert x.select(metrics.signal_confidence().alias("a"), metrics.signal_confidence("source_files").alias("b")).first() == (75, 100)
+
+
+def test_commands(spark, tmp_path, capsys):
+    from strata.__main__ import main
+
+    root = tree(tmp_path / "one", {"a.py": "import b\n", "b.py": ""})
+    tree(tmp_path / "two", {"c.py": ""})
+    main(["version"])
+    main(["audit", root, "--markdown-report"])
+    out = capsys.readouterr().out
+    assert "Source files: 2" in out and "Repository: " + root in out and os.path.isfile(f"{root}/{report.FOLDER}/report.md")
+    main(["audit", str(tmp_path / "none")])
+    assert "Error: Not a directory" in capsys.readouterr().out
+    main(["summary", root])
+    assert "Total files: 2" in capsys.readouterr().out
+    main(["benchmark", root, str(tmp_path / "none"), "--json"])
+    assert [x["total_files"] for x in json.loads(capsys.readouterr().out)] == [None, 2]
+    main(["benchmark", root])
+    assert "CrossFolder%" in capsys.readouterr().out
+    (tmp_path / "urls").write_text("# list\nhttps://host/x/one.git\n\nhttps://host/x/nine\n")
+    args = ["harness", str(tmp_path), "two", "--url-file", str(tmp_path / "urls"), "--results", str(tmp_path / "r.csv"), "--summary", str(tmp_path / "s.json")]
+    main(args)
+    main([*args, "--append"])
+    lines = (tmp_path / "r.csv").read_text().splitlines()
+    assert [x.split(",")[:3] for x in lines[1:]] == [["one", "https://host/x/one.git", "2"], ["two", "", "1"]] * 2
+    main(["harness", str(tmp_path), "nothing", "--results", str(tmp_path / "none.csv")])
+    assert "No results" in capsys.readouterr().out
 
 
 def test_listing(spark, tmp_path):
@@ -162,6 +287,8 @@ def test_syntax():
         ('{"scoring": {"scoring_profile": "x"}}', "custom", "x", 20),
         ('{"scoring": {"structural_class_health_floor": {"small_project": 0}}}', "custom", "custom", 20),
         ('{"scoring": {"structural_class_health_floor": {"small_project": 99}}}', "custom", "custom", 99),
+        ('{"scoring": {"structural_class_health_floor": {"small_project": "31"}, "scoring_profile": ""}}', "custom", "custom", 31),
+        ('{"scoring": []}', "default", "v2_default", 20),
     ],
 )
 def test_config(spark, tmp_path, text, mode, profile, floor):
@@ -170,12 +297,21 @@ def test_config(spark, tmp_path, text, mode, profile, floor):
     facts = metrics.with_config(spark.createDataFrame([(root,)], "repo string"), config).first()
     assert (facts.scoring_mode, facts.scoring_profile) == (mode, profile)
     x = metrics.with_config(spark.createDataFrame([(root, "small_project")], "repo string, kind string"), config)
-    from pyspark.sql import functions as F
-
     got = x.select(metrics.per_class(F.col("kind"), F.col("scoring")["structural_class_health_floor"], metrics.CLASS_FLOOR, 15).alias("f")).first().f
     assert got == floor
 
 
+def test_numbers_in_settings(spark):
+    text = """{"layer_order": ["a", "b"], "scoring": {"long_file_threshold_low": "400", "long_file_threshold_high": 7.9, "long_file_penalty_low": -2.5, "long_file_penalty_high": true,
+        "cycle_penalty_2_node": " 1_0 ", "centralization_penalty": "x", "cross_folder_threshold_low": "0.25", "cross_folder_threshold_high": 1, "cross_folder_penalty_low": "7.9"}}"""
+    x = spark.createDataFrame([("r", text)], "repo string, text string").select("repo", metrics.settings(F.col("text")).alias("c")).select("repo", "c.*")
+    got = metrics.with_config(spark.createDataFrame([("r",)], "repo string"), x).first()
+    assert got.layer_order == ["a", "b"]
+    want = {"long_file_threshold_low": 400, "long_file_threshold_high": 7, "long_file_penalty_low": -2, "long_file_penalty_high": 1, "cycle_penalty_2_node": 10, "centralization_penalty": 10,
+            "cross_folder_threshold_low": 0.25, "cross_folder_threshold_high": 1.0, "cross_folder_penalty_low": 10, "cross_folder_penalty_high": 20, "centralization_threshold_ratio": 0.05}
+    assert {k: got[k] for k in want} == want
+
+
 def test_large_components_agree(spark):
     import random
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import written
+from strata.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,19 +28,24 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
             step = written(parent.join(up, "parent").select("node", "parent", "up"), "cc-parents")
+            discard(parent)
             parent = step.select("node", F.col("up").alias("parent"))
             if step.where("up <> parent").isEmpty():
                 break
         if label is None:
-            label = parent.select("node", F.col("parent").alias("component"))
+            after = written(parent.select("node", F.col("parent").alias("component")), "cc-labels")
         else:
             p = parent.select(F.col("node").alias("component"), "parent")
-            label = label.join(p, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        label = written(label, "cc-labels")
+            after = written(label.join(p, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "cc-labels")
+            discard(label)
+        label = after
         x = left.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a")
         x = x.join(parent.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b").where("pa <> pb")
-        left = written(x.select(*ends("pa", "pb")).distinct(), "cc-edges")
+        rest = written(x.select(*ends("pa", "pb")).distinct(), "cc-edges")
+        discard(left, parent)
+        left = rest
         if left.isEmpty():
+            discard(left)
             return label
 
 
@@ -98,6 +103,3 @@ def forest(n: int, pairs: Iterator[tuple[int, int]] | list[tuple[int, int]]) ->
             up[y] = x
             kept.append((a, b))
     return kept
-
-
-Compare = Callable[[pa.Table], Iterator[pa.RecordBatch]]

@@ -1,21 +1,24 @@
-"""N-gram Jaccard join by MinHash banding with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 1. Texts with the same word sequence form a class and are compared once, through a representative.
-2. Each class gets a signature for every tree: ``DEPTH`` MinHash values, of which a prefix is hashed.
-   The prefix is the longest by which a pair at the threshold meets in some tree with the target
-   recall; that follows from the constants (5 of 6 here), so that this is banding, 20 bands of 5 rows,
-   and no sorted trie. A prefix with two classes or more is a bucket.
-3. In a bucket, classes whose signatures agree enough (several standard deviations below the
-   threshold) are joined; the connected groups hold all candidate pairs.
-4. Within a group every pair is verified on the full shingle sets, exactly, in blocks. Only counts
+2. Each class has a path of ``DEPTH`` MinHash values in each of ``TREES`` trees. A tree's paths are sorted, which
+   makes it a prefix trie: neighbours share the longest prefixes. Only prefixes that two classes or more share matter,
+   down to the depth at which a pair at the threshold meets in some tree with the target recall (5 of 8).
+3. The longest prefixes come first: neighbours in the sorted order whose signatures agree enough
+   (several standard deviations below the threshold) are joined, in time linear in the trie.
+4. Prefixes are shortened only where that leaves something to find: at the depth of the target recall, a prefix whose
+   classes are in one group already is done, however many they are. In any other the classes beyond its largest
+   group are compared to each other and to that group, in blocks, so that every pair is met or known to be in one group.
+5. Within a group every pair is verified on the full shingle sets, exactly, in blocks. Only counts
    per class and a spanning forest leave a block, so that a group of n similar texts makes no n * n rows.
-5. Verified links make the near-duplicate classes.
+6. Verified links make the near-duplicate classes.
 
-Buckets and groups of any size are cut into blocks of bounded rows and bytes. Null and empty texts have
-no shingle, no link and a class of their own; a text of one to four words is its own single shingle;
-ties go to the smaller doc_id; rows that repeat are copies of one class; extra columns are ignored.
+Prefixes and groups of any size are cut into blocks of bounded rows and bytes. Null and empty texts have
+no shingle, no link and a class of their own; a text of one to four words is its own single shingle; very long texts
+are shingled whole; ties go to the smaller doc_id (null last); rows that repeat are copies of one class; extra columns are ignored,
+whatever their names; an empty table gives no rows.
 Shingles, words and texts are told apart by 64-bit hashes.
 """
 
@@ -24,18 +27,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import byte_slices, schema_with, table, written
+from strata.llm.common import all_columns, byte_slices, discard, schema_with, table, written
 from strata.llm.graph import block_pairs, components, forest, runs
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
-TREES, DEPTH, RECALL = 20, 6, 0.9995
+TREES, DEPTH, RECALL = 20, 8, 0.9995
 BATCH_BYTES = 2 << 20
-BUCKET_BLOCK, GROUP_BLOCK, GROUP_BYTES = 256, 100, 2 << 20
+BUCKET_BLOCK, LARGEST_BLOCK, GROUP_BLOCK, GROUP_BYTES = 256, 4096, 100, 2 << 20
 DEVIATIONS = 4.0
 
 
@@ -55,7 +58,7 @@ def least_agreement(n: int, threshold: float = NUMERATOR / DENOMINATOR) -> int:
 
 
 def signatures(df: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, cid (id of the word sequence), n_shingles, sig (a byte for each position), keys (a prefix's hash for each tree)."""
+    """doc_id, cid (id of the word sequence), n_shingles, sig (a byte for each place of each path), keys (for each tree the hash of the shortest prefix)."""
     used = prefix_depth(trees, depth)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,21 +98,66 @@ def signatures(df: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFra
     return df.select("doc_id", "text").mapInArrow(sign, "doc_id long, cid long, n_shingles int, sig binary, keys array<long>")
 
 
-def bucket_edges(members: DataFrame, positions: int = TREES * DEPTH) -> DataFrame:
-    """Edges (a, b) that span what agrees within each bucket; members: key, n (the bucket's rows), cid, sig."""
+def signature_rows(column, positions: int):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, positions)
+
+
+def neighbour_edges(members: DataFrame, positions: int = TREES * DEPTH) -> DataFrame:
+    """Edges (a, b) between neighbours in the sorted tries that agree; members: key, tail (the path beyond it), cid, sig."""
     least = least_agreement(positions)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for t in runs(batches, ["key", "i", "j"]):
-            cid, side, i = t["cid"].to_numpy(), t["side"].to_numpy(), t["i"][0].as_py()
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(cid), positions)
-            a = np.flatnonzero(side == i)
-            b = a if t["j"][0].as_py() == i else np.flatnonzero(side != i)
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch] if held is None else [held, batch])
+            held = batch.slice(batch.num_rows - 1)
+            key, cid, sig = t["key"].to_numpy(), t["cid"].to_numpy(), signature_rows(t["sig"], positions)
+            x = np.flatnonzero(key[1:] == key[:-1])
+            x = x[(sig[x] == sig[x + 1]).sum(axis=1) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(cid[x]), pa.array(cid[x + 1])], names=["a", "b"])
+
+    order = ["key", "tail", "cid"]
+    return members.select(*order, "sig").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long").distinct()
+
+
+def open_prefixes(members: DataFrame) -> DataFrame:
+    """Prefixes that hold classes of two groups or more: key, largest (group), and the blocks of that and of the rest; members: key, group."""
+    sizes = members.groupBy("key", "group").agg(F.count("*").alias("n"))
+    facts = sizes.groupBy("key").agg(F.max(F.struct("n", "group")).alias("top"), F.sum("n").alias("n"))
+    rest = F.col("n") - F.col("top.n")
+    return facts.where(rest > 0).select(
+        "key", F.col("top.group").alias("largest"), F.ceil(F.col("top.n") / LARGEST_BLOCK).cast("int").alias("n_largest"), F.ceil(rest / BUCKET_BLOCK).cast("int").alias("n_rest")
+    )
+
+
+def prefix_edges(members: DataFrame, positions: int = TREES * DEPTH) -> DataFrame:
+    """Edges (a, b) that span what agrees across groups within each open prefix; members: as made by :func:`open_prefixes`, with cid, group and sig.
+
+    The rest's blocks meet each other and those of the largest group, which do not meet each other.
+    """
+    least = least_agreement(positions)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for t in runs(batches, ["key", "kind", "i", "j"]):
+            cid, block, big, group = (t[c].to_numpy() for c in ("cid", "block", "big", "group"))
+            sig, i, j = signature_rows(t["sig"], positions), t["i"][0].as_py(), t["j"][0].as_py()
+            if t["kind"][0].as_py():
+                a, b = np.flatnonzero(big == 0), np.flatnonzero(big)
+            else:
+                a = np.flatnonzero(block == i)
+                b = a if i == j else np.flatnonzero(block != i)
             found: list[tuple[int, int]] = []
             for x in a:
                 to = b[b > x] if b is a else b
+                to = to[group[to] != group[x]]
                 if len(to):
                     found += [(int(x), int(y)) for y in to[(sig[to] == sig[x]).sum(axis=1) >= least]]
             kept = forest(len(cid), found)
@@ -117,12 +165,42 @@ def bucket_edges(members: DataFrame, positions: int = TREES * DEPTH) -> DataFram
                 k = np.array(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(cid[k[:, 0]]), pa.array(cid[k[:, 1]])], names=["a", "b"])
 
-    blocks = F.ceil(F.col("n") / BUCKET_BLOCK)
-    return block_pairs(members, "key", "cid", blocks).mapInArrow(compare, "a long, b long").distinct()
+    big = F.col("group") == F.col("largest")
+    x = members.withColumn("big", big.cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.when(big, F.col("n_largest")).otherwise(F.col("n_rest"))).cast("int"))
+    meet = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_rest = F.concat(
+        F.transform(upto("n_rest"), lambda o: meet(0, F.least("block", o), F.greatest("block", o))), F.transform(upto("n_largest"), lambda o: meet(1, o, F.col("block")))
+    )
+    of_largest = F.transform(upto("n_rest"), lambda o: meet(1, F.col("block"), o))
+    x = x.select("key", "cid", "sig", "group", "big", "block", F.inline(F.when(F.col("big") == 1, of_largest).otherwise(of_rest)))
+    place = ["key", "kind", "i", "j"]
+    return x.repartition(*place).sortWithinPartitions(*place, "cid").mapInArrow(compare, "a long, b long").distinct()
+
+
+def candidate_groups(classes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(node, component) of all classes that share a group with another one; classes: cid, keys, sig."""
+    keys = classes.select("cid", "sig", F.posexplode("keys").alias("tree", "key"))
+    beyond = prefix_depth(depth=depth)
+    tail = F.expr(f"substring(sig, tree * {depth} + {beyond + 1}, {depth - beyond})")
+    keys = keys.select("key", tail.alias("tail"), "cid")
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-prefixes")
+    members = written(keys.join(shared, "key"), "near-members")
+    sigs = classes.select("cid", "sig")
+    first = written(neighbour_edges(members.join(sigs, "cid")), "near-neighbours")
+    groups = components(first)
+    g = groups.select(F.col("node").alias("cid"), F.col("component").alias("group"))
+    grouped = written(members.drop("tail").join(g, "cid", "left").withColumn("group", F.coalesce("group", "cid")), "near-members")
+    still = written(open_prefixes(grouped), "near-open")
+    more = prefix_edges(grouped.join(still, "key").join(sigs, "cid"))
+    # edges between groups, through their smallest members, join what the neighbours have joined
+    found = components(written(first.unionByName(more), "near-edges"))
+    discard(shared, members, first, grouped, still)
+    return found
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """Replace ``text`` by ``grams``, its sorted distinct shingles as packed 64-bit hashes; rows whose text is not the class's go."""
+    """Replace ``text`` by ``grams``, its sorted distinct shingles as packed 64-bit hashes."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -132,13 +210,12 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in byte_slices(whole, "text", BATCH_BYTES):
                 words, counts = v.word_hashes(batch.column("text"))
-                own = v.text_ids(words, counts) == batch.column("cid").to_numpy()
                 grams, many = v.shingles(words, counts, WORDS)
                 ends = np.cumsum(many)
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 del columns["text"]
                 columns["grams"] = pa.array([np.unique(grams[e - n : e]).tobytes() for e, n in zip(ends, many, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return rows.mapInArrow(pack, schema_with(rows.drop("text"), grams=T.BinaryType()))
 
@@ -210,12 +287,32 @@ def verified(rows: DataFrame) -> DataFrame:
     return block_pairs(rows, "component", "cid", F.col("blocks")).mapInArrow(compare, "cid long, links long, other long")
 
 
+def known_id(c: Column) -> list[Column]:
+    """An id as two columns that are never null, so that equality joins it."""
+    return [F.coalesce(c, F.lit(0)).alias("id"), c.isNull().alias("no_id")]
+
+
+def keyed_rows(df: DataFrame) -> DataFrame:
+    """row (all columns of ``df``), its doc_id as id and no_id, and cid, as in :func:`near_duplicates`."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from strata.llm import textvec as v
+
+        for whole in batches:
+            for batch in byte_slices(whole, whole.column("row").field("text"), BATCH_BYTES):
+                cid = pa.array(v.text_ids(*v.word_hashes(batch.column("row").field("text"))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, cid], names=[*batch.schema.names, "cid"])
+
+    rows = df.select(F.struct(*all_columns(df)).alias("row"), *known_id(df["doc_id"].cast("long")))
+    return rows.mapInArrow(add, schema_with(rows, cid=T.LongType()))
+
+
 def near_duplicates(df: DataFrame) -> DataFrame:
-    """One row per row of ``df``: doc_id, class_id, n_links, copy_of, n_copies, cid.
+    """One row per row of ``df``: doc_id, class_id, n_links, copy_of, n_copies, cid, class_cid.
 
     class_id: the smallest doc_id of all that links connect to the document; n_links: other documents
     that its text is linked to, exact copies included; copy_of: the smallest doc_id with the same word
-    sequence; n_copies: documents with it; cid: the id of the word sequence.
+    sequence; n_copies: documents with it; cid: the id of the word sequence; class_cid: that of the class's first document.
     """
     docs = df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"])
     signed = written(signatures(docs), "near-signed")
@@ -224,48 +321,49 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     classes = some.groupBy("cid").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), first).select("cid", "copy_of", "copies", "s.*")
     classes = written(classes, "near-classes")
 
-    keys = classes.select("cid", F.explode("keys").alias("key"))
-    buckets = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
-    members = written(keys.join(buckets, "key"), "near-members")
-    edges = bucket_edges(members.join(classes.select("cid", "sig"), "cid"))
-    groups = components(edges)
+    groups = candidate_groups(classes)
 
     grouped = written(groups.join(classes.select(F.col("cid").alias("node"), "copy_of", "copies", "n_shingles"), "node").withColumnRenamed("node", "cid"), "near-groups")
     blocks = F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n_shingles") * 8 / GROUP_BYTES)).alias("blocks")
     sizes = written(grouped.groupBy("component").agg(blocks), "near-sizes")
-    wanted = written(grouped.join(sizes, "component").drop("n_shingles"), "near-wanted").alias("w")
-    # by sort and merge at every size: which texts are wanted grows with the documents
-    rows = docs.alias("d").join(wanted.hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.copy_of"))).select("w.component", "w.blocks", "w.cid", "w.copies", "d.text")
+    wanted = written(grouped.join(sizes, "component").drop("n_shingles").select("component", "blocks", "cid", "copies", *known_id(F.col("copy_of"))), "near-wanted")
+    # by sort and merge at every size: which texts are wanted grows with the documents. Rows that repeat the wanted one go
+    keys = ["id", "no_id", "cid"]
+    rows = keyed_rows(docs).join(wanted.hint("merge"), keys).dropDuplicates(keys).select("component", "blocks", "cid", "copies", "row.text")
     found = written(verified(shingle_sets(rows)), "near-verified")
 
     links = found.where("links IS NOT NULL").groupBy("cid").agg(F.sum("links").alias("links"))
     final = components(found.where("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cid")
     x = written(classes.select("cid", "copy_of", "copies").join(links, "cid", "left").join(final, "cid", "left"), "near-links")
-    heads = written(x.where("component IS NOT NULL").groupBy("component").agg(F.min("copy_of").alias("head")), "near-heads")
+    first = F.min(F.struct(F.col("copy_of").isNull(), F.col("copy_of").alias("head"), F.col("cid").alias("head_cid"))).alias("h")
+    heads = written(x.where("component IS NOT NULL").groupBy("component").agg(first).select("component", "h.head", "h.head_cid"), "near-heads")
     x = x.join(heads, "component", "left")
+    alone = F.col("head_cid").isNull()
     verdicts = x.select(
-        "cid", "copy_of", F.col("copies").alias("n_copies"), F.coalesce("head", "copy_of").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
+        "cid", "copy_of", F.col("copies").alias("n_copies"), F.when(alone, F.col("copy_of")).otherwise(F.col("head")).alias("class_id"),
+        F.coalesce("head_cid", "cid").alias("class_cid"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
     verdicts = written(verdicts, "near-verdicts")
+    discard(classes, groups, grouped, sizes, wanted, found, x, heads)
     s, v = signed.where("n_shingles > 0").select("doc_id", "cid").alias("s"), verdicts.alias("v")
-    with_text = s.join(v, F.col("s.cid") == F.col("v.cid")).select("s.doc_id", "v.class_id", "v.n_links", "v.copy_of", "v.n_copies", "s.cid")
-    none = signed.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), "cid")
+    with_text = s.join(v, F.col("s.cid") == F.col("v.cid")).select("s.doc_id", "v.class_id", "v.n_links", "v.copy_of", "v.n_copies", "s.cid", "v.class_cid")
+    zero, own = F.lit(0).cast("long"), F.col("doc_id")
+    none = signed.where("n_shingles = 0").select("doc_id", own.alias("class_id"), zero.alias("n_links"), own.alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), "cid", F.col("cid").alias("class_cid"))
     return with_text.unionByName(none)
 
 
-def with_text_ids(df: DataFrame) -> DataFrame:
-    """Add ``__cid``, the id of each text's word sequence, as in :func:`near_duplicates`."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from strata.llm import textvec as v
-
-        for whole in batches:
-            for batch in byte_slices(whole, "text", BATCH_BYTES):
-                cid = pa.array(v.text_ids(*v.word_hashes(batch.column("text"))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, cid], names=[*batch.schema.names, "__cid"])
+def class_heads(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` that are kept of each class of near duplicates: the one with the smallest doc_id (null last), once if rows repeat it.
 
-    return df.mapInArrow(add, schema_with(df, __cid=T.LongType()))
+    The texts are shuffled once, with all columns in one struct, so that no name can clash.
+    """
+    classes = near_duplicates(df)
+    head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("cid") == F.col("class_cid"))
+    heads = written(classes.where(head).select(*known_id(F.col("doc_id")), "cid").distinct(), "near-kept")
+    keys = ["id", "no_id", "cid"]
+    # one exchange by these keys serves the join and the removal of repeats
+    return keyed_rows(df).join(heads.hint("merge"), keys, "left_semi").dropDuplicates(keys).select("row.*")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("cid")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("cid", "class_cid")

@@ -7,7 +7,8 @@ most 2 * min / (own + template's), a unit's length alone rules most templates ou
 built only for units that some template's size admits. Map-only: no shuffle, no Python.
 
 The templates are a fixed list; their paragraphs count as templates too. A null or empty text has
-no match. Ties of the best score go to the smaller licence id. Repeated rows come out row by row.
+no match; an empty table gives no rows. Ties of the best score go to the smaller licence id. Repeated rows come out row by row. Very long texts
+are scanned whole, unit by unit. Other columns go along untouched, whatever they are called, but for ``license_hits``, which it makes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import table
+from strata.llm.common import all_columns, table
 
 THRESHOLD = 0.8
 
@@ -105,15 +106,15 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: tuple[tuple[str,
     low, high = min(len(g) for _, g in rows), max(len(g) for _, g in rows)
     ratio = threshold / (2 - threshold)
     body = F.regexp_replace(F.lower(F.coalesce(df[text], F.lit(""))), F.lit(NOT_WORD), F.lit(" "))
-    kept = [df[c] for c in df.columns if c != "license_hits"]
-    x = df.select(*kept, body.alias("__body"))
+    kept = [(name, c) for name, c in zip(df.columns, all_columns(df), strict=True) if name != "license_hits"]
+    x = df.select(F.struct(*(c for _, c in kept)).alias("__row"), body.alias("__body"))  # one column, so that no name can clash
     words = lambda unit: F.filter(F.split(unit, "[ \n]+"), lambda w: w != "")
     body = F.col("__body")
     paragraphs = F.when(body.rlike(r"\n *\n"), F.split(body, r"\n *(?:\n *)+")).otherwise(F.array().cast("array<string>"))
     units = F.concat(F.split(body, "\n"), paragraphs, F.when(body.contains("\n"), F.array(body)).otherwise(F.array().cast("array<string>")))
     # the number of spaces bounds the number of words before any is cut out
     admitted = F.filter(F.transform(units, words), lambda w: (F.size(w) - 1 >= low * ratio) & (F.size(w) - 1 <= high / ratio))
-    x = x.select(*(c for c in x.columns if c != "__body"), admitted.alias("__units"))
+    x = x.select("__row", admitted.alias("__units"))
 
     def hits(w: Column) -> Column:
         n = F.size(w) - 1
@@ -128,7 +129,7 @@ def scan_licenses(df: DataFrame, text: str = "text", templates: tuple[tuple[str,
 
     empty = F.array().cast("array<struct<license:string,dice:double,n_words:int>>")
     found = F.flatten(F.transform("__units", lambda w: F.coalesce(hits(w), empty)))
-    return x.select(*(c for c in x.columns if c != "__units"), found.alias("license_hits"))
+    return x.select(*(F.col("__row").getField(name).alias(name) for name, _ in kept), found.alias("license_hits"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ counts for each rule of a policy what it rejects, alone or not, from the masks a
 
 Built-in expressions only, row by row and without a shuffle. A null text counts as empty (0 words,
 which fails ``few_words``). Ties and repeated rows come out row by row. Columns of the input named
-as the ledger's are replaced by them. A window's words are told apart by a 64-bit hash of the three.
+as the ledger's are replaced by them (callers that need theirs put them into a struct). An empty table gives no rows; very long texts are measured whole. A window's words are told apart by a 64-bit hash of the three.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACE, WORD, table
+from strata.llm.common import SPACE, WORD, all_columns, table
 
 #: Rule names in the order of their bits.
 RULES = ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length")
@@ -53,11 +53,11 @@ def repeated_words(words: Column, windows: Column, in_order: Column) -> Column:
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without its text column but with the measurements (long) and ``failed`` (int, a bit for each rule)."""
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "failed"]
-    inner = ("__text", "__words", "__lines", "__windows", "__in_order")
-    rest = [df[c] for c in df.columns if c not in (*made, *inner, text)]
+    rest = [(name, c) for name, c in zip(df.columns, all_columns(df), strict=True) if name not in (*made, text)]
     hidden = F.coalesce(df[text], F.lit(""))
-    x = df.select(*rest, hidden.alias("__text"), F.regexp_extract_all(hidden, F.lit(WORD), F.lit(0)).alias("__words"))
-    keep = [c for c in x.columns if c not in inner]
+    row = F.struct(*(c for _, c in rest), F.lit(None).cast("int").alias("__none"))  # one column, so that no name can clash
+    x = df.select(row.alias("__row"), hidden.alias("__text"), F.regexp_extract_all(hidden, F.lit(WORD), F.lit(0)).alias("__words"))
+    keep = ["__row"]
     words, body = F.col("__words"), F.col("__text")
     windows = F.when(
         F.size(words) >= 3,
@@ -94,7 +94,8 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
         failed = failed.bitwiseOR(F.when(fails[rule], 1 << i).otherwise(0))
     # a filter on the mask must not be pushed below it, where the measurements would be spelled out again in every
     # condition and every lambda; the optimizer pushes nothing through an expression that it takes for indeterminate
-    return x.withColumn("failed", F.when(F.monotonically_increasing_id() >= 0, failed))
+    x = x.withColumn("failed", F.when(F.monotonically_increasing_id() >= 0, failed))
+    return x.select(*(F.col("__row").getField(name).alias(name) for name, _ in rest), *made)
 
 
 def mask(policy: str) -> int:

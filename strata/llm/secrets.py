@@ -5,17 +5,20 @@ Confirmed kinds are reported only after the candidate was decoded and parsed:
 
 * ``jwt``: a signed token, whose first segment decodes to a JSON object with a string ``alg``,
   whose second decodes to a JSON object, and whose third decodes to bytes (none for ``alg`` none);
-* ``pem``: an armoured private key block whose body decodes to a key encoding;
-* ``der``: base64 or hexadecimal text that decodes to a private key in DER (PKCS#1, PKCS#8, SEC1 or
-  DSA), with every nested length inside its parent and none left over;
+* ``pem``: an armoured private key block whose body decodes to a key encoding; an encrypted one to an algorithm and
+  encrypted bytes in DER, or, with Proc-Type and DEK-Info headers, to whole blocks of the cipher. Line ends may be
+  written as escapes, as in JSON;
+* ``der``: base64 (either alphabet) or hexadecimal text that decodes to a private key in DER (PKCS#1, PKCS#8 with the key of its
+  algorithm inside, SEC1 or DSA), with every nested length inside its parent and none left over;
 * ``sshkey``: base64 or hexadecimal text that decodes to an OpenSSH private key, whose
-  length-prefixed fields are in bounds.
+  length-prefixed fields fill their parents, the public keys' and, where it is not encrypted, the private part's included.
 
 Base64 may be wrapped into lines; a key then ends with the line in which its stated length is reached,
 and what follows on the next line is text, or a key of its own.
 
 A text that is null counts as empty: no spans. Texts are scanned whole; offsets are code points,
-ends exclusive. Equal rows give equal results row by row; extra columns are not read by the scan.
+ends exclusive. Very long texts are scanned whole; an empty table gives no rows. Spans that begin at one place go by kind. Equal rows give equal results row by row; extra columns are not read by the scan,
+whatever their names, but for ``secret_spans``, which it makes.
 """
 
 from __future__ import annotations
@@ -43,10 +46,14 @@ BATCH_BYTES = 4 << 20
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+#: A brace and what may follow it in JSON: a quote or white space.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]+)\.(e[wy][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\\-]*?)-----END \1-----")
+PEM_HEADER = re.compile(r"(?m)^[A-Za-z-]+:.*$")
+DEK_INFO = re.compile(r"(?m)^DEK-Info: *[A-Z0-9-]+,[0-9A-Fa-f]{16,}\s*$")
 #: DER sequences begin with 0x30, in base64 "M"; OpenSSH keys begin with their magic bytes.
 B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]|b3BlbnNzaC1rZXktdjE)(?:[A-Za-z0-9+/]|\r?\n(?=[A-Za-z0-9+/])){38,}={0,2}")
+B64URL = re.compile(r"(?<![A-Za-z0-9_-])M[A-Za-z0-9][A-Za-z0-9_-]{38,}(?![A-Za-z0-9_-])")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6f70656e7373682d6b65792d7631)[0-9A-Fa-f]{78,}", re.IGNORECASE)
 B64_LINE = re.compile(r"[A-Za-z0-9+/]+")
 SSH_MAGIC, SSH_BEGIN = b"openssh-key-v1\0", "b3BlbnNzaC1rZXktdjE"
@@ -54,7 +61,7 @@ SSH_MAGIC, SSH_BEGIN = b"openssh-key-v1\0", "b3BlbnNzaC1rZXktdjE"
 #: Cheap necessary conditions, so that texts without a candidate skip the patterns.
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 IN_HEX = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
-IN_B64 = bytes(104 if i in b"+/\r\n" or i < 128 and chr(i).isalnum() else 32 for i in range(256))
+IN_B64 = bytes(104 if i in b"+/-_\r\n" or i < 128 and chr(i).isalnum() else 32 for i in range(256))
 
 Span = tuple[int, int, str, int]
 
@@ -86,23 +93,50 @@ def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return items
 
 
-def is_der_key(data: bytes) -> bool:
-    """A private key: an outer sequence that fills the bytes and holds the fields of a known encoding."""
+#: Algorithms of PKCS#8 and the size of the key in an octet string, 0 for those with a structure of their own; fixed values.
+ALGORITHMS = {"2a864886f70d010101": 0, "2a8648ce3d0201": 0, "2a8648ce380401": 0, "2b6570": 32, "2b6571": 57, "2b656e": 32, "2b656f": 56}
+
+
+def der_fields(data: bytes) -> list[tuple[int, bytes]] | None:
+    """Tag and bytes of each field of a sequence that fills the data."""
     outer = der_items(data, 0, len(data))
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
-        return False
+        return None
     parts = der_items(data, outer[0][1], outer[0][2])
+    return [(tag, data[a:b]) for tag, a, b in parts] if parts else None
+
+
+def is_inner_key(algorithm: str, data: bytes) -> bool:
+    """The key inside PKCS#8, as its algorithm has it; of an unknown one any element that fills the bytes."""
+    items = der_items(data, 0, len(data))
+    if not items or len(items) != 1:
+        return False
+    if size := ALGORITHMS.get(algorithm):
+        return items[0][0] == 0x04 and items[0][2] - items[0][1] == size
+    return is_der_key(data) if algorithm in ("2a864886f70d010101", "2a8648ce3d0201") else items[0][0] == 0x02 if algorithm in ALGORITHMS else True
+
+
+def is_der_key(data: bytes) -> bool:
+    """A private key: an outer sequence that fills the bytes and holds the fields of a known encoding."""
+    parts = der_fields(data)
     if not parts or len(parts) < 2 or parts[0][0] != 0x02:
         return False
-    version, tags = int.from_bytes(data[parts[0][1] : parts[0][2]], "big"), [p[0] for p in parts]
-    if tags[1:] == [0x02] * 8 and version == 0:  # RSA
-        return True
-    if tags[1:] == [0x02] * 5 and version == 0:  # DSA
+    version, tags = int.from_bytes(parts[0][1], "big"), [tag for tag, _ in parts]
+    if tags[1:] in ([0x02] * 8, [0x02] * 5) and version == 0:  # RSA, DSA
         return True
     if version in (0, 1) and tags[1:3] == [0x30, 0x04]:  # PKCS#8
-        inner = der_items(data, *parts[1][1:])
-        return bool(inner) and inner[0][0] == 0x06
-    return version == 1 and tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])  # SEC1
+        inner = der_items(parts[1][1], 0, len(parts[1][1]))
+        return bool(inner) and inner[0][0] == 0x06 and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:]) and is_inner_key(parts[1][1][inner[0][1] : inner[0][2]].hex(), parts[2][1])
+    return version == 1 and tags[1] == 0x04 and len(parts[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])  # SEC1
+
+
+def is_encrypted_key(data: bytes) -> bool:
+    """An algorithm and encrypted bytes: two fields, the first of which begins with the algorithm's identifier."""
+    parts = der_fields(data)
+    if not parts or [tag for tag, _ in parts] != [0x30, 0x04]:
+        return False
+    inner = der_items(parts[0][1], 0, len(parts[0][1]))
+    return bool(inner) and inner[0][0] == 0x06 and len(parts[1][1]) >= 16 and len(parts[1][1]) % 8 == 0
 
 
 def der_size(data: bytes) -> int | None:
@@ -113,16 +147,39 @@ def der_size(data: bytes) -> int | None:
     return 2 + width + int.from_bytes(data[2 : 2 + width], "big") if 1 <= width <= 4 and len(data) >= 2 + width else None
 
 
+def ssh_fields(data: bytes) -> list[bytes] | None:
+    """Length-prefixed fields that fill the data."""
+    out, at = [], 0
+    while at < len(data):
+        if at + 4 > len(data) or at + 4 + (n := int.from_bytes(data[at : at + 4], "big")) > len(data):
+            return None
+        out.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+def is_ssh_private(data: bytes, kinds: list[bytes]) -> bool:
+    """The private part of keys that are not encrypted: a number twice, the keys' fields and the padding 1, 2, 3, ..."""
+    if len(data) % 8 or data[:4] != data[4:8]:
+        return False
+    for pad in range(16):  # the cipher's block at most
+        if data.endswith(bytes(range(1, pad + 1))):
+            fields = ssh_fields(data[8 : len(data) - pad])
+            if fields and fields[0] == kinds[0] and all(k in fields for k in kinds):
+                return True
+    return False
+
+
 def ssh_size(data: bytes) -> int | None:
-    """The bytes of the OpenSSH private key that begins the data: all of them if its private part does not fit, None if it is no key."""
+    """The bytes of the whole OpenSSH private key that begins the data; None if it is no such key."""
     if not data.startswith(SSH_MAGIC):
         return None
-    at, number = len(SSH_MAGIC), 1
+    at, number, fields = len(SSH_MAGIC), 1, []
     for part in range(6 + 64):  # cipher, kdf, kdf options, number of keys, public keys, private part
         if part > 4 + number:
             break
         if at + 4 > len(data):
-            return None if part < 5 else len(data)
+            return None
         n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
         if part == 3:
             if not 1 <= n <= 64:
@@ -130,13 +187,18 @@ def ssh_size(data: bytes) -> int | None:
             number = n
             continue
         if at + n > len(data):
-            return None if part < 5 else len(data)
+            return None
+        fields.append(data[at : at + n])
         at += n
-    return at
+    public = [ssh_fields(f) for f in fields[3:-1]]
+    if not all(p and len(p) > 1 and p[0].isascii() for p in public):
+        return None
+    whole = is_ssh_private(fields[-1], [p[0] for p in public]) if fields[0] == b"none" else len(fields[-1]) >= 16 and len(fields[-1]) % 8 == 0
+    return at if whole else None
 
 
 def is_ssh_key(data: bytes) -> bool:
-    return ssh_size(data) is not None
+    return ssh_size(data) == len(data)
 
 
 def base64_keys(text: str, begin: int, end: int) -> Iterator[tuple[str, int, int]]:
@@ -181,20 +243,28 @@ def is_jwt(m: re.Match) -> bool:
     return len(signature) >= 16 or head["alg"].lower() == "none"
 
 
+def is_pem_key(label: str, body: str) -> bool:
+    """Whether an armoured block holds a key of some encoding, encrypted or not."""
+    body = re.sub(r"\\+[nr]", "\n", body)
+    data = unbase64(PEM_HEADER.sub("", body)) or b""
+    if "Proc-Type:" in body:
+        return "ENCRYPTED" in body and bool(DEK_INFO.search(body)) and len(data) >= 16 and len(data) % 8 == 0
+    return is_encrypted_key(data) if label.startswith("ENCRYPTED") else is_der_key(data) or is_ssh_key(data)
+
+
 def confirmed(text: str, long_runs: bool = True) -> Iterator[tuple[str, int, int]]:
     """Spans of the confirmed kinds; ``long_runs``: whether 40 characters of base64 follow one another anywhere."""
-    if "eyJ" in text:
+    if "." in text and ("ey" in text or "ew" in text):
         yield from (("jwt", *m.span()) for m in JWT.finditer(text) if is_jwt(m))
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2])  # headers of encrypted keys
-            data = unbase64(body)
-            if data and (is_der_key(data) or is_ssh_key(data) or m[1].startswith("ENCRYPTED") or "ENCRYPTED" in m[2]):
-                yield ("pem", *m.span())
+        yield from (("pem", *m.span()) for m in PEM.finditer(text) if is_pem_key(m[1], m[2]))
     if not long_runs:
         return
     for m in B64.finditer(text):
         yield from base64_keys(text, *m.span())
+    for m in B64URL.finditer(text) if "-" in text or "_" in text else ():
+        if ("-" in m[0] or "_" in m[0]) and is_der_key(unbase64(m[0], True) or b""):
+            yield ("der", *m.span())
     for m in HEXKEY.finditer(text):
         data = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else None
         if data and is_der_key(data):

@@ -13,10 +13,14 @@ becomes canonical JSON: sorted keys, no spaces, absent fields left out.
 Defined cases: if an id is used twice in a conversation, the first call by turn owns it and the
 first result by turn is linked; other results, and results without a call, keep their own turn and
 count as orphans. A cycle of dependencies is broken at the call that closes it: it keeps its own turn,
-comes before what it waits for, and counts as cyclic. A row
-without conv_id is a conversation of its own; a null turn sorts first; null text is empty content; a
-null role is the role ``unknown``. A tool without schema accepts any object. Conversations of more than
-``PART_TURNS`` turns come out in several rows, by ``part``, so that no task holds an unbounded one.
+comes before what it waits for, and counts as cyclic. Every row
+without conv_id is a conversation of its own, rows that repeat included; a null turn sorts first, as turn -1; null text is empty content; a
+null role is the role ``unknown``. Rows that repeat are messages of their own; messages with equal places go by turn, role and then JSON text, so
+that ties need no rule. A tool without schema accepts any object. An empty table gives no rows. Extra columns are not read, whatever their names.
+
+A conversation comes out as one row, with ``part`` and ``piece`` 0, if it has at most ``WHOLE_MESSAGES`` messages and ``WHOLE_BYTES``
+characters of text. Only beyond that is it cut, so that no task holds an unbounded one: into parts of ``PART_TURNS`` turns, by the turn that a message's place
+begins with, and a part that is beyond the same bounds itself into pieces by a hash of its messages, each in order.
 """
 
 from __future__ import annotations
@@ -24,9 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import table, written
+from strata.llm.common import discard, table, written
 
-PART_TURNS = 1024
+WHOLE_MESSAGES, WHOLE_BYTES, PART_TURNS = 4096, 32 << 20, 1024
 #: Tool, argument, JSON type and whether it is required. Callers pass their own.
 SCHEMAS = (
     ("search", "query", "string", True),
@@ -38,11 +42,18 @@ SCHEMAS = (
 CALL = "struct<id:string,name:string,arguments:variant,deps:array<string>,idx:int>"
 
 
+def own_conversations(df: DataFrame) -> DataFrame:
+    """conv_id, own, turn, role and text, with an ``own`` above 0 for every row without conv_id. Those rows are written, so that it stays."""
+    rows = df.select(df["conv_id"], df["turn"].cast("long").alias("turn"), df["role"], df["text"])
+    alone = written(rows.where(F.col("conv_id").isNull()).withColumn("own", F.monotonically_increasing_id() + 1), "chat-alone")
+    return rows.where(F.col("conv_id").isNotNull()).withColumn("own", F.lit(0).cast("long")).unionByName(alone)
+
+
 def parsed(df: DataFrame) -> DataFrame:
     """One row per message with content, calls and the id that a result answers."""
     text = F.coalesce(df["text"], F.lit(""))
     role = F.coalesce(df["role"], F.lit("unknown"))
-    rows = df.select(df["conv_id"], df["turn"].cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    rows = df.select("conv_id", "own", "turn", role.alias("role"), text.alias("text"))
     may = F.col("role").isin("assistant", "tool") & F.col("text").rlike(r"^\s*\{")
     rows = rows.withColumn("v", F.when(may, F.try_parse_json("text")))
     rows = rows.withColumn("v", F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v")))
@@ -65,8 +76,7 @@ def parsed(df: DataFrame) -> DataFrame:
     whole = F.col("v").isNull() | (F.size("calls") == 0) & F.col("answers").isNull()
     rows = rows.withColumn("calls", calls).withColumn("answers", answers)
     content = F.when(whole, F.col("text")).otherwise(F.coalesce(get("v", "$.content"), F.to_json(get("v", "$.content", "variant"))))
-    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(F.lit(0))
-    return rows.select("conv_id", own.alias("own"), F.coalesce("turn", F.lit(-1)).alias("turn"), "role", content.alias("content"), "calls", "answers")
+    return rows.select("conv_id", "own", F.coalesce("turn", F.lit(-1)).alias("turn"), "role", content.alias("content"), "calls", "answers")
 
 
 def valid(call: Column, schemas: tuple[tuple[str, str, str, bool], ...]) -> Column:
@@ -119,15 +129,29 @@ def placed_calls(calls: DataFrame) -> DataFrame:
         loop = moved & F.arrays_overlap("behind", own)
         x = x.select("n.*", moved.alias("moved"), loop.alias("loop"), "behind")
         x = x.withColumn("place", F.when(F.col("loop"), own).when(F.col("moved"), F.concat("behind", own)).otherwise(F.col("place")))
-        now = written(x.withColumn("cyclic", F.col("cyclic") | F.coalesce("loop", F.lit(False))).drop("loop", "behind"), "chat-places")
+        after = written(x.withColumn("cyclic", F.col("cyclic") | F.coalesce("loop", F.lit(False))).drop("loop", "behind"), "chat-places")
+        discard(now)
+        now = after
         if now.where(F.col("moved")).isEmpty():
             return now.drop("moved")
         now = now.drop("moved")
 
 
-def format_chats(df: DataFrame, schemas: tuple[tuple[str, str, str, bool], ...] = SCHEMAS, part_turns: int = PART_TURNS) -> DataFrame:
-    """One row per conversation and part: counts, and ``chat``, the canonical JSON array of its messages."""
-    rows = parsed(df)
+def cuts(df: DataFrame, most: int, size: int, part_turns: int) -> DataFrame:
+    """Conversations beyond the bounds: cut_conv, cut_part (a range of turns) and into how many pieces it is cut. Few rows, from sums."""
+    part = F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(-1)) / part_turns)
+    sums = df.where(F.col("conv_id").isNotNull()).groupBy("conv_id", part.alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    whole = sums.groupBy("conv_id").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).where((F.col("n") > most) | (F.col("chars") > size)).select("conv_id")
+    pieces = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.coalesce("chars", F.lit(0)) / size), F.lit(1))
+    return written(sums.join(whole, "conv_id").select(F.col("conv_id").alias("cut_conv"), F.col("part").alias("cut_part"), pieces.alias("pieces")), "chat-cuts")
+
+
+def format_chats(
+    df: DataFrame, schemas: tuple[tuple[str, str, str, bool], ...] = SCHEMAS, most: int = WHOLE_MESSAGES, size: int = WHOLE_BYTES, part_turns: int = PART_TURNS
+) -> DataFrame:
+    """One row per conversation, or piece of a very large one: counts, and ``chat``, the canonical JSON array of its messages."""
+    rows = parsed(own_conversations(df))
+    cut = cuts(df, most, size, part_turns)
     calls = rows.where(F.size("calls") > 0).select("conv_id", "own", "turn", F.explode("calls").alias("c"))
     calls = calls.select("conv_id", "own", "turn", "c.id", "c.idx", "c.deps").where(F.col("id").isNotNull())
     first = calls.groupBy("conv_id", "own", "id").agg(F.min(F.struct("turn", "idx", "deps")).alias("f")).select("conv_id", "own", "id", "f.*")
@@ -152,9 +176,14 @@ def format_chats(df: DataFrame, schemas: tuple[tuple[str, str, str, bool], ...]
     message = F.to_json(
         F.struct("content", "role", F.col("answers").alias("tool_call_id"), F.when(F.size("calls") > 0, calls_out).alias("tool_calls")),
     )
+    x = x.withColumn("part", F.floor(F.element_at(after, 1)["turn"] / part_turns))
+    # a message that its place has moved into a range of turns without any of its own has no cut there: such a range is one piece
+    big = cut.select(F.col("cut_conv").alias("conv_id")).distinct().withColumn("big", F.lit(True))
+    x = x.join(big, "conv_id", "left").join(cut, (F.col("conv_id") == F.col("cut_conv")) & (F.col("part") == F.col("cut_part")), "left")
     x = x.select(
         "conv_id", "own",
-        F.floor(F.element_at(after, 1)["turn"] / part_turns).alias("part"),
+        F.when(F.col("big"), F.col("part")).otherwise(F.lit(0)).alias("part"),
+        F.when(F.col("big") & (F.col("pieces") > 1), F.pmod(F.xxhash64("turn", "role", "content", "answers"), F.col("pieces"))).otherwise(F.lit(0)).alias("piece"),
         F.struct(after.alias("place"), "turn", "role", message.alias("json")).alias("entry"),
         F.size("calls").alias("n_calls"),
         F.size(F.filter("calls", lambda k: ~valid(k, schemas))).alias("n_invalid"),
@@ -162,24 +191,72 @@ def format_chats(df: DataFrame, schemas: tuple[tuple[str, str, str, bool], ...]
         (F.col("answers").isNotNull() & ~linked).cast("int").alias("n_orphans"),
         F.col("cyclic").cast("int").alias("n_cyclic"),
     )
-    out = x.groupBy("conv_id", "own", F.greatest("part", F.lit(0)).alias("part")).agg(
+    out = x.groupBy("conv_id", "own", "part", "piece").agg(
         F.count("*").alias("n_messages"),
         *(F.sum(k).alias(k) for k in ("n_calls", "n_linked", "n_orphans", "n_invalid", "n_cyclic")),
         F.array_sort(F.collect_list("entry")).alias("entries"),
     )
     chat = F.concat(F.lit("["), F.array_join(F.transform("entries", lambda e: e.json), ","), F.lit("]"))
-    return out.select("conv_id", "part", "n_messages", "n_calls", "n_linked", "n_orphans", "n_invalid", "n_cyclic", chat.alias("chat"))
+    return out.select("conv_id", "part", "piece", "n_messages", "n_calls", "n_linked", "n_orphans", "n_invalid", "n_cyclic", chat.alias("chat"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
-#: For conversations without tool calls, which is what the table holds; calls are tested against a brute-force version.
-OP10_SQL = """
-WITH m AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS own, coalesce(turn, -1) AS turn,
-    coalesce(role, 'unknown') AS role, '{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"role":' || to_json(coalesce(role, 'unknown'))::VARCHAR || '}' AS j FROM conversations)
-SELECT conv_id, greatest(turn // 1024, 0)::BIGINT AS part, count(*) AS n_messages, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked,
+def with_calls(df: DataFrame) -> DataFrame:
+    """Conversations in which five of six messages are replaced by tool calls and results, by their numbers.
+
+    They hold valid and invalid arguments, linked results and orphans, dependencies on the call of the turn after (which move a call) and of
+    the turn before, and cycles of the two.
+    """
+    kind = kind_of(F.col("conv_id"), F.col("turn"))
+    turn, before, after = (F.concat(F.lit("i"), (F.col("turn") + d).cast("string")) for d in (0, -1, 1))
+    call = lambda arguments, *deps: F.concat(
+        F.lit('{"tool_calls": [{"id": "'), turn, F.lit('", "name": "search", "arguments": '), arguments, *(p for d in deps for p in (F.lit(', "depends_on": ["'), d, F.lit('"]'))), F.lit("}]}")
+    )
+    asks = F.concat(F.lit('{"query": "'), turn, F.lit('"}'))
+    result = F.concat(F.lit('{"content": "r", "tool_call_id": "'), before, F.lit('"}'))
+    text = F.when(kind == 0, F.col("text")).when(kind == 1, call(asks)).when(kind == 2, result).when(kind == 3, call(F.lit('{"limit": "x"}'))).when(kind == 4, call(asks, after)).otherwise(call(asks, before))
+    role = F.when(kind == 0, F.col("role")).when(kind == 2, F.lit("tool")).otherwise(F.lit("assistant"))
+    return df.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+
+
+def kind_of(conv: Column, turn: Column) -> Column:
+    """0: as it is, 1: a call, 2: a result, 3: a call with invalid arguments, 4: a call that needs the next one, 5: a call that needs the one before."""
+    return (conv * 31 + turn * 17 + (conv + turn * turn) % 7) % 6
+
+
+def chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`format_chats` over the conversations with calls and results in place of messages."""
+    return format_chats(with_calls(table(spark, sf_dir, "conversations")))
+
+
+_PLAIN = """'{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"role":' || to_json(coalesce(role, 'unknown'))::VARCHAR || '}'"""
+_CUT = f"""sums AS (SELECT conv_id, floor(coalesce(turn, -1) / {PART_TURNS})::BIGINT AS part, count(*) AS n, sum(length(text)) AS chars FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+big AS (SELECT conv_id FROM sums GROUP BY conv_id HAVING sum(n) > {WHOLE_MESSAGES} OR sum(chars) > {WHOLE_BYTES})"""
+#: Pieces are not in the SQL: they need a range of turns beyond the bounds of a whole conversation.
+OP10_SQL = f"""
+WITH {_CUT},
+m AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS own, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
+    CASE WHEN conv_id IN (FROM big) THEN floor(coalesce(turn, -1) / {PART_TURNS})::BIGINT ELSE 0 END AS part, {_PLAIN} AS j FROM conversations)
+SELECT conv_id, part, 0::BIGINT AS piece, count(*) AS n_messages, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked,
   0::BIGINT AS n_orphans, 0::BIGINT AS n_invalid, 0::BIGINT AS n_cyclic, '[' || string_agg(j, ',' ORDER BY turn, role, j) || ']' AS chat
 FROM m GROUP BY conv_id, own, part
 """
+#: A run of calls that each need the next one comes out behind the call that ends it (and its result), last call first.
+LINKS_SQL = f"""
+WITH {_CUT},
+k AS (SELECT *, (conv_id * 31 + turn * 17 + (conv_id + turn * turn) % 7) % 6 AS kind FROM conversations),
+n AS (SELECT a.*, coalesce(b.kind, 0) AS last, coalesce(c.kind, 0) AS next FROM k a LEFT JOIN k b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 LEFT JOIN k c ON c.conv_id = a.conv_id AND c.turn = a.turn + 1),
+p AS (SELECT *, kind = 2 AND last IN (1, 3, 4, 5) AS linked, kind = 4 AND next IN (1, 3, 4, 5) AS waits FROM n),
+q AS (SELECT *, CASE WHEN linked THEN turn - 1 ELSE min(CASE WHEN NOT waits THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS e,
+  CASE WHEN kind = 0 THEN {_PLAIN}
+    WHEN kind = 2 THEN '{{"content":"r","role":"tool","tool_call_id":"i' || (turn - 1) || '"}}'
+    ELSE '{{"role":"assistant","tool_calls":[{{"arguments":' || CASE WHEN kind = 3 THEN '{{"limit":"x"}}' ELSE '{{"query":"i' || turn || '"}}' END || ',"id":"i' || turn || '","name":"search"}}]}}' END AS j FROM p)
+SELECT conv_id, CASE WHEN conv_id IN (FROM big) THEN floor(e / {PART_TURNS})::BIGINT ELSE 0 END AS part, 0::BIGINT AS piece, count(*) AS n_messages,
+  count(*) FILTER (kind IN (1, 3, 4, 5)) AS n_calls, count(*) FILTER (linked) AS n_linked, count(*) FILTER (kind = 2 AND NOT linked) AS n_orphans,
+  count(*) FILTER (kind = 3) AS n_invalid, count(*) FILTER (kind = 5 AND last = 4) AS n_cyclic,
+  '[' || string_agg(j, ',' ORDER BY e, CASE WHEN linked THEN 1 WHEN e = turn THEN 0 ELSE 1 + e - turn END) || ']' AS chat
+FROM q GROUP BY ALL
+"""

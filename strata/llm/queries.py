@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_chat_format": chats.op10_chat_format,
+    "chat_tool_links": chats.chat_tool_links,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op7_license_scan": licenses.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,
     "op10_chat_format": chats.OP10_SQL,
+    "chat_tool_links": chats.LINKS_SQL,
 }

@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all documents it gets, and returns a DataFrame that is
 written and read again before the next one. All but the last return the columns of ``documents``
-(doc_id, text, lang, source, n_chars). Further columns of the input go along untouched as long as their
-names do not clash with a stage's own. An empty table gives an empty result.
+(doc_id, text, lang, source, n_chars). Further columns of the input go along untouched, whatever they are called: stages
+carry them in one struct. Null and empty texts fail the first stage; the others keep them as they are. Rows that repeat
+pass the first stage alike and leave one row behind the second. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,40 +15,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import bpe, mixing, near, quality, secrets
-from strata.llm.common import table, written
+from strata.llm.common import all_columns, discard, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy keeps; the ledger's verdict is computed on every row, in place."""
-    rows = docs.withColumn("__body", F.col("text"))
-    kept = quality.apply_policy(quality.ledger(rows))
-    return kept.withColumn("text", F.col("__body")).select(*docs.columns)
+    rows = docs.select(F.struct(*all_columns(docs)).alias("row"), docs["text"])
+    return quality.apply_policy(quality.ledger(rows)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest doc_id. Rows that repeat it go too."""
-    classes = near.near_duplicates(docs)
-    heads = written(classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "cid").distinct(), "pipeline-heads")
-    d = near.with_text_ids(docs).alias("d")
-    h = heads.hint("merge").alias("h")
-    kept = d.join(h, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.__cid") == F.col("h.cid")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__cid"]).select(*docs.columns)
+    return near.class_heads(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its secrets' values masked, and n_chars to match."""
-    scanned = secrets.scan_secrets(docs, mask=secrets.MASK)
-    changed = F.size("secret_spans") > 0
-    return scanned.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rest = [c for c, name in zip(all_columns(docs), docs.columns, strict=True) if name != "text"]
+    scanned = secrets.scan_secrets(docs.select(F.struct(*rest).alias("row"), "text"), mask=secrets.MASK)
+    made = {"text": F.col("text"), "n_chars": F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return scanned.select(*(made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as its source's epochs and the sample take it."""
-    taken = mixing.mix(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return taken.where("copies > 0").withColumn("__copy", copies).select(*docs.columns)
+    taken = mixing.mix(docs).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +67,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        after = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = written(docs, f"pipeline-{name}")
+            after = written(after, f"pipeline-{name}")
+            if i:
+                discard(docs)
+        docs = after
     return docs
 
 

@@ -203,7 +203,11 @@ def placed(rows: DataFrame, common, tokenizer: str, slice_words: int) -> DataFra
             at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.uint32)
             coded = pc.dictionary_encode(flat.take(pa.array(missed)))
             pair = np.searchsorted(ends, missed, side="right") << 32 | coded.indices.to_numpy(zero_copy_only=False)
-            own, back = np.unique(pair, return_inverse=True)  # by text, then by word
+            own, begin, back = np.unique(pair, return_index=True, return_inverse=True)
+            order = np.argsort(begin)  # by text, then as they first occur in it: a text's places do not depend on its batch
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            own, back = own[order], rank[back]
             text = own >> 32
             first = np.searchsorted(text, np.arange(len(sizes) + 1))
             at[missed] = (len(known) + np.arange(len(own)) - first[text])[back]

@@ -38,11 +38,12 @@ from strata.llm.token_counts import tokenizer_path
 TOKENIZER = "byte_bpe_50k.json"
 COMMON_BYTES = 24 << 20
 COMMON_CHARS = 256
-SLICE_WORDS = 1 << 18
+SLICE_WORDS = 1 << 20
 ENCODE_WORDS = 2000
 
 _WHITE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+#: The tokenizer's own pattern with its alternatives in an order that meets letters first; those moved begin with different characters.
+WORDS = rf" ?\p{{L}}+|'(?:[stmd]|re|ve|ll)| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 SPECIAL = "<|endoftext|>"
 
 
@@ -181,8 +182,8 @@ def one_array(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
-def placed(rows: DataFrame, common, tokenizer: str, slice_words: int) -> DataFrame:
-    """Replace the split words by ``places`` (compressed) and ``rare``, the text's distinct words that are not common.
+def placed(rows: DataFrame, common, tokenizer: str, slice_words: int, rare: bool) -> DataFrame:
+    """Replace the split words by ``places`` (compressed) or, with ``rare``, by ``rare``: the text's distinct words that are not common.
 
     A place below the number of common words is that word's; from there on places count the rare words.
     """
@@ -211,13 +212,17 @@ def placed(rows: DataFrame, common, tokenizer: str, slice_words: int) -> DataFra
             text = own >> 32
             first = np.searchsorted(text, np.arange(len(sizes) + 1))
             at[missed] = (len(known) + np.arange(len(own)) - first[text])[back]
-            packed = [codec.compress(at[b - n : b].view(np.uint8).reshape(-1, 4).T.tobytes()) if n else b"" for b, n in zip(ends, sizes, strict=True)]
-            rare = pa.ListArray.from_arrays(pa.array(first, pa.int32()), coded.dictionary.take(pa.array(own & 0xFFFFFFFF)))
             kept = [n for n in batch.schema.names if n != "words"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(packed, pa.binary()), rare], names=[*kept, "places", "rare"])
+            if rare:
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), coded.dictionary.take(pa.array(own & 0xFFFFFFFF)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), lists], names=[*kept, "rare"])
+                continue
+            packed = [codec.compress(at[b - n : b].view(np.uint8).reshape(-1, 4).T.tobytes()) if n else b"" for b, n in zip(ends, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(packed, pa.binary())], names=[*kept, "places"])
 
     kept = rows.drop("words", "odd_text")
-    return rows.mapInArrow(look_up, schema_with(kept, places=T.BinaryType(), rare=T.ArrayType(T.StringType())))
+    made = {"rare": T.ArrayType(T.StringType())} if rare else {"places": T.BinaryType()}
+    return rows.mapInArrow(look_up, schema_with(kept, **made))
 
 
 def encode_documents(df: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id", text: str = "text", slice_words: int = SLICE_WORDS) -> DataFrame:
@@ -234,13 +239,13 @@ def encode_documents(df: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_
     vocabulary = pieces(tokenizer)  # an entry for each id of the vocabulary
 
     texts = split(rows)
-    lists = placed(texts.drop("key"), common, tokenizer, slice_words).select("a", "b", F.posexplode("rare").alias("place", "word"))
+    lists = placed(texts.drop("key"), common, tokenizer, slice_words, rare=True).select("a", "b", F.posexplode("rare").alias("place", "word"))
     lists = lists.repartition("word").distinct()  # by word already, so that rows that repeat become one here
     found = lists.join(words.where(~is_common).select("word", "ids").hint("merge"), "word").select("a", "b", "place", "ids")
     found = found.repartition("a", "b").groupBy("a", "b").agg(F.collect_list(F.struct("place", "ids")).alias("found"))  # a text's distinct words at most
     found = written(found, "bpe-found")
     discard(words)
-    met = placed(texts, common, tokenizer, slice_words).drop("rare").join(found.hint("merge"), ["a", "b"], "left").select("key", "places", "found")
+    met = placed(texts, common, tokenizer, slice_words, rare=False).join(found.hint("merge"), ["a", "b"], "left").select("key", "places", "found")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

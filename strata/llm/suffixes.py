@@ -3,11 +3,11 @@
 Of every text's word suffixes only those at minimiser positions are kept: positions whose 8-word
 hash is the least of some window of ``WINDOW`` positions. Any two copies of a passage of
 ``PASSAGE`` = 50 words keep the same position among their first 26, so that both hold the ``CORE`` = 25
-words from there on. Each kept suffix carries the hash of its core and a byte for each of the 25
-words right of it and left of it.
+words from there on.
 
-1. Suffixes whose core occurs once go (counted by core hash, with partial sums).
-2. The others are range-partitioned and sorted as a suffix array: by core, right words, left words.
+1. Suffixes whose core occurs once go (counted by core hash, with partial sums). Those left meet their texts
+   again and get the 25 words right of the core and the 25 left of it, each as 32 bits of its hash.
+2. They are range-partitioned and sorted as a suffix array: by core, right words, left words.
    A key that a third of all texts share is spread over many partitions.
 3. Neighbours, also across partitions, are compared and extended right and left. Every match of 50 words
    or more, with the one before and with the one after, marks the words it covers. The same is done in the order of the left words.
@@ -16,10 +16,11 @@ words right of it and left of it.
    off may share the rest: for such cores all windows of 50 words around the core are counted, so that
    no repeat is lost. Suffixes are cut to the words shared first; those equal then are counted as one.
 
-Words left and right of the core are compared by a byte each, the core by 64 bits: a match may be taken
-for a word longer than it is in about one case of 128, never shorter. Null and short texts have no passage.
-doc_id identifies a document: rows that repeat are one document, not copies. Ties need no rule, as
-every occurrence is marked. Extra columns are ignored.
+Cores are told apart by 64 bits, the words beside them by 32 bits each.
+
+A document is a row's doc_id and text: rows that repeat both are one document, not copies, and rows with a null id are told
+apart by their texts; the same id with another text is another document. Null, empty and short texts have no passage; very long ones are cut and compared whole.
+Ties need no rule, as every occurrence is marked. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import byte_slices, table, word_count, written
+from strata.llm.common import byte_slices, discard, small_batches, table, word_count, written
 
 PASSAGE, CORE, GRAM, WINDOW = 50, 25, 8, 26
-SIDE = PASSAGE - CORE
+SIDE, WORD = PASSAGE - CORE, 4
 BATCH_BYTES = 2 << 20
 
 
@@ -66,8 +67,14 @@ def minimisers(words, counts):
     return np.flatnonzero(chosen)
 
 
-def suffixes(df: DataFrame, sides: bool) -> DataFrame:
-    """core (and, with ``sides``, doc_id, pos, right_words, left_words) of every kept suffix."""
+def documents(df: DataFrame) -> DataFrame:
+    """doc (the identity of a document), doc_id and text."""
+    text = F.coalesce(df["text"], F.lit(""))
+    return df.select(F.xxhash64(df["doc_id"].cast("long"), text).alias("doc"), df["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
+
+
+def kept_suffixes(docs: DataFrame, places: bool) -> DataFrame:
+    """core (and, with ``places``, doc and pos) of every kept suffix."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -79,43 +86,85 @@ def suffixes(df: DataFrame, sides: bool) -> DataFrame:
                 words, counts = v.word_hashes(batch.column("text"))
                 at = minimisers(words, counts)
                 core = pa.array(v.gram_hashes(words, at, CORE).view(np.int64))
-                if not sides:
+                if not places:
                     yield pa.RecordBatch.from_arrays([core], names=["core"])
                     continue
                 ends = np.cumsum(counts)
                 doc = np.searchsorted(ends, at, side="right")
-                byte = np.concatenate([(words % np.uint64(255)).astype(np.uint8) + np.uint8(1), np.zeros(1, np.uint8)])
+                yield pa.RecordBatch.from_arrays([core, batch.column("doc").take(pa.array(doc)), pa.array((at - (ends - counts)[doc]).astype(np.int32))], names=["core", "doc", "pos"])
+
+    return docs.select(*["doc"] * places, "text").mapInArrow(cut, "core long" + ", doc long, pos int" * places)
+
+
+ROWS = "core long, doc long, doc_id long, pos int, right_words binary, left_words binary"
+
+
+def with_sides(texts: DataFrame) -> DataFrame:
+    """Each asked suffix with the words beside its core; texts: doc, doc_id, text, asked (array of pos and core)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        from strata.llm import textvec as v
+
+        for whole in batches:
+            for batch in byte_slices(whole, "text", BATCH_BYTES):
+                words, counts = v.word_hashes(batch.column("text"))
+                asked = batch.column("asked")
+                spots, many = asked.flatten(), asked.value_lengths().to_numpy(zero_copy_only=False)
+                doc = np.repeat(np.arange(batch.num_rows), many)
+                ends = np.cumsum(counts)
+                at = spots.field("pos").to_numpy(zero_copy_only=False) + (ends - counts)[doc]
+                whole_core = at + CORE <= ends[doc]  # always, but for two texts whose identities collide
+                core = spots.field("core").to_numpy(zero_copy_only=False)
+                good = np.flatnonzero(whole_core)
+                good = good[v.gram_hashes(words, at[good], CORE).view(np.int64) == core[good]]
+                at, doc, core = at[good], doc[good], core[good]
+                short = np.concatenate([(words % np.uint64((1 << 32) - 1) + np.uint64(1)).astype(">u4"), np.zeros(1, ">u4")])
                 span = np.arange(SIDE)
                 right, left = at[:, None] + CORE + span, at[:, None] - 1 - span
-                right = byte[np.where(right < ends[doc][:, None], right, len(words))]
-                left = byte[np.where(left >= (ends - counts)[doc][:, None], left, len(words))]
-                fixed = lambda m: pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIDE), len(m), [None, pa.py_buffer(np.ascontiguousarray(m))]).cast(pa.binary())
+                right = short[np.where(right < ends[doc][:, None], right, len(words))]
+                left = short[np.where(left >= (ends - counts)[doc][:, None], left, len(words))]
+                fixed = lambda m: pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIDE * WORD), len(m), [None, pa.py_buffer(np.ascontiguousarray(m))]).cast(pa.binary())
+                own = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [core, batch.column("doc_id").take(pa.array(doc)), pa.array((at - (ends - counts)[doc]).astype(np.int32)), fixed(right), fixed(left)],
-                    names=["core", "doc_id", "pos", "right_words", "left_words"],
+                    [pa.array(core), batch.column("doc").take(own), batch.column("doc_id").take(own), spots.field("pos").take(pa.array(good)), fixed(right), fixed(left)],
+                    names=["core", "doc", "doc_id", "pos", "right_words", "left_words"],
                 )
 
-    more = ", doc_id long, pos int, right_words binary, left_words binary" if sides else ""
-    return df.select(df["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(cut, "core long" + more)
+    return texts.mapInArrow(cut, ROWS)
+
+
+def repeated_suffixes(df: DataFrame) -> DataFrame:
+    """All kept suffixes whose core occurs more than once, with the words beside it; written."""
+    docs = documents(df)
+    cores = kept_suffixes(docs, places=False).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    cores = written(cores, "suffix-cores")
+    places = written(kept_suffixes(docs, places=True).join(cores, "core").select("doc", "core", "pos"), "suffix-places")
+    asked = places.groupBy("doc").agg(F.collect_set(F.struct("pos", "core")).alias("asked"))  # a text's own positions
+    # by sort and merge at every size; the exchange of the join also serves the removal of rows that repeat
+    rows = written(with_sides(docs.join(asked.hint("merge"), "doc").dropDuplicates(["doc"])), "suffix-rows")
+    discard(cores, places)
+    return rows
 
 
 def agreed(a, b):
-    """How many leading bytes two rows of words share; 0 bytes stand for no word and never agree."""
+    """How many leading words two rows of words share; 0 stands for no word and never agrees."""
     import numpy as np
 
     same = (a == b) & (a != 0)
     return np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))
 
 
-NEAR = ["core", "doc_id", "pos", "reach", "begin", "end", "other", "edge", "right_words", "left_words"]
-NEAR_TYPE = "core long, doc_id long, pos int, reach int, begin int, end int, other long, edge boolean, right_words binary, left_words binary"
+NEAR = ["core", "doc", "doc_id", "pos", "reach", "begin", "end", "other", "edge", "right_words", "left_words"]
+NEAR_TYPE = "core long, doc long, doc_id long, pos int, reach int, begin int, end int, other long, edge boolean, right_words binary, left_words binary"
 
 
 def neighbours(first: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare each row of a sorted partition with the one before and after it.
 
     Per row: reach, the most words of side ``first`` shared with a neighbour, and its match with either neighbour:
-    two rows if both are of 50 words or more, one with null if neither is. A row at the end of a batch is carried over to the next and comes out twice.
+    two rows if both are of 50 words or more, one with null if neither is; ``other`` is the doc_id of the match's document, null where it is the row's own. A row at the end of a batch is carried over to the next and comes out twice.
     The first and last row of the partition also come out with ``edge``, to be compared across partitions.
     """
     held = head = None
@@ -126,10 +175,8 @@ def neighbours(first: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             held = batch.slice(batch.num_rows - 1)
     for row in (head, held) if held is not None else ():
         none = pa.nulls(1, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [row.column("core"), row.column("doc_id"), row.column("pos"), none, none, none, pa.nulls(1, pa.int64()), pa.array([True]), row.column("right_words"), row.column("left_words")],
-            names=NEAR,
-        )
+        kept = [row.column(c) for c in ("core", "doc", "doc_id", "pos")]
+        yield pa.RecordBatch.from_arrays([*kept, none, none, none, pa.nulls(1, pa.int64()), pa.array([True]), row.column("right_words"), row.column("left_words")], names=NEAR)
 
 
 def compared(first: str, t: pa.Table) -> pa.RecordBatch:
@@ -137,11 +184,10 @@ def compared(first: str, t: pa.Table) -> pa.RecordBatch:
 
     t = t.combine_chunks()
     whole = lambda c: pa.concat_arrays(t[c].chunks)
-    core, pos, doc = t["core"].to_numpy(), t["pos"].to_numpy(), whole("doc_id")
-    doc_n = doc.fill_null(-1).to_numpy(zero_copy_only=False)
-    side = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, SIDE)
+    core, pos, doc = t["core"].to_numpy(), t["pos"].to_numpy(), t["doc"].to_numpy()
+    side = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), ">u4").reshape(-1, SIDE)
     right, left = side("right_words"), side("left_words")
-    pair = np.flatnonzero((core[1:] == core[:-1]) & ~((doc_n[1:] == doc_n[:-1]) & (pos[1:] == pos[:-1])))
+    pair = np.flatnonzero((core[1:] == core[:-1]) & ~((doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])))
     r, lft = agreed(right[pair], right[pair + 1]), agreed(left[pair], left[pair + 1])
     n = len(core)
     reach, both = np.zeros(n, np.int64), np.zeros((3, 2, n), np.int64)  # the words shared right and left, and with which row: with the row after, with the one before
@@ -155,11 +201,12 @@ def compared(first: str, t: pa.Table) -> pa.RecordBatch:
     r, lft, other = np.concatenate([both[:, 0, after], both[:, 1, before]], axis=1)
     none = ~np.concatenate([good[0, after], good[1, before]])
     at = pa.array(who)
+    partner = whole("doc_id").take(pa.array(other, mask=none | (doc[who] == doc[other])))
     return pa.RecordBatch.from_arrays(
         [
-            whole("core").take(at), doc.take(at), whole("pos").take(at), pa.array(reach[who].astype(np.int32)),
+            *(whole(c).take(at) for c in ("core", "doc", "doc_id", "pos")), pa.array(reach[who].astype(np.int32)),
             pa.array((pos[who] - lft).astype(np.int32), mask=none), pa.array((pos[who] + CORE + r).astype(np.int32), mask=none),
-            doc.take(pa.array(other)), pa.nulls(len(who), pa.bool_()), pa.nulls(len(who), pa.binary()), pa.nulls(len(who), pa.binary()),
+            partner, pa.nulls(len(who), pa.bool_()), pa.nulls(len(who), pa.binary()), pa.nulls(len(who), pa.binary()),
         ],
         names=NEAR,
     )
@@ -168,66 +215,62 @@ def compared(first: str, t: pa.Table) -> pa.RecordBatch:
 def in_order(rows: DataFrame, first: str) -> DataFrame:
     """The suffix array by core, then the words of one side, then those of the other, and its neighbours compared."""
     sides = ["right_words", "left_words"] if first == "right" else ["left_words", "right_words"]
-    order = ["core", *sides, "doc_id", "pos"]
-    x = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["core", *sides, "doc", "pos"]
+    x = rows.select(*order, "doc_id").repartitionByRange(*order).sortWithinPartitions(*order)
     near = written(x.mapInArrow(lambda batches: neighbours(first, batches), NEAR_TYPE), "suffix-near")
-    edges = near.where("edge").select(*order).distinct()  # two rows a partition
+    edges = near.where("edge").select(*order, "doc_id").distinct()  # two rows a partition
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if got := list(batches):
             yield compared(first, pa.Table.from_batches(got))
 
-    across = written(edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, NEAR_TYPE), "suffix-edges")
+    # only rows of one core have anything to compare across partitions
+    across = written(edges.repartition("core").sortWithinPartitions(*order).mapInArrow(compare, NEAR_TYPE), "suffix-edges")
     return near.where("edge IS NULL").unionByName(across)
 
 
 def whole_windows(rows: DataFrame) -> DataFrame:
     """Matches by counting all windows of 50 words around each core.
 
-    Rows: core, doc_id, pos, right_words and left_words, cut to what each shares at most, SIDE in sum at least.
+    Rows: core, doc, doc_id, pos, right_words and left_words, cut to what each shares at most, SIDE in sum at least.
     """
     rows = written(rows.withColumn("kind", F.xxhash64("core", "right_words", "left_words")), "suffix-open-rows")
-    place = F.struct("doc_id", "pos")
+    place = F.struct("doc", "pos", "doc_id")
     kinds = rows.groupBy("kind", "core", "right_words", "left_words").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    j = F.explode(F.sequence(SIDE - F.length("right_words"), F.length("left_words"))).alias("j")
+    j = F.explode(F.sequence((SIDE - F.length("right_words") / WORD).cast("int"), (F.length("left_words") / WORD).cast("int"))).alias("j")
     x = kinds.select("*", j)
-    a, b = F.expr("substring(left_words, 1, j)"), F.expr(f"substring(right_words, 1, {SIDE} - j)")
-    no_gap = lambda part: ~F.hex(part).rlike("^(..)*00")
-    x = x.where(no_gap(a) & no_gap(b)).select("kind", "j", "low", "high", F.xxhash64("core", "j", a, b).alias("window"))
-    x = written(x, "suffix-windows")
+    a, b = F.expr(f"substring(left_words, 1, j * {WORD})"), F.expr(f"substring(right_words, 1, ({SIDE} - j) * {WORD})")
+    x = written(x.select("kind", "j", "low", "high", F.xxhash64("core", "j", a, b).alias("window")), "suffix-windows")
     counts = x.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    twice = counts.where("low <> high").select("window", F.struct(F.col("low.doc_id").alias("low"), F.col("high.doc_id").alias("high")).alias("ends"))
+    twice = counts.where("low <> high").select("window", F.struct("low", "high").alias("ends"))
     # every window holds the core, so that those of a kind are one range of words
     found = x.select("kind", "j", "window").join(twice, "window").groupBy("kind").agg(
         F.min("j").alias("least"), F.max("j").alias("most"), F.collect_set("ends").alias("ends")  # 26 at most
     )
     begin, end = F.col("pos") - F.col("most"), F.col("pos") - F.col("least") + PASSAGE
-    other = lambda e: F.when(F.col("doc_id").eqNullSafe(e.low), e.high).otherwise(e.low)
-    own = lambda e: other(e).eqNullSafe(F.col("doc_id"))
-    partner = F.array_min(F.transform("ends", lambda e: F.when(~own(e), other(e))))
-    return rows.join(written(found, "suffix-kinds"), "kind").select("doc_id", begin.cast("int").alias("begin"), end.cast("int").alias("end"), partner.alias("other"))
+    others = F.flatten(F.transform("ends", lambda e: F.array(e.low, e.high)))
+    partner = F.array_min(F.transform(F.filter(others, lambda o: o.doc != F.col("doc")), lambda o: o.doc_id))
+    found = rows.join(written(found, "suffix-kinds"), "kind")
+    return found.select("doc", "doc_id", begin.cast("int").alias("begin"), end.cast("int").alias("end"), partner.alias("other"))
 
 
 def repeated_passages(df: DataFrame) -> DataFrame:
-    """Matches (doc_id, begin, end, other): word ranges of 50 words or more that also stand elsewhere, and a document where."""
-    docs = df.select("doc_id", "text")
-    cores = suffixes(docs, sides=False).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    cores = written(cores, "suffix-cores")
-    rows = written(suffixes(docs, sides=True).join(cores, "core"), "suffix-rows")
+    """Matches (doc, doc_id, begin, end, other): word ranges of 50 words or more that also stand elsewhere, and the id of another document where."""
+    small_batches(df.sparkSession)
+    rows = repeated_suffixes(df)
     right, left = in_order(rows, "right"), in_order(rows, "left")
-    found = lambda x: x.where("begin IS NOT NULL").select("doc_id", "begin", "end", "other")
+    found = lambda x: x.where("begin IS NOT NULL").select("doc", "doc_id", "begin", "end", "other")
     # the most words shared on either side, and how far the matches found reach
-    told = lambda x, r, lft: x.select("core", "doc_id", "pos", r.alias("r"), lft.alias("l"), "begin", "end")
+    told = lambda x, r, lft: x.select("core", "doc", "pos", r.alias("r"), lft.alias("l"), "begin", "end")
     none = F.lit(0)
     every = told(right, F.col("reach"), none).unionByName(told(left, none, F.col("reach")))
-    every = every.groupBy("core", "doc_id", "pos").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.min("begin").alias("begin"), F.max("end").alias("end"))
+    every = every.groupBy("core", "doc", "pos").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.min("begin").alias("begin"), F.max("end").alias("end"))
     every = written(every.where(F.col("r") + F.col("l") >= SIDE), "suffix-told")
     short = F.col("begin").isNull() | (F.col("begin") > F.col("pos") - F.col("l")) | (F.col("end") < F.col("pos") + CORE + F.col("r"))
     open_cores = written(every.where(short).select("core").distinct(), "suffix-open")
-    e, x = every.join(open_cores, "core", "left_semi").alias("e"), rows.alias("x")
-    rest = x.join(e, (F.col("x.core") == F.col("e.core")) & F.col("x.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("x.pos") == F.col("e.pos")))
-    cut = lambda c, n: F.expr(f"substring({c}, 1, {n})").alias(c)
-    rest = rest.select("x.core", "x.doc_id", "x.pos", cut("right_words", "r"), cut("left_words", "l"))
+    rest = rows.join(every.join(open_cores, "core", "left_semi").select("core", "doc", "pos", "r", "l"), ["core", "doc", "pos"])
+    cut = lambda c, n: F.expr(f"substring({c}, 1, {n} * {WORD})").alias(c)
+    rest = rest.select("core", "doc", "doc_id", "pos", cut("right_words", "r"), cut("left_words", "l"))
     return found(right).unionByName(found(left)).unionByName(whole_windows(rest))
 
 
@@ -242,28 +285,27 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     spans.append([m["begin"], m["end"]])
             out.append(spans)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.list_(pa.int32()))), batch.column("partner")], names=["doc_id", "spans", "partner"])
+        kept = [batch.column(c) for c in ("doc", "doc_id")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.list_(pa.int32()))), batch.column("partner")], names=["doc", "doc_id", "spans", "partner"])
 
 
 def repeated_spans(df: DataFrame) -> DataFrame:
-    """One row per document with a repeated passage: doc_id, spans (array of begin and end words, disjoint), partner (the smallest doc_id met)."""
-    matches = repeated_passages(df)
-    other = F.when(~F.col("other").eqNullSafe(F.col("doc_id")), F.col("other"))
-    own = matches.groupBy("doc_id", "begin").agg(F.max("end").alias("end"), F.min(other).alias("partner"))
-    own = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("matches"), F.min("partner").alias("partner"))
-    return own.mapInArrow(merge, "doc_id long, spans array<array<int>>, partner long")
+    """One row per document with a repeated passage: doc, doc_id, spans (array of begin and end words, disjoint), partner (the smallest doc_id met)."""
+    own = repeated_passages(df).groupBy("doc", "begin").agg(F.max("end").alias("end"), F.min("other").alias("partner"), F.first("doc_id").alias("doc_id"))
+    own = own.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("matches"), F.min("partner").alias("partner"), F.first("doc_id").alias("doc_id"))
+    return own.mapInArrow(merge, "doc long, doc_id long, spans array<array<int>>, partner long")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its words, repeated passages of 50 words or more, the words they cover, and a document that shares one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = written(repeated_spans(docs), "suffix-spans").alias("s")
-    d = docs.select("doc_id", word_count(F.col("text")).alias("n_words")).alias("d")
-    x = d.join(found, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
+    found = written(repeated_spans(docs), "suffix-spans").select("doc", "spans", "partner")
+    d = documents(docs)
+    x = d.select("doc", "doc_id", word_count(F.col("text")).alias("n_words")).join(found, "doc", "left")
     covered = F.aggregate("spans", F.lit(0), lambda a, s: a + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.get(s, F.lit(0)).cast("string"), F.get(s, F.lit(1)).cast("string"))), ",")
     return x.select(
-        "d.doc_id", "n_words",
+        "doc_id", "n_words",
         F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_passages"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("repeated_words"),
         F.coalesce(text, F.lit("")).alias("spans"),

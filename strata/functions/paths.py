@@ -32,7 +32,3 @@ def base_name(path: Column) -> Column:
 def url_name(url: Column) -> Column:
     """Repository name of a clone URL."""
     return F.regexp_replace(F.substring_index(F.rtrim(url, F.lit("/")), "/", -1), F.lit("[.]git$"), F.lit(""))
-
-
-def is_pruned(path: Column, names: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, names)))

@@ -23,8 +23,3 @@ def marker_count(text: Column, word: str) -> Column:
 def source_text(content: Column) -> Column:
     """Bytes as text: invalid UTF-8 replaced, all line ends of the platform's kinds as newlines."""
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), F.lit("\r\n|\r"), F.lit("\n"))
-
-
-def one_decimal(x: Column) -> Column:
-    """A percentage as text with one decimal, rounded half to even."""
-    return F.bround(x, 1).cast("string")

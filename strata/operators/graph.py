@@ -125,39 +125,52 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"repo": repo, "component": [names[h - len(names)] for h in head], "rel_path": names})
 
 
-def _large_components(edges: DataFrame) -> DataFrame:
-    """The same by joins: forward colours, then what reaches its colour's root, until no node is left.
+def least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, rel_path, colour): the least node from which each node is reached, itself included.
 
-    Every round is written to the shared folder; nothing but its count is collected.
+    In a round a node takes the least colour of those before it, and its colour's own colour, which reaches it too; so
+    the rounds follow the logarithm of a path's length where colours lie along it.
     """
     keys = ["repo", "rel_path"]
+    colour = nodes.select(*keys, F.col("rel_path").alias("colour"))
+    while True:
+        came = edges.join(colour.withColumnRenamed("rel_path", "src"), ["repo", "src"]).groupBy("repo", F.col("dst").alias("rel_path")).agg(F.min("colour").alias("near"))
+        jump = colour.select("repo", F.col("rel_path").alias("colour"), F.col("colour").alias("further"))
+        step = colour.join(came, keys, "left").join(jump, ["repo", "colour"], "left")
+        step = written(step.select(*keys, F.least("colour", F.coalesce("near", "colour"), F.coalesce("further", "colour")).alias("new"), "colour"), "scc-colour")
+        colour = step.select(*keys, F.col("new").alias("colour"))
+        if step.where("new <> colour").isEmpty():
+            return colour
+
+
+def _large_components(edges: DataFrame, trims: int = 3) -> DataFrame:
+    """The same by joins, until no node is left: forward colours, then what reaches its colour's root within the colour.
+
+    A few rounds take off nodes without edges in or out first. Every round is written to the shared folder; nothing but
+    whether something is left is collected.
+    """
+    keys = ["repo", "rel_path"]
+    ends = lambda e, c: e.select("repo", F.col(c).alias("rel_path")).distinct()
+    within = lambda e, n: e.join(n.withColumnRenamed("rel_path", "src"), ["repo", "src"], "left_semi").join(n.withColumnRenamed("rel_path", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst")
+    alone = lambda n: n.select("repo", F.col("rel_path").alias("component"), "rel_path")
     left = written(edges.where("src <> dst").distinct(), "scc-edges")
-    both = left.select("repo", F.col("src").alias("rel_path")).unionByName(left.select("repo", F.col("dst").alias("rel_path")))
-    every = written(edges.select("repo", F.col("src").alias("rel_path")).unionByName(edges.select("repo", F.col("dst").alias("rel_path"))).distinct(), "scc-nodes")
-    done = every.join(both.distinct(), keys, "left_anti").select("repo", F.col("rel_path").alias("component"), "rel_path")
-    nodes = written(both.distinct(), "scc-left")
+    nodes = written(ends(edges, "src").unionByName(ends(edges, "dst")).distinct(), "scc-nodes")
+    done = None
     while not nodes.isEmpty():
-        colour = nodes.withColumn("colour", F.col("rel_path"))
-        while True:  # the least node from which a node is reached
-            came = left.join(colour.withColumnRenamed("rel_path", "src"), ["repo", "src"]).groupBy("repo", F.col("dst").alias("rel_path")).agg(F.min("colour").alias("near"))
-            step = colour.join(came, keys, "left").select(*keys, F.least("colour", F.coalesce("near", "colour")).alias("new"), "colour")
-            step = written(step, "scc-colour")
-            colour = step.select(*keys, F.col("new").alias("colour"))
-            if step.where("new <> colour").isEmpty():
-                break
-        inner = left.join(colour.select("repo", F.col("rel_path").alias("src"), F.col("colour").alias("a")), ["repo", "src"])
-        inner = inner.join(colour.select("repo", F.col("rel_path").alias("dst"), F.col("colour").alias("b")), ["repo", "dst"]).where("a = b").select("repo", "src", "dst")
-        inner = written(inner, "scc-inner")
-        found = colour.where("rel_path = colour")
-        fresh = found
-        while not fresh.isEmpty():  # against the edges, within the colour
-            back = inner.join(fresh.select("repo", F.col("rel_path").alias("dst"), "colour"), ["repo", "dst"]).select("repo", F.col("src").alias("rel_path"), "colour").distinct()
-            fresh = written(back.join(found, keys, "left_anti"), "scc-fresh")
-            found = written(found.unionByName(fresh), "scc-found")
+        for _ in range(trims):
+            core = written(ends(left, "src").join(ends(left, "dst"), keys), "scc-core")
+            gone = alone(nodes.join(core, keys, "left_anti"))
+            done = written(gone if done is None else done.unionByName(gone), "scc-done")
+            nodes, left = core, written(within(left, core), "scc-edges")
+        colour = least_reaching(nodes, left)
+        c = lambda end: colour.select("repo", F.col("rel_path").alias(end), F.col("colour").alias(f"{end}_colour"))
+        inner = left.join(c("src"), ["repo", "src"]).join(c("dst"), ["repo", "dst"]).where("src_colour = dst_colour")
+        inner = written(inner.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-inner")  # against the edges
+        back = least_reaching(nodes, inner).withColumnRenamed("colour", "reached")
+        found = colour.join(back, keys).where("reached = colour")  # the root is the least node of its colour
         done = written(done.unionByName(found.select("repo", F.col("colour").alias("component"), "rel_path")), "scc-done")
-        nodes = written(nodes.join(found, keys, "left_anti"), "scc-left")
-        out = left.join(nodes.withColumnRenamed("rel_path", "src"), ["repo", "src"], "left_semi").join(nodes.withColumnRenamed("rel_path", "dst"), ["repo", "dst"], "left_semi")
-        left = written(out.select("repo", "src", "dst"), "scc-edges")
+        nodes = written(nodes.join(found.select(*keys), keys, "left_anti"), "scc-left")
+        left = written(within(left, nodes), "scc-edges")
     return done
 
 

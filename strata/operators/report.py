@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from strata.functions import rules
 from strata.functions.paths import base_name
-from strata.functions.text import one_decimal
 from strata.operators import graph, metrics
 
 FOLDER = "architecture_report"
@@ -34,9 +33,15 @@ def exact_round(x: Column, digits: int = 4) -> Column:
     return rounded(x)
 
 
-def as_map(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """Per repo a map with its keys in order."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v"))))
+def one_decimal(x: Column) -> Column:
+    """A percentage as text with one decimal."""
+    return exact_round(x, 1).cast("string")
+
+
+def as_map(rows: DataFrame, key: str, value: Column, name: str, paths: bool = False) -> DataFrame:
+    """Per repo a map with its keys in order; with ``paths`` in that of their parts, folder by folder."""
+    place = F.split(key, "/") if paths else F.array(key)
+    pairs = F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col(key).alias("k"), value.alias("v"))))
     return rows.groupBy("repo").agg(F.map_from_entries(F.transform(pairs, lambda p: F.struct(p.k, p.v))).alias(name))
 
 
@@ -45,22 +50,23 @@ def as_list(rows: DataFrame, value: Column, name: str, order: Column | None = No
     return rows.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(item)), lambda p: p.v).alias(name))
 
 
-def scan_documents(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, repos: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
-    """One row per repo: ``document``, the nested scan result. ``repos`` adds roots that have no files and those that are not valid."""
+def scan_documents(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, repos: DataFrame | None = None, markers: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
+    """One row per repo: ``document``, the nested scan result. ``repos`` adds roots that have no files and those that are not valid, ``listed`` files that cannot be read."""
     degree = graph.degrees(stats, edges)
     cycle = graph.cycles(graph.strong_components(edges))
     scored = metrics.score(metrics.repo_facts(stats, edges, cycle, config, None if repos is None else repos.where("valid")))
     analysis = graph.cycle_analysis(cycle)
-    coupling = graph.folder_coupling(stats, edges)
+    nodes = (stats if listed is None else listed).select("repo", "rel_path")
+    coupling = graph.folder_coupling(nodes, edges)
     core = graph.core_modules(degree)
     core = core.select("repo", "path", "in_degree", "out_degree", *(exact_round(F.col(c)).alias(c) for c in ("normalized_in", "normalized_out", "centrality_score")), F.col("centrality_score").alias("exact"))
     god = graph.god_modules(stats, degree)
     s = lambda *c: F.struct(*c)
     long = stats.where("lines > 300")
     parts = [
-        as_map(stats, "rel_path", s("lines", "function_count", "class_count"), "per_file_stats"),
+        as_map(stats, "rel_path", s("lines", "function_count", "class_count"), "per_file_stats", paths=True),
         as_list(long, s(F.col("rel_path").alias("path"), "lines"), "long_files"),
-        as_map(stats.select("repo", "rel_path").join(edges.groupBy("repo", F.col("src").alias("rel_path")).agg(F.array_sort(F.collect_list("dst")).alias("deps")), ["repo", "rel_path"], "left"), "rel_path", F.coalesce("deps", F.array().cast("array<string>")), "import_map"),
+        as_map(nodes.join(edges.groupBy("repo", F.col("src").alias("rel_path")).agg(F.array_sort(F.collect_list("dst")).alias("deps")), ["repo", "rel_path"], "left"), "rel_path", F.coalesce("deps", F.array().cast("array<string>")), "import_map", paths=True),
         as_map(degree, "rel_path", F.col("in_degree"), "in_degree"),
         as_list(cycle, graph.closed("nodes"), "circular_dependencies", F.col("nodes")),
         as_list(analysis, s("type", "length", "files", "folders", "risk_score"), "cycles"),
@@ -175,7 +181,7 @@ def summaries(view: DataFrame) -> DataFrame:
     label = F.when(c("coupling_risk_level") == "high", "High coupling risk").when(c("coupling_risk_level") == "moderate", "Moderate coupling").otherwise("Low coupling")
     label = F.concat(label, F.when(lowered, " (dominated by tests/benchmarks)").otherwise(""))
     confidence = metrics.signal_confidence("source_files")
-    share = F.bround(100.0 * c("cross_folder_ratio"), 1).cast("string")
+    share = one_decimal(100.0 * c("cross_folder_ratio"))
     blocks = [
         F.array(
             told("Repository: ", c("repo")), told("Project size: ", rules.size_name(c("source_files")), " (", c("source_files"), " source files)"), told("Total files: ", c("source_files")),
@@ -223,7 +229,7 @@ def markdown(view: DataFrame, title: str = TITLE) -> DataFrame:
             told("- **Architecture score (deterministic):** ", c("architecture_health_percentage")), F.lit(""), F.lit("## Growth Risks"), told("- **Growth risk indicators:** ", metrics.growth_risk("source_files"), "/4 triggered"),
         ),
         F.when(F.size(long) > 0, F.concat(F.array(F.lit("- **Long files (>300 lines):**")), lines_of(long, lambda e: told("  - `", e.rel_path, "` (", e.lines, " lines)")))).otherwise(F.array(F.lit("- **Long files:** None"))),
-        F.array(F.lit(""), F.lit("## Coupling Analysis"), told("- **Cross-folder dependency ratio:** ", F.bround(100.0 * c("cross_folder_ratio"), 1), "%"), told("- **Coupling risk level:** ", c("coupling_risk_level"))),
+        F.array(F.lit(""), F.lit("## Coupling Analysis"), told("- **Cross-folder dependency ratio:** ", one_decimal(100.0 * c("cross_folder_ratio")), "%"), told("- **Coupling risk level:** ", c("coupling_risk_level"))),
         F.when(F.size("coupled") > 0, F.concat(F.array(F.lit("- **Top coupled folders:**")), lines_of(c("coupled"), lambda e: told("  - `", e.folder, "`: ", e.external_dependencies, " external folders")))).otherwise(empty),
         F.array(F.lit(""), F.lit("## Key Issues"), F.lit("- None reported."), F.lit("")),
     )

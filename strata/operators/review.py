@@ -51,6 +51,13 @@ def whole_score(v: Column) -> Column:
     return F.when(kind == "BIGINT", F.try_variant_get(raw, "$", "long")).when(kind == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("long"))
 
 
+def type_name(v: Column) -> Column:
+    """A JSON value's type, as Python calls it."""
+    kind = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    names = {"STRING": "str", "BIGINT": "int", "BOOLEAN": "bool", "ARRAY": "list", "OBJECT": "dict", "VOID": "NoneType"}
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), kind), F.lit("float"))
+
+
 def parse_lenient(rows: DataFrame, answer: str = "answer") -> DataFrame:
     """Score (0 unless an integer within 0 to 100) and lists (empty unless arrays); no JSON counts as an empty object."""
     v = F.try_parse_json(F.trim(F.col(answer)))
@@ -70,10 +77,10 @@ def parse_strict(rows: DataFrame, answer: str = "answer") -> DataFrame:
     missing = lambda k: get(k).isNull() | F.coalesce(F.schema_of_variant(get(k)) == "VOID", F.lit(False))
     score = whole_score(v)
     error = F.when(v.isNull(), "Invalid JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "Expected a JSON object")
-    error = error.when(missing(KEYS[0]), f"Missing required key: {KEYS[0]}").when(score.isNull(), f"{KEYS[0]} must be an integer")
+    error = error.when(missing(KEYS[0]), f"Missing required key: {KEYS[0]}").when(score.isNull(), F.concat(F.lit(f"{KEYS[0]} must be an integer, got "), type_name(get(KEYS[0]))))
     error = error.when(~score.between(0, 100), F.concat(F.lit(f"{KEYS[0]} must be between 0 and 100, got "), score.cast("string")))
     for k in KEYS[1:]:
-        error = error.when(missing(k), f"Missing required key: {k}").when(~F.schema_of_variant(get(k)).startswith("ARRAY"), f"{k} must be an array")
+        error = error.when(missing(k), f"Missing required key: {k}").when(~F.schema_of_variant(get(k)).startswith("ARRAY"), F.concat(F.lit(f"{k} must be an array, got "), type_name(get(k))))
     x = rows.withColumn("error", error)
     good = F.col("error").isNull()
     return x.select("*", F.when(good, score).cast("int").alias(KEYS[0]), *(F.when(good, texts(v, k)).alias(k) for k in KEYS[1:]))

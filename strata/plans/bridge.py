@@ -9,6 +9,9 @@ from strata.functions.text import line_count, marker_count
 
 #: Import graphs of suppliers: name, least quantity of an order's line and of the line after it.
 GRAPHS = (("q49_45", 49, 45), ("q48_46", 48, 46), ("q49_46", 49, 46))
+#: Those and one of all consecutive lines, for queries that need no recursive SQL.
+WIDE = (*GRAPHS, ("all", 0, 0))
+Graphs = tuple[tuple[str, int, int], ...]
 LAYERS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
@@ -31,32 +34,32 @@ def supplier_paths(spark: SparkSession, d: str) -> DataFrame:
     return x.select("s_suppkey", F.concat_ws("/", "r_name", "n_name", F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("rel_path"))
 
 
-def supplier_files(spark: SparkSession, d: str) -> DataFrame:
+def supplier_files(spark: SparkSession, d: str, graphs: Graphs = GRAPHS) -> DataFrame:
     """Suppliers as files of every graph; folders are regions."""
     sums = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
         (F.sum("l_quantity").cast("long") % 1200).alias("lines"), F.count("*").alias("function_count"), F.countDistinct("l_partkey").alias("class_count")
     )
     x = supplier_paths(spark, d).join(sums, "s_suppkey", "left").na.fill(0)
-    repos = F.explode(F.array(*(F.lit(g[0]) for g in GRAPHS))).alias("repo")
+    repos = F.explode(F.array(*(F.lit(g[0]) for g in graphs))).alias("repo")
     return x.select(repos, "rel_path", "lines", "function_count", "class_count")
 
 
-def supplier_edges(spark: SparkSession, d: str) -> DataFrame:
-    """An edge from a line's supplier to that of the order's next line, for large quantities; a bag."""
-    low = min(g[1] for g in GRAPHS), min(g[2] for g in GRAPHS)
+def supplier_edges(spark: SparkSession, d: str, graphs: Graphs = GRAPHS) -> DataFrame:
+    """An edge from a line's supplier to that of the order's next line, for quantities as the graph has them; a bag."""
+    low = min(g[1] for g in graphs), min(g[2] for g in graphs)
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
     a = li.where(F.col("l_quantity") >= low[0]).select("l_orderkey", (F.col("l_linenumber") + 1).alias("n"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("qa"))
     b = li.where(F.col("l_quantity") >= low[1]).select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("t"), F.col("l_quantity").alias("qb"))
-    names = F.array_compact(F.array(*(F.when((F.col("qa") >= x) & (F.col("qb") >= y), g) for g, x, y in GRAPHS)))
+    names = F.array_compact(F.array(*(F.when((F.col("qa") >= x) & (F.col("qb") >= y), g) for g, x, y in graphs)))
     e = a.join(b, ["l_orderkey", "n"]).select(F.explode(names).alias("repo"), "s", "t")
     p = supplier_paths(spark, d)
     e = e.join(p.select(F.col("s_suppkey").alias("s"), F.col("rel_path").alias("src")), "s").join(p.select(F.col("s_suppkey").alias("t"), F.col("rel_path").alias("dst")), "t")
     return e.select("repo", "src", "dst")
 
 
-def layers(spark: SparkSession) -> DataFrame:
+def layers(spark: SparkSession, graphs: Graphs = GRAPHS) -> DataFrame:
     order = F.array(*map(F.lit, LAYERS)).alias("layer_order")
-    return spark.createDataFrame([(g[0],) for g in GRAPHS], "repo string").select("repo", order)
+    return spark.createDataFrame([(g[0],) for g in graphs], "repo string").select("repo", order)
 
 
 def document_files(spark: SparkSession, d: str, todo: str = "license", fixme: str = "public") -> DataFrame:
@@ -86,13 +89,18 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
 PART_SQL = """files AS (SELECT p_brand AS repo, p_type || '/p' || p_partkey AS rel_path, coalesce(sum(l_quantity), 0)::INT AS lines,
   count(l_orderkey) AS function_count, count(DISTINCT l_suppkey) AS class_count FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand, p_type, p_partkey)"""
 
-_VALUES = ", ".join(f"('{g}', {a}, {b})" for g, a, b in GRAPHS)
-SUPPLIER_SQL = f"""graphs(repo, x, y) AS (VALUES {_VALUES}),
+
+def supplier_sql(graphs: Graphs = GRAPHS) -> str:
+    values = ", ".join(f"('{g}', {a}, {b})" for g, a, b in graphs)
+    return f"""graphs(repo, x, y) AS (VALUES {values}),
 paths AS (SELECT s_suppkey, r_name || '/' || n_name || '/s' || s_suppkey AS rel_path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 sums AS (SELECT l_suppkey, sum(l_quantity)::BIGINT % 1200 AS lines, count(*) AS f, count(DISTINCT l_partkey) AS c FROM lineitem GROUP BY l_suppkey),
 files AS (SELECT repo, rel_path, coalesce(lines, 0) AS lines, coalesce(f, 0) AS function_count, coalesce(c, 0) AS class_count FROM paths LEFT JOIN sums ON l_suppkey = s_suppkey, graphs),
 edges AS (SELECT repo, p.rel_path AS src, q.rel_path AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
   JOIN graphs ON a.l_quantity >= x AND b.l_quantity >= y JOIN paths p ON p.s_suppkey = a.l_suppkey JOIN paths q ON q.s_suppkey = b.l_suppkey)"""
+
+
+SUPPLIER_SQL = supplier_sql()
 DOCUMENT_SQL = """files AS (SELECT source AS repo, lang || '/d' || doc_id || '.py' AS rel_path,
   (len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + (coalesce(text, '') <> '' AND right(text, 1) <> chr(10))::INT)::BIGINT AS lines,
   len(regexp_extract_all(coalesce(text, ''), '(?i)\\blicense\\b'))::BIGINT AS todo, len(regexp_extract_all(coalesce(text, ''), '(?i)\\bpublic\\b'))::BIGINT AS fixme FROM documents)"""

@@ -24,7 +24,7 @@ class Scan:
     markers: DataFrame
 
     def documents(self) -> DataFrame:
-        return report.scan_documents(self.stats, self.edges, self.config, self.repos, self.markers)
+        return report.scan_documents(self.stats, self.edges, self.config, self.repos, self.markers, self.files)
 
     def overview(self) -> DataFrame:
         return report.overview(self.stats, self.edges, self.config, self.markers, self.repos)
@@ -87,10 +87,10 @@ def stored_metrics(spark: SparkSession, roots: list[str]) -> DataFrame:
 def audit(spark: SparkSession, root: str, with_markdown: bool = False) -> dict[str, str]:
     """Scan one repository and store its document (and Markdown); returns the texts. An invalid root stores nothing."""
     s = scan(spark, [root])
-    view = s.overview()
-    texts = {"document": s.documents().first()["document"], "summary": report.summaries(view).first()["summary"]}
+    view, documents = written(s.overview(), "overview"), written(s.documents(), "documents")  # computed once
+    texts = {"document": documents.first()["document"], "summary": report.summaries(view).first()["summary"]}
     texts["table"] = "\n".join(f"{r.metric}: {r.value}" for r in report.audit_rows(view).orderBy("place").collect())
-    report.write_per_repo(s.documents(), "document", report.DOCUMENT)
+    report.write_per_repo(documents, "document", report.DOCUMENT)
     if with_markdown:
         report.write_per_repo(report.markdown(view), "markdown", "report.md")
     return texts

@@ -1,7 +1,8 @@
 """Source trees: a Python data source that lists what Spark's own file sources leave out.
 
 Spark's readers skip names that begin with ``_`` or ``.`` and empty files; package files need them.
-Directories are pruned while walking. One input partition per top-level entry of each root.
+Directories are pruned while walking. Folders are opened level by level until there are ``PARTS`` input partitions, each
+a folder with all below it or at most ``PART_FILES`` files of an opened one; executors list and read the rest.
 """
 
 from __future__ import annotations
@@ -20,9 +21,21 @@ SCHEMA = "repo string, rel_path string, content binary, readable boolean"
 CONFIG_NAME = ".architecture.json"
 
 
+PARTS, PART_FILES = 256, 200
+
+
 class Entry(InputPartition):
-    def __init__(self, root: str, name: str):
-        self.root, self.name = root, name
+    """A folder with all below it, or some of its files."""
+
+    def __init__(self, root: str, folder: str, files: list[str] | None = None):
+        self.root, self.folder, self.files = root, folder, files
+
+
+def listed(folder: str, suffix: str) -> tuple[list[str], list[str]]:
+    """Names of the folders and of the wanted files in a folder, pruned and sorted."""
+    names = sorted(n for n in os.listdir(folder) if n not in PRUNED)
+    folders = [n for n in names if os.path.isdir(os.path.join(folder, n)) and not os.path.islink(os.path.join(folder, n))]
+    return folders, [n for n in names if n.endswith(suffix) and os.path.isfile(os.path.join(folder, n))]
 
 
 class TreeReader(DataSourceReader):
@@ -30,24 +43,32 @@ class TreeReader(DataSourceReader):
         self.roots, self.suffix = roots, suffix
 
     def partitions(self) -> list[Entry]:
-        return [Entry(root, name) for root in self.roots for name in sorted(os.listdir(root)) if name not in PRUNED]
-
-    def wanted(self, path: str) -> bool:
-        return os.path.isfile(path) and os.path.basename(path).endswith(self.suffix)
+        made: list[Entry] = []
+        level = [Entry(root, root) for root in self.roots]
+        while level and len(made) + len(level) < PARTS:
+            below = []
+            for e in level:
+                folders, files = listed(e.folder, self.suffix)
+                made += [Entry(e.root, e.folder, files[i : i + PART_FILES]) for i in range(0, len(files), PART_FILES)]
+                below += [Entry(e.root, os.path.join(e.folder, n)) for n in folders]
+            level = below
+        return made + level
 
     def read(self, partition: Entry) -> Iterator[tuple]:
-        top = os.path.join(partition.root, partition.name)
-        found = [top] if os.path.isfile(top) else []
-        for folder, names, files in os.walk(top):
-            names[:] = sorted(n for n in names if n not in PRUNED)
-            found += [os.path.join(folder, f) for f in sorted(files) if f not in PRUNED]
-        for path in filter(self.wanted, found):
-            try:
-                with open(path, "rb") as f:
-                    content, readable = f.read(), True
-            except OSError:
-                content, readable = None, False
-            yield partition.root, os.path.relpath(path, partition.root).replace(os.sep, "/"), content, readable
+        todo = [(partition.folder, partition.files)]
+        while todo:
+            folder, files = todo.pop()
+            if files is None:
+                folders, files = listed(folder, self.suffix)
+                todo += [(os.path.join(folder, n), None) for n in folders]
+            for name in files:
+                path = os.path.join(folder, name)
+                try:
+                    with open(path, "rb") as f:
+                        content, readable = f.read(), True
+                except OSError:
+                    content, readable = None, False
+                yield partition.root, os.path.relpath(path, partition.root).replace(os.sep, "/"), content, readable
 
 
 class TreeSource(DataSource):

@@ -1,21 +1,15 @@
 import pytest
 
-from strata.plans import catalogue
+from strata.plans import catalogue, documents
 from tests.compare import same
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL | documents.ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
-    same(spark, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], SF)
+    same(spark, (catalogue.QUERIES | documents.QUERIES)[name], (catalogue.ORACLE_SQL | documents.ORACLE_SQL)[name], SF)
 
 
-def test_text_reports(spark):
-    view = catalogue._view(spark, SF).cache()
-    from strata.operators import report
-
-    for row in report.summaries(view).collect():
-        assert row.summary.startswith(f"Repository: {row.repo}\nProject size: Small (10 source files)")
-        assert "coupling_risk_level: " in row.summary
-    assert all(r.markdown.startswith("# Architecture Report\n\n## Summary") for r in report.markdown(view).collect())
+def test_every_query_but_the_documents_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL) and set(documents.QUERIES) - set(documents.ORACLE_SQL) == {"scan_documents"}  # its parts have

@@ -82,3 +82,16 @@ def test_reviews(spark):
     assert {r.answer for r in asked.collect()} == {review.EMPTY_REVIEW}
     with pytest.raises(Exception, match="between 0 and 100"):
         review.require_valid(review.parse_strict(rows.where("i = 1"))).collect()
+
+
+def test_review_messages_and_prompts(spark):
+    answers = ['{"architecture_score": "5"}', '{"architecture_score": 1.5}', '{"architecture_score": [1]}', '{"architecture_score": 1, "key_issues": {"a": 1}}', '{"architecture_score": 1, "key_issues": [], "improvement_priorities": 7}']
+    rows = spark.createDataFrame(list(enumerate(answers)), "i int, answer string")
+    errors = [r.error for r in review.parse_strict(rows).orderBy("i").collect()]
+    assert errors == [
+        "architecture_score must be an integer, got str", "architecture_score must be an integer, got float", "architecture_score must be an integer, got list",
+        "key_issues must be an array, got dict", "improvement_priorities must be an array, got int",
+    ]
+    text = rows.select(review.full_prompt(F.lit("SUMMARY")).alias("a"), review.full_prompt(F.lit("S"), "Only risks.").alias("b"), review.simple_prompt(F.lit("S")).alias("c")).first()
+    assert text.a.endswith("Repository summary:\n\nSUMMARY") and review.FORM in text.a
+    assert text.b.startswith("Only risks. Answer with ") and text.c == "Repository summary:\n\nS\n\nProvide the analysis as JSON only."

@@ -125,6 +125,13 @@ def test_empty_root(scanned, documents):
     assert s.scores().where(F.col("repo") == roots["empty"]).first().total_files == 0
 
 
+def test_keys_in_the_order_of_paths(documents):
+    """Files come folder by folder: a folder's files before a file whose name only begins like the folder's."""
+    assert list(documents["quirks"]["per_file_stats"]) == ["bad.py", "far.py", "foo.py", "pkg/__init__.py", "pkg/m.py", "pkg.py", "solo.py", "src/foo.py"]
+    assert list(documents["quirks"]["dependency_stats"]["import_map"]) == list(documents["quirks"]["per_file_stats"])
+    assert list(documents["quirks"]["dependency_stats"]["in_degree"]) == sorted(documents["quirks"]["per_file_stats"])
+
+
 def test_first_long_files_by_path(scanned):
     roots, s = scanned
     view = s.overview().where(F.col("repo") == roots["many"])
@@ -205,6 +212,7 @@ def test_stored_documents(spark, scanned):
     assert gone == f"Scan data not found at {roots['gone']}/{report.FOLDER}/{report.DOCUMENT}."
     live = {r.repo: r for r in metrics.harness_rows(s.scores()).collect()}
     kept = {r.repo: r for r in plans.stored_metrics(spark, list(roots.values())).collect()}
+    assert {r.repo: r for r in plans.harness(spark, [roots["mini"]], store=True).collect()} == {roots["mini"]: kept[roots["mini"]]}
     assert kept.keys() == live.keys() and all(kept[k][c] == pytest.approx(live[k][c], abs=1e-4) for k in kept for c in kept[k].asDict() if c != "repo")
 
 
@@ -229,13 +237,20 @@ def test_unreadable_files_are_listed(spark, tmp_path):
     facts = syntax.file_facts(spark.createDataFrame(rows, pytree.SCHEMA))
     got = {r.rel_path: (r.lines, r.parse_status) for r in facts.collect()}
     assert got == {"a.py": (1, "ok"), "b.py": (None, "unreadable")}
+    good = facts.where("parse_status = 'ok'")
+    row = report.scan_documents(good, syntax.import_edges(good), listed=facts).first()
+    assert json.loads(row.document)["dependency_stats"]["import_map"] == {"a.py": [], "b.py": []} and list(json.loads(row.document)["per_file_stats"]) == ["a.py"]
     x = spark.createDataFrame([(4, 5, 9, False, 0.0)], "total_files long, source_files long, total_edges long, only_tests boolean, cross_folder_ratio double")
     assert x.select(metrics.signal_confidence().alias("a"), metrics.signal_confidence("source_files").alias("b")).first() == (75, 100)
 
 
-def test_commands(spark, tmp_path, capsys):
+def test_commands(spark, tmp_path, capsys, monkeypatch):
     from strata.__main__ import main
 
+    metrics_of = {"total_files": 2, "total_lines": 5, "architecture_health_percentage": 90, "raw_score": 1, "long_file_penalty": 0, "circular_dependency_penalty": 0, "centralization_penalty": 0, "cross_folder_penalty": 1, "long_file_ratio": 0.0, "cycle_ratio": 0.0}
+    kind = "repo string, " + ", ".join(f"{k} {'double' if k.endswith('ratio') else 'long'}" for k in metrics_of)
+    asked = []
+
     root = tree(tmp_path / "one", {"a.py": "import b\n", "b.py": ""})
     tree(tmp_path / "two", {"c.py": ""})
     main(["version"])
@@ -248,14 +263,14 @@ def test_commands(spark, tmp_path, capsys):
     assert "Total files: 2" in capsys.readouterr().out
     main(["benchmark", root, str(tmp_path / "none"), "--json"])
     assert [x["total_files"] for x in json.loads(capsys.readouterr().out)] == [None, 2]
-    main(["benchmark", root])
-    assert "CrossFolder%" in capsys.readouterr().out
     (tmp_path / "urls").write_text("# list\nhttps://host/x/one.git\n\nhttps://host/x/nine\n")
+    import strata.plans.scan as driver
+
+    monkeypatch.setattr(driver, "harness", lambda s, roots, store: asked.append((roots, store)) or s.createDataFrame([(r, *metrics_of.values()) for r in roots], kind))
     args = ["harness", str(tmp_path), "two", "--url-file", str(tmp_path / "urls"), "--results", str(tmp_path / "r.csv"), "--summary", str(tmp_path / "s.json")]
     main(args)
-    main([*args, "--append"])
     lines = (tmp_path / "r.csv").read_text().splitlines()
-    assert [x.split(",")[:3] for x in lines[1:]] == [["one", "https://host/x/one.git", "2"], ["two", "", "1"]] * 2
+    assert [x.split(",")[:3] for x in lines[1:]] == [["one", "https://host/x/one.git", "2"], ["two", "", "2"]] and asked[0] == ([str(tmp_path / "one"), str(tmp_path / "two")], True) and len(json.loads((tmp_path / "s.json").read_text())) == 2
     main(["harness", str(tmp_path), "nothing", "--results", str(tmp_path / "none.csv")])
     assert "No results" in capsys.readouterr().out
 
@@ -269,6 +284,20 @@ def test_listing(spark, tmp_path):
     assert syntax.file_facts(rows).where("rel_path = 'bad.py'").first().lines == 1
 
 
+def test_partitions(tmp_path, monkeypatch):
+    """Everything below one folder is many partitions, and every file is read once however they are cut."""
+    root = tree(tmp_path, {f"src/pkg{i}/sub{j}/m{k}.py": "" for i in range(4) for j in range(3) for k in range(5)} | {"src/one.py": "", "src/venv/no.py": ""})
+    want = sorted([f"src/pkg{i}/sub{j}/m{k}.py" for i in range(4) for j in range(3) for k in range(5)] + ["src/one.py"])
+    for parts, files, least in ((256, 200, 13), (256, 2, 37), (3, 200, 2), (1, 200, 1)):
+        monkeypatch.setattr(pytree, "PARTS", parts)
+        monkeypatch.setattr(pytree, "PART_FILES", files)
+        reader = pytree.TreeReader([root], ".py")
+        made = reader.partitions()
+        assert len(made) >= least and sorted(r[1] for p in made for r in reader.read(p)) == want
+    monkeypatch.setattr(pytree, "PARTS", 256)
+    assert pytree.TreeReader([tree(tmp_path / "none", {"x.txt": ""})], ".py").partitions() == []
+
+
 def test_syntax():
     source = "import a.b.c as q, d\nfrom . import x, y as z\nasync def f():\n    import e\n    def g(): pass\nclass A:\n    class B:\n        def m(self): from ..p import *\n"
     functions, classes, status, found = syntax.parse(source)

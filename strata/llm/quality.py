@@ -22,6 +22,7 @@ RULES = ("few_words", "repeated_words", "symbols", "repeated_lines", "word_lengt
 POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols", "repeated_lines"),
+    "v2": ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length"),
 }
 MIN_WORDS, MAX_REPEATED_PCT, MAX_SYMBOLS_PCT, MAX_LINES_PCT, WORD_CHARS = 50, 50, 10, 50, (2, 15)
 #: Up to so many repeated windows a text's positions are looked up one by one, beyond it they are sorted.
@@ -131,6 +132,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each policy and rule over all documents: rows that fail it, and rows that only it rejects. The ledger is evaluated once."""
+    sums = ledger(table(spark, sf_dir, "documents").select("text")).groupBy("failed").agg(F.count("*").alias("n"))  # 2^5 rows at most
+    policies = F.explode(F.array(*(F.struct(F.lit(p).alias("policy"), F.lit(mask(p)).alias("mask")) for p in POLICIES))).alias("p")
+    rules = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(1 << i).alias("bit")) for i, r in enumerate(RULES)))
+    x = sums.select("failed", "n", policies).select("n", "p.*", F.col("failed").bitwiseAND(F.col("p.mask")).alias("failed")).select("*", F.inline(rules))
+    x = x.where(F.col("mask").bitwiseAND(F.col("bit")) != 0)
+    of = lambda rows: F.sum(F.when(rows, F.col("n")).otherwise(0))
+    hit = F.col("failed").bitwiseAND(F.col("bit")) != 0
+    return x.groupBy("policy", "rule").agg(of(hit).alias("n_failed"), of(F.col("failed") == F.col("bit")).alias("n_only"), of(F.col("failed") != 0).alias("n_rejected"))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS k FROM documents),
 w AS (SELECT doc_id, k, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -148,3 +161,9 @@ f AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words):
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed,
   (failed & 15) = 0 AS kept, failed::BIGINT AS failed FROM f
 """
+
+_BITS = ", ".join(f"('{p}', {sum(1 << RULES.index(r) for r in own)}, '{r}', {1 << RULES.index(r)})" for p, own in POLICIES.items() for r in own)
+ABLATION_SQL = f"""
+SELECT policy, rule, count(*) FILTER ((failed & bit) <> 0) AS n_failed, count(*) FILTER ((failed & mask) = bit) AS n_only, count(*) FILTER ((failed & mask) <> 0) AS n_rejected
+FROM ({OP6_SQL}) AS ledger, (VALUES {_BITS}) AS rules(policy, mask, rule, bit) GROUP BY policy, rule
+"""

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe_roundtrip": bpe.op4_bpe_roundtrip,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
+    "quality_ablation": quality.quality_ablation,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
@@ -21,6 +22,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_pivot_topk": topk.OP3_SQL,
     "op6_quality_rules": quality.OP6_SQL,
+    "quality_ablation": quality.ABLATION_SQL,
     "op7_license_scan": licenses.OP7_SQL,
     "op8_source_mix": mixing.OP8_SQL,
     "op10_chat_format": chats.OP10_SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.llm import bpe, chats, licenses, mixing, near, quality, secrets, suffixes, token_counts, topk
+from strata.llm import bpe, chats, clusters, licenses, mixing, near, periods, quality, secrets, suffixes, token_counts, topk, urls
 
 QUERIES = {
     "op1_jaccard_join": near.op1_jaccard_join,
@@ -17,6 +17,9 @@ QUERIES = {
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_chat_format": chats.op10_chat_format,
     "chat_tool_links": chats.chat_tool_links,
+    "op11_centroid_clusters": clusters.op11_centroid_clusters,
+    "op12_url_filter": urls.op12_url_filter,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
@@ -27,4 +30,6 @@ ORACLE_SQL = {
     "op8_source_mix": mixing.OP8_SQL,
     "op10_chat_format": chats.OP10_SQL,
     "chat_tool_links": chats.LINKS_SQL,
+    "op11_centroid_clusters": clusters.OP11_SQL,
+    "op12_url_filter": urls.OP12_SQL,
 }

@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.paths import top_folder
 from strata.functions.rules import cycle_type, ratio
-from strata.storage import written
+from strata.storage import discard, written
 
 #: Repositories with more distinct edges than this are not handed to a single task.
 LOCAL_EDGES = 200_000
+#: Edges of a task that condenses its own part of a larger graph, about.
+PART_EDGES = 200_000
+COMPONENT = "repo string, component string, rel_path string"
+#: Into how many places the rows of one repository are dealt where they meet its own facts.
+SALTS = 64
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str = "rel_path") -> DataFrame:
+    """Rows of repositories beside their repository's facts (one row a repository), as an inner join by ``repo`` has them.
+
+    A repository may hold all rows: its rows are dealt by ``key`` to ``SALTS`` places, and its facts have a copy in each. Where
+    the facts are few, by Spark's own measure of their size, they are broadcast instead.
+    """
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("__salt")
+    copies = facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    return rows.select("*", salt).join(copies, ["repo", "__salt"]).drop("__salt")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,7 +49,8 @@ def max_in_degree_file(degree: DataFrame) -> DataFrame:
 def core_modules(degree: DataFrame) -> DataFrame:
     """Files with a degree, by the mean of their normalised degrees (unrounded)."""
     top = degree.groupBy("repo").agg(F.greatest(F.max("in_degree"), F.lit(1)).alias("i"), F.greatest(F.max("out_degree"), F.lit(1)).alias("o"))
-    active = degree.where((F.col("in_degree") > 0) | (F.col("out_degree") > 0)).join(top, "repo")
+    active = degree.where((F.col("in_degree") > 0) | (F.col("out_degree") > 0))
+    active = with_facts(active, top)
     x = active.withColumn("normalized_in", F.col("in_degree").cast("double") / F.col("i")).withColumn("normalized_out", F.col("out_degree").cast("double") / F.col("o"))
     score = ((F.col("normalized_in") + F.col("normalized_out")) / 2.0).alias("centrality_score")
     return x.select("repo", F.col("rel_path").alias("path"), "in_degree", "out_degree", "normalized_in", "normalized_out", score)
@@ -41,16 +60,27 @@ def god_modules(stats: DataFrame, degree: DataFrame, lines: int = 800) -> DataFr
     """Files over ``lines`` whose degree exceeds the repo's upper median."""
     x = stats.select("repo", "rel_path", "lines").join(degree, ["repo", "rel_path"], "left").na.fill(0, ["in_degree", "out_degree"])
     x = x.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
-    median = x.groupBy("repo").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY degree DESC)").alias("median"))
-    hub = x.join(median, "repo").where((F.col("lines") > lines) & (F.col("degree") > F.col("median")))
+    hub = with_facts(x, upper_median(x, "degree")).where((F.col("lines") > lines) & (F.col("degree") > F.col("median")))
     return hub.select("repo", F.col("rel_path").alias("path"), "lines", "in_degree", "out_degree")
 
 
+def upper_median(rows: DataFrame, value: str) -> DataFrame:
+    """(repo, median): the value at the middle of each repo's values from the greatest down, the first of two middle ones.
+
+    Read from a histogram: its size, and every state, is bounded by the distinct values, not by the rows.
+    """
+    counts = rows.groupBy("repo", F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    down = Window.partitionBy("repo").orderBy(F.desc("v"))
+    total = F.sum("n").over(Window.partitionBy("repo"))
+    reached = counts.select("repo", "v", F.sum("n").over(down).alias("upto"), total.alias("total")).where(2 * F.col("upto") >= F.col("total"))
+    return reached.groupBy("repo").agg(F.max("v").alias("median"))
+
+
 def bottlenecks(stats: DataFrame, degree: DataFrame, share: float = 0.30) -> DataFrame:
     """Files that hold at least ``share`` of both the functions and the imports of their repo."""
     x = stats.select("repo", "rel_path", "function_count").join(degree.select("repo", "rel_path", "in_degree"), ["repo", "rel_path"])
     totals = x.groupBy("repo").agg(F.sum("function_count").alias("functions"), F.sum("in_degree").alias("imports"))
-    x = x.join(totals, "repo").where((F.col("functions") > 0) & (F.col("imports") > 0))
+    x = with_facts(x, totals.where("functions > 0 AND imports > 0"))
     x = x.withColumn("function_share", ratio(F.col("function_count"), F.col("functions"))).withColumn("import_share", ratio(F.col("in_degree"), F.col("imports")))
     return x.where((F.col("function_share") >= share) & (F.col("import_share") >= share)).select("repo", F.col("rel_path").alias("path"), "function_share", "import_share")
 
@@ -83,7 +113,7 @@ def layer_violations(edges: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def _components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strongly connected components of one repo, with explicit stacks instead of recursion."""
+    """Strongly connected components of one repo's edges, with explicit stacks instead of recursion."""
     ids = {p: i for i, p in enumerate(sorted(set(pdf["src"]) | set(pdf["dst"])))}
     names, out = list(ids), [[] for _ in ids]
     for a, b in zip(pdf["src"], pdf["dst"], strict=True):
@@ -125,68 +155,128 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"repo": repo, "component": [names[h - len(names)] for h in head], "rel_path": names})
 
 
-def least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo, rel_path, colour): the least node from which each node is reached, itself included.
+def condensed(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame | None:
+    """(repo, rel_path, component) of the nodes that lie in cycles of some task's own edges, written; None where there are none.
 
-    In a round a node takes the least colour of those before it, and its colour's own colour, which reaches it too; so
-    the rounds follow the logarithm of a path's length where colours lie along it.
+    Edges are dealt by ranges of their source's path, so that folders stay together. As all edges from a node lie in one task, a node is
+    in a cycle of one task at most.
+    """
+    parts = -(-edges.count() // part_edges)
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        for _, pdf in pd.concat(held).groupby("repo") if held else []:
+            found = _components(pdf)
+            yield found[found.groupby("component")["rel_path"].transform("size") > 1]
+
+    dealt = edges.repartitionByRange(max(1, parts), "repo", "src")
+    found = written(dealt.select("repo", "src", "dst").mapInPandas(own, COMPONENT), "scc-own")
+    if found.isEmpty():
+        discard(found)
+        return None
+    return found
+
+
+def renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct edges between the components that ``names`` (repo, rel_path, component) gives to some of their ends."""
+    x = edges
+    for end in ("src", "dst"):
+        n = names.select("repo", F.col("rel_path").alias(end), "component")
+        x = x.join(n, ["repo", end], "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    return x.where("src <> dst").select("repo", "src", "dst").distinct()
+
+
+def least_reaching(nodes: DataFrame, edges: DataFrame, seed: int, log: list[str] | None = None) -> DataFrame:
+    """(repo, rel_path, colour): the first node, in a random order, from which each node is reached, itself included; written.
+
+    In a round a node takes the first colour of those before it, and its colour's own colour, which reaches it too. As the order is
+    random, the colour lies anywhere on the way behind a node, so that the way it stands for grows by half in a round, whatever the names
+    are: the rounds follow the logarithm of the longest path. ``log`` gets an entry for each.
     """
     keys = ["repo", "rel_path"]
-    colour = nodes.select(*keys, F.col("rel_path").alias("colour"))
+    first = F.struct(F.xxhash64(F.lit(seed), "rel_path").alias("h"), F.col("rel_path").alias("p"))
+    colour = nodes.select(*keys, first.alias("colour"))
+    held = None
     while True:
         came = edges.join(colour.withColumnRenamed("rel_path", "src"), ["repo", "src"]).groupBy("repo", F.col("dst").alias("rel_path")).agg(F.min("colour").alias("near"))
-        jump = colour.select("repo", F.col("rel_path").alias("colour"), F.col("colour").alias("further"))
-        step = colour.join(came, keys, "left").join(jump, ["repo", "colour"], "left")
-        step = written(step.select(*keys, F.least("colour", F.coalesce("near", "colour"), F.coalesce("further", "colour")).alias("new"), "colour"), "scc-colour")
+        step = colour.join(came, keys, "left").select(*keys, F.least("colour", F.coalesce("near", "colour")).alias("new"), "colour")
+        jump = colour.select("repo", F.col("rel_path").alias("p"), F.col("colour").alias("further"))
+        step = step.withColumn("p", F.col("new.p")).join(jump, ["repo", "p"], "left")
+        step = written(step.select(*keys, F.least("new", F.coalesce("further", "new")).alias("new"), "colour"), "scc-colour")
+        if held is not None:
+            discard(held)
+        held = step
         colour = step.select(*keys, F.col("new").alias("colour"))
+        if log is not None:
+            log.append("round")
         if step.where("new <> colour").isEmpty():
             return colour
 
 
-def _large_components(edges: DataFrame, trims: int = 3) -> DataFrame:
-    """The same by joins, until no node is left: forward colours, then what reaches its colour's root within the colour.
+def _large_components(edges: DataFrame, local_edges: int, trims: int = 3, part_edges: int = PART_EDGES, log: list[str] | None = None) -> DataFrame:
+    """The same over all tasks. Tasks first condense the cycles of their own edges to one node each, as long as that shrinks the graph; what is then
+    small enough is solved in one task. The rest goes by joins, until no node is left: a few rounds take off nodes without edges in or out, then
+    forward colours, then what reaches its colour's root within the colour.
 
-    A few rounds take off nodes without edges in or out first. Every round is written to the shared folder; nothing but
-    whether something is left is collected.
+    Every round is written to the shared folder and deleted when the next one is; nothing but counts is collected.
     """
     keys = ["repo", "rel_path"]
     ends = lambda e, c: e.select("repo", F.col(c).alias("rel_path")).distinct()
     within = lambda e, n: e.join(n.withColumnRenamed("rel_path", "src"), ["repo", "src"], "left_semi").join(n.withColumnRenamed("rel_path", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst")
     alone = lambda n: n.select("repo", F.col("rel_path").alias("component"), "rel_path")
+
+    def after(*old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+        out = written(new, name)
+        discard(*old)
+        return out
+
     left = written(edges.where("src <> dst").distinct(), "scc-edges")
-    nodes = written(ends(edges, "src").unionByName(ends(edges, "dst")).distinct(), "scc-nodes")
-    done = None
+    label = written(alone(ends(edges, "src").unionByName(ends(edges, "dst")).distinct()), "scc-label")
+    named = lambda found: label.join(found.select("repo", F.col("rel_path").alias("component"), F.col("component").alias("further")), ["repo", "component"], "left").select("repo", F.coalesce("further", "component").alias("component"), "rel_path")
+    while (found := condensed(left, part_edges)) is not None:
+        before = left.count()
+        label = after(label, new=named(found), name="scc-label")
+        left = after(left, found, new=renamed(left, found), name="scc-edges")
+        if left.count() > 0.8 * before:
+            break
+    large = left.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > local_edges)
+    done = written(left.join(large, "repo", "left_anti").groupBy("repo").applyInPandas(_components, COMPONENT), "scc-done")
+    left = after(left, new=left.join(large, "repo", "left_semi"), name="scc-edges")
+    nodes = written(ends(left, "src").unionByName(ends(left, "dst")).distinct(), "scc-nodes")
+    seed = 0
     while not nodes.isEmpty():
         for _ in range(trims):
             core = written(ends(left, "src").join(ends(left, "dst"), keys), "scc-core")
-            gone = alone(nodes.join(core, keys, "left_anti"))
-            done = written(gone if done is None else done.unionByName(gone), "scc-done")
-            nodes, left = core, written(within(left, core), "scc-edges")
-        colour = least_reaching(nodes, left)
+            left = after(left, new=within(left, core), name="scc-edges")
+            discard(nodes)  # a node without edges in or out is a component of its own, as its label says
+            nodes = core
+        colour = least_reaching(nodes, left, seed := seed + 1, log)
         c = lambda end: colour.select("repo", F.col("rel_path").alias(end), F.col("colour").alias(f"{end}_colour"))
         inner = left.join(c("src"), ["repo", "src"]).join(c("dst"), ["repo", "dst"]).where("src_colour = dst_colour")
         inner = written(inner.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-inner")  # against the edges
-        back = least_reaching(nodes, inner).withColumnRenamed("colour", "reached")
-        found = colour.join(back, keys).where("reached = colour")  # the root is the least node of its colour
-        done = written(done.unionByName(found.select("repo", F.col("colour").alias("component"), "rel_path")), "scc-done")
-        nodes = written(nodes.join(found.select(*keys), keys, "left_anti"), "scc-left")
-        left = written(within(left, nodes), "scc-edges")
-    return done
-
-
-def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+        back = least_reaching(nodes, inner, seed, log).withColumnRenamed("colour", "reached")
+        found = colour.join(back, keys).where("reached = colour").select(*keys, "colour")  # the root is the first node of its colour
+        found = written(found, "scc-found")
+        least = found.groupBy("repo", "colour").agg(F.min("rel_path").alias("component"))
+        done = after(done, new=done.unionByName(found.join(least, ["repo", "colour"]).select("repo", "component", "rel_path")), name="scc-done")
+        discard(inner, colour, back)
+        nodes = after(nodes, new=nodes.join(found.select(*keys), keys, "left_anti"), name="scc-left")
+        left = after(left, found, new=within(left, nodes), name="scc-edges")
+    return after(label, done, left, nodes, new=named(done), name="scc-components")
+
+
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, part_edges: int = PART_EDGES, log: list[str] | None = None) -> DataFrame:
     """(repo, component, rel_path) of all nodes of edges; a component is named by its smallest path.
 
-    A repo whose edges are counted to fit a task is solved in one; larger ones by joins over all tasks.
+    A repo whose edges are counted to fit a task is solved in one; larger ones over all tasks.
     """
     edges = edges.select("repo", "src", "dst").distinct()
-    schema = "repo string, component string, rel_path string"
     counts = edges.groupBy("repo").agg(F.count("*").alias("n"))
     large = counts.where(F.col("n") > local_edges)
     if large.isEmpty():
-        return edges.groupBy("repo").applyInPandas(_components, schema)
-    small = edges.join(large, "repo", "left_anti").groupBy("repo").applyInPandas(_components, schema)
-    return small.unionByName(_large_components(edges.join(large, "repo", "left_semi")))
+        return edges.groupBy("repo").applyInPandas(_components, COMPONENT)
+    small = edges.join(large, "repo", "left_anti").groupBy("repo").applyInPandas(_components, COMPONENT)
+    return small.unionByName(_large_components(edges.join(large, "repo", "left_semi"), local_edges, part_edges=part_edges, log=log))
 
 
 def cycles(components: DataFrame) -> DataFrame:
@@ -211,6 +301,6 @@ def tight_pairs(cycle: DataFrame) -> DataFrame:
 
 
 def top_rows(df: DataFrame, n: int, *order) -> DataFrame:
-    """The first n rows of each repo."""
+    """The first n rows of each repo. Spark cuts each task's rows of a repo to n before they are exchanged."""
     rank = F.row_number().over(Window.partitionBy("repo").orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= n)

@@ -13,17 +13,17 @@ from strata.operators import graph
 SCORING_VERSION = "2.0"
 #: Scoring keys with their types and defaults, fixed values of the scoring model.
 SCORING = {
-    "long_file_threshold_low": ("int", 500),
-    "long_file_threshold_high": ("int", 800),
-    "long_file_penalty_low": ("int", 2),
-    "long_file_penalty_high": ("int", 5),
-    "cycle_penalty_2_node": ("int", 10),
+    "long_file_threshold_low": ("bigint", 500),
+    "long_file_threshold_high": ("bigint", 800),
+    "long_file_penalty_low": ("bigint", 2),
+    "long_file_penalty_high": ("bigint", 5),
+    "cycle_penalty_2_node": ("bigint", 10),
     "centralization_threshold_ratio": ("double", 0.05),
-    "centralization_penalty": ("int", 10),
+    "centralization_penalty": ("bigint", 10),
     "cross_folder_threshold_low": ("double", 0.2),
     "cross_folder_threshold_high": ("double", 0.4),
-    "cross_folder_penalty_low": ("int", 10),
-    "cross_folder_penalty_high": ("int", 20),
+    "cross_folder_penalty_low": ("bigint", 10),
+    "cross_folder_penalty_high": ("bigint", 20),
 }
 #: Penalty scale and least health of each structural class; fixed values.
 CLASS_SCALE = {"small_project": 1.0, "mid_project": 1.0, "large_framework": 0.7, "core_engine": 0.6}
@@ -31,7 +31,7 @@ CLASS_FLOOR = {"small_project": 20, "mid_project": 20, "large_framework": 25, "c
 CONFIG_TYPE = (
     "layer_order array<string>, scoring struct<"
     + ", ".join(f"{k}: {t}" for k, (t, _) in SCORING.items())
-    + ", structural_class_penalty_scale: map<string, double>, structural_class_health_floor: map<string, int>, scoring_profile: string>"
+    + ", structural_class_penalty_scale: map<string, double>, structural_class_health_floor: map<string, bigint>, scoring_profile: string>"
 )
 
 
@@ -42,18 +42,23 @@ def settings(text: Column) -> Column:
     at = lambda path, kind="variant": F.try_variant_get(v, path, kind)
 
     def number(x: Column, kind: str) -> Column:
-        said = F.trim(F.try_variant_get(x, "$", "string"))
+        said = F.regexp_replace(F.try_variant_get(x, "$", "string"), F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
+        plain = F.regexp_replace(said, F.lit(r"(?<=\d)_(?=\d)"), F.lit(""))  # a line between digits
+        text = F.schema_of_variant(x) == "STRING"
         if kind == "double":
-            return F.try_variant_get(x, "$", "double")
-        digits = F.when(said.rlike(r"^[+-]?\d+(_\d+)*$"), F.regexp_replace(said, F.lit("_"), F.lit("")).try_cast("bigint"))
-        cut = F.try_variant_get(x, "$", "double").try_cast("bigint")
-        return F.when(F.schema_of_variant(x) == "STRING", digits).otherwise(cut).try_cast("int")
+            special = F.regexp_replace(F.lower(plain), F.lit("^([+-]?)(infinity|inf|nan)$"), F.lit("$1$2"))
+            words = F.when(special.isin("nan", "+nan", "-nan"), F.lit(float("nan"))).when(special.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf"))).when(special.isin("-inf", "-infinity"), F.lit(float("-inf")))
+            number = F.when(plain.rlike(r"^[+-]?(\d+[.]?\d*|[.]\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
+            return F.when(text, F.coalesce(words, number)).otherwise(F.try_variant_get(x, "$", "double"))
+        digits = F.when(plain.rlike(r"^[+-]?\d+$"), plain.try_cast("bigint"))
+        cut = F.coalesce(F.try_variant_get(x, "$", "bigint"), F.try_variant_get(x, "$", "double").try_cast("bigint"))
+        return F.when(text, digits).otherwise(cut)
 
     def each(path: str, kind: str) -> Column:
         return F.transform_values(at(path, "map<string,variant>"), lambda _, x: number(x, kind))
 
     fields = [number(at(f"$.scoring.{k}"), t).alias(k) for k, (t, _) in SCORING.items()]
-    fields += [each("$.scoring.structural_class_penalty_scale", "double").alias("structural_class_penalty_scale"), each("$.scoring.structural_class_health_floor", "int").alias("structural_class_health_floor")]
+    fields += [each("$.scoring.structural_class_penalty_scale", "double").alias("structural_class_penalty_scale"), each("$.scoring.structural_class_health_floor", "bigint").alias("structural_class_health_floor")]
     fields.append(at("$.scoring.scoring_profile", "string").alias("scoring_profile"))
     filled = F.size(at("$.scoring", "map<string,variant>")) > 0
     return F.struct(at("$.layer_order", "array<string>").alias("layer_order"), F.when(filled, F.struct(*fields)).alias("scoring"))
@@ -85,6 +90,15 @@ def config_struct() -> str:
     return CONFIG_TYPE.split("scoring ", 1)[1]
 
 
+def only_tests() -> Column:
+    return F.bool_and(F.lower(top_folder(F.col("rel_path"))).isin(*rules.TEST_FOLDERS)).alias("only_tests")
+
+
+def test_only(listed: DataFrame) -> DataFrame:
+    """(repo, only_tests): whether every listed file, readable or not, lies in a folder of tests."""
+    return listed.groupBy("repo").agg(only_tests())
+
+
 def totals(stats: DataFrame, long_lines: int = 500) -> DataFrame:
     """Sums per repo. stats: repo, rel_path, lines, function_count, class_count."""
     s = stats.groupBy("repo").agg(
@@ -95,7 +109,7 @@ def totals(stats: DataFrame, long_lines: int = 500) -> DataFrame:
         F.sum(F.col("function_count").cast("long")).alias("total_functions"),
         F.max("lines").alias("max_lines"),
         F.max("function_count").alias("max_functions"),
-        F.bool_and(F.lower(top_folder(F.col("rel_path"))).isin(*rules.TEST_FOLDERS)).alias("only_tests"),
+        only_tests(),
     )
     return s.withColumn("average_lines_per_file", ratio(F.col("total_lines"), F.col("total_files")))
 
@@ -118,13 +132,13 @@ def repo_facts(stats: DataFrame, edges: DataFrame, cycle: DataFrame | None = Non
         x = repos.select("repo").distinct().join(x, "repo", "left").na.fill(0, sums).na.fill(0.0, ["average_lines_per_file"]).na.fill(False, ["only_tests"])
     x = with_config(x, config)
     x = x.join(graph.edge_totals(edges), "repo", "left").join(graph.max_in_degree_file(degree), "repo", "left")
-    sized = cycle.select("repo", F.size("nodes").alias("n"))
+    sized = cycle.select("repo", F.size("nodes").alias("n"), F.col("nodes")[0].alias("first"))
     settings = x.select("repo", "cycle_penalty_2_node", "long_file_threshold_low", "long_file_threshold_high", "long_file_penalty_low", "long_file_penalty_high")
-    c = sized.join(settings, "repo").groupBy("repo").agg(
+    c = graph.with_facts(sized, settings, "first").groupBy("repo").agg(
         F.count("*").alias("total_cycles"), F.sum(rules.cycle_penalty(F.col("n"), F.col("cycle_penalty_2_node"))).alias("circular_dependency_penalty")
     )
     long = rules.long_penalty(F.col("lines"), *(F.col(f"long_file_{k}") for k in ("threshold_low", "threshold_high", "penalty_low", "penalty_high")))
-    lines = stats.select("repo", "lines").join(settings, "repo").groupBy("repo").agg(
+    lines = graph.with_facts(stats.select("repo", "rel_path", "lines"), settings).groupBy("repo").agg(
         F.sum(long).cast("long").alias("long_file_penalty"), F.count_if(F.col("lines") > F.col("long_file_threshold_low")).alias("long_count")
     )
     x = x.join(c, "repo", "left").join(lines, "repo", "left")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import csv
-import json
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +11,9 @@ from pyspark.sql import functions as F
 from strata.functions import rules
 from strata.functions.paths import base_name
 from strata.operators import graph, metrics
+from strata.sources import sink
+from strata.sources.files import opened
+from strata.storage import discard, written
 
 FOLDER = "architecture_report"
 DOCUMENT = "scan.json"
@@ -23,14 +25,10 @@ CSV_FIELDS = (
 
 
 def exact_round(x: Column, digits: int = 4) -> Column:
-    """Rounds the exact binary value half to even, as Python does; at sinks only."""
-
-    @F.pandas_udf("double")
-    def rounded(s):  # noqa: ANN001, ANN202
-        known = {v: round(v, digits) for v in s.dropna().unique()}  # Python's rounding, once for each value of a batch
-        return s.map(known)
-
-    return rounded(x)
+    """Rounds the exact binary value half to even, as Python does; at sinks only. Stays in the JVM: number formats round so."""
+    written = F.regexp_replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+    special = F.isnan(x) | (F.abs(x) >= 1e15)  # nothing to round, or no room for the digits
+    return F.when(special, x).otherwise(written.try_cast("double"))
 
 
 def one_decimal(x: Column) -> Column:
@@ -50,66 +48,171 @@ def as_list(rows: DataFrame, value: Column, name: str, order: Column | None = No
     return rows.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(item)), lambda p: p.v).alias(name))
 
 
-def scan_documents(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, repos: DataFrame | None = None, markers: DataFrame | None = None, listed: DataFrame | None = None) -> DataFrame:
-    """One row per repo: ``document``, the nested scan result. ``repos`` adds roots that have no files and those that are not valid, ``listed`` files that cannot be read."""
+@dataclass
+class Tables:
+    """What a document is made of: one row a repository in ``facts``, one row for each entry elsewhere."""
+
+    facts: DataFrame
+    stats: DataFrame
+    long: DataFrame
+    imports: DataFrame
+    degree: DataFrame
+    cycle: DataFrame
+    analysis: DataFrame
+    coupling: DataFrame
+    tight: DataFrame
+    core: DataFrame
+    god: DataFrame
+    violations: DataFrame | None
+
+
+def document_tables(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, repos: DataFrame | None = None, markers: DataFrame | None = None, listed: DataFrame | None = None, cycle: DataFrame | None = None) -> Tables:
+    """``repos`` adds roots that have no files, ``listed`` files that cannot be read; ``cycle``: the cycles, where they are known."""
     degree = graph.degrees(stats, edges)
-    cycle = graph.cycles(graph.strong_components(edges))
-    scored = metrics.score(metrics.repo_facts(stats, edges, cycle, config, None if repos is None else repos.where("valid")))
+    cycle = graph.cycles(graph.strong_components(edges)) if cycle is None else cycle
     analysis = graph.cycle_analysis(cycle)
     nodes = (stats if listed is None else listed).select("repo", "rel_path")
-    coupling = graph.folder_coupling(nodes, edges)
     core = graph.core_modules(degree)
     core = core.select("repo", "path", "in_degree", "out_degree", *(exact_round(F.col(c)).alias(c) for c in ("normalized_in", "normalized_out", "centrality_score")), F.col("centrality_score").alias("exact"))
-    god = graph.god_modules(stats, degree)
+    deps = edges.groupBy("repo", F.col("src").alias("rel_path")).agg(F.array_sort(F.collect_list("dst")).alias("deps"))
+    imports = nodes.join(deps, ["repo", "rel_path"], "left").select("repo", "rel_path", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
+    kinds = analysis.groupBy("repo").agg(*(F.count_if(F.col("type") == t).cast("int").alias(f"{t}_count") for t in ("tight_coupling", "layer_leak", "structural_cycle")))
+    x = metrics.score(metrics.repo_facts(stats, edges, cycle, config, None if repos is None else repos.where("valid"))).join(kinds, "repo", "left")
+    x = x.na.fill(0, ["tight_coupling_count", "layer_leak_count", "structural_cycle_count"])
+    if markers is None:
+        x = x.withColumns({"todo_count": F.lit(0).cast("long"), "fixme_count": F.lit(0).cast("long"), "source_files": F.col("total_files")})
+    else:
+        x = x.join(markers, "repo", "left").na.fill(0, ["todo_count", "fixme_count", "source_files"])
+    violations = None if config is None else graph.layer_violations(edges, config.where("size(layer_order) > 0").select("repo", "layer_order"))
+    return Tables(x, stats, stats.where("lines > 300"), imports, degree, cycle, analysis, graph.folder_coupling(nodes, edges), graph.tight_pairs(cycle), core, graph.god_modules(stats, degree), violations)
+
+
+def _meta() -> Column:
+    limits = {"SMALL_MAX_FILES": 50, "MID_MAX_FILES": 300, "SMALL_MAX_LINES": 50_000, "MID_MAX_LINES": 200_000, "CORE_ENGINE_MIN_AVG_LINES": 250.0}
+    return F.struct(
+        "total_files", "total_lines", exact_round(F.col("average_lines_per_file"), 2).alias("average_lines_per_file"), rules.size_rule(F.col("total_files"), F.col("total_lines")).alias("base_class"),
+        F.col("class_rule").alias("rule"), F.struct(*(F.lit(v).alias(k) for k, v in limits.items())).alias("thresholds"),
+    )
+
+
+def _score() -> Column:
+    profile = ("long_file_ratio", "cycle_ratio", "centralization_score", "cross_folder_ratio")
+    return F.struct(
+        "raw_score", F.col("architecture_health_percentage").alias("normalized_score"), "architecture_health_percentage", F.lit(metrics.SCORING_VERSION).alias("scoring_version"), "scoring_mode", "scoring_profile",
+        F.struct("long_file_penalty", "circular_dependency_penalty", "centralization_penalty", "cross_folder_penalty").alias("risk_breakdown"),
+        F.struct(*(exact_round(F.col(c)).alias(c) for c in profile)).alias("structural_profile"),
+    )
+
+
+def _json_text(c: str | Column) -> Column:
+    """A string as JSON spells it."""
+    text = F.to_json(F.array(c))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _members(*fields: Column | str) -> Column:
+    """Members of an object without its braces."""
+    text = F.to_json(F.struct(*fields))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+#: The order of fragments: the section, then a number, then names.
+FRAGMENT_ORDER = ["section", "k1", "k2"]
+
+
+def document_fragments(t: Tables, repos: DataFrame | None = None) -> DataFrame:
+    """The documents as fragments (repo, section, k1, k2, kind, text): in that order they are the JSON text of each.
+
+    No row holds more than one entry, so documents may be larger than any row or task. ``repos`` adds the documents of roots that are not valid.
+    """
+    c = F.col
+    s = F.struct
+    plan: list = [
+        ("open", "{"), ("item", _members(c("repo").alias("path"), F.lit(True).alias("valid"), "source_files", "total_lines", "total_files", "total_long_files", F.coalesce("max_in_degree_file", F.lit("")).alias("max_in_degree_file"), F.coalesce("total_cycles", F.lit(0)).alias("total_cycles"))),
+        ("[", "long_files", t.long, F.to_json(s(c("rel_path").alias("path"), "lines")), [c("rel_path")]),
+        ("item", _members("todo_count", "fixme_count")),
+        ("{", "per_file_stats", t.stats, F.to_json(s("lines", "function_count", "class_count")), "rel_path", F.split("rel_path", "/")),
+        ("open", '"dependency_stats": {'),
+        ("{", "import_map", t.imports, F.to_json("deps"), "rel_path", F.split("rel_path", "/")),
+        ("{", "in_degree", t.degree, c("in_degree").cast("string"), "rel_path", F.array("rel_path")),
+        ("[", "circular_dependencies", t.cycle, F.to_json(graph.closed("nodes")), c("nodes")),
+        ("open", '"cycle_analysis": {'), ("item", _members("tight_coupling_count", "layer_leak_count", "structural_cycle_count")),
+        ("[", "cycles", t.analysis, F.to_json(s("type", "length", "files", "folders", "risk_score")), F.concat(F.array(c("type"), F.lpad(c("length").cast("string"), 20, "0")), c("files"))),
+        ("close", "}"),
+        ("{", "folder_coupling", t.coupling, F.to_json(s("external_dependencies", "depends_on")), "folder", F.array("folder")),
+        ("item", _members(c("cross_folder_ratio").alias("cross_folder_dependency_ratio"), "possible_import_resolution_issue")), ("close", "}"),
+        ("open", '"architectural_risks": {'),
+        ("[", "tight_coupling_pairs", t.tight, F.to_json(F.array("a", "b")), F.array("a", "b")),
+        ("[", "core_modules", t.core, F.to_json(s("path", "in_degree", "out_degree", "normalized_in", "normalized_out", "centrality_score")), F.array("path"), -c("exact")),
+        ("[", "god_module_candidates", t.god, F.to_json(s("path", "lines", "in_degree", "out_degree")), F.array("path")),
+        ("[", "layer_violations", t.violations, F.to_json(s("importer_folder", "imported_folder")), F.array("importer_folder", "imported_folder")),
+        ("close", "}"), ("item", _members("structural_class", _meta().alias("structural_class_meta"), _score().alias("architecture_score"))), ("close", "}"),
+    ]
+    own, rows = [], []  # fragments of the facts' rows; tables of entries
+    none = F.array().cast("array<string>")
+
+    def fixed(kind: str, text: Column | str) -> None:
+        own.append(s(F.lit(len(own) + len(rows)).alias("section"), F.lit(kind).alias("kind"), (F.lit(text) if isinstance(text, str) else text).alias("text")))
+
+    for kind, *rest in plan:
+        if kind not in ("[", "{"):
+            fixed(kind, *rest)
+            continue
+        name, table, text, *order = rest
+        fixed("open", f'"{name}": {kind}')
+        if table is not None:
+            if kind == "{":
+                text = F.concat(_json_text(order[0]), F.lit(": "), text)
+                order = order[1:]
+            names = order[0] if isinstance(order[0], Column) else F.array(*order[0])
+            number = order[1] if len(order) > 1 else F.lit(0.0)
+            rows.append(table.select("repo", F.lit(len(own) + len(rows)).alias("section"), number.alias("k1"), names.alias("k2"), F.lit("item").alias("kind"), text.alias("text")))
+        fixed("close", "]" if kind == "[" else "}")
+    out = t.facts.select("repo", F.inline(F.array(*own))).select("repo", "section", F.lit(0.0).alias("k1"), none.alias("k2"), "kind", "text")
+    for part in rows:
+        out = out.unionByName(part)
+    if repos is not None:
+        bad = repos.where("NOT valid").select("repo", F.lit(0).alias("section"), F.lit(0.0).alias("k1"), none.alias("k2"), F.lit("item").alias("kind"), F.to_json(s("path", "valid", "error")).alias("text"))
+        out = out.unionByName(bad)
+    return out
+
+
+def scan_documents(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, repos: DataFrame | None = None, markers: DataFrame | None = None, listed: DataFrame | None = None, cycle: DataFrame | None = None) -> DataFrame:
+    """One row per repo: ``document``, the nested scan result, for repositories that fit a row; arguments as in :func:`document_tables`. Roots that are not valid are there, too."""
+    t = document_tables(stats, edges, config, repos, markers, listed, cycle)
     s = lambda *c: F.struct(*c)
-    long = stats.where("lines > 300")
     parts = [
-        as_map(stats, "rel_path", s("lines", "function_count", "class_count"), "per_file_stats", paths=True),
-        as_list(long, s(F.col("rel_path").alias("path"), "lines"), "long_files"),
-        as_map(nodes.join(edges.groupBy("repo", F.col("src").alias("rel_path")).agg(F.array_sort(F.collect_list("dst")).alias("deps")), ["repo", "rel_path"], "left"), "rel_path", F.coalesce("deps", F.array().cast("array<string>")), "import_map", paths=True),
-        as_map(degree, "rel_path", F.col("in_degree"), "in_degree"),
-        as_list(cycle, graph.closed("nodes"), "circular_dependencies", F.col("nodes")),
-        as_list(analysis, s("type", "length", "files", "folders", "risk_score"), "cycles"),
-        as_map(coupling, "folder", s("external_dependencies", "depends_on"), "folder_coupling"),
-        as_list(graph.tight_pairs(cycle), F.array("a", "b"), "tight_coupling_pairs"),
-        as_list(core, s("path", "in_degree", "out_degree", "normalized_in", "normalized_out", "centrality_score"), "core_modules", s(-F.col("exact"), F.col("path"))),
-        as_list(god, s("path", "lines", "in_degree", "out_degree"), "god_module_candidates"),
-        analysis.groupBy("repo").agg(*(F.count_if(F.col("type") == t).cast("int").alias(f"{t}_count") for t in ("tight_coupling", "layer_leak", "structural_cycle"))),
+        as_map(t.stats, "rel_path", s("lines", "function_count", "class_count"), "per_file_stats", paths=True),
+        as_list(t.long, s(F.col("rel_path").alias("path"), "lines"), "long_files"),
+        as_map(t.imports, "rel_path", F.col("deps"), "import_map", paths=True),
+        as_map(t.degree, "rel_path", F.col("in_degree"), "in_degree"),
+        as_list(t.cycle, graph.closed("nodes"), "circular_dependencies", F.col("nodes")),
+        as_list(t.analysis, s("type", "length", "files", "folders", "risk_score"), "cycles"),
+        as_map(t.coupling, "folder", s("external_dependencies", "depends_on"), "folder_coupling"),
+        as_list(t.tight, F.array("a", "b"), "tight_coupling_pairs"),
+        as_list(t.core, s("path", "in_degree", "out_degree", "normalized_in", "normalized_out", "centrality_score"), "core_modules", s(-F.col("exact"), F.col("path"))),
+        as_list(t.god, s("path", "lines", "in_degree", "out_degree"), "god_module_candidates"),
     ]
-    if config is not None:
-        parts.append(as_list(graph.layer_violations(edges, config.where("size(layer_order) > 0").select("repo", "layer_order")), s("importer_folder", "imported_folder"), "layer_violations"))
-    if markers is not None:
-        parts.append(markers)
-    x = scored
+    if t.violations is not None:
+        parts.append(as_list(t.violations, s("importer_folder", "imported_folder"), "layer_violations"))
+    x = t.facts
     for part in parts:
         x = x.join(part, "repo", "left")
-    if config is None:
+    if t.violations is None:
         x = x.withColumn("layer_violations", F.lit(None).cast("array<struct<importer_folder: string, imported_folder: string>>"))
-    if markers is None:
-        x = x.withColumns({"todo_count": F.lit(0).cast("long"), "fixme_count": F.lit(0).cast("long"), "source_files": F.col("total_files")})
     for c, kind in x.dtypes:
         if kind.startswith("array") and c != "layer_order":
             x = x.withColumn(c, F.coalesce(c, F.array().cast(kind)))
-        elif c.endswith(("coupling_count", "leak_count", "cycle_count")):
-            x = x.withColumn(c, F.coalesce(c, F.lit(0)))
     kinds = dict(x.dtypes)
     for c in ("per_file_stats", "import_map", "in_degree", "folder_coupling"):
         x = x.withColumn(c, F.coalesce(c, F.create_map().cast(kinds[c])))
-    x = x.na.fill(0, ["todo_count", "fixme_count", "source_files"])
-    limits = {"SMALL_MAX_FILES": 50, "MID_MAX_FILES": 300, "SMALL_MAX_LINES": 50_000, "MID_MAX_LINES": 200_000, "CORE_ENGINE_MIN_AVG_LINES": 250.0}
-    profile = ("long_file_ratio", "cycle_ratio", "centralization_score")
     document = s(
         F.col("repo").alias("path"), F.lit(True).alias("valid"), "source_files", "total_lines", "total_files", "total_long_files",
         F.coalesce("max_in_degree_file", F.lit("")).alias("max_in_degree_file"), "total_cycles", "long_files", "todo_count", "fixme_count", "per_file_stats",
         s("import_map", "in_degree", "circular_dependencies", s("tight_coupling_count", "layer_leak_count", "structural_cycle_count", "cycles").alias("cycle_analysis"),
           "folder_coupling", F.col("cross_folder_ratio").alias("cross_folder_dependency_ratio"), "possible_import_resolution_issue").alias("dependency_stats"),
         s("tight_coupling_pairs", "core_modules", "god_module_candidates", "layer_violations").alias("architectural_risks"),
-        "structural_class",
-        s("total_files", "total_lines", exact_round(F.col("average_lines_per_file"), 2).alias("average_lines_per_file"), rules.size_rule(F.col("total_files"), F.col("total_lines")).alias("base_class"),
-          F.col("class_rule").alias("rule"), s(*(F.lit(v).alias(k) for k, v in limits.items())).alias("thresholds")).alias("structural_class_meta"),
-        s("raw_score", F.col("architecture_health_percentage").alias("normalized_score"), "architecture_health_percentage", F.lit(metrics.SCORING_VERSION).alias("scoring_version"), "scoring_mode", "scoring_profile",
-          s("long_file_penalty", "circular_dependency_penalty", "centralization_penalty", "cross_folder_penalty").alias("risk_breakdown"),
-          s(*(exact_round(F.col(c)).alias(c) for c in profile), exact_round(F.col("cross_folder_ratio")).alias("cross_folder_ratio")).alias("structural_profile")).alias("architecture_score"),
+        "structural_class", _meta().alias("structural_class_meta"), _score().alias("architecture_score"),
     )
     out = x.select("repo", F.to_json(document, {"pretty": "true"}).alias("document"))
     if repos is None:
@@ -118,6 +221,14 @@ def scan_documents(stats: DataFrame, edges: DataFrame, config: DataFrame | None
     return out.unionByName(bad)
 
 
+def write_documents(fragments: DataFrame) -> None:
+    """Store documents, from their fragments, below their roots; roots that are not there are left out. A document may be of any size."""
+    held = written(fragments, "fragments")
+    path = F.concat("repo", F.lit(f"/{FOLDER}/{DOCUMENT}"))
+    sink.write_fragments(held.withColumns({"root": F.col("repo"), "path": path}), FRAGMENT_ORDER)
+    discard(held)
+
+
 def yes(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit(False)), "Yes").otherwise("No")
 
@@ -130,13 +241,16 @@ def lines_of(items: Column, form) -> Column:
     return F.transform(items, form)
 
 
-def overview(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, markers: DataFrame | None = None, repos: DataFrame | None = None) -> DataFrame:
-    """One row per repo with every value that the text reports print; ``repos`` as in :func:`scan_documents`, of invalid ones only repo, ``error`` and ``message``."""
+def overview(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, markers: DataFrame | None = None, repos: DataFrame | None = None, listed: DataFrame | None = None, cycle: DataFrame | None = None) -> DataFrame:
+    """One row per repo with every value that the text reports print; arguments as in :func:`document_tables`, of invalid roots only repo, ``error`` and ``message``."""
     degree = graph.degrees(stats, edges)
-    cycle = graph.cycles(graph.strong_components(edges))
+    cycle = graph.cycles(graph.strong_components(edges)) if cycle is None else cycle
+    nodes = stats if listed is None else listed
     x = metrics.score(metrics.repo_facts(stats, edges, cycle, config, None if repos is None else repos.where("valid")))
     largest = graph.top_rows(stats, 15, F.desc("lines"), "rel_path").select("repo", "rank", "rel_path", "lines")
-    coupled = graph.folder_coupling(stats, edges)
+    if listed is not None:  # files that cannot be read count where folders are looked at
+        x = x.drop("only_tests").join(metrics.test_only(listed), "repo", "left").na.fill(False, ["only_tests"])
+    coupled = graph.folder_coupling(nodes, edges)
     coupled = graph.top_rows(coupled, 10, F.desc("external_dependencies"), "folder").select("repo", "rank", "folder", "external_dependencies")
     long = long_files_by_path(stats)
     parts = [
@@ -252,17 +366,9 @@ def audit_rows(view: DataFrame) -> DataFrame:
     return view.select("repo", F.inline(rows)).where("value IS NOT NULL")
 
 
-def write_per_repo(rows: DataFrame, column: str, name: str, folder: str = FOLDER) -> list[str]:
-    """Store one text per repo below its root, which must exist: invalid roots are never created. Returns the paths."""
-    made = []
-    for row in rows.select("repo", column).toLocalIterator():
-        if os.path.isdir(row["repo"]):
-            os.makedirs(os.path.join(row["repo"], folder), exist_ok=True)
-            path = os.path.join(row["repo"], folder, name)
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(row[column])
-            made.append(path)
-    return made
+def write_per_repo(rows: DataFrame, column: str, name: str, folder: str = FOLDER) -> None:
+    """Store one text per repo below its root, which must exist: invalid roots are never created."""
+    sink.write_texts(rows, "repo", column, f"{folder}/{name}")
 
 
 def results_table(harness: DataFrame, urls: DataFrame | None = None) -> DataFrame:
@@ -272,35 +378,49 @@ def results_table(harness: DataFrame, urls: DataFrame | None = None) -> DataFram
     return x.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CSV_FIELDS)).orderBy("repo")
 
 
+def _csv_line(fields: list[Column]) -> Column:
+    quoted = lambda v: F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+    return F.concat(F.concat_ws(",", *map(quoted, fields)), F.lit("\r\n"))
+
+
+def _folder_of(path: str) -> tuple[str, str]:
+    """The path and its folder, made where it is missing."""
+    path = path if "://" in path else os.path.abspath(path)
+    folder = path.rpartition("/")[0]
+    fs, inner = opened(folder)
+    fs.create_dir(inner, recursive=True)
+    return path, folder
+
+
 def write_results(harness: DataFrame, path: str, append: bool = False, urls: DataFrame | None = None) -> int:
-    """The results as one CSV file, a line per repository; appended to what is there without a second header. Nothing is
-    written for no rows. Returns the number of rows."""
-    rows = [tuple(r) for r in results_table(harness, urls).toLocalIterator()]
-    if rows:
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-        more = append and os.path.isfile(path)
-        with open(path, "a" if more else "w", encoding="utf-8", newline="") as f:
-            w = csv.writer(f)
-            w.writerows(rows if more else [CSV_FIELDS, *rows])
-    return len(rows)
+    """The results as one CSV file, a line per repository; with ``append`` the file is replaced by itself and the new lines, without a second
+    header. Nothing is written for no rows. Returns the number of rows."""
+    rows = written(results_table(harness, urls), "results")
+    n = rows.count()
+    if n:
+        path, folder = _folder_of(path)
+        x = rows.select(F.lit(folder).alias("root"), F.lit(path).alias("path"), "repo", F.lit("line").alias("kind"), _csv_line([F.col(c) for c in CSV_FIELDS]).alias("text"))
+        sink.write_fragments(x, ["repo", "text"], header=",".join(CSV_FIELDS) + "\r\n", append=append)
+    discard(rows)
+    return n
 
 
 def write_summary(harness: DataFrame, path: str) -> None:
     """The metrics of all repositories as one JSON array, by name."""
-    x = harness.withColumnRenamed("repo", "path").withColumn("repo", base_name(F.col("path"))).orderBy("repo")
-    items = [{"repo": r["repo"], **{k: v for k, v in r.asDict().items() if k != "repo"}} for r in x.toLocalIterator()]
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(items, f, indent=2)
+    path, folder = _folder_of(path)
+    x = harness.withColumnRenamed("repo", "path").withColumn("repo", base_name(F.col("path")))
+    item = F.to_json(F.struct("repo", *(c for c in x.columns if c != "repo")), {"ignoreNullFields": "false"})
+    rows = x.select(F.lit(1).alias("section"), "repo", F.col("path").alias("of"), F.lit("item").alias("kind"), item.alias("text"))
+    ends = [(0, "", "", "open", "["), (2, "", "", "close", "]")]
+    rows = rows.unionByName(harness.sparkSession.createDataFrame(ends, "section int, repo string, of string, kind string, text string"))
+    sink.write_fragments(rows.withColumns({"root": F.lit(folder), "path": F.lit(path)}), ["section", "repo", "of"])
 
 
 def benchmark_table(rows: DataFrame) -> DataFrame:
-    """Benchmark rows as texts for display, by repo and path; rows with an error show a dash for every figure."""
+    """Benchmark rows as texts for display, by repo and path; rows with an error show a dash for every figure, and the error in place of the score."""
     figure = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     pct = one_decimal(F.col("cross_folder_ratio_pct"))
     return rows.orderBy("repo", "path").select(
         "repo", figure(F.col("total_files")).alias("Files"), figure(F.col("long_file_count")).alias("LongFiles"), figure(F.col("cycle_count")).alias("Cycles"),
-        figure(pct).alias("CrossFolder%"), figure(F.col("architecture_health_percentage")).alias("Score"),
+        figure(pct).alias("CrossFolder%"), figure(F.coalesce("error", F.col("architecture_health_percentage").cast("string"))).alias("Score"),
     )
-
-

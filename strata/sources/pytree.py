@@ -1,19 +1,20 @@
-"""Source trees: a Python data source that lists what Spark's own file sources leave out.
+"""Source trees, settings and stored documents below roots: local folders or URIs.
 
-Spark's readers skip names that begin with ``_`` or ``.`` and empty files; package files need them.
-Directories are pruned while walking. Folders are opened level by level until there are ``PARTS`` input partitions, each
-a folder with all below it or at most ``PART_FILES`` files of an opened one; executors list and read the rest.
+Names that begin with ``_`` or ``.`` and empty files count. Folders are pruned while walking; listing, reading and the check of roots
+run in tasks (see :mod:`strata.sources.files`), which read partitions of about equal bytes.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+
+from strata.functions.text import source_text
+from strata.sources import files
 
 #: Path parts whose files are left out, fixed values.
 PRUNED = (".git", "venv", ".venv", "env", ".env")
@@ -21,82 +22,15 @@ SCHEMA = "repo string, rel_path string, content binary, readable boolean"
 CONFIG_NAME = ".architecture.json"
 
 
-PARTS, PART_FILES = 256, 200
-
-
-class Entry(InputPartition):
-    """A folder with all below it, or some of its files."""
-
-    def __init__(self, root: str, folder: str, files: list[str] | None = None):
-        self.root, self.folder, self.files = root, folder, files
-
-
-def listed(folder: str, suffix: str) -> tuple[list[str], list[str]]:
-    """Names of the folders and of the wanted files in a folder, pruned and sorted."""
-    names = sorted(n for n in os.listdir(folder) if n not in PRUNED)
-    folders = [n for n in names if os.path.isdir(os.path.join(folder, n)) and not os.path.islink(os.path.join(folder, n))]
-    return folders, [n for n in names if n.endswith(suffix) and os.path.isfile(os.path.join(folder, n))]
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, roots: list[str], suffix: str):
-        self.roots, self.suffix = roots, suffix
-
-    def partitions(self) -> list[Entry]:
-        made: list[Entry] = []
-        level = [Entry(root, root) for root in self.roots]
-        while level and len(made) + len(level) < PARTS:
-            below = []
-            for e in level:
-                folders, files = listed(e.folder, self.suffix)
-                made += [Entry(e.root, e.folder, files[i : i + PART_FILES]) for i in range(0, len(files), PART_FILES)]
-                below += [Entry(e.root, os.path.join(e.folder, n)) for n in folders]
-            level = below
-        return made + level
-
-    def read(self, partition: Entry) -> Iterator[tuple]:
-        todo = [(partition.folder, partition.files)]
-        while todo:
-            folder, files = todo.pop()
-            if files is None:
-                folders, files = listed(folder, self.suffix)
-                todo += [(os.path.join(folder, n), None) for n in folders]
-            for name in files:
-                path = os.path.join(folder, name)
-                try:
-                    with open(path, "rb") as f:
-                        content, readable = f.read(), True
-                except OSError:
-                    content, readable = None, False
-                yield partition.root, os.path.relpath(path, partition.root).replace(os.sep, "/"), content, readable
-
-
-class TreeSource(DataSource):
-    """``spark.read.format("pytree").option("roots", json_list).load()``"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "pytree"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> TreeReader:
-        return TreeReader(json.loads(self.options["roots"]), self.options.get("suffix", ".py"))
-
-
 def absolute(roots: list[str]) -> list[str]:
-    """Absolute paths of roots, each once."""
-    return list(dict.fromkeys(os.path.realpath(os.path.expanduser(r)) for r in roots))
+    """Absolute paths of roots, each once; URIs stay as they are."""
+    return list(dict.fromkeys(r.rstrip("/") if "://" in r else os.path.realpath(os.path.expanduser(r)) for r in roots))
 
 
 def repos(spark: SparkSession, roots: list[str]) -> DataFrame:
     """One row per root: its absolute path, whether it is a folder, and why not."""
-    rows = []
-    for root in absolute(roots):
-        good = os.path.isdir(root)
-        rows.append((root, root, good, None if good else "Not a directory"))
-    return spark.createDataFrame(rows, "repo string, path string, valid boolean, error string")
+    x = files.folders(spark, absolute(roots))
+    return x.select(F.col("path").alias("repo"), "path", F.col("is_dir").alias("valid"), F.when(~F.col("is_dir"), "Not a directory").alias("error"))
 
 
 def local_corpus(base: str, names: list[str]) -> list[str]:
@@ -115,42 +49,36 @@ def read_urls(path: str) -> list[str]:
         return [x for line in f if (x := line.partition("#")[0].strip())]
 
 
-def read_trees(spark: SparkSession, roots: list[str], suffix: str = ".py") -> DataFrame:
-    """All source files of valid roots."""
-    good = [r for r in absolute(roots) if os.path.isdir(r)]
-    if not good:
-        return spark.createDataFrame([], SCHEMA)
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("pytree").option("roots", json.dumps(good)).option("suffix", suffix).load()
+def read_trees(spark: SparkSession, roots: list[str] | DataFrame, suffix: str = ".py") -> DataFrame:
+    """All source files of valid roots, as :data:`SCHEMA` has them. roots: paths, or the table of :func:`repos`."""
+    good = (roots if isinstance(roots, DataFrame) else repos(spark, roots)).where("valid").select("repo")
+    return files.read_packed(files.listed(good, suffix, PRUNED))
 
 
 def read_config(spark: SparkSession, roots: list[str], name: str = CONFIG_NAME) -> DataFrame:
     """Settings per root: layer_order and scoring. A file that is missing, no JSON or no object gives none; an empty scoring too."""
     from strata.operators.metrics import settings
 
-    rows = []
-    for root in absolute(roots):
-        try:
-            with open(os.path.join(root, name), encoding="utf-8") as f:
-                text = f.read()
-            if isinstance(json.loads(text), dict):
-                rows.append((root, text))
-        except (OSError, ValueError):
-            continue
-    return spark.createDataFrame(rows, "repo string, text string").select("repo", settings(F.col("text")).alias("c")).select("repo", "c.*")
+    known = spark.createDataFrame([(root, files.below(root, name)) for root in absolute(roots)], "repo string, path string")
+    text = files.texts(spark, [files.below(root, name) for root in absolute(roots)]).where("readable").select("path", as_object("content").alias("text"))
+    return known.join(text, "path").where("text IS NOT NULL").select("repo", settings(F.col("text")).alias("c")).select("repo", "c.*")
+
+
+@F.udf(T.StringType(), useArrow=True)
+def as_object(content: bytes) -> str | None:
+    """The text of a JSON object, each key once (its last value counts), as strict JSON; null if the bytes are none."""
+    try:
+        found = json.loads(content.decode())
+    except (ValueError, RecursionError):
+        return None
+    return json.dumps(found) if isinstance(found, dict) else None
 
 
 def read_scans(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Stored scan documents: path, the document as text, and a message where there is none to use."""
-    rows = []
-    for path in paths:
-        try:
-            with open(path, encoding="utf-8") as f:
-                rows.append((path, f.read(), None))
-        except OSError:
-            rows.append((path, None, f"Scan data not found at {path}."))
-    x = spark.createDataFrame(rows, "path string, text string, message string")
+    """Stored scan documents, read in tasks: path, the document as text, and a message where there is none to use."""
+    x = files.texts(spark, paths).select("path", F.when(F.col("readable"), source_text(F.col("content"))).alias("text"))
+    missing = F.when(F.col("text").isNull(), F.concat(F.lit("Scan data not found at "), "path", F.lit(".")))
     v = F.try_parse_json("text")
     bad = F.when(F.col("text").isNotNull() & v.isNull(), F.concat(F.lit("Invalid scan data: "), "path", F.lit(".")))
     off = F.when(F.try_variant_get(v, "$.valid", "boolean") == F.lit(False), F.concat(F.lit("Invalid scan: "), F.coalesce(F.try_variant_get(v, "$.error", "string"), F.lit("Unknown error")), F.lit(".")))
-    return x.select("path", "text", F.coalesce("message", bad, off).alias("message"))
+    return x.select("path", "text", F.coalesce(missing, bad, off).alias("message"))

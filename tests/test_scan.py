@@ -171,7 +171,8 @@ def test_reports(scanned):
     assert "  src/core/a.py -> src/core/b.py -> src/core/a.py" in text
     sizes = {r.repo: r.summary for r in report.summaries(view).collect()}[roots["sizes"]]
     assert "Largest file share of total lines: 25.0%" in sizes and "Signal confidence: 75%" in sizes
-    made = report.write_per_repo(report.markdown(view), "markdown", "report.md")
+    report.write_per_repo(report.markdown(view), "markdown", "report.md")
+    made = [p for r in roots.values() if os.path.isfile(p := f"{r}/{report.FOLDER}/report.md")]
     assert len(made) == 6 and all(open(p).read().startswith("# Architecture Report") for p in made)
     assert report.audit_rows(view).where("metric = 'Raw score'").count() == 6
 
@@ -203,7 +204,7 @@ def test_results_files(scanned, tmp_path):
 def test_stored_documents(spark, scanned):
     """What is read from stored documents is what the scan has; missing values have substitutes."""
     roots, s = scanned
-    report.write_per_repo(s.documents(), "document", report.DOCUMENT)
+    s.write_documents()
     again = plans.stored_scan(spark, list(roots.values()))
     assert {r.repo: r.summary for r in report.summaries(again.overview()).collect() if r.repo != roots["gone"]} == {
         r.repo: r.summary for r in report.summaries(s.overview()).collect() if r.repo != roots["gone"]
@@ -284,20 +285,6 @@ def test_listing(spark, tmp_path):
     assert syntax.file_facts(rows).where("rel_path = 'bad.py'").first().lines == 1
 
 
-def test_partitions(tmp_path, monkeypatch):
-    """Everything below one folder is many partitions, and every file is read once however they are cut."""
-    root = tree(tmp_path, {f"src/pkg{i}/sub{j}/m{k}.py": "" for i in range(4) for j in range(3) for k in range(5)} | {"src/one.py": "", "src/venv/no.py": ""})
-    want = sorted([f"src/pkg{i}/sub{j}/m{k}.py" for i in range(4) for j in range(3) for k in range(5)] + ["src/one.py"])
-    for parts, files, least in ((256, 200, 13), (256, 2, 37), (3, 200, 2), (1, 200, 1)):
-        monkeypatch.setattr(pytree, "PARTS", parts)
-        monkeypatch.setattr(pytree, "PART_FILES", files)
-        reader = pytree.TreeReader([root], ".py")
-        made = reader.partitions()
-        assert len(made) >= least and sorted(r[1] for p in made for r in reader.read(p)) == want
-    monkeypatch.setattr(pytree, "PARTS", 256)
-    assert pytree.TreeReader([tree(tmp_path / "none", {"x.txt": ""})], ".py").partitions() == []
-
-
 def test_syntax():
     source = "import a.b.c as q, d\nfrom . import x, y as z\nasync def f():\n    import e\n    def g(): pass\nclass A:\n    class B:\n        def m(self): from ..p import *\n"
     functions, classes, status, found = syntax.parse(source)

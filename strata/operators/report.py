@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import os
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +27,14 @@ CSV_FIELDS = (
 
 
 def exact_round(x: Column, digits: int = 4) -> Column:
-    """Rounds the exact binary value half to even, as Python does; at sinks only. Stays in the JVM: number formats round so."""
-    written = F.regexp_replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+    """Rounds the exact binary value half to even, as Python does; at sinks only. Stays in the JVM: number formats round so, but
+    for values below one unit of the last digit, which are compared with its half: no double equals that."""
+    unit, half = 10.0**-digits, 5 * Decimal(10) ** (-digits - 1)
+    least = float(half) if Decimal(float(half)) > half else math.nextafter(float(half), 1)  # the least double above the half
+    formatted = F.regexp_replace(F.format_number(x, digits), F.lit(","), F.lit("")).try_cast("double")
+    tiny = F.signum(x) * F.when(F.abs(x) >= least, unit).otherwise(0.0)
     special = F.isnan(x) | (F.abs(x) >= 1e15)  # nothing to round, or no room for the digits
-    return F.when(special, x).otherwise(written.try_cast("double"))
+    return F.when(special, x).when(F.abs(x) < unit, tiny).otherwise(formatted)
 
 
 def one_decimal(x: Column) -> Column:

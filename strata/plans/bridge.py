@@ -57,6 +57,21 @@ def supplier_edges(spark: SparkSession, d: str, graphs: Graphs = GRAPHS) -> Data
     return e.select("repo", "src", "dst")
 
 
+def nation_files(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as files of their nation, all of them below ``tests``."""
+    x = supplier_files(spark, d, (("r", 0, 0),))
+    parts = F.split("rel_path", "/")
+    return x.select(parts[1].alias("repo"), F.concat_ws("/", F.lit("tests"), parts[0], parts[2]).alias("rel_path"), "lines", "function_count", "class_count")
+
+
+def nation_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the widest of :data:`GRAPHS` that stay within a nation."""
+    x = supplier_edges(spark, d, GRAPHS[1:2])
+    src, dst = F.split("src", "/"), F.split("dst", "/")
+    below = lambda p, c: F.concat_ws("/", F.lit("tests"), p[0], p[2]).alias(c)
+    return x.where(src[1] == dst[1]).select(src[1].alias("repo"), below(src, "src"), below(dst, "dst"))
+
+
 def layers(spark: SparkSession, graphs: Graphs = GRAPHS) -> DataFrame:
     order = F.array(*map(F.lit, LAYERS)).alias("layer_order")
     return spark.createDataFrame([(g[0],) for g in graphs], "repo string").select("repo", order)
@@ -101,6 +116,9 @@ edges AS (SELECT repo, p.rel_path AS src, q.rel_path AS dst FROM lineitem a JOIN
 
 
 SUPPLIER_SQL = supplier_sql()
+NATION_SQL = f"""e AS (SELECT a.l_suppkey AS s, b.l_suppkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= {GRAPHS[1][1]} AND b.l_quantity >= {GRAPHS[1][2]}),
+r AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+files AS (SELECT n_name AS repo, s_suppkey FROM r), edges AS (SELECT x.n_name AS repo, s, t FROM e JOIN r x ON x.s_suppkey = s JOIN r y ON y.s_suppkey = t WHERE x.n_name = y.n_name)"""
 DOCUMENT_SQL = """files AS (SELECT source AS repo, lang || '/d' || doc_id || '.py' AS rel_path,
   (len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) + (coalesce(text, '') <> '' AND right(text, 1) <> chr(10))::INT)::BIGINT AS lines,
   len(regexp_extract_all(coalesce(text, ''), '(?i)\\blicense\\b'))::BIGINT AS todo, len(regexp_extract_all(coalesce(text, ''), '(?i)\\bpublic\\b'))::BIGINT AS fixme FROM documents)"""

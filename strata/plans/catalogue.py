@@ -130,6 +130,7 @@ QUERIES = {
     "cross_folder_ratio": lambda s, d: graph.edge_totals(b.supplier_edges(s, d, b.WIDE)),
     "layer_violations": lambda s, d: graph.layer_violations(b.supplier_edges(s, d, b.WIDE), b.layers(s, b.WIDE)),
     "scc": lambda s, d: graph.strong_components(b.supplier_edges(s, d)),
+    "scc_over_tasks": lambda s, d: graph.strong_components(b.supplier_edges(s, d, b.WIDE), local_edges=0),
     "cycles": lambda s, d: _cycles(s, d).select("repo", F.array_join(graph.closed("nodes"), " -> ").alias("cycle")),
     "tight_pairs": lambda s, d: graph.tight_pairs(_cycles(s, d)),
     "cycle_analysis": _cycle_text,
@@ -194,6 +195,11 @@ score AS (SELECT *, long_file_penalty + circular_dependency_penalty + centraliza
     * (long_file_penalty * (long_count::DOUBLE / total_files) + circular_dependency_penalty * (total_cycles::DOUBLE / total_files)) + centralization_penalty + cross_folder_penalty)), 0)))::BIGINT AS architecture_health_percentage FROM j)"""
 
 
+GODS = ("g AS (SELECT d.*, lines, in_degree + out_degree AS degree FROM degrees d JOIN files USING (repo, rel_path))", "m AS (SELECT repo, quantile_disc(degree, 0.5 ORDER BY degree DESC) AS median FROM g GROUP BY repo)")
+LAYERED = (f"p AS (SELECT DISTINCT repo, {_src} AS importer_folder, {_dst} AS imported_folder FROM edges)", f"o AS (SELECT unnest({list(b.LAYERS)}) AS folder, unnest(range({len(b.LAYERS)})) AS pos)")
+VIOLATIONS = "SELECT p.* FROM p JOIN o x ON x.folder = importer_folder JOIN o y ON y.folder = imported_folder WHERE x.pos < y.pos"
+CYCLE_TYPE = "CASE WHEN n = 2 THEN 'tight_coupling' WHEN n <= 5 THEN 'layer_leak' ELSE 'structural_cycle' END"
+CYCLE_FOLDERS = "array_to_string(list_sort(list_distinct(list_transform(nodes, lambda x: split_part(x, '/', 1)))), ',')"
 SCORED_SQL = (_S, DEGREES, RATIOS, SCC)
 _SCORE_COLUMNS = "repo, total_files, total_lines, structural_class, raw_score, architecture_health_percentage, long_file_penalty, circular_dependency_penalty, centralization_penalty, cross_folder_penalty, long_file_ratio, cycle_ratio, centralization_score, cross_folder_ratio, scoring_mode, scoring_profile"
 _LEVEL = "CASE WHEN cross_folder_ratio > 0.4 THEN 'high' WHEN cross_folder_ratio > 0.25 THEN 'moderate' ELSE 'low' END"
@@ -225,19 +231,19 @@ coalesce(nullif(split_part(rel_path, '/', -1), ''), rel_path) AS name, regexp_re
     "max_in_degree_file": with_parts(_W, DEGREES) + "SELECT repo, arg_min(rel_path, {'n': -in_degree, 'p': rel_path}) AS max_in_degree_file, max(in_degree) AS max_in_degree FROM degrees GROUP BY repo",
     "core_modules": with_parts(_W, DEGREES, "m AS (SELECT repo, greatest(max(in_degree), 1) AS i, greatest(max(out_degree), 1) AS o FROM degrees GROUP BY repo)")
     + "SELECT repo, rel_path AS path, in_degree, out_degree, in_degree::DOUBLE / i AS normalized_in, out_degree::DOUBLE / o AS normalized_out, (in_degree::DOUBLE / i + out_degree::DOUBLE / o) / 2.0::DOUBLE AS centrality_score FROM degrees JOIN m USING (repo) WHERE in_degree > 0 OR out_degree > 0",
-    "god_modules": with_parts(_W, DEGREES, "g AS (SELECT d.*, lines, in_degree + out_degree AS degree FROM degrees d JOIN files USING (repo, rel_path))", "m AS (SELECT repo, quantile_disc(degree, 0.5 ORDER BY degree DESC) AS median FROM g GROUP BY repo)")
+    "god_modules": with_parts(_W, DEGREES, *GODS)
     + "SELECT repo, rel_path AS path, lines, in_degree, out_degree FROM g JOIN m USING (repo) WHERE lines > 800 AND degree > median",
     "bottlenecks": with_parts(_W, DEGREES, "g AS (SELECT repo, rel_path, function_count, in_degree, sum(function_count) OVER (PARTITION BY repo) AS f, sum(in_degree) OVER (PARTITION BY repo) AS i FROM degrees JOIN files USING (repo, rel_path))", "h AS (SELECT repo, rel_path AS path, function_count::DOUBLE / nullif(f, 0)::DOUBLE AS function_share, in_degree::DOUBLE / nullif(i, 0)::DOUBLE AS import_share FROM g)")
     + "SELECT * FROM h WHERE function_share >= 0.01 AND import_share >= 0.01",
     "folder_coupling": with_parts(_W, COUPLING) + "SELECT * FROM coupling",
     "cross_folder_ratio": with_parts(_W, RATIOS) + "SELECT *, total_edges > 0 AND cross_folder_ratio = 0 AS possible_import_resolution_issue FROM ratios",
-    "layer_violations": with_parts(_W, f"p AS (SELECT DISTINCT repo, {_src} AS importer_folder, {_dst} AS imported_folder FROM edges)", f"o AS (SELECT unnest({list(b.LAYERS)}) AS folder, unnest(range({len(b.LAYERS)})) AS pos)")
-    + "SELECT p.* FROM p JOIN o x ON x.folder = importer_folder JOIN o y ON y.folder = imported_folder WHERE x.pos < y.pos",
+    "layer_violations": with_parts(_W, *LAYERED) + VIOLATIONS,
     "scc": with_parts(_S, SCC, recursive=True) + "SELECT * FROM scc",
+    "scc_over_tasks": with_parts(_W, SCC, recursive=True) + "SELECT * FROM scc",
     "cycles": with_parts(_S, SCC, recursive=True) + "SELECT repo, array_to_string(list_append(nodes, nodes[1]), ' -> ') AS cycle FROM cycles",
     "tight_pairs": with_parts(_S, SCC, recursive=True) + "SELECT repo, nodes[1] AS a, nodes[2] AS b FROM cycles WHERE n = 2",
     "cycle_analysis": with_parts(_S, SCC, recursive=True)
-    + "SELECT repo, CASE WHEN n = 2 THEN 'tight_coupling' WHEN n <= 5 THEN 'layer_leak' ELSE 'structural_cycle' END AS type, n AS length, array_to_string(nodes, ',') AS files, array_to_string(list_sort(list_distinct(list_transform(nodes, lambda x: split_part(x, '/', 1)))), ',') AS folders, 2 * n AS risk_score FROM cycles",
+    + "SELECT repo, " + f"{CYCLE_TYPE} AS type, n AS length, array_to_string(nodes, ',') AS files, {CYCLE_FOLDERS} AS folders, 2 * n AS risk_score FROM cycles",
     "cycle_penalty": with_parts(_S, SCC, recursive=True) + "SELECT repo, sum(round_even(10 * ln(n) / ln(2.0::DOUBLE), 0))::BIGINT AS penalty, count(*) AS total_cycles FROM cycles GROUP BY repo",
     "coupling_level": with_parts(_S, COUPLING, RATIOS, _TOP) + f"SELECT repo, top_folder, cross_folder_ratio, {_LEVEL} AS coupling_risk_level FROM top JOIN ratios USING (repo)",
     "coupling_level_tests": with_parts(_S, COUPLING, RATIOS, _TOP) + f"SELECT repo, top_folder, cross_folder_ratio, {_LOWER} AS coupling_risk_level FROM top JOIN ratios USING (repo)",

@@ -7,42 +7,63 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import report
+from strata.operators import metrics, report
 from strata.plans import bridge as b
 from strata.plans import catalogue as k
+from strata.storage import written
 
 TYPE = """source_files long, total_files long, total_lines long, total_long_files long, max_in_degree_file string, total_cycles long, structural_class string,
 long_files array<struct<path: string, lines: long>>,
 dependency_stats struct<import_map: map<string, array<string>>, in_degree: map<string, long>, circular_dependencies: array<array<string>>, cross_folder_dependency_ratio: double,
+  cycle_analysis: struct<tight_coupling_count: long, layer_leak_count: long, structural_cycle_count: long, cycles: array<struct<type: string, length: long, files: array<string>, folders: array<string>, risk_score: long>>>,
   folder_coupling: map<string, struct<external_dependencies: long, depends_on: array<string>>>>,
-architectural_risks struct<core_modules: array<struct<path: string, in_degree: long, out_degree: long, normalized_in: double, normalized_out: double, centrality_score: double>>>,
+architectural_risks struct<tight_coupling_pairs: array<array<string>>, god_module_candidates: array<struct<path: string, lines: long, in_degree: long, out_degree: long>>, layer_violations: array<struct<importer_folder: string, imported_folder: string>>, core_modules: array<struct<path: string, in_degree: long, out_degree: long, normalized_in: double, normalized_out: double, centrality_score: double>>>,
 architecture_score struct<raw_score: long, normalized_score: long, risk_breakdown: struct<long_file_penalty: long, circular_dependency_penalty: long, centralization_penalty: long, cross_folder_penalty: long>,
   structural_profile: struct<long_file_ratio: double, cycle_ratio: double, centralization_score: double, cross_folder_ratio: double>>"""
 
 
-def _documents(s, d):
-    x = report.scan_documents(b.supplier_files(s, d), k.edges_of(s, d))
+def _documents(s, d, graphs=b.GRAPHS, config=None):
+    x = report.scan_documents(b.supplier_files(s, d, graphs), written(b.supplier_edges(s, d, graphs), "edges"), config)
     return x.select("repo", F.from_json("document", TYPE).alias("d")).select("repo", "d.*")
 
 
+def _placed(x, items, *fields):
+    """A list's entries with their place."""
+    y = x.select("repo", F.posexplode(items).alias("place", "c"))
+    return y.select("repo", F.col("place").cast("long").alias("place"), *(fields or ("c.*",)))
+
+
 def _folders(s, d):
-    x = _documents(s, d).select("repo", F.explode("dependency_stats.folder_coupling").alias("folder", "c"))
+    x = _documents(s, d, b.WIDE).select("repo", F.explode("dependency_stats.folder_coupling").alias("folder", "c"))
     return x.select("repo", "folder", "c.external_dependencies", F.array_join("c.depends_on", ",").alias("depends_on"))
 
 
 def _imports(s, d):
-    x = _documents(s, d).select("repo", "dependency_stats.in_degree", F.explode("dependency_stats.import_map").alias("rel_path", "to"))
-    return x.select("repo", "rel_path", F.element_at("in_degree", F.col("rel_path")).alias("in_degree"), F.array_join("to", ",").alias("imports"))
+    x = _documents(s, d, b.WIDE).select("repo", "dependency_stats.in_degree", F.explode("dependency_stats.import_map").alias("rel_path", "to"))
+    return x.select("repo", "rel_path", F.element_at("in_degree", F.col("rel_path")).alias("in_degree"), F.size("to").cast("long").alias("n"), F.sha2(F.array_join("to", ","), 256).alias("imports"))
+
+
+def _cycles(s, d):
+    x = _placed(_documents(s, d), "dependency_stats.cycle_analysis.cycles")
+    return x.withColumns({"files": F.array_join("files", ","), "folders": F.array_join("folders", ",")})
+
+
+def _pairs(s, d):
+    return _placed(_documents(s, d), "architectural_risks.tight_coupling_pairs", F.col("c")[0].alias("a"), F.col("c")[1].alias("b"))
 
 
-def _cores(s, d):
-    x = _documents(s, d).select("repo", F.posexplode("architectural_risks.core_modules").alias("place", "c"))
-    return x.select("repo", F.col("place").cast("long").alias("place"), "c.*")
+def _violations(s, d):
+    config = b.layers(s, b.WIDE).withColumn("scoring", F.lit(None).cast(metrics.config_struct()))
+    return _placed(_documents(s, d, b.WIDE, config), "architectural_risks.layer_violations")
 
 
-def _long(s, d):
-    x = _documents(s, d).select("repo", F.posexplode("long_files").alias("place", "f"))
-    return x.select("repo", F.col("place").cast("long").alias("place"), "f.*")
+def _weak(s, d):
+    """Nations as repositories whose files all lie below ``tests``: confidence, and whether the summary says that it is weak."""
+    files, edges = b.nation_files(s, d), written(b.nation_edges(s, d), "edges")
+    view = report.overview(files, edges)
+    text = report.summaries(view).select("repo", F.contains("summary", F.lit("\nArchitecture signal weak due to insufficient structural data.\n")).alias("weak"))
+    x = view.select("repo", "total_files", "total_edges", "only_tests", metrics.signal_confidence("source_files").cast("long").alias("signal_confidence"))
+    return x.join(text, "repo")
 
 
 def _facts(s, d):
@@ -73,8 +94,13 @@ QUERIES = {
     "scan_documents": lambda s, d: report.scan_documents(b.supplier_files(s, d), k.edges_of(s, d)),
     "document_folders": _folders,
     "document_imports": _imports,
-    "document_core_modules": _cores,
-    "document_long_files": _long,
+    "document_core_modules": lambda s, d: _placed(_documents(s, d, b.WIDE), "architectural_risks.core_modules"),
+    "document_long_files": lambda s, d: _placed(_documents(s, d, b.WIDE), "long_files"),
+    "document_god_modules": lambda s, d: _placed(_documents(s, d, b.WIDE), "architectural_risks.god_module_candidates"),
+    "document_layer_violations": _violations,
+    "document_cycles": _cycles,
+    "document_tight_pairs": _pairs,
+    "weak_signals": _weak,
     "document_facts": _facts,
     "first_long_files": _first_long,
     "summary_text": lambda s, d: report.summaries(_view(s, d)),
@@ -132,15 +158,21 @@ SELECT * FROM (SELECT repo, unnest([2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14])
 _ALL = (*k.SCORED_SQL, k.COUPLING)
 
 ORACLE_SQL = {
-    "document_folders": k.with_parts(b.SUPPLIER_SQL, k.COUPLING) + "SELECT * FROM coupling",
-    "document_imports": k.with_parts(b.SUPPLIER_SQL, k.DEGREES)
-    + "SELECT repo, rel_path, in_degree, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM edges e WHERE e.repo = d.repo AND src = rel_path), '') AS imports FROM degrees d",
+    "document_folders": k.with_parts(b.supplier_sql(b.WIDE), k.COUPLING) + "SELECT * FROM coupling",
+    "document_imports": k.with_parts(b.supplier_sql(b.WIDE), k.DEGREES, "o AS (SELECT repo, src AS rel_path, count(*) AS n, string_agg(dst, ',' ORDER BY dst) AS deps FROM edges GROUP BY repo, src)")
+    + "SELECT repo, rel_path, in_degree, coalesce(n, 0) AS n, sha256(coalesce(deps, '')) AS imports FROM degrees LEFT JOIN o USING (repo, rel_path)",
     "document_core_modules": k.with_parts(
-        b.SUPPLIER_SQL, k.DEGREES, "m AS (SELECT repo, greatest(max(in_degree), 1) AS i, greatest(max(out_degree), 1) AS o FROM degrees GROUP BY repo)",
+        b.supplier_sql(b.WIDE), k.DEGREES, "m AS (SELECT repo, greatest(max(in_degree), 1) AS i, greatest(max(out_degree), 1) AS o FROM degrees GROUP BY repo)",
         "c AS (SELECT *, in_degree::DOUBLE / i AS x, out_degree::DOUBLE / o AS y FROM degrees JOIN m USING (repo) WHERE in_degree > 0 OR out_degree > 0)",
     )
     + f"SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY (x + y) / 2.0::DOUBLE DESC, rel_path) - 1 AS place, rel_path AS path, in_degree, out_degree, {_4.format('x')} AS normalized_in, {_4.format('y')} AS normalized_out, {_4.format('(x + y) / 2.0::DOUBLE')} AS centrality_score FROM c",
-    "document_long_files": k.with_parts(b.SUPPLIER_SQL) + "SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY rel_path) - 1 AS place, rel_path AS path, lines FROM files WHERE lines > 300",
+    "document_long_files": k.with_parts(b.supplier_sql(b.WIDE)) + "SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY rel_path) - 1 AS place, rel_path AS path, lines FROM files WHERE lines > 300",
+    "document_god_modules": k.with_parts(b.supplier_sql(b.WIDE), k.DEGREES, *k.GODS) + "SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY rel_path) - 1 AS place, rel_path AS path, lines, in_degree, out_degree FROM g JOIN m USING (repo) WHERE lines > 800 AND degree > median",
+    "document_layer_violations": k.with_parts(b.supplier_sql(b.WIDE), *k.LAYERED) + f"SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY importer_folder, imported_folder) - 1 AS place, importer_folder, imported_folder FROM ({k.VIOLATIONS})",
+    "document_cycles": k.with_parts(b.SUPPLIER_SQL, k.SCC, recursive=True) + f"SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY type, n, nodes) - 1 AS place, type, n AS length, array_to_string(nodes, ',') AS files, {k.CYCLE_FOLDERS} AS folders, 2 * n AS risk_score FROM (SELECT *, {k.CYCLE_TYPE} AS type FROM cycles)",
+    "document_tight_pairs": k.with_parts(b.SUPPLIER_SQL, k.SCC, recursive=True) + "SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY nodes) - 1 AS place, nodes[1] AS a, nodes[2] AS b FROM cycles WHERE n = 2",
+    "weak_signals": k.with_parts(b.NATION_SQL) + """SELECT repo, n AS total_files, e AS total_edges, true AS only_tests, confidence AS signal_confidence, confidence < 50 AS weak
+  FROM (SELECT *, greatest(0, 100 - 25 * (n < 5)::INT - 25 * (e < 5)::INT - 25 - 25 * (n > 50 AND e = 0)::INT - 25 * (n > 50 AND e > 0)::INT)::BIGINT AS confidence FROM (SELECT repo, count(*) AS n, (SELECT count(*) FROM edges e WHERE e.repo = files.repo) AS e FROM files GROUP BY repo))""",
     "document_facts": k.with_parts(*_ALL, k.score_sql(), recursive=True)
     + f"""SELECT repo, total_files AS source_files, total_files, total_lines, total_long_files, (SELECT arg_min(rel_path, {{'n': -in_degree, 'p': rel_path}}) FROM degrees d WHERE d.repo = score.repo) AS max_in_degree_file,
   total_cycles, structural_class, coalesce((SELECT string_agg(array_to_string(list_append(nodes, nodes[1]), ' -> '), '; ' ORDER BY nodes) FROM cycles y WHERE y.repo = score.repo), '') AS cycles, raw_score,

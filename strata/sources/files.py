@@ -20,14 +20,15 @@ from strata.storage import discard, written
 #: Folders that a task opens below one that it is given, before it hands those that are left to other tasks.
 OPEN_FOLDERS = 500
 #: What a file weighs besides its bytes: opening it costs about as much as reading so many.
-OPEN_BYTES = 4096
+OPEN_BYTES = 1024
 #: A partition's weight: at most the first (more only where one file is larger), at least the second.
 MOST_BYTES, LEAST_BYTES = 64 << 20, 256 << 10
 #: Files up to this size may set the weight of all partitions, so that partitions are about alike; larger ones have one of their own.
 EVEN_BYTES = 256 << 20
 #: Files beyond this are no rows: listed, but not read.
 ROW_BYTES = 1 << 30
-CLASSES = 16
+#: The class of small files: up to a weight of a part's over two to this power.
+SMALL = 4
 _BATCH_ROWS, _BATCH_BYTES = 10_000, 8 << 20
 
 
@@ -125,23 +126,29 @@ def partition_weight(total: int, largest: int, parallelism: int) -> int:
 
 
 def packed(files: DataFrame, parallelism: int | None = None) -> tuple[DataFrame, int]:
-    """Files (written, with size) with ``part``, and the number of parts: each holds over half of one weight, but for one at most.
+    """Files (written, with size) with ``part``, and the number of parts, which are about alike in weight.
 
-    Files of one class, whose size is within a factor of two, fill parts of as many files as surely fit, by their place in the listing;
-    each class's last part, which may not be full, is put with others first fit by size. Beyond the weight a file has a part of its own.
-    The driver gets a count for each class and file of the listing.
+    A file larger than a part's weight has a part of its own. Those above a sixteenth of it fall in classes within a factor of two, and as many
+    of one class as surely fit make a part, by their place in the listing; what is left of the classes is put together, first fit by
+    size. The small ones fill these, then parts of equal shares, by the sum of what comes before them in the listing.
+    The driver gets a count and a sum for each class and file of the listing.
     """
+    from pyspark.sql import Window
+
     spark = files.sparkSession
-    w = F.greatest("size", F.lit(0)) + OPEN_BYTES
+    w = F.greatest(F.col("size"), F.lit(0)) + OPEN_BYTES
     total, largest = files.agg(F.coalesce(F.sum(w), F.lit(0)), F.coalesce(F.max(w), F.lit(0))).first()
     most = partition_weight(total, largest, parallelism or spark.sparkContext.defaultParallelism)
-    size_class = sum(((w <= (most >> i)).cast("int") for i in range(CLASSES)), F.lit(-1))  # -1: larger than a part
-    x = files.select("*", size_class.alias("class"), F.col("_metadata.file_path").alias("of"), F.col("_metadata.row_index").alias("at"))
-    counts = sorted(map(tuple, x.groupBy("of", "class").agg(F.count("*").alias("n")).collect()), key=lambda r: (r[1], r[0]))
-    before, sums = [], dict.fromkeys(range(-1, CLASSES), 0)
-    for of, c, n in counts:
-        before.append((of, c, sums[c]))
-        sums[c] += n
+    size_class = sum(((w <= (most >> i)).cast("int") for i in range(SMALL + 1)), F.lit(-1))  # -1: larger than a part
+    x = files.select("*", w.alias("w"), size_class.alias("class"), F.col("_metadata.file_path").alias("of"), F.col("_metadata.row_index").alias("at"))
+    counts = sorted(map(tuple, x.groupBy("of", "class").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()), key=lambda r: (r[1], r[0]))
+    before, sums, small = [], dict.fromkeys(range(-1, SMALL), 0), 0
+    for of, c, n, weight in counts:
+        before.append((of, c, small if c == SMALL else sums[c]))
+        if c == SMALL:
+            small += weight
+        else:
+            sums[c] += n
     first, parts, rests = {}, 0, []  # each class's first part; the parts so far; what is left of each class
     for c, n in sums.items():
         first[c] = parts
@@ -154,14 +161,27 @@ def packed(files: DataFrame, parallelism: int | None = None) -> tuple[DataFrame,
         i = next((i for i, held in enumerate(bins) if held + weight <= most), len(bins))
         bins[i:] = [bins[i] + weight if i < len(bins) else weight, *bins[i + 1 :]]
         put[c] = parts + i
-    place = spark.createDataFrame([(of, c, b, first[c], sums[c] >> max(c, 0), put.get(c, 0)) for of, c, b in before], "of string, class int, before long, first int, full long, rest int")
-    from pyspark.sql import Window
-
-    n = F.col("before") + F.row_number().over(Window.partitionBy("of", "class").orderBy("at")) - 1
-    own = F.expr("shiftrightunsigned(n, greatest(class, 0))")
-    x = x.join(F.broadcast(place), ["of", "class"]).withColumn("n", n).withColumn("own", own)  # a row for each file of the listing and class
-    part = F.when(F.col("own") < F.col("full"), F.col("first") + F.col("own")).otherwise(F.col("rest")).cast("int")
-    return x.select(*files.columns, part.alias("part")), parts + len(bins)
+    shared = parts + len(bins)
+    gaps = [most - held for held in bins]
+    rest = small - sum(gaps)
+    between = any(sums[c] for c in range(1, SMALL))  # parts that may be little over half full: none is to exceed the weight then
+    alike = max(0, -(-rest // most) if between else max(int(rest > 0), round(rest / most)))  # parts of small files only
+    if rest > 0 and 2 * rest < most and shared >= 4:  # too little for a part: spread over all
+        gaps, alike, spread = [], shared, 0
+    else:
+        gaps, spread = [g * min(1, small / sum(gaps)) for g in gaps] if sum(gaps) else [], shared
+    share = max(1.0, (small - sum(gaps)) / alike) if alike else 1.0
+    place = spark.createDataFrame([(of, c, b, first.get(c, 0), sums.get(c, 0) >> max(c, 0), put.get(c, 0)) for of, c, b in before], "of string, class int, before long, first int, full long, rest int")
+    own = Window.partitionBy("of", "class").orderBy("at")
+    x = x.join(F.broadcast(place), ["of", "class"])  # a row for each file of the listing and class
+    x = x.withColumn("n", F.col("before") + F.row_number().over(own) - 1).withColumn("upto", F.col("before") + F.sum("w").over(own) - F.col("w"))
+    left = F.col("upto") - sum(gaps)
+    even = F.lit(spread) + F.least(F.greatest(F.floor(left / share), F.lit(0)), F.lit(max(0, alike - 1)))
+    for i in reversed(range(len(gaps))):
+        even = F.when(F.col("upto") < sum(gaps[: i + 1]), F.lit(parts + i)).otherwise(even if alike or i + 1 < len(gaps) else F.lit(parts + i))
+    by_class = F.expr("shiftrightunsigned(n, greatest(class, 0))")
+    part = F.when(F.col("class") == SMALL, even).when(by_class < F.col("full"), F.col("first") + by_class).otherwise(F.col("rest"))
+    return x.select(*files.columns, part.cast("int").alias("part")), shared + (alike if spread else 0)
 
 
 def read(files: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ brings its norm to the largest of the table. With queries at 0 there, the square
    bounds decide what meets; vectors move to the pairs that are searched.
 
 The result is exact: scores are integers, by floating-point matrices where every sum is exact in them,
-else in 64 bits, else in Python's integers. A score of the result that does not fit a long is an error.
+else in 64 bits, else in Python's integers. A score of the result that
+does not fit a long is null, and ranks among its like by vec_id; what is not in the result may be of any size.
 
 Vectors that are null or hold a null or a value that is not finite take no part. Shorter vectors count
 as filled up with zeros. Equal scores go to the smaller vec_id, null ids last; rows that repeat an id are candidates of their
@@ -91,11 +92,13 @@ def products(q, x):
     return whole(q).dot(whole(x).T)
 
 
+#: What stands for scores at or beyond the ends of a long while the search goes on; a result has null for them.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
 def longs(scores) -> pa.Array:
-    """Scores of the result; an error if one does not fit."""
-    if any(not -(1 << 63) <= int(s) < 1 << 63 for s in (scores if scores.dtype == object else ())):
-        raise OverflowError("a score of the result does not fit a long")
-    return pa.array([int(s) for s in scores] if scores.dtype == object else scores, pa.int64())
+    """Provisional scores; those that do not fit are held as the long nearest to them, which is not in a result that fits."""
+    return pa.array([min(max(int(s), LEAST), MOST) for s in scores] if scores.dtype == object else scores, pa.int64())
 
 
 class Space:
@@ -341,7 +344,7 @@ def top_k(
     x_rows = index.select(F.col("block").alias("x_block"), "pivot", "low", "high", "ids", "rids", "vecs")
     begin = 1
     while True:
-        bounds = each.join(now.where(F.col("rank") == k).select("query_rid", F.col("score").alias("bound")), "query_rid", "left")
+        bounds = each.join(now.where(F.col("rank") == k).select("query_rid", F.when(F.col("score") > LEAST, F.col("score")).alias("bound")), "query_rid", "left")
         reach = F.sqrt(F.greatest(F.col("norm") + F.lit(top) - 2 * F.col("bound").cast("double"), F.lit(0.0))) * (1 + 1e-9) + F.lit(wide)
         reach = F.when(F.col("bound").isNotNull(), F.nanvl(reach, F.lit(float("inf")))).otherwise(float("inf"))
         known = bounds.groupBy("q_block").agg(F.max(reach).alias("reach"), F.array_sort(F.collect_list(F.struct("place", "bound"))).alias("b"))  # a block's queries at most
@@ -361,7 +364,8 @@ def top_k(
         discard(known, pairs)
         begin, wave = begin + wave, wave * 4
     discard(index, asks, each, order)
-    return now.select("query_id", "rank", "vec_id", "score")
+    fits = (F.col("score") > LEAST) & (F.col("score") < MOST)
+    return now.select("query_id", "rank", "vec_id", F.when(fits, F.col("score")).alias("score"))
 
 
 def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ Confirmed kinds are reported only after the candidate was decoded and parsed:
   length-prefixed fields fill their parents, the public keys' and, where it is not encrypted, the private part's included.
 
 Base64 may be wrapped into lines; a key then ends with the line in which its stated length is reached,
-and what follows on the next line is text, or a key of its own.
+and what follows on the next line is text, or a key of its own. A stated length beyond ``MAX_KEY`` bytes is no key's. Only stated lengths are
+decoded, and armour lines are paired in one pass, so that a text takes time in proportion to its length, whatever it holds.
 
 A text that is null counts as empty: no spans. Texts are scanned whole; offsets are code points,
 ends exclusive. Very long texts are scanned whole; an empty table gives no rows. Spans that begin at one place go by kind. Equal rows give equal results row by row; extra columns are not read by the scan,
@@ -48,7 +49,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: A brace and what may follow it in JSON: a quote or white space.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]+)\.(e[wy][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\\-]*?)-----END \1-----")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,\\-]*")
 PEM_HEADER = re.compile(r"(?m)^[A-Za-z-]+:.*$")
 DEK_INFO = re.compile(r"(?m)^DEK-Info: *[A-Z0-9-]+,[0-9A-Fa-f]{16,}\s*$")
 #: DER sequences begin with 0x30, in base64 "M"; OpenSSH keys begin with their magic bytes.
@@ -56,6 +58,8 @@ B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]|b3BlbnNzaC1rZXktdjE)(?:[A
 B64URL = re.compile(r"(?<![A-Za-z0-9_-])M[A-Za-z0-9][A-Za-z0-9_-]{38,}(?![A-Za-z0-9_-])")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6f70656e7373682d6b65792d7631)[0-9A-Fa-f]{78,}", re.IGNORECASE)
 B64_LINE = re.compile(r"[A-Za-z0-9+/]+")
+#: Bytes beyond which a stated length is no key's: the largest keys in use take a fraction of it.
+MAX_KEY = 1 << 16
 SSH_MAGIC, SSH_BEGIN = b"openssh-key-v1\0", "b3BlbnNzaC1rZXktdjE"
 
 #: Cheap necessary conditions, so that texts without a candidate skip the patterns.
@@ -201,6 +205,29 @@ def is_ssh_key(data: bytes) -> bool:
     return ssh_size(data) == len(data)
 
 
+def ssh_stated(body: str, at: int) -> int | None:
+    """The bytes that the lengths within an OpenSSH key's base64 text, which begins at a character, add up to. Only these are
+    decoded; None where they are no key's or lead beyond the text."""
+    off, number, most = len(SSH_MAGIC), 1, (len(body) - at) * 3 // 4
+    for part in range(6 + 64):  # as in ssh_size
+        if part > 4 + number:
+            break
+        if off + 4 > min(most, MAX_KEY):
+            return None
+        a = off // 3 * 4
+        data = unbase64(body[at + a : at + a + 8])
+        if data is None:
+            return None
+        n, off = int.from_bytes(data[off % 3 : off % 3 + 4], "big"), off + 4
+        if part == 3:
+            if not 1 <= n <= 64:
+                return None
+            number = n
+        else:
+            off += n
+    return off if off <= min(most, MAX_KEY) else None
+
+
 def base64_keys(text: str, begin: int, end: int) -> Iterator[tuple[str, int, int]]:
     """The keys in a run of base64 lines: each begins a line and ends one, at the length that its own header states."""
     lines = [m.span() for m in B64_LINE.finditer(text, begin, end)]
@@ -212,14 +239,13 @@ def base64_keys(text: str, begin: int, end: int) -> Iterator[tuple[str, int, int
         at, kind, last = ends[i] - (lines[i][1] - lines[i][0]), None, i
         if body[at] == "M":
             size = der_size(unbase64(body[at : at + 8]) or b"")
-            stop = at + chars(size) if size else at
+            stop = at + chars(size) if size and size <= MAX_KEY else at
             last = bisect_left(ends, stop)
             if last < len(ends) and ends[last] == stop > at and is_der_key(unbase64(body[at:stop]) or b""):
                 kind = "der"
         elif body.startswith(SSH_BEGIN, at):
-            stop = len(body) - ((len(body) - at) % 4 == 1)
-            size = ssh_size(unbase64(body[at:stop]) or b"")
-            if size is not None:
+            size = ssh_stated(body, at)
+            if size is not None and ssh_size((unbase64(body[at : at + chars(size)]) or b"")[:size]) == size:
                 kind, last = "sshkey", bisect_left(ends, min(at + chars(size), len(body)))
         to = 0 if kind is None else end if last == len(lines) - 1 else lines[last][1]
         if to - lines[i][0] >= 40:
@@ -252,12 +278,24 @@ def is_pem_key(label: str, body: str) -> bool:
     return is_encrypted_key(data) if label.startswith("ENCRYPTED") else is_der_key(data) or is_ssh_key(data)
 
 
+def armoured(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(label, body, begin, end) of the blocks between a BEGIN line and the END line of its label with no other such line between."""
+    begin = None
+    for m in PEM_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        else:
+            if begin is not None and begin[2] == m[2] and PEM_BODY.fullmatch(text, begin.end(), m.start()):
+                yield m[2], text[begin.end() : m.start()], begin.start(), m.end()
+            begin = None
+
+
 def confirmed(text: str, long_runs: bool = True) -> Iterator[tuple[str, int, int]]:
     """Spans of the confirmed kinds; ``long_runs``: whether 40 characters of base64 follow one another anywhere."""
     if "." in text and ("ey" in text or "ew" in text):
         yield from (("jwt", *m.span()) for m in JWT.finditer(text) if is_jwt(m))
     if "PRIVATE KEY-----" in text:
-        yield from (("pem", *m.span()) for m in PEM.finditer(text) if is_pem_key(m[1], m[2]))
+        yield from (("pem", a, b) for label, body, a, b in armoured(text) if is_pem_key(label, body))
     if not long_runs:
         return
     for m in B64.finditer(text):

@@ -1,8 +1,10 @@
 """Operators whose results are held against SQL, a library or a brute-force version on small tables."""
 
+import base64
 import hashlib
 import json
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -231,6 +233,35 @@ def test_base_spans_against_a_naive_scan():
         assert got == naive_base(text), text
 
 
+def test_secrets_in_time_with_the_text():
+    """Texts that begin keys again and again and never end one take no longer for each line than others."""
+    ssh = base64.b64encode(secrets.SSH_MAGIC + (4).to_bytes(4, "big") + b"none" + (4).to_bytes(4, "big") + b"none" + (0).to_bytes(4, "big") + (1).to_bytes(4, "big")).decode()
+    der = base64.b64encode(bytes([0x30, 0x83, 0, 0xFF, 0xF0]) + bytes(25)).decode()
+    for line in ("-----BEGIN RSA PRIVATE KEY-----", ssh, secrets.SSH_BEGIN, der, "-----BEGIN A PRIVATE KEY----- -----END B PRIVATE KEY-----", "eyJ.eyJ."):
+        text = "\n".join([line] * 50_000)
+        start = time.perf_counter()
+        secrets.spans(text)
+        assert time.perf_counter() - start < 4, line
+
+
+def test_armour_pairs():
+    """The block next to its END line is the one; a BEGIN line before it without END hides nothing."""
+    key = secret_key()
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----"
+    for before in ("", "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n", "-----BEGIN EC PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----\n"):
+        for after in ("", "\n-----END RSA PRIVATE KEY-----", "\n-----BEGIN EC PRIVATE KEY-----"):
+            assert [s[:3] for s in secrets.spans(before + block + after) if s[2] == "pem"] == [(len(before), len(before) + len(block), "pem")]
+    assert not [s for s in secrets.spans(block.replace("RSA PRIVATE KEY-----\n", "EC PRIVATE KEY-----\n", 1)) if s[2] == "pem"]
+    assert not [s for s in secrets.spans(block.replace(key, "!" + key)) if s[2] == "pem"]
+
+
+def secret_key():
+    """An RSA key's encoding: version and eight numbers."""
+    number = lambda n: bytes([2, len(n)]) + n
+    body = number(b"\0") + b"".join(number(bytes([i + 1]) * 8) for i in range(8))
+    return base64.b64encode(bytes([0x30, len(body)]) + body).decode()
+
+
 def test_confirmed_secrets():
     import base64
 
@@ -515,8 +546,18 @@ def test_topk_large_components(spark):
     got = sorted(map(tuple, topk.top_k(x, F.col("vec_id") % 20 == 0, k=4, block=2).collect()), key=repr)
     assert got == brute_topk(rows, 4)
     assert [r for r in got if r[0] == 0][:2] == [(0, 1, 5, 64 * 64 * 30_000_000), (0, 2, 2, 64 * 64 * 20_000_000)]
-    with pytest.raises(Exception, match="does not fit a long"):
-        topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    beyond = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30]), (3, [0.5]), (40, [1.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(beyond, F.col("vec_id") % 20 == 0, k=3).collect()))
+    assert got[:3] == [(0, 1, 1, None), (0, 2, 3, None), (0, 3, 40, None)] and got[4:] == [(40, 2, 1, None), (40, 3, 3, 2048)]
+
+
+@pytest.mark.parametrize("block", [2, 8, 4096])
+def test_topk_beside_huge_scores(spark, block):
+    """A score that no long holds, of a row that is not in the result, changes nothing, however rows lie in blocks."""
+    rows = [(0, [1e9]), (1, [-1e12])] + [(i, [float(i)]) for i in range(2, 60)]
+    x = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(x, F.col("vec_id") == 0, k=3, block=block).collect()))
+    assert got == [(0, n + 1, 59 - n, 64_000_000_000 * 64 * (59 - n)) for n in range(3)]
 
 
 def test_topk_prunes_clusters(spark):

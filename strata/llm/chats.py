@@ -18,19 +18,18 @@ without conv_id is a conversation of its own, rows that repeat included; a null
 null role is the role ``unknown``. Rows that repeat are messages of their own; messages with equal places go by turn, role and then JSON text, so
 that ties need no rule. A tool without schema accepts any object. An empty table gives no rows. Extra columns are not read, whatever their names.
 
-A conversation comes out as one row, with ``part`` and ``piece`` 0, if it has at most ``WHOLE_MESSAGES`` messages and ``WHOLE_BYTES``
-characters of text. Only beyond that is it cut, so that no task holds an unbounded one: into parts of ``PART_TURNS`` turns, by the turn that a message's place
-begins with, and a part that is beyond the same bounds itself into pieces by a hash of its messages, each in order.
+Messages come out as rows, each with its position in its conversation, whatever the conversation's size: rows are sorted by ranges of
+conversation and place over all tasks, and a position is what earlier tasks hold of the conversation and what comes before in its own. The array of a whole
+conversation is a view of these rows (``chat_arrays``), for conversations that fit a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import discard, table, written
 
-WHOLE_MESSAGES, WHOLE_BYTES, PART_TURNS = 4096, 32 << 20, 1024
 #: Tool, argument, JSON type and whether it is required. Callers pass their own.
 SCHEMAS = (
     ("search", "query", "string", True),
@@ -137,21 +136,40 @@ def placed_calls(calls: DataFrame) -> DataFrame:
         now = now.drop("moved")
 
 
-def cuts(df: DataFrame, most: int, size: int, part_turns: int) -> DataFrame:
-    """Conversations beyond the bounds: cut_conv, cut_part (a range of turns) and into how many pieces it is cut. Few rows, from sums."""
-    part = F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(-1)) / part_turns)
-    sums = df.where(F.col("conv_id").isNotNull()).groupBy("conv_id", part.alias("part")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    whole = sums.groupBy("conv_id").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).where((F.col("n") > most) | (F.col("chars") > size)).select("conv_id")
-    pieces = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.coalesce("chars", F.lit(0)) / size), F.lit(1))
-    return written(sums.join(whole, "conv_id").select(F.col("conv_id").alias("cut_conv"), F.col("part").alias("cut_part"), pieces.alias("pieces")), "chat-cuts")
+KEYS = ("conv_id", "own")
+FIELDS = ("turn", "role", "message", "n_calls", "n_invalid", "linked", "orphan", "cyclic")
 
 
-def format_chats(
-    df: DataFrame, schemas: tuple[tuple[str, str, str, bool], ...] = SCHEMAS, most: int = WHOLE_MESSAGES, size: int = WHOLE_BYTES, part_turns: int = PART_TURNS
-) -> DataFrame:
-    """One row per conversation, or piece of a very large one: counts, and ``chat``, the canonical JSON array of its messages."""
+def alike(a: str, b: str, *more: str) -> Column:
+    """Whether rows of two aliases belong to one conversation, and agree in more columns."""
+    on = F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) & (F.col(f"{a}.own") == F.col(f"{b}.own"))
+    for c in more:
+        on = on & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
+    return on
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Messages with ``position``, from 0, by place, turn, role and text within their conversation; written.
+
+    Messages that are alike in everything are counted first and dealt out again at the end. A task adds up its rows of each
+    conversation; what tasks before it hold is a running sum of these, few rows for each conversation.
+    """
+    order = [*KEYS, "place", *FIELDS]
+    x = rows.groupBy(*order).agg(F.count("*").alias("n"))
+    x = x.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    x = written(x.withColumn("task", F.shiftright("at", 33)), "chat-sorted")
+    own = Window.partitionBy(*KEYS, "task").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*KEYS).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy(*KEYS, "task").agg(F.sum("n").alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(earlier), F.lit(0))).drop("sum")
+    x = x.withColumn("within", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    x = x.alias("x").join(sums.alias("s"), alike("x", "s", "task")).select("x.*", "s.before")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    return x.select(*KEYS, (F.col("before") + F.col("within")).alias("first"), *FIELDS, copies.alias("copy")).select(*KEYS, (F.col("first") + F.col("copy")).alias("position"), *FIELDS)
+
+
+def format_messages(df: DataFrame, schemas: tuple[tuple[str, str, str, bool], ...] = SCHEMAS) -> DataFrame:
+    """One row per message: conv_id, own, position, turn, role, its canonical JSON, and what its calls and links are."""
     rows = parsed(own_conversations(df))
-    cut = cuts(df, most, size, part_turns)
     calls = rows.where(F.size("calls") > 0).select("conv_id", "own", "turn", F.explode("calls").alias("c"))
     calls = calls.select("conv_id", "own", "turn", "c.id", "c.idx", "c.deps").where(F.col("id").isNotNull())
     first = calls.groupBy("conv_id", "own", "id").agg(F.min(F.struct("turn", "idx", "deps")).alias("f")).select("conv_id", "own", "id", "f.*")
@@ -176,32 +194,29 @@ def format_chats(
     message = F.to_json(
         F.struct("content", "role", F.col("answers").alias("tool_call_id"), F.when(F.size("calls") > 0, calls_out).alias("tool_calls")),
     )
-    x = x.withColumn("part", F.floor(F.element_at(after, 1)["turn"] / part_turns))
-    # a message that its place has moved into a range of turns without any of its own has no cut there: such a range is one piece
-    big = cut.select(F.col("cut_conv").alias("conv_id")).distinct().withColumn("big", F.lit(True))
-    x = x.join(big, "conv_id", "left").join(cut, (F.col("conv_id") == F.col("cut_conv")) & (F.col("part") == F.col("cut_part")), "left")
     x = x.select(
-        "conv_id", "own",
-        F.when(F.col("big"), F.col("part")).otherwise(F.lit(0)).alias("part"),
-        F.when(F.col("big") & (F.col("pieces") > 1), F.pmod(F.xxhash64("turn", "role", "content", "answers"), F.col("pieces"))).otherwise(F.lit(0)).alias("piece"),
-        F.struct(after.alias("place"), "turn", "role", message.alias("json")).alias("entry"),
-        F.size("calls").alias("n_calls"),
-        F.size(F.filter("calls", lambda k: ~valid(k, schemas))).alias("n_invalid"),
-        linked.cast("int").alias("n_linked"),
-        (F.col("answers").isNotNull() & ~linked).cast("int").alias("n_orphans"),
-        F.col("cyclic").cast("int").alias("n_cyclic"),
+        *KEYS, after.alias("place"), "turn", "role", message.alias("message"), F.size("calls").cast("long").alias("n_calls"),
+        F.size(F.filter("calls", lambda k: ~valid(k, schemas))).cast("long").alias("n_invalid"), linked.alias("linked"), (F.col("answers").isNotNull() & ~linked).alias("orphan"), "cyclic",
     )
-    out = x.groupBy("conv_id", "own", "part", "piece").agg(
+    return numbered(x)
+
+
+def chat_arrays(messages: DataFrame) -> DataFrame:
+    """One row per conversation that fits one: counts, and ``chat``, the canonical JSON array of its messages."""
+    out = messages.groupBy(*KEYS).agg(
         F.count("*").alias("n_messages"),
-        *(F.sum(k).alias(k) for k in ("n_calls", "n_linked", "n_orphans", "n_invalid", "n_cyclic")),
-        F.array_sort(F.collect_list("entry")).alias("entries"),
+        F.sum("n_calls").alias("n_calls"),
+        *(F.count_if(k).alias(f"n_{name}") for k, name in (("linked", "linked"), ("orphan", "orphans"), ("cyclic", "cyclic"))),
+        F.sum("n_invalid").alias("n_invalid"),
+        F.array_sort(F.collect_list(F.struct("position", "message"))).alias("entries"),
     )
-    chat = F.concat(F.lit("["), F.array_join(F.transform("entries", lambda e: e.json), ","), F.lit("]"))
-    return out.select("conv_id", "part", "piece", "n_messages", "n_calls", "n_linked", "n_orphans", "n_invalid", "n_cyclic", chat.alias("chat"))
+    chat = F.concat(F.lit("["), F.array_join(F.transform("entries", lambda e: e.message), ","), F.lit("]"))
+    return out.select("conv_id", "n_messages", "n_calls", "n_linked", "n_orphans", "n_invalid", "n_cyclic", chat.alias("chat"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chats(table(spark, sf_dir, "conversations"))
+    """Every message of every conversation, with its position and canonical JSON."""
+    return format_messages(table(spark, sf_dir, "conversations")).drop("own")
 
 
 def with_calls(df: DataFrame) -> DataFrame:
@@ -228,35 +243,26 @@ def kind_of(conv: Column, turn: Column) -> Column:
 
 
 def chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`format_chats` over the conversations with calls and results in place of messages."""
-    return format_chats(with_calls(table(spark, sf_dir, "conversations")))
+    """The same over the conversations with calls and results in place of messages."""
+    return format_messages(with_calls(table(spark, sf_dir, "conversations"))).drop("own")
 
 
 _PLAIN = """'{"content":' || to_json(coalesce(text, ''))::VARCHAR || ',"role":' || to_json(coalesce(role, 'unknown'))::VARCHAR || '}'"""
-_CUT = f"""sums AS (SELECT conv_id, floor(coalesce(turn, -1) / {PART_TURNS})::BIGINT AS part, count(*) AS n, sum(length(text)) AS chars FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
-big AS (SELECT conv_id FROM sums GROUP BY conv_id HAVING sum(n) > {WHOLE_MESSAGES} OR sum(chars) > {WHOLE_BYTES})"""
-#: Pieces are not in the SQL: they need a range of turns beyond the bounds of a whole conversation.
 OP10_SQL = f"""
-WITH {_CUT},
-m AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS own, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
-    CASE WHEN conv_id IN (FROM big) THEN floor(coalesce(turn, -1) / {PART_TURNS})::BIGINT ELSE 0 END AS part, {_PLAIN} AS j FROM conversations)
-SELECT conv_id, part, 0::BIGINT AS piece, count(*) AS n_messages, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked,
-  0::BIGINT AS n_orphans, 0::BIGINT AS n_invalid, 0::BIGINT AS n_cyclic, '[' || string_agg(j, ',' ORDER BY turn, role, j) || ']' AS chat
-FROM m GROUP BY conv_id, own, part
+WITH m AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS own, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, {_PLAIN} AS message FROM conversations)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id, own ORDER BY turn, role, message) - 1 AS position, turn, role, message,
+  0::BIGINT AS n_calls, 0::BIGINT AS n_invalid, false AS linked, false AS orphan, false AS cyclic FROM m
 """
 #: A run of calls that each need the next one comes out behind the call that ends it (and its result), last call first.
 LINKS_SQL = f"""
-WITH {_CUT},
-k AS (SELECT *, (conv_id * 31 + turn * 17 + (conv_id + turn * turn) % 7) % 6 AS kind FROM conversations),
+WITH k AS (SELECT *, (conv_id * 31 + turn * 17 + (conv_id + turn * turn) % 7) % 6 AS kind FROM conversations),
 n AS (SELECT a.*, coalesce(b.kind, 0) AS last, coalesce(c.kind, 0) AS next FROM k a LEFT JOIN k b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 LEFT JOIN k c ON c.conv_id = a.conv_id AND c.turn = a.turn + 1),
 p AS (SELECT *, kind = 2 AND last IN (1, 3, 4, 5) AS linked, kind = 4 AND next IN (1, 3, 4, 5) AS waits FROM n),
 q AS (SELECT *, CASE WHEN linked THEN turn - 1 ELSE min(CASE WHEN NOT waits THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS e,
   CASE WHEN kind = 0 THEN {_PLAIN}
     WHEN kind = 2 THEN '{{"content":"r","role":"tool","tool_call_id":"i' || (turn - 1) || '"}}'
-    ELSE '{{"role":"assistant","tool_calls":[{{"arguments":' || CASE WHEN kind = 3 THEN '{{"limit":"x"}}' ELSE '{{"query":"i' || turn || '"}}' END || ',"id":"i' || turn || '","name":"search"}}]}}' END AS j FROM p)
-SELECT conv_id, CASE WHEN conv_id IN (FROM big) THEN floor(e / {PART_TURNS})::BIGINT ELSE 0 END AS part, 0::BIGINT AS piece, count(*) AS n_messages,
-  count(*) FILTER (kind IN (1, 3, 4, 5)) AS n_calls, count(*) FILTER (linked) AS n_linked, count(*) FILTER (kind = 2 AND NOT linked) AS n_orphans,
-  count(*) FILTER (kind = 3) AS n_invalid, count(*) FILTER (kind = 5 AND last = 4) AS n_cyclic,
-  '[' || string_agg(j, ',' ORDER BY e, CASE WHEN linked THEN 1 WHEN e = turn THEN 0 ELSE 1 + e - turn END) || ']' AS chat
-FROM q GROUP BY ALL
+    ELSE '{{"role":"assistant","tool_calls":[{{"arguments":' || CASE WHEN kind = 3 THEN '{{"limit":"x"}}' ELSE '{{"query":"i' || turn || '"}}' END || ',"id":"i' || turn || '","name":"search"}}]}}' END AS message FROM p)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY e, CASE WHEN linked THEN 1 WHEN e = turn THEN 0 ELSE 1 + e - turn END) - 1 AS position, turn,
+  CASE WHEN kind = 0 THEN role WHEN kind = 2 THEN 'tool' ELSE 'assistant' END AS role, message, (kind IN (1, 3, 4, 5))::BIGINT AS n_calls, (kind = 3)::BIGINT AS n_invalid,
+  linked, kind = 2 AND NOT linked AS orphan, kind = 5 AND last = 4 AS cyclic FROM q
 """

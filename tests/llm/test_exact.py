@@ -429,30 +429,36 @@ def test_chats(spark):
         (3, 2000, "user", "{no json"),
     ]
     x = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"calls": F.lit(1), "place": F.lit(2)})
-    rows_out = chats.format_chats(x).collect()
+    rows_out = chats.chat_arrays(chats.format_messages(x)).collect()
     got = {r.conv_id: r for r in rows_out}
-    assert [(r.part, r.piece) for r in rows_out] == [(0, 0)] * 5
+    assert len(rows_out) == 5
     one = json.loads(got[1].chat)
     assert [m.get("tool_call_id") or (m.get("tool_calls") or [{"id": "-"}])[0]["id"] for m in one] == ["-", "b", "b", "a", "a", "zz"]
     assert '{"b":{"a":2,"z":1},"query":"q"}' in got[1].chat
     assert (got[1].n_calls, got[1].n_linked, got[1].n_orphans, got[1].n_invalid, got[1].n_cyclic) == (2, 2, 1, 1, 0)
     assert got[2].n_cyclic == 1 and got[2].n_invalid == 1
     assert [(r.n_messages, json.loads(r.chat)) for r in rows_out if r.conv_id is None] == [(1, [{"content": "", "role": "unknown"}])] * 2  # rows that repeat are not merged
-    assert chats.format_chats(x.limit(0)).count() == 0
-
-
-def test_large_chats_are_cut_whole(spark):
-    """Beyond the bounds a conversation comes out in parts and pieces that hold every message once, in order."""
-    rows = [(1, t, "user", f"m{t}") for t in range(50)] + [(2, t, "user", f"m{t}") for t in range(10)] + [(3, None, "user", f"n{i}") for i in range(40)]
-    rows += [(4, 0, "user", "x" * 500), (4, 5000, "user", "y")]
-    x = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chats.format_chats(x, most=12, size=400, part_turns=20).collect()
-    texts = lambda r: [m["content"] for m in json.loads(r.chat)]
-    assert [(r.part, r.piece) for r in out if r.conv_id == 2] == [(0, 0)]
-    assert sorted(t for r in out if r.conv_id == 1 for t in texts(r)) == sorted(f"m{t}" for t in range(50))
-    assert {r.part for r in out if r.conv_id == 1} == {0, 1, 2} and all(texts(r) == sorted(texts(r), key=lambda m: int(m[1:])) for r in out if r.conv_id == 1)
-    assert sorted(t for r in out if r.conv_id == 3 for t in texts(r)) == sorted(f"n{i}" for i in range(40)) and len({r.piece for r in out if r.conv_id == 3}) > 1
-    assert len([r for r in out if r.conv_id == 4]) == 2 and len({(r.conv_id, r.part, r.piece) for r in out}) == len(out)
+    assert chats.format_messages(x.limit(0)).count() == 0
+
+
+def test_one_order_at_every_size(spark):
+    """A conversation over many tasks, all of whose messages may share one turn, has one position for each message; rows that repeat have one each."""
+    rows = [(1, 7, "user", f"m{i:05}") for i in range(5000)] + [(2, i, "user", "same") for i in range(300)] + [(3, 1, "user", "again")] * 400 + [(4, 0, "user", "x" * 3_000_000)] + [(None, 5, "user", "alone")] * 3
+    random.Random(1).shuffle(rows)
+    x = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(9)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many tasks as there are partitions
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = defaultdict(list)
+        for r in chats.format_messages(x).collect():
+            got[r.conv_id, r.own].append((r.position, r.turn, json.loads(r.message)["content"]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(got.pop((1, 0))) == [(i, 7, f"m{i:05}") for i in range(5000)]
+    assert sorted(got.pop((2, 0))) == [(i, i, "same") for i in range(300)]
+    assert sorted(got.pop((3, 0))) == [(i, 1, "again") for i in range(400)]
+    assert got.pop((4, 0)) == [(0, 0, "x" * 3_000_000)] and list(got.values()) == [[(0, 5, "alone")]] * 3
 
 
 def brute_chat(messages):
@@ -508,7 +514,7 @@ def test_chats_against_brute_force(spark):
             want[conv] = brute_chat(messages)
     x = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {}
-    for m in chats.format_chats(x).collect():
+    for m in chats.chat_arrays(chats.format_messages(x)).collect():
         turns = {("user", "hi"): [t for c, t, role, _ in rows if c == m.conv_id and role == "user"]}
         got[m.conv_id] = ([int(v["content"]) if v["role"] != "user" else turns[("user", "hi")].pop(0) for v in json.loads(m.chat)], m.n_linked, m.n_orphans)
     assert got == want

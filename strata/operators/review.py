@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.sources.files import opened
+from strata.storage import discard, written
+
 KEYS = ("architecture_score", "key_issues", "improvement_priorities")
 REVIEW = "architecture_score int, key_issues array<string>, improvement_priorities array<string>"
 EMPTY_REVIEW = '{"architecture_score": 0, "key_issues": [], "improvement_priorities": []}'
@@ -38,6 +45,83 @@ def ask(rows: DataFrame, prompt: str, reviewer: Callable[[str], str] | None = No
     return rows.mapInPandas(answer, T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType())]))
 
 
+STORE = "key string, answer string"
+
+
+def missing(rows: DataFrame, prompt: str, store: str) -> DataFrame:
+    """(key, prompt) of the prompts that the store has no answer to, each once."""
+    keyed = rows.select(F.sha2(prompt, 256).alias("key"), F.col(prompt).alias("prompt")).where("prompt IS NOT NULL").dropDuplicates(["key"])
+    return keyed.join(answers(rows.sparkSession, store).select("key"), "key", "left_anti")
+
+
+def answers(spark: SparkSession, store: str) -> DataFrame:
+    """(key, answer): what the store holds, an answer for each key."""
+    fs, path = opened(store)
+    fs.create_dir(path, recursive=True)
+    return spark.read.schema(STORE).parquet(store).groupBy("key").agg(F.min("answer").alias("answer"))
+
+
+def ask_once(rows: DataFrame, prompt: str, reviewer: Callable[[str], str], store: str, retries: int = 3, batch: int = 20, tasks: int | None = None) -> DataFrame:
+    """Add ``answer`` and ``error``: what the caller's function returns for each prompt, which is paid for once.
+
+    Answers are kept in ``store``, a folder that all executors share, by the hash of their prompt; only prompts without an answer there are
+    sent, equal ones once. A task puts its answers there in batches as they come. One that is run again, as an executor was lost,
+    reads first what it had put there; so no more than one batch is asked twice. A call that fails is made again, ``retries``
+    times in all; then the prompt has an error instead of an answer, which a later run asks for again. A null prompt has neither.
+    """
+    spark = rows.sparkSession
+    job = uuid.uuid4().hex[:12]
+    schema = pa.schema([("key", pa.string()), ("answer", pa.string())])
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        fs, folder = opened(store)
+        name = f"{job}-{TaskContext.get().partitionId()}"
+        own = [e.path for e in fs.get_file_info(pafs.FileSelector(folder)) if e.base_name.startswith(name + "-")]
+        known = {k for path in own for k in pq.read_table(path, filesystem=fs).column("key").to_pylist()}
+        held: list[dict] = []
+        made = len(own)
+
+        def put() -> None:
+            nonlocal made
+            if held:
+                hidden = f"{folder}/.{name}-{made}-{uuid.uuid4().hex}"
+                pq.write_table(pa.Table.from_pylist(held, schema), hidden, filesystem=fs)
+                fs.move(hidden, f"{folder}/{name}-{made}.parquet")
+                made += 1
+                held.clear()
+
+        try:
+            for b in batches:
+                failed = []
+                for key, text in zip(b.column("key").to_pylist(), b.column("prompt").to_pylist(), strict=True):
+                    if key in known:
+                        continue
+                    error = None
+                    for _ in range(max(1, retries)):
+                        try:
+                            held.append({"key": key, "answer": reviewer(text)})
+                            error = None
+                            break
+                        except Exception as e:  # noqa: BLE001  the caller's function may fail in any way
+                            error = f"{type(e).__name__}: {e}"
+                    if error is not None:
+                        failed.append({"key": key, "answer": error})
+                    if len(held) >= batch:
+                        put()
+                yield pa.RecordBatch.from_pylist(failed, schema)
+        finally:  # also where the task is stopped
+            put()
+
+    todo = written(missing(rows, prompt, store), "prompts")
+    errors = written(todo.repartition(tasks or spark.sparkContext.defaultParallelism).mapInArrow(call, STORE), "errors")
+    discard(todo)
+    found = answers(spark, store).join(errors.select("key", F.col("answer").alias("error")), "key", "full")
+    x = rows.withColumn("__key", F.sha2(prompt, 256)).join(found.withColumnRenamed("key", "__key"), "__key", "left")
+    return x.select(*(rows[c] for c in rows.columns), "answer", F.when(F.col("answer").isNull(), F.col("error")).alias("error"))
+
+
 def texts(v: Column, key: str) -> Column:
     """A JSON array's elements as strings, others in JSON spelling; null if it is no array."""
     items = F.try_variant_get(v, f"$.{key}", "array<variant>")

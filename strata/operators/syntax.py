@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.paths import module_name
 from strata.functions.text import line_count, marker_count, source_text
+from strata.operators import parse as parsing
 
 FACTS = (
     "repo string, rel_path string, lines long, todo long, fixme long, function_count int, class_count int, parse_status string, "
@@ -19,45 +18,23 @@ FACTS = (
 )
 
 
-def parse(source: str) -> tuple[int, int, str, list[dict]]:
-    """Functions (async ones aside), classes, a status, and the raw imports of one source text."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(source)
-    except SyntaxError:
-        return 0, 0, "syntax_error", []
-    except (ValueError, MemoryError, RecursionError) as e:
-        return 0, 0, type(e).__name__, []
-    functions = classes = 0
-    found = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.FunctionDef):
-            functions += 1
-        elif isinstance(node, ast.ClassDef):
-            classes += 1
-        elif isinstance(node, ast.Import):
-            found += [{"level": 0, "module": a.name, "names": []} for a in node.names]
-        elif isinstance(node, ast.ImportFrom):
-            found.append({"level": node.level or 0, "module": node.module, "names": [a.name for a in node.names]})
-    return functions, classes, "ok", found
-
-
-def file_facts(files: DataFrame) -> DataFrame:
+def file_facts(files: DataFrame, memory: int = parsing.MEMORY_BYTES, seconds: float = parsing.SECONDS) -> DataFrame:
     """Facts per file: lines, markers, functions, classes, raw imports; without any, and with the status ``unreadable``, of
-    files that are listed but cannot be read. files: repo, rel_path, content, readable."""
+    files that are listed but cannot be read. Each worker parses in a child of its own: a text that takes more memory or seconds than
+    allowed costs that child and has no functions and imports. files: repo, rel_path, content, readable."""
     x = files.select("repo", "rel_path", F.when(F.col("readable"), source_text(F.col("content"))).alias("text"))
     x = x.select("repo", "rel_path", "text", line_count(F.col("text")).alias("lines"), marker_count(F.col("text"), "TODO").alias("todo"), marker_count(F.col("text"), "FIXME").alias("fixme"))
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("level", pa.int32()), ("module", pa.string()), ("names", pa.list_(pa.string()))]))
-        for batch in batches:
-            rows = [(None, None, "unreadable", []) if t is None else parse(t) for t in batch.column("text").to_pylist()]
-            kept = [batch.column(c) for c in ("repo", "rel_path", "lines", "todo", "fixme")]
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), kind))]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, *columns], names=["repo", "rel_path", "lines", "todo", "fixme", "function_count", "class_count", "parse_status", "imports"]
-            )
+        with parsing.Parser(memory, seconds) as parse:
+            for batch in batches:
+                rows = [parse(t.as_py()) if t.is_valid else (None, None, "unreadable", []) for t in batch.column("text")]
+                kept = [batch.column(c) for c in ("repo", "rel_path", "lines", "todo", "fixme")]
+                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), kind))]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, *columns], names=["repo", "rel_path", "lines", "todo", "fixme", "function_count", "class_count", "parse_status", "imports"]
+                )
 
     return x.mapInArrow(facts, FACTS)
 

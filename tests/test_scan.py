@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from strata.operators import metrics, report, syntax
+from strata.operators import metrics, parse, report, syntax
 from strata.plans import scan as plans
 from strata.sources import pytree
 
@@ -287,10 +287,10 @@ def test_listing(spark, tmp_path):
 
 def test_syntax():
     source = "import a.b.c as q, d\nfrom . import x, y as z\nasync def f():\n    import e\n    def g(): pass\nclass A:\n    class B:\n        def m(self): from ..p import *\n"
-    functions, classes, status, found = syntax.parse(source)
+    functions, classes, status, found = parse.parse(source)
     assert (functions, classes, status) == (2, 2, "ok")
     assert {(i["level"], i["module"], tuple(i["names"])) for i in found} == {(0, "a.b.c", ()), (0, "d", ()), (1, None, ("x", "y")), (0, "e", ()), (2, "p", ("*",))}
-    assert syntax.parse("\0")[2] != "ok" and syntax.parse("def (")[:3] == (0, 0, "syntax_error")
+    assert parse.parse("\0")[2] != "ok" and parse.parse("def (")[:3] == (0, 0, "syntax_error")
 
 
 @pytest.mark.parametrize(

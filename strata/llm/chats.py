@@ -7,12 +7,12 @@ text may be an object with ``tool_call_id`` and ``content``. Any other text is c
 
 Calls and results are hash-joined by conversation and identifier. Messages are ordered
 topologically: a result follows its call, a call follows the calls it depends on and their results, and else
-turns decide, then role and text. Arguments are checked against the tools' schemas. Each message
+turns decide, then role and text: calls that wait for the same later call come behind it by the number of steps to it. Arguments are checked against the tools' schemas. Each message
 becomes canonical JSON: sorted keys, no spaces, absent fields left out.
 
 Defined cases: if an id is used twice in a conversation, the first call by turn owns it and the
 first result by turn is linked; other results, and results without a call, keep their own turn and
-count as orphans. A cycle of dependencies is broken at the call that closes it: it keeps its own turn,
+count as orphans. A cycle of dependencies is broken at its last call by turn: it keeps its own turn,
 comes before what it waits for, and counts as cyclic. Every row
 without conv_id is a conversation of its own, rows that repeat included; a null turn sorts first, as turn -1; null text is empty content; a
 null role is the role ``unknown``. Rows that repeat are messages of their own; messages with equal places go by turn, role and then JSON text, so
@@ -101,39 +101,85 @@ def valid(call: Column, schemas: tuple[tuple[str, str, str, bool], ...]) -> Colu
     return F.coalesce(F.schema_of_variant(call.arguments).startswith("OBJECT") & ~wrong, F.lit(False))
 
 
-def place(turn: Column, idx: Column) -> Column:
-    return F.array(F.struct(turn.alias("turn"), idx.cast("int").alias("idx")))
+ME = ["conv", "own", "id"]
+NO_KEY = "struct<turn:bigint,idx:int,id:string>"
+
+
+def call_key() -> Column:
+    return F.struct(F.col("turn").cast("long").alias("turn"), F.col("idx").cast("int").alias("idx"), F.col("id").alias("id"))
+
+
+def place(anchor: Column, level: Column, key: Column, after: int = 0) -> Column:
+    """Where a message stands: its anchor (what it waits for longest), its distance to it, its own call; a result comes after that."""
+    return F.struct(anchor.alias("anchor"), level.cast("int").alias("level"), key.alias("key"), F.lit(after).alias("after"))
+
+
+def own_place(turn: Column) -> Column:
+    key = F.struct(turn.alias("turn"), F.lit(0).alias("idx"), F.lit("").alias("id")).cast(NO_KEY)
+    return place(key, F.lit(0), key)
+
+
+def along_parents(parents: DataFrame, limit: int) -> DataFrame:
+    """conv, own, id, key, parent, up, best; parents: conv, own, id, key, parent (or null). Written.
+
+    best: of all calls from this one up its parents, itself included, the one with the greatest key, and its distance. The way is doubled in each
+    round. ``up`` is left where the way does not end, so that it leads into a circle: after more than ``limit`` calls, the most that a conversation has.
+    """
+    t = written(parents.select(*ME, "key", "parent", F.col("parent").alias("up"), F.struct(F.col("key").alias("key"), F.lit(0).alias("dist")).alias("best")), "chat-ways")
+    step = 1
+    while step <= limit and not t.where("up IS NOT NULL").isEmpty():
+        u = t.select("conv", "own", F.col("id").alias("up"), F.col("up").alias("further"), F.col("best").alias("above"))
+        higher = F.col("above.key") > F.col("best.key")
+        best = F.when(higher, F.struct(F.col("above.key").alias("key"), (F.col("above.dist") + step).alias("dist"))).otherwise(F.col("best"))
+        after = written(t.join(u, ["conv", "own", "up"], "left").select(*ME, "key", "parent", F.col("further").alias("up"), best.alias("best")), "chat-ways")
+        discard(t)
+        t, step = after, 2 * step
+    return t
 
 
 def placed_calls(calls: DataFrame) -> DataFrame:
-    """Each call with its topological place: an array that sorts behind the places of what it depends on.
+    """Each call with its place, which comes behind the places of all that it depends on, and whether it was a cycle's last one.
 
-    A place begins as (turn, idx); a result's is its call's with (turn, 1) appended. While a call
-    sorts before what it depends on, its place becomes that one's with its own appended; as many rounds as the longest such chain. A place that comes to
-    hold a call twice shows a cycle: it goes back to (turn, idx) and stays there.
+    The anchor is the last call, by turn, of all that a call depends on over any number of steps, or the call itself if none of them is later. Calls of one
+    anchor go by their level, the longest way to it. Each call follows one parent, the dependency with the last anchor and the highest level;
+    a chain of parents is resolved by doubling, in as many jobs as the logarithm of its length, and parents are chosen again until they stay.
+    Where calls depend on themselves in a cycle, the last of them by turn depends on nothing.
     """
-    start = calls.withColumn("place", place(F.col("turn"), F.col("idx"))).withColumn("cyclic", F.lit(False))
-    if start.where(F.size("deps") > 0).isEmpty():
-        return start
-    now = written(start, "chat-places")
+    calls = calls.withColumn("conv", F.coalesce("conv_id", F.lit(0)))
+    key = call_key()
+    unmoved = calls.withColumn("place", place(key, F.lit(0), key)).withColumn("cyclic", F.lit(False))
+    if calls.where(F.size("deps") > 0).isEmpty():
+        return unmoved.drop("conv")
+    held = written(calls, "chat-calls")
+    known = held.select("conv", "own", F.col("id").alias("need"))
+    needs = held.select(*ME, F.explode(F.array_distinct("deps")).alias("need")).join(known, ["conv", "own", "need"])
+    needs = written(needs, "chat-needs")
+    limit = held.groupBy("conv", "own").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    now = written(held.select(*ME, key.alias("key"), key.alias("anchor"), F.lit(0).alias("level"), F.lit(False).alias("cyclic")), "chat-anchors")
     while True:
-        needs = now.where((F.size("deps") > 0) & ~F.col("cyclic")).select("conv_id", "own", "id", "turn", "idx", F.explode("deps").alias("need")).alias("n")
-        same = F.col("n.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("n.own") == F.col("c.own")) & (F.col("n.need") == F.col("c.id"))
-        answer = F.when(F.col("c.answered").isNull(), F.col("c.place")).otherwise(F.concat("c.place", place(F.col("c.answered"), F.lit(1))))
-        behind = needs.join(now.where(~F.col("cyclic")).alias("c").hint("shuffle_hash"), same).groupBy("n.conv_id", "n.own", "n.id").agg(F.max(answer).alias("behind"))
-        n, b = now.alias("n"), behind.alias("b")
-        x = n.join(b, F.col("n.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("n.own") == F.col("b.own")) & (F.col("n.id") == F.col("b.id")), "left")
-        own = place(F.col("turn"), F.col("idx"))
-        moved = F.col("behind").isNotNull() & (F.col("behind") >= F.col("place"))
-        loop = moved & F.arrays_overlap("behind", own)
-        x = x.select("n.*", moved.alias("moved"), loop.alias("loop"), "behind")
-        x = x.withColumn("place", F.when(F.col("loop"), own).when(F.col("moved"), F.concat("behind", own)).otherwise(F.col("place")))
-        after = written(x.withColumn("cyclic", F.col("cyclic") | F.coalesce("loop", F.lit(False))).drop("loop", "behind"), "chat-places")
-        discard(now)
+        bound = needs.join(now.where("NOT cyclic").select(*ME, "key"), ME)
+        d = now.select("conv", "own", F.col("id").alias("need"), F.struct("anchor", "level", F.col("id").alias("parent")).alias("behind"))
+        last = bound.join(d, ["conv", "own", "need"]).groupBy(*ME).agg(F.max("behind").alias("behind"), F.bool_or(F.col("behind.anchor") == F.col("key")).alias("closes"))
+        x = now.join(last, ME, "left").withColumn("closes", F.coalesce("closes", F.lit(False)))
+        waits = F.coalesce((F.col("behind.anchor") > F.col("key")) & ~F.col("closes"), F.lit(False))
+        anchor, level = F.when(waits, F.col("behind.anchor")).otherwise(F.col("key")), F.when(waits, F.col("behind.level") + 1).otherwise(0)
+        moved = F.col("closes") | (anchor != F.col("anchor")) | (level != F.col("level"))
+        x = written(x.select(*ME, "key", (F.col("cyclic") | F.col("closes")).alias("cyclic"), moved.alias("moved"), F.when(~F.col("closes"), F.col("behind.parent")).alias("parent")), "chat-parents")
+        if x.where("moved").isEmpty():
+            discard(x)
+            break
+        t = along_parents(x, limit)
+        up = t.select("conv", "own", F.col("id").alias("parent"), F.col("best.key").alias("round"))
+        circle = F.col("up").isNotNull() & (F.col("round") == F.col("key"))  # the last call of a circle meets itself
+        y = t.join(up, ["conv", "own", "parent"], "left").select(*ME, "key", "best", F.coalesce(circle, F.lit(False)).alias("circle"))
+        after = y.join(x.select(*ME, "cyclic"), ME).select(*ME, "key", F.col("best.key").alias("anchor"), F.col("best.dist").alias("level"), (F.col("cyclic") | F.col("circle")).alias("cyclic"))
+        after = written(after, "chat-anchors")
+        discard(now, x, t)
         now = after
-        if now.where(F.col("moved")).isEmpty():
-            return now.drop("moved")
-        now = now.drop("moved")
+    out = held.join(now.select(*ME, "key", "anchor", "level", "cyclic"), ME)
+    out = written(out.withColumn("place", place(F.col("anchor"), F.col("level"), F.col("key"))).drop("conv", "key", "anchor", "level"), "chat-places")
+    discard(held, needs, now)
+    return out
 
 
 KEYS = ("conv_id", "own")
@@ -187,9 +233,8 @@ def format_messages(df: DataFrame, schemas: tuple[tuple[str, str, str, bool], ..
     on = F.col("m.conv_id").eqNullSafe(F.col("v.conv_id")) & (F.col("m.own") == F.col("v.own")) & (F.col("m.turn") == F.col("v.turn"))
     on = on & F.col("m.answers").eqNullSafe(F.col("v.answers")) & (F.col("m.answers").isNotNull() | (F.size("m.calls") > 0))
     x = m.join(v, on, "left").select("m.*", "behind", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
-    here = place(F.col("turn"), F.lit(0))
     linked = F.col("answers").isNotNull() & F.col("behind").isNotNull()
-    after = F.when(linked, F.concat("behind", place(F.col("turn"), F.lit(1)))).when(F.col("behind").isNotNull(), F.col("behind")).otherwise(here)
+    after = F.when(linked, F.col("behind").withField("after", F.lit(1))).when(F.col("behind").isNotNull(), F.col("behind")).otherwise(own_place(F.col("turn")))
     calls_out = F.transform("calls", lambda k: F.struct(k.arguments.alias("arguments"), k.id.alias("id"), k["name"].alias("name")))
     message = F.to_json(
         F.struct("content", "role", F.col("answers").alias("tool_call_id"), F.when(F.size("calls") > 0, calls_out).alias("tool_calls")),

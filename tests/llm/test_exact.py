@@ -461,6 +461,41 @@ def test_one_order_at_every_size(spark):
     assert got.pop((4, 0)) == [(0, 0, "x" * 3_000_000)] and list(got.values()) == [[(0, 5, "alone")]] * 3
 
 
+def calling(conv, turn, name, *deps):
+    return (conv, turn, "assistant", json.dumps({"tool_calls": [{"id": name, "name": "search", "arguments": {"query": "q"}, "depends_on": list(deps)}]}))
+
+
+def test_long_chains_in_few_jobs(spark, monkeypatch):
+    """4,000 calls that each wait for the next, a chain that goes back and forth, and many that wait for one call."""
+    n = 4000
+    rows = [calling(1, i, f"c{i}", f"c{i + 1}") for i in range(n)]
+    back = [calling(2, (i if i % 2 else n - i), f"c{i}", *([f"c{i + 1}"] if i + 1 < n else [])) for i in range(n)]
+    star = [calling(3, i, f"c{i}", "c2000") for i in range(2001)] + [(3, 5000, "tool", json.dumps({"tool_call_id": "c2000", "content": "r"}))]
+    written = []
+    monkeypatch.setattr(chats, "written", lambda df, name: written.append(name) or common.written(df, name))
+    x = spark.createDataFrame(rows + back + star, "conv_id long, turn long, role string, text string")
+    got = defaultdict(list)
+    for r in chats.format_messages(x).orderBy("conv_id", "position").collect():
+        got[r.conv_id].append((r.turn, r.cyclic))
+    assert len(written) < 120, len(written)
+    assert got[1] == [(n - 1 - i, False) for i in range(n)]
+    assert len(got[2]) == n and got[3] == [(2000, True), (5000, False), *((i, False) for i in range(2000))]  # it waits for itself
+    at = {t: i for i, (t, _) in enumerate(got[2])}
+    assert all(at[(i + 1 if (i + 1) % 2 else n - i - 1)] < at[i if i % 2 else n - i] for i in range(n - 1))
+
+
+def test_cycles_are_broken_at_their_last_call(spark):
+    rows = [calling(1, 1, "a", "b"), calling(1, 2, "b", "c"), calling(1, 3, "c", "a"), calling(1, 9, "z"), calling(2, 1, "p", "q"), calling(2, 2, "q", "p", "r"), calling(2, 7, "r"), calling(3, 4, "s", "s")]
+    rows += [calling(4, 1, "a", "b", "d"), calling(4, 2, "b", "a"), calling(4, 3, "d", "e"), calling(4, 4, "e", "d", "a")]
+    x = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = defaultdict(list)
+    for r in chats.format_messages(x).orderBy("conv_id", "position").collect():
+        got[r.conv_id].append((r.turn, r.cyclic))
+    assert got[1] == [(3, True), (2, False), (1, False), (9, False)] and got[3] == [(4, True)]
+    assert got[2][0] == (2, True) and dict(got[2]) == {1: False, 2: True, 7: False}
+    assert got[4] == [(2, True), (4, True), (3, False), (1, False)]
+
+
 def brute_chat(messages):
     """Counts and the order of one conversation's messages, call by call; messages: (turn, role, text), dependencies without cycles."""
     calls, answers = {}, {}
@@ -473,22 +508,23 @@ def brute_chat(messages):
     places = {}
 
     def place(k):
+        """The last call that this one waits for, the longest way to it, and itself."""
         if k not in places:
             turn, i, deps = calls[k]
-            behind = max((place(d) + (((answers[d], 1),) if d in answers else ()) for d in deps if d in calls), default=None)
-            own = ((turn, i),)
-            places[k] = behind + own if behind is not None and behind >= own else own
+            own = (turn, i, k)
+            anchor, level, *_ = max((place(d) for d in deps if d in calls), default=(own, 0))
+            places[k] = (anchor, level + 1, own, 0) if anchor > own else (own, 0, own, 0)
         return places[k]
 
     out, linked, orphans = [], 0, 0
     for turn, role, text in messages:
         v = json.loads(text) if text.startswith("{") else {}
         mine = [place(c["id"]) for c in v.get("tool_calls", []) if calls[c["id"]][0] == turn] if role == "assistant" else []
-        key = max(mine) if mine else ((turn, 0),)
+        key = max(mine) if mine else ((turn, 0, ""), 0, (turn, 0, ""), 0)
         if role == "tool" and "tool_call_id" in v:
             k = v["tool_call_id"]
             if k in calls and answers[k] == turn:
-                linked, key = linked + 1, place(k) + ((turn, 1),)
+                linked, key = linked + 1, (*place(k)[:3], 1)
             else:
                 orphans += 1
         out.append((key, turn))

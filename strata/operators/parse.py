@@ -81,7 +81,8 @@ class Parser:
 
     def start(self) -> subprocess.Popen:
         code = f"import sys; sys.path[:] = {sys.path!r}; from strata.operators.parse import serve; serve({self.memory})"
-        self.child = subprocess.Popen([sys.executable, "-c", code], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        own = "/proc/self/exe"  # the interpreter itself, where sys.executable may be a script that looks for it
+        self.child = subprocess.Popen([os.path.realpath(own) if os.path.exists(own) else sys.executable, "-c", code], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
         return self.child
 
     def _read(self, n: int) -> bytes | None:
@@ -114,3 +115,11 @@ class Parser:
             self.stop()
             return 0, 0, status, []
         return pickle.loads(answer)
+
+
+_PARSERS: dict[tuple[int, float], Parser] = {}
+
+
+def shared_parser(memory: int = MEMORY_BYTES, seconds: float = SECONDS) -> Parser:
+    """This process's parser with such limits. Its child serves task after task, and ends when this process does."""
+    return _PARSERS.setdefault((memory, seconds), Parser(memory, seconds))

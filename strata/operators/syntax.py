@@ -20,21 +20,21 @@ FACTS = (
 
 def file_facts(files: DataFrame, memory: int = parsing.MEMORY_BYTES, seconds: float = parsing.SECONDS) -> DataFrame:
     """Facts per file: lines, markers, functions, classes, raw imports; without any, and with the status ``unreadable``, of
-    files that are listed but cannot be read. Each worker parses in a child of its own: a text that takes more memory or seconds than
+    files that are listed but cannot be read. Each worker parses in a child of its own, which it keeps: a text that takes more memory or seconds than
     allowed costs that child and has no functions and imports. files: repo, rel_path, content, readable."""
     x = files.select("repo", "rel_path", F.when(F.col("readable"), source_text(F.col("content"))).alias("text"))
     x = x.select("repo", "rel_path", "text", line_count(F.col("text")).alias("lines"), marker_count(F.col("text"), "TODO").alias("todo"), marker_count(F.col("text"), "FIXME").alias("fixme"))
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("level", pa.int32()), ("module", pa.string()), ("names", pa.list_(pa.string()))]))
-        with parsing.Parser(memory, seconds) as parse:
-            for batch in batches:
-                rows = [parse(t.as_py()) if t.is_valid else (None, None, "unreadable", []) for t in batch.column("text")]
-                kept = [batch.column(c) for c in ("repo", "rel_path", "lines", "todo", "fixme")]
-                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), kind))]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, *columns], names=["repo", "rel_path", "lines", "todo", "fixme", "function_count", "class_count", "parse_status", "imports"]
-                )
+        parse = parsing.shared_parser(memory, seconds)
+        for batch in batches:
+            rows = [parse(t.as_py()) if t.is_valid else (None, None, "unreadable", []) for t in batch.column("text")]
+            kept = [batch.column(c) for c in ("repo", "rel_path", "lines", "todo", "fixme")]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), kind))]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, *columns], names=["repo", "rel_path", "lines", "todo", "fixme", "function_count", "class_count", "parse_status", "imports"]
+            )
 
     return x.mapInArrow(facts, FACTS)
 

@@ -167,9 +167,9 @@ def packed(files: DataFrame, parallelism: int | None = None) -> tuple[DataFrame,
     between = any(sums[c] for c in range(1, SMALL))  # parts that may be little over half full: none is to exceed the weight then
     alike = max(0, -(-rest // most) if between else max(int(rest > 0), round(rest / most)))  # parts of small files only
     if rest > 0 and 2 * rest < most and shared >= 4:  # too little for a part: spread over all
-        gaps, alike, spread = [], shared, 0
+        gaps, alike, spread, n = [], shared, 0, shared
     else:
-        gaps, spread = [g * min(1, small / sum(gaps)) for g in gaps] if sum(gaps) else [], shared
+        gaps, spread, n = [g * min(1, small / sum(gaps)) for g in gaps] if sum(gaps) else [], shared, shared + alike
     share = max(1.0, (small - sum(gaps)) / alike) if alike else 1.0
     place = spark.createDataFrame([(of, c, b, first.get(c, 0), sums.get(c, 0) >> max(c, 0), put.get(c, 0)) for of, c, b in before], "of string, class int, before long, first int, full long, rest int")
     own = Window.partitionBy("of", "class").orderBy("at")
@@ -181,7 +181,7 @@ def packed(files: DataFrame, parallelism: int | None = None) -> tuple[DataFrame,
         even = F.when(F.col("upto") < sum(gaps[: i + 1]), F.lit(parts + i)).otherwise(even if alike or i + 1 < len(gaps) else F.lit(parts + i))
     by_class = F.expr("shiftrightunsigned(n, greatest(class, 0))")
     part = F.when(F.col("class") == SMALL, even).when(by_class < F.col("full"), F.col("first") + by_class).otherwise(F.col("rest"))
-    return x.select(*files.columns, part.cast("int").alias("part")), shared + (alike if spread else 0)
+    return x.select(*files.columns, part.cast("int").alias("part")), n
 
 
 def read(files: DataFrame) -> DataFrame:

@@ -70,6 +70,16 @@ def test_partitions_of_equal_bytes(spark, size):
     assert rows.count() == 100_001 and rows.select("rel_path").distinct().count() == 100_001
 
 
+@pytest.mark.parametrize("sizes", [[5], [5] * 10, [100] * 5000, [0] * 40_000, [1 << 20] * 3])
+def test_packing_alike_sizes(spark, sizes):
+    """Small files alone make as many parts as their weight asks for."""
+    rows, n = files.packed(listing(spark, sizes), 8)
+    weight = part_weights(rows)
+    total = sum(s + files.OPEN_BYTES for s in sizes)
+    most = files.partition_weight(total, max(sizes) + files.OPEN_BYTES, 8)
+    assert sorted(weight) == list(range(n)) and 0.5 * total / most <= n <= 2 * total / most + 1 and max(weight.values()) <= 1.5 * most
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_packing_random_sizes(spark, seed):
     r = random.Random(seed)

@@ -90,3 +90,14 @@ def test_prompts_that_fail_have_an_error(spark, tmp_path, calls):
     assert {(r.answer, r.error) for r in got} == {(None, "RuntimeError: busy")} and len(os.listdir(calls)) == 4
     assert review.ask_once(rows, "p", Counted(calls, fails=0), store).where("error IS NULL AND answer IS NOT NULL").count() == 2
     assert rows.where("false").transform(lambda x: review.ask_once(x, "p", Counted(calls), store)).count() == 0
+
+
+def test_a_lost_task_asks_for_one_batch_again_at_most(spark, tmp_path, calls):
+    store = str(tmp_path / "store")
+    rows = spark.range(40).select(F.concat(F.lit("s"), F.col("id")).alias("p"))
+    with pytest.raises(Exception):  # noqa: B017  the worker dies; a local session runs no task twice
+        review.ask_once(rows, "p", Counted(calls, fails=0, dies="s30"), store, batch=5, tasks=1)
+    before = len(paid(calls))
+    assert review.ask_once(rows, "p", Counted(calls, fails=0), store, batch=5, tasks=1).where("answer IS NULL").count() == 0
+    assert set(paid(calls)) == {f"s{i}" for i in range(40)} and 40 <= len(paid(calls)) <= 45 and before > 0
+    assert not [n for n in os.listdir(store) if n.startswith(".") and not n.endswith(".crc")]

@@ -34,8 +34,8 @@ def test_a_parse_that_takes_too_long():
 
 
 def test_all_other_files_have_their_facts(spark):
-    rows = [("r", f"f{i}.py", b"import os\ndef f(): pass\n", True) for i in range(20)] + [("r", "wide.py", b"x = '" + b"y" * (60 << 20) + b"'", True), ("r", "deep.py", b"(" * 500_000, True), ("r", "none.py", None, False)]
-    facts = syntax.file_facts(spark.createDataFrame(rows, "repo string, rel_path string, content binary, readable boolean").coalesce(1), memory=200 << 20)
+    rows = [("r", f"f{i}.py", b"import os\ndef f(): pass\n", True) for i in range(20)] + [("r", "wide.py", b"x = 1\n" * 400_000, True), ("r", "deep.py", b"(" * 500_000, True), ("r", "none.py", None, False)]
+    facts = syntax.file_facts(spark.createDataFrame(rows, "repo string, rel_path string, content binary, readable boolean").coalesce(1), memory=150 << 20)
     got = {r.rel_path: (r.function_count, r.parse_status, len(r.imports)) for r in facts.drop("repo").collect()}
     assert all(got[f"f{i}.py"] == (1, "ok", 1) for i in range(20)) and got["none.py"] == (None, "unreadable", 0)
     assert got["wide.py"] == (0, "too_large", 0) and got["deep.py"][0] == 0 and got["deep.py"][1] in ("too_large", "syntax_error")

@@ -13,7 +13,7 @@ from strata.functions.rules import cycle_type, ratio
 from strata.storage import discard, written
 
 #: Repositories with more distinct edges than this are not handed to a single task.
-LOCAL_EDGES = 200_000
+LOCAL_EDGES = 500_000
 #: Edges of a task that condenses its own part of a larger graph, about.
 PART_EDGES = 200_000
 COMPONENT = "repo string, component string, rel_path string"
@@ -155,13 +155,13 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"repo": repo, "component": [names[h - len(names)] for h in head], "rel_path": names})
 
 
-def condensed(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame | None:
-    """(repo, rel_path, component) of the nodes that lie in cycles of some task's own edges, written; None where there are none.
+def condensed(edges: DataFrame, n: int, part_edges: int = PART_EDGES) -> DataFrame | None:
+    """(repo, rel_path, component) of the nodes that lie in cycles of some task's own edges, written; None where there are none. n: the edges' number.
 
     Edges are dealt by ranges of their source's path, so that folders stay together. As all edges from a node lie in one task, a node is
     in a cycle of one task at most.
     """
-    parts = -(-edges.count() // part_edges)
+    parts = -(-n // part_edges)
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
@@ -233,11 +233,12 @@ def _large_components(edges: DataFrame, local_edges: int, trims: int = 3, part_e
     left = written(edges.where("src <> dst").distinct(), "scc-edges")
     label = written(alone(ends(edges, "src").unionByName(ends(edges, "dst")).distinct()), "scc-label")
     named = lambda found: label.join(found.select("repo", F.col("rel_path").alias("component"), F.col("component").alias("further")), ["repo", "component"], "left").select("repo", F.coalesce("further", "component").alias("component"), "rel_path")
-    while (found := condensed(left, part_edges)) is not None:
-        before = left.count()
+    n = left.count()
+    while n and (found := condensed(left, n, part_edges)) is not None:
         label = after(label, new=named(found), name="scc-label")
         left = after(left, found, new=renamed(left, found), name="scc-edges")
-        if left.count() > 0.8 * before:
+        before, n = n, left.count()
+        if n > 0.8 * before:
             break
     large = left.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > local_edges)
     done = written(left.join(large, "repo", "left_anti").groupBy("repo").applyInPandas(_components, COMPONENT), "scc-done")

@@ -16,7 +16,7 @@ words from there on.
    off may share the rest: for such cores all windows of 50 words around the core are counted, so that
    no repeat is lost. Suffixes are cut to the words shared first; those equal then are counted as one.
 
-Cores are told apart by 64 bits, the words beside them by 32 bits each.
+Documents are told apart by 128 bits, cores by 64 bits, the words beside them by 32 bits each.
 
 A document is a row's doc_id and text: rows that repeat both are one document, not copies, and rows with a null id are told
 apart by their texts; the same id with another text is another document. Null, empty and short texts have no passage; very long ones are cut and compared whole.
@@ -25,7 +25,7 @@ Ties need no rule, as every occurrence is marked. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +37,9 @@ PASSAGE, CORE, GRAM, WINDOW = 50, 25, 8, 26
 SIDE, WORD = PASSAGE - CORE, 4
 BATCH_BYTES = 2 << 20
 
+#: Writes a table under a name and reads it back.
+Write = Callable[[DataFrame, str], DataFrame]
+
 
 def sliding(x, n: int, f):
     """f (minimum or maximum) over each n consecutive values, by doubling."""
@@ -68,9 +71,10 @@ def minimisers(words, counts):
 
 
 def documents(df: DataFrame) -> DataFrame:
-    """doc (the identity of a document), doc_id and text."""
-    text = F.coalesce(df["text"], F.lit(""))
-    return df.select(F.xxhash64(df["doc_id"].cast("long"), text).alias("doc"), df["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
+    """doc (the identity of a document, 128 bits over its id and text), doc_id and text."""
+    text, own = F.coalesce(df["text"], F.lit("")), df["doc_id"].cast("long")
+    told = F.concat(F.coalesce(own.cast("string"), F.lit("")), F.lit(":"), text)
+    return df.select(F.unhex(F.md5(told)).alias("doc"), own.alias("doc_id"), text.alias("text"))
 
 
 def kept_suffixes(docs: DataFrame, places: bool) -> DataFrame:
@@ -93,10 +97,10 @@ def kept_suffixes(docs: DataFrame, places: bool) -> DataFrame:
                 doc = np.searchsorted(ends, at, side="right")
                 yield pa.RecordBatch.from_arrays([core, batch.column("doc").take(pa.array(doc)), pa.array((at - (ends - counts)[doc]).astype(np.int32))], names=["core", "doc", "pos"])
 
-    return docs.select(*["doc"] * places, "text").mapInArrow(cut, "core long" + ", doc long, pos int" * places)
+    return docs.select(*["doc"] * places, "text").mapInArrow(cut, "core long" + ", doc binary, pos int" * places)
 
 
-ROWS = "core long, doc long, doc_id long, pos int, right_words binary, left_words binary"
+ROWS = "core long, doc binary, doc_id long, pos int, right_words binary, left_words binary"
 
 
 def with_sides(texts: DataFrame) -> DataFrame:
@@ -115,11 +119,6 @@ def with_sides(texts: DataFrame) -> DataFrame:
                 doc = np.repeat(np.arange(batch.num_rows), many)
                 ends = np.cumsum(counts)
                 at = spots.field("pos").to_numpy(zero_copy_only=False) + (ends - counts)[doc]
-                whole_core = at + CORE <= ends[doc]  # always, but for two texts whose identities collide
-                core = spots.field("core").to_numpy(zero_copy_only=False)
-                good = np.flatnonzero(whole_core)
-                good = good[v.gram_hashes(words, at[good], CORE).view(np.int64) == core[good]]
-                at, doc, core = at[good], doc[good], core[good]
                 short = np.concatenate([(words % np.uint64((1 << 32) - 1) + np.uint64(1)).astype(">u4"), np.zeros(1, ">u4")])
                 span = np.arange(SIDE)
                 right, left = at[:, None] + CORE + span, at[:, None] - 1 - span
@@ -128,14 +127,14 @@ def with_sides(texts: DataFrame) -> DataFrame:
                 fixed = lambda m: pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIDE * WORD), len(m), [None, pa.py_buffer(np.ascontiguousarray(m))]).cast(pa.binary())
                 own = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core), batch.column("doc").take(own), batch.column("doc_id").take(own), spots.field("pos").take(pa.array(good)), fixed(right), fixed(left)],
+                    [spots.field("core"), batch.column("doc").take(own), batch.column("doc_id").take(own), spots.field("pos"), fixed(right), fixed(left)],
                     names=["core", "doc", "doc_id", "pos", "right_words", "left_words"],
                 )
 
     return texts.mapInArrow(cut, ROWS)
 
 
-def repeated_suffixes(df: DataFrame) -> DataFrame:
+def repeated_suffixes(df: DataFrame, keep: Write) -> DataFrame:
     """All kept suffixes whose core occurs more than once, with the words beside it; written."""
     docs = documents(df)
     cores = kept_suffixes(docs, places=False).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
@@ -143,7 +142,7 @@ def repeated_suffixes(df: DataFrame) -> DataFrame:
     places = written(kept_suffixes(docs, places=True).join(cores, "core").select("doc", "core", "pos"), "suffix-places")
     asked = places.groupBy("doc").agg(F.collect_set(F.struct("pos", "core")).alias("asked"))  # a text's own positions
     # by sort and merge at every size; the exchange of the join also serves the removal of rows that repeat
-    rows = written(with_sides(docs.join(asked.hint("merge"), "doc").dropDuplicates(["doc"])), "suffix-rows")
+    rows = keep(with_sides(docs.join(asked.hint("merge"), "doc").dropDuplicates(["doc"])), "suffix-rows")
     discard(cores, places)
     return rows
 
@@ -157,7 +156,7 @@ def agreed(a, b):
 
 
 NEAR = ["core", "doc", "doc_id", "pos", "reach", "begin", "end", "other", "edge", "right_words", "left_words"]
-NEAR_TYPE = "core long, doc long, doc_id long, pos int, reach int, begin int, end int, other long, edge boolean, right_words binary, left_words binary"
+NEAR_TYPE = "core long, doc binary, doc_id long, pos int, reach int, begin int, end int, other long, edge boolean, right_words binary, left_words binary"
 
 
 def neighbours(first: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +183,11 @@ def compared(first: str, t: pa.Table) -> pa.RecordBatch:
 
     t = t.combine_chunks()
     whole = lambda c: pa.concat_arrays(t[c].chunks)
-    core, pos, doc = t["core"].to_numpy(), t["pos"].to_numpy(), t["doc"].to_numpy()
+    core, pos = t["core"].to_numpy(), t["pos"].to_numpy()
+    doc = np.frombuffer(b"".join(t["doc"].to_pylist()), np.uint64).reshape(-1, 2)
     side = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), ">u4").reshape(-1, SIDE)
     right, left = side("right_words"), side("left_words")
-    pair = np.flatnonzero((core[1:] == core[:-1]) & ~((doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])))
+    pair = np.flatnonzero((core[1:] == core[:-1]) & ~((doc[1:] == doc[:-1]).all(axis=1) & (pos[1:] == pos[:-1])))
     r, lft = agreed(right[pair], right[pair + 1]), agreed(left[pair], left[pair + 1])
     n = len(core)
     reach, both = np.zeros(n, np.int64), np.zeros((3, 2, n), np.int64)  # the words shared right and left, and with which row: with the row after, with the one before
@@ -201,7 +201,7 @@ def compared(first: str, t: pa.Table) -> pa.RecordBatch:
     r, lft, other = np.concatenate([both[:, 0, after], both[:, 1, before]], axis=1)
     none = ~np.concatenate([good[0, after], good[1, before]])
     at = pa.array(who)
-    partner = whole("doc_id").take(pa.array(other, mask=none | (doc[who] == doc[other])))
+    partner = whole("doc_id").take(pa.array(other, mask=none | (doc[who] == doc[other]).all(axis=1)))
     return pa.RecordBatch.from_arrays(
         [
             *(whole(c).take(at) for c in ("core", "doc", "doc_id", "pos")), pa.array(reach[who].astype(np.int32)),
@@ -212,12 +212,12 @@ def compared(first: str, t: pa.Table) -> pa.RecordBatch:
     )
 
 
-def in_order(rows: DataFrame, first: str) -> DataFrame:
+def in_order(rows: DataFrame, first: str, keep: Write) -> DataFrame:
     """The suffix array by core, then the words of one side, then those of the other, and its neighbours compared."""
     sides = ["right_words", "left_words"] if first == "right" else ["left_words", "right_words"]
     order = ["core", *sides, "doc", "pos"]
     x = rows.select(*order, "doc_id").repartitionByRange(*order).sortWithinPartitions(*order)
-    near = written(x.mapInArrow(lambda batches: neighbours(first, batches), NEAR_TYPE), "suffix-near")
+    near = keep(x.mapInArrow(lambda batches: neighbours(first, batches), NEAR_TYPE), "suffix-near")
     edges = near.where("edge").select(*order, "doc_id").distinct()  # two rows a partition
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,22 +225,22 @@ def in_order(rows: DataFrame, first: str) -> DataFrame:
             yield compared(first, pa.Table.from_batches(got))
 
     # only rows of one core have anything to compare across partitions
-    across = written(edges.repartition("core").sortWithinPartitions(*order).mapInArrow(compare, NEAR_TYPE), "suffix-edges")
+    across = keep(edges.repartition("core").sortWithinPartitions(*order).mapInArrow(compare, NEAR_TYPE), "suffix-edges")
     return near.where("edge IS NULL").unionByName(across)
 
 
-def whole_windows(rows: DataFrame) -> DataFrame:
+def whole_windows(rows: DataFrame, keep: Write) -> DataFrame:
     """Matches by counting all windows of 50 words around each core.
 
     Rows: core, doc, doc_id, pos, right_words and left_words, cut to what each shares at most, SIDE in sum at least.
     """
-    rows = written(rows.withColumn("kind", F.xxhash64("core", "right_words", "left_words")), "suffix-open-rows")
+    rows = keep(rows.withColumn("kind", F.xxhash64("core", "right_words", "left_words")), "suffix-open-rows")
     place = F.struct("doc", "pos", "doc_id")
     kinds = rows.groupBy("kind", "core", "right_words", "left_words").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     j = F.explode(F.sequence((SIDE - F.length("right_words") / WORD).cast("int"), (F.length("left_words") / WORD).cast("int"))).alias("j")
     x = kinds.select("*", j)
     a, b = F.expr(f"substring(left_words, 1, j * {WORD})"), F.expr(f"substring(right_words, 1, ({SIDE} - j) * {WORD})")
-    x = written(x.select("kind", "j", "low", "high", F.xxhash64("core", "j", a, b).alias("window")), "suffix-windows")
+    x = keep(x.select("kind", "j", "low", "high", F.xxhash64("core", "j", a, b).alias("window")), "suffix-windows")
     counts = x.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     twice = counts.where("low <> high").select("window", F.struct("low", "high").alias("ends"))
     # every window holds the core, so that those of a kind are one range of words
@@ -250,28 +250,30 @@ def whole_windows(rows: DataFrame) -> DataFrame:
     begin, end = F.col("pos") - F.col("most"), F.col("pos") - F.col("least") + PASSAGE
     others = F.flatten(F.transform("ends", lambda e: F.array(e.low, e.high)))
     partner = F.array_min(F.transform(F.filter(others, lambda o: o.doc != F.col("doc")), lambda o: o.doc_id))
-    found = rows.join(written(found, "suffix-kinds"), "kind")
+    found = rows.join(keep(found, "suffix-kinds"), "kind")
     return found.select("doc", "doc_id", begin.cast("int").alias("begin"), end.cast("int").alias("end"), partner.alias("other"))
 
 
-def repeated_passages(df: DataFrame) -> DataFrame:
-    """Matches (doc, doc_id, begin, end, other): word ranges of 50 words or more that also stand elsewhere, and the id of another document where."""
-    small_batches(df.sparkSession)
-    rows = repeated_suffixes(df)
-    right, left = in_order(rows, "right"), in_order(rows, "left")
+def repeated_passages(df: DataFrame, keep: Write) -> DataFrame:
+    """Matches (doc, doc_id, begin, end, other): word ranges of 50 words or more that also stand elsewhere, and the id of another document where.
+
+    ``keep`` writes the tables that the result reads.
+    """
+    rows = repeated_suffixes(df, keep)
+    right, left = in_order(rows, "right", keep), in_order(rows, "left", keep)
     found = lambda x: x.where("begin IS NOT NULL").select("doc", "doc_id", "begin", "end", "other")
     # the most words shared on either side, and how far the matches found reach
     told = lambda x, r, lft: x.select("core", "doc", "pos", r.alias("r"), lft.alias("l"), "begin", "end")
     none = F.lit(0)
     every = told(right, F.col("reach"), none).unionByName(told(left, none, F.col("reach")))
     every = every.groupBy("core", "doc", "pos").agg(F.max("r").alias("r"), F.max("l").alias("l"), F.min("begin").alias("begin"), F.max("end").alias("end"))
-    every = written(every.where(F.col("r") + F.col("l") >= SIDE), "suffix-told")
+    every = keep(every.where(F.col("r") + F.col("l") >= SIDE), "suffix-told")
     short = F.col("begin").isNull() | (F.col("begin") > F.col("pos") - F.col("l")) | (F.col("end") < F.col("pos") + CORE + F.col("r"))
-    open_cores = written(every.where(short).select("core").distinct(), "suffix-open")
+    open_cores = keep(every.where(short).select("core").distinct(), "suffix-open")
     rest = rows.join(every.join(open_cores, "core", "left_semi").select("core", "doc", "pos", "r", "l"), ["core", "doc", "pos"])
     cut = lambda c, n: F.expr(f"substring({c}, 1, {n} * {WORD})").alias(c)
     rest = rest.select("core", "doc", "doc_id", "pos", cut("right_words", "r"), cut("left_words", "l"))
-    return found(right).unionByName(found(left)).unionByName(whole_windows(rest))
+    return found(right).unionByName(found(left)).unionByName(whole_windows(rest, keep))
 
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,15 +293,24 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(df: DataFrame) -> DataFrame:
     """One row per document with a repeated passage: doc, doc_id, spans (array of begin and end words, disjoint), partner (the smallest doc_id met)."""
-    own = repeated_passages(df).groupBy("doc", "begin").agg(F.max("end").alias("end"), F.min("other").alias("partner"), F.first("doc_id").alias("doc_id"))
+    small_batches(df.sparkSession)
+    made: list[DataFrame] = []
+
+    def keep(x: DataFrame, name: str) -> DataFrame:
+        made.append(written(x, name))
+        return made[-1]
+
+    own = repeated_passages(df, keep).groupBy("doc", "begin").agg(F.max("end").alias("end"), F.min("other").alias("partner"), F.first("doc_id").alias("doc_id"))
     own = own.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("matches"), F.min("partner").alias("partner"), F.first("doc_id").alias("doc_id"))
-    return own.mapInArrow(merge, "doc long, doc_id long, spans array<array<int>>, partner long")
+    spans = written(own.mapInArrow(merge, "doc binary, doc_id long, spans array<array<int>>, partner long"), "suffix-spans")
+    discard(*made)
+    return spans
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its words, repeated passages of 50 words or more, the words they cover, and a document that shares one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = written(repeated_spans(docs), "suffix-spans").select("doc", "spans", "partner")
+    found = repeated_spans(docs).select("doc", "spans", "partner")
     d = documents(docs)
     x = d.select("doc", "doc_id", word_count(F.col("text")).alias("n_words")).join(found, "doc", "left")
     covered = F.aggregate("spans", F.lit(0), lambda a, s: a + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))

@@ -19,7 +19,7 @@ Prefixes and groups of any size are cut into blocks of bounded rows and bytes. N
 no shingle, no link and a class of their own; a text of one to four words is its own single shingle; very long texts
 are shingled whole; ties go to the smaller doc_id (null last); rows that repeat are copies of one class; extra columns are ignored,
 whatever their names; an empty table gives no rows.
-Shingles, words and texts are told apart by 64-bit hashes.
+Texts are told apart by 128 bits over their words, shingles by 64-bit hashes. Classes have numbers of their own, so that no two share one.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def least_agreement(n: int, threshold: float = NUMERATOR / DENOMINATOR) -> int:
 
 
 def signatures(df: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, cid (id of the word sequence), n_shingles, sig (a byte for each place of each path), keys (for each tree the hash of the shortest prefix)."""
+    """doc_id, wid (id of the word sequence), n_shingles, sig (a byte for each place of each path), keys (for each tree the hash of the shortest prefix)."""
     used = prefix_depth(trees, depth)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,15 +87,15 @@ def signatures(df: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").cast(pa.int64()),
-                        pa.array(v.text_ids(words, counts)),
+                        v.text_ids(batch.column("text")),
                         pa.array(many.astype(np.int32)),
                         pa.array([s.tobytes() for s in all_sig], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(many) + 1, dtype=np.int32) * trees), pa.array(all_keys.reshape(-1))),
                     ],
-                    names=["doc_id", "cid", "n_shingles", "sig", "keys"],
+                    names=["doc_id", "wid", "n_shingles", "sig", "keys"],
                 )
 
-    return df.select("doc_id", "text").mapInArrow(sign, "doc_id long, cid long, n_shingles int, sig binary, keys array<long>")
+    return df.select("doc_id", "text").mapInArrow(sign, "doc_id long, wid binary, n_shingles int, sig binary, keys array<long>")
 
 
 def signature_rows(column, positions: int):
@@ -104,9 +104,9 @@ def signature_rows(column, positions: int):
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, positions)
 
 
-def neighbour_edges(members: DataFrame, positions: int = TREES * DEPTH) -> DataFrame:
+def neighbour_edges(members: DataFrame, positions: int = TREES * DEPTH, least: int | None = None) -> DataFrame:
     """Edges (a, b) between neighbours in the sorted tries that agree; members: key, tail (the path beyond it), cid, sig."""
-    least = least_agreement(positions)
+    least = least_agreement(positions) if least is None else least
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -136,12 +136,12 @@ def open_prefixes(members: DataFrame) -> DataFrame:
     )
 
 
-def prefix_edges(members: DataFrame, positions: int = TREES * DEPTH) -> DataFrame:
+def prefix_edges(members: DataFrame, positions: int = TREES * DEPTH, least: int | None = None) -> DataFrame:
     """Edges (a, b) that span what agrees across groups within each open prefix; members: as made by :func:`open_prefixes`, with cid, group and sig.
 
     The rest's blocks meet each other and those of the largest group, which do not meet each other.
     """
-    least = least_agreement(positions)
+    least = least_agreement(positions) if least is None else least
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -178,7 +178,7 @@ def prefix_edges(members: DataFrame, positions: int = TREES * DEPTH) -> DataFram
     return x.repartition(*place).sortWithinPartitions(*place, "cid").mapInArrow(compare, "a long, b long").distinct()
 
 
-def candidate_groups(classes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def candidate_groups(classes: DataFrame, depth: int = DEPTH, least: int | None = None) -> DataFrame:
     """(node, component) of all classes that share a group with another one; classes: cid, keys, sig."""
     keys = classes.select("cid", "sig", F.posexplode("keys").alias("tree", "key"))
     beyond = prefix_depth(depth=depth)
@@ -187,15 +187,16 @@ def candidate_groups(classes: DataFrame, depth: int = DEPTH) -> DataFrame:
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-prefixes")
     members = written(keys.join(shared, "key"), "near-members")
     sigs = classes.select("cid", "sig")
-    first = written(neighbour_edges(members.join(sigs, "cid")), "near-neighbours")
+    first = written(neighbour_edges(members.join(sigs, "cid"), least=least), "near-neighbours")
     groups = components(first)
     g = groups.select(F.col("node").alias("cid"), F.col("component").alias("group"))
     grouped = written(members.drop("tail").join(g, "cid", "left").withColumn("group", F.coalesce("group", "cid")), "near-members")
     still = written(open_prefixes(grouped), "near-open")
-    more = prefix_edges(grouped.join(still, "key").join(sigs, "cid"))
+    more = prefix_edges(grouped.join(still, "key").join(sigs, "cid"), least=least)
     # edges between groups, through their smallest members, join what the neighbours have joined
-    found = components(written(first.unionByName(more), "near-edges"))
-    discard(shared, members, first, grouped, still)
+    edges = written(first.unionByName(more), "near-edges")
+    found = components(edges)
+    discard(shared, members, first, groups, grouped, still, edges)
     return found
 
 
@@ -293,62 +294,66 @@ def known_id(c: Column) -> list[Column]:
 
 
 def keyed_rows(df: DataFrame) -> DataFrame:
-    """row (all columns of ``df``), its doc_id as id and no_id, and cid, as in :func:`near_duplicates`."""
+    """row (all columns of ``df``), its doc_id as id and no_id, and wid, as in :func:`near_duplicates`."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strata.llm import textvec as v
 
         for whole in batches:
             for batch in byte_slices(whole, whole.column("row").field("text"), BATCH_BYTES):
-                cid = pa.array(v.text_ids(*v.word_hashes(batch.column("row").field("text"))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, cid], names=[*batch.schema.names, "cid"])
+                wid = v.text_ids(batch.column("row").field("text"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, wid], names=[*batch.schema.names, "wid"])
 
     rows = df.select(F.struct(*all_columns(df)).alias("row"), *known_id(df["doc_id"].cast("long")))
-    return rows.mapInArrow(add, schema_with(rows, cid=T.LongType()))
+    return rows.mapInArrow(add, schema_with(rows, wid=T.BinaryType()))
 
 
-def near_duplicates(df: DataFrame) -> DataFrame:
-    """One row per row of ``df``: doc_id, class_id, n_links, copy_of, n_copies, cid, class_cid.
+def near_duplicates(df: DataFrame, least: int | None = None) -> DataFrame:
+    """One row per row of ``df``: doc_id, class_id, n_links, copy_of, n_copies, wid, class_wid.
 
     class_id: the smallest doc_id of all that links connect to the document; n_links: other documents
     that its text is linked to, exact copies included; copy_of: the smallest doc_id with the same word
-    sequence; n_copies: documents with it; cid: the id of the word sequence; class_cid: that of the class's first document.
+    sequence; n_copies: documents with it; wid: the id of the word sequence; class_wid: that of the class's first document.
+    ``least``: in how many places the signatures of a pair must agree to be verified; 0 verifies every pair that shares a prefix.
     """
     docs = df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"])
     signed = written(signatures(docs), "near-signed")
     some = signed.where("n_shingles > 0")
     first = F.any_value(F.struct("n_shingles", "sig", "keys")).alias("s")
-    classes = some.groupBy("cid").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), first).select("cid", "copy_of", "copies", "s.*")
-    classes = written(classes, "near-classes")
+    classes = some.groupBy("wid").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), first)
+    # numbered as they are written, which fixes the numbers
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "wid", "copy_of", "copies", "s.*"), "near-classes")
 
-    groups = candidate_groups(classes)
+    groups = candidate_groups(classes, least=least)
 
-    grouped = written(groups.join(classes.select(F.col("cid").alias("node"), "copy_of", "copies", "n_shingles"), "node").withColumnRenamed("node", "cid"), "near-groups")
+    own = classes.select(F.col("cid").alias("node"), "wid", "copy_of", "copies", "n_shingles")
+    grouped = written(groups.join(own, "node").withColumnRenamed("node", "cid"), "near-groups")
     blocks = F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n_shingles") * 8 / GROUP_BYTES)).alias("blocks")
     sizes = written(grouped.groupBy("component").agg(blocks), "near-sizes")
-    wanted = written(grouped.join(sizes, "component").drop("n_shingles").select("component", "blocks", "cid", "copies", *known_id(F.col("copy_of"))), "near-wanted")
+    wanted = written(grouped.join(sizes, "component").select("component", "blocks", "cid", "wid", "copies", *known_id(F.col("copy_of"))), "near-wanted")
     # by sort and merge at every size: which texts are wanted grows with the documents. Rows that repeat the wanted one go
-    keys = ["id", "no_id", "cid"]
+    keys = ["id", "no_id", "wid"]
     rows = keyed_rows(docs).join(wanted.hint("merge"), keys).dropDuplicates(keys).select("component", "blocks", "cid", "copies", "row.text")
     found = written(verified(shingle_sets(rows)), "near-verified")
 
     links = found.where("links IS NOT NULL").groupBy("cid").agg(F.sum("links").alias("links"))
-    final = components(found.where("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "cid")
-    x = written(classes.select("cid", "copy_of", "copies").join(links, "cid", "left").join(final, "cid", "left"), "near-links")
-    first = F.min(F.struct(F.col("copy_of").isNull(), F.col("copy_of").alias("head"), F.col("cid").alias("head_cid"))).alias("h")
-    heads = written(x.where("component IS NOT NULL").groupBy("component").agg(first).select("component", "h.head", "h.head_cid"), "near-heads")
+    linked = components(found.where("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b")))
+    x = classes.select("cid", "wid", "copy_of", "copies").join(links, "cid", "left").join(linked.withColumnRenamed("node", "cid"), "cid", "left")
+    x = written(x.drop("cid"), "near-links")
+    first = F.min(F.struct(F.col("copy_of").isNull(), F.col("copy_of").alias("head"), F.col("wid").alias("head_wid"))).alias("h")
+    heads = written(x.where("component IS NOT NULL").groupBy("component").agg(first).select("component", "h.head", "h.head_wid"), "near-heads")
     x = x.join(heads, "component", "left")
-    alone = F.col("head_cid").isNull()
+    alone = F.col("head_wid").isNull()
     verdicts = x.select(
-        "cid", "copy_of", F.col("copies").alias("n_copies"), F.when(alone, F.col("copy_of")).otherwise(F.col("head")).alias("class_id"),
-        F.coalesce("head_cid", "cid").alias("class_cid"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        "wid", "copy_of", F.col("copies").alias("n_copies"), F.when(alone, F.col("copy_of")).otherwise(F.col("head")).alias("class_id"),
+        F.coalesce("head_wid", "wid").alias("class_wid"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
     verdicts = written(verdicts, "near-verdicts")
-    discard(classes, groups, grouped, sizes, wanted, found, x, heads)
-    s, v = signed.where("n_shingles > 0").select("doc_id", "cid").alias("s"), verdicts.alias("v")
-    with_text = s.join(v, F.col("s.cid") == F.col("v.cid")).select("s.doc_id", "v.class_id", "v.n_links", "v.copy_of", "v.n_copies", "s.cid", "v.class_cid")
+    discard(classes, groups, grouped, sizes, wanted, found, linked, x)
+    s, v = signed.where("n_shingles > 0").select("doc_id", "wid").alias("s"), verdicts.alias("v")
+    with_text = s.join(v, F.col("s.wid") == F.col("v.wid")).select("s.doc_id", "v.class_id", "v.n_links", "v.copy_of", "v.n_copies", "s.wid", "v.class_wid")
     zero, own = F.lit(0).cast("long"), F.col("doc_id")
-    none = signed.where("n_shingles = 0").select("doc_id", own.alias("class_id"), zero.alias("n_links"), own.alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), "cid", F.col("cid").alias("class_cid"))
+    none = signed.where("n_shingles = 0").select("doc_id", own.alias("class_id"), zero.alias("n_links"), own.alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), "wid", F.col("wid").alias("class_wid"))
     return with_text.unionByName(none)
 
 
@@ -358,12 +363,13 @@ def class_heads(df: DataFrame) -> DataFrame:
     The texts are shuffled once, with all columns in one struct, so that no name can clash.
     """
     classes = near_duplicates(df)
-    head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("cid") == F.col("class_cid"))
-    heads = written(classes.where(head).select(*known_id(F.col("doc_id")), "cid").distinct(), "near-kept")
-    keys = ["id", "no_id", "cid"]
+    head = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("wid") == F.col("class_wid"))
+    heads = written(classes.where(head).select(*known_id(F.col("doc_id")), "wid").distinct(), "near-kept")
+    discard(classes)
+    keys = ["id", "no_id", "wid"]
     # one exchange by these keys serves the join and the removal of repeats
     return keyed_rows(df).join(heads.hint("merge"), keys, "left_semi").dropDuplicates(keys).select("row.*")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("cid", "class_cid")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("wid", "class_wid")

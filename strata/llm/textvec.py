@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,16 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(there), np.cumprod(back)
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts (null: none), one after the other, and where each begins and the last ends."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8), offsets - offsets[0]
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words in order, and the number of words of each text (null: none).
 
@@ -38,11 +49,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     next text's by a space. The hash is a polynomial over a random table of the bytes, taken from
     prefix sums, and scrambled.
     """
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)
+    raw, offsets = text_bytes(texts)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     inside = ~_IS_SPACE[raw]
@@ -96,11 +103,15 @@ def shingles(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     return both[np.argsort(owner, kind="stable")], many
 
 
-def text_ids(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A 64-bit id of each text's word sequence, as signed integers."""
-    total = len(words)
-    begins = np.cumsum(counts) - counts
-    there, _ = _powers(max(22, int(total).bit_length()))
-    rank = np.arange(total) - np.repeat(begins, counts)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words) * there[rank], dtype=np.uint64)])
-    return mixed(sums[begins + counts] - sums[begins] + counts.astype(np.uint64)).view(np.int64)
+def text_ids(texts: pa.Array) -> pa.Array:
+    """128 bits of BLAKE2b over each text's words, joined by single spaces."""
+    raw, offsets = text_bytes(texts)
+    inside = ~_IS_SPACE[raw]
+    behind = np.zeros(len(raw), bool)  # the white space that follows a word of its text
+    behind[1:] = inside[:-1] & ~inside[1:]
+    behind[offsets[:-1][offsets[:-1] < len(raw)]] = False
+    kept = inside | behind
+    joined = np.where(inside, raw, np.uint8(0x20))[kept]
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])[offsets].tolist()
+    last = [b - (b > a and joined[b - 1] == 0x20) for a, b in zip(ends, ends[1:], strict=False)]
+    return pa.array([blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(ends, last, strict=False)], pa.binary())

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import os
 import random
 import time
 from collections import defaultdict
@@ -710,6 +711,28 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     assert {x.doc_id: x.n_links for x in got} == want and {x.class_id for x in got} == {0}
 
 
+def test_verification_of_every_shared_prefix(spark):
+    """With 0 places asked for, signatures decide nothing beyond the prefixes; with more than there are, nothing is verified."""
+    rows = near_rows(7, 60)
+    found = {k: {(r.doc_id, r.class_id, r.n_links, r.n_copies - 1) for r in near.near_duplicates(docs(spark, rows), least=k).collect()} for k in (None, 0, 161)}
+    assert found[0] == found[None] and any(n > copies for _, _, n, copies in found[0])
+    assert all(n == copies for _, _, n, copies in found[161])
+
+
+@pytest.mark.parametrize("name", ["near", "heads", "suffixes"])
+def test_shared_folder_holds_what_the_result_reads(spark, name):
+    """Whatever an operator writes on its way is gone; what stays is read by its result."""
+    made = {"near": near.near_duplicates, "heads": near.class_heads, "suffixes": suffixes.repeated_spans}[name]
+    folder = common.shared_dir(spark).removeprefix("file://")
+    here = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    x = docs(spark, near_rows(8, 40))
+    before = here()
+    result = made(x)
+    read = {os.path.basename(os.path.dirname(f)) for f in result.inputFiles()}
+    assert here() - before == read and read
+    result.collect()
+
+
 def test_open_prefixes_meet_all_pairs(spark, monkeypatch):
     """Every pair of classes under one prefix meets, or is in one group already."""
     monkeypatch.setattr(near, "BUCKET_BLOCK", 3)
@@ -897,8 +920,12 @@ def test_word_vectors():
     assert counts.tolist() == [len((t or "").split()) for t in texts]
     words = [w for t in texts for w in (t or "").split()]
     assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
-    ids = textvec.text_ids(hashes, counts)
-    assert ids[2] == ids[3] and len(set(ids.tolist())) == 6
+    ids = textvec.text_ids(pa.array(texts)).to_pylist()
+    assert ids[2] == ids[3] and len(set(ids)) == 6 and all(len(i) == 16 for i in ids)
+    spaced = ["  a b", "a\x0b\tb\n\n", "a b", "ab", "a", "\xa0a b", "a  ", " "]
+    ids = textvec.text_ids(pa.array([None, *spaced]).slice(1)).to_pylist()
+    assert ids[0] == ids[1] == ids[2] and len(set(ids[2:])) == 5 and ids[4] == ids[6] and ids[7] == textvec.text_ids(pa.array([""]))[0].as_py()
+    assert textvec.text_ids(pa.array([], pa.string())).to_pylist() == []
     part = textvec.word_hashes(pa.array(texts).slice(1, 4))
     assert part[0].tolist() == hashes[2:6].tolist() and part[1].tolist() == counts[1:5].tolist()
 

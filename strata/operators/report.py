@@ -6,8 +6,9 @@ import math
 import os
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions import rules
@@ -56,41 +57,75 @@ def as_list(rows: DataFrame, value: Column, name: str, order: Column | None = No
 
 @dataclass
 class Tables:
-    """What a document is made of: one row a repository in ``facts``, one row for each entry elsewhere."""
+    """What a document is made of: one row a repository in ``facts``, one row for each entry elsewhere. Each is made when it is first asked for."""
 
-    facts: DataFrame
     stats: DataFrame
-    long: DataFrame
-    imports: DataFrame
-    degree: DataFrame
-    cycle: DataFrame
-    analysis: DataFrame
-    coupling: DataFrame
-    tight: DataFrame
-    core: DataFrame
-    god: DataFrame
-    violations: DataFrame | None
+    edges: DataFrame
+    config: DataFrame | None = None
+    repos: DataFrame | None = None
+    markers: DataFrame | None = None
+    listed: DataFrame | None = None
+    known: DataFrame | None = None
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return (self.stats if self.listed is None else self.listed).select("repo", "rel_path")
+
+    @cached_property
+    def long(self) -> DataFrame:
+        return self.stats.where("lines > 300")
+
+    @cached_property
+    def degree(self) -> DataFrame:
+        return graph.degrees(self.stats, self.edges)
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        deps = self.edges.groupBy("repo", F.col("src").alias("rel_path")).agg(F.array_sort(F.collect_list("dst")).alias("deps"))
+        return self.nodes.join(deps, ["repo", "rel_path"], "left").select("repo", "rel_path", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
+
+    @cached_property
+    def cycle(self) -> DataFrame:
+        return graph.cycles(graph.strong_components(self.edges)) if self.known is None else self.known
+
+    @cached_property
+    def analysis(self) -> DataFrame:
+        return graph.cycle_analysis(self.cycle)
+
+    @cached_property
+    def coupling(self) -> DataFrame:
+        return graph.folder_coupling(self.nodes, self.edges)
+
+    @cached_property
+    def tight(self) -> DataFrame:
+        return graph.tight_pairs(self.cycle)
+
+    @cached_property
+    def core(self) -> DataFrame:
+        rounded = (exact_round(F.col(c)).alias(c) for c in ("normalized_in", "normalized_out", "centrality_score"))
+        return graph.core_modules(self.degree).select("repo", "path", "in_degree", "out_degree", *rounded, F.col("centrality_score").alias("exact"))
+
+    @cached_property
+    def god(self) -> DataFrame:
+        return graph.god_modules(self.stats, self.degree)
+
+    @cached_property
+    def violations(self) -> DataFrame | None:
+        return None if self.config is None else graph.layer_violations(self.edges, self.config.where("size(layer_order) > 0").select("repo", "layer_order"))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        kinds = self.analysis.groupBy("repo").agg(*(F.count_if(F.col("type") == t).cast("int").alias(f"{t}_count") for t in ("tight_coupling", "layer_leak", "structural_cycle")))
+        x = metrics.score(metrics.repo_facts(self.stats, self.edges, self.cycle, self.config, None if self.repos is None else self.repos.where("valid"))).join(kinds, "repo", "left")
+        x = x.na.fill(0, ["tight_coupling_count", "layer_leak_count", "structural_cycle_count"])
+        if self.markers is None:
+            return x.withColumns({"todo_count": F.lit(0).cast("long"), "fixme_count": F.lit(0).cast("long"), "source_files": F.col("total_files")})
+        return x.join(self.markers, "repo", "left").na.fill(0, ["todo_count", "fixme_count", "source_files"])
 
 
 def document_tables(stats: DataFrame, edges: DataFrame, config: DataFrame | None = None, repos: DataFrame | None = None, markers: DataFrame | None = None, listed: DataFrame | None = None, cycle: DataFrame | None = None) -> Tables:
     """``repos`` adds roots that have no files, ``listed`` files that cannot be read; ``cycle``: the cycles, where they are known."""
-    degree = graph.degrees(stats, edges)
-    cycle = graph.cycles(graph.strong_components(edges)) if cycle is None else cycle
-    analysis = graph.cycle_analysis(cycle)
-    nodes = (stats if listed is None else listed).select("repo", "rel_path")
-    core = graph.core_modules(degree)
-    core = core.select("repo", "path", "in_degree", "out_degree", *(exact_round(F.col(c)).alias(c) for c in ("normalized_in", "normalized_out", "centrality_score")), F.col("centrality_score").alias("exact"))
-    deps = edges.groupBy("repo", F.col("src").alias("rel_path")).agg(F.array_sort(F.collect_list("dst")).alias("deps"))
-    imports = nodes.join(deps, ["repo", "rel_path"], "left").select("repo", "rel_path", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
-    kinds = analysis.groupBy("repo").agg(*(F.count_if(F.col("type") == t).cast("int").alias(f"{t}_count") for t in ("tight_coupling", "layer_leak", "structural_cycle")))
-    x = metrics.score(metrics.repo_facts(stats, edges, cycle, config, None if repos is None else repos.where("valid"))).join(kinds, "repo", "left")
-    x = x.na.fill(0, ["tight_coupling_count", "layer_leak_count", "structural_cycle_count"])
-    if markers is None:
-        x = x.withColumns({"todo_count": F.lit(0).cast("long"), "fixme_count": F.lit(0).cast("long"), "source_files": F.col("total_files")})
-    else:
-        x = x.join(markers, "repo", "left").na.fill(0, ["todo_count", "fixme_count", "source_files"])
-    violations = None if config is None else graph.layer_violations(edges, config.where("size(layer_order) > 0").select("repo", "layer_order"))
-    return Tables(x, stats, stats.where("lines > 300"), imports, degree, cycle, analysis, graph.folder_coupling(nodes, edges), graph.tight_pairs(cycle), core, graph.god_modules(stats, degree), violations)
+    return Tables(stats, edges, config, repos, markers, listed, cycle)
 
 
 def _meta() -> Column:
@@ -126,33 +161,81 @@ def _members(*fields: Column | str) -> Column:
 FRAGMENT_ORDER = ["section", "k1", "k2"]
 
 
+def _lists() -> dict[str, tuple]:
+    """The document's lists and maps by name: table, text, names that order the entries, a number that goes before them; of maps the key in second place."""
+    c = F.col
+    s = F.struct
+    by_folder = F.split("rel_path", "/")
+    entry = lambda key, value: F.concat(_json_text(key), F.lit(": "), value)
+    return {
+        "long_files": ("long", F.to_json(s(c("rel_path").alias("path"), "lines")), F.array("rel_path")),
+        "per_file_stats": ("stats", entry("rel_path", F.to_json(s("lines", "function_count", "class_count"))), by_folder),
+        "import_map": ("imports", entry("rel_path", F.to_json("deps")), by_folder),
+        "in_degree": ("degree", entry("rel_path", c("in_degree").cast("string")), F.array("rel_path")),
+        "circular_dependencies": ("cycle", F.to_json(graph.closed("nodes")), c("nodes")),
+        "cycles": ("analysis", F.to_json(s("type", "length", "files", "folders", "risk_score")), F.concat(F.array(c("type"), F.lpad(c("length").cast("string"), 20, "0")), c("files"))),
+        "folder_coupling": ("coupling", entry("folder", F.to_json(s("external_dependencies", "depends_on"))), F.array("folder")),
+        "tight_coupling_pairs": ("tight", F.to_json(F.array("a", "b")), F.array("a", "b")),
+        "core_modules": ("core", F.to_json(s("path", "in_degree", "out_degree", "normalized_in", "normalized_out", "centrality_score")), F.array("path"), -c("exact")),
+        "god_module_candidates": ("god", F.to_json(s("path", "lines", "in_degree", "out_degree")), F.array("path")),
+        "layer_violations": ("violations", F.to_json(s("importer_folder", "imported_folder")), F.array("importer_folder", "imported_folder")),
+    }
+
+
+def document_part(t: Tables, name: str) -> DataFrame | None:
+    """The entries of one list or map of the documents: (repo, k1, k2, text), a row each; None where there is no such list. Only what these need is computed."""
+    table, text, names, *number = _lists()[name]
+    rows = getattr(t, table)
+    return None if rows is None else rows.select("repo", *(x.alias("k1") for x in number or [F.lit(0.0)]), names.alias("k2"), text.alias("text"))
+
+
+def _facts_members() -> dict[str, Column]:
+    """The members of a document that its repository's facts hold, by the place where they stand."""
+    c = F.col
+    return {
+        "head": _members(c("repo").alias("path"), F.lit(True).alias("valid"), "source_files", "total_lines", "total_files", "total_long_files", F.coalesce("max_in_degree_file", F.lit("")).alias("max_in_degree_file"), F.coalesce("total_cycles", F.lit(0)).alias("total_cycles")),
+        "markers": _members("todo_count", "fixme_count"),
+        "kinds": _members("tight_coupling_count", "layer_leak_count", "structural_cycle_count"),
+        "cross": _members(c("cross_folder_ratio").alias("cross_folder_dependency_ratio"), "possible_import_resolution_issue"),
+        "class": _members("structural_class", _meta().alias("structural_class_meta"), _score().alias("architecture_score")),
+    }
+
+
+def document_facts(t: Tables, kind: str) -> DataFrame:
+    """(repo, d): the members of the documents outside their lists, read out of the text by the type ``kind``; those within objects of the text stand beside the others."""
+    text = F.concat(F.lit("{"), F.concat_ws(", ", *_facts_members().values()), F.lit("}"))
+    return t.facts.select("repo", F.from_json(text, kind).alias("d"))
+
+
+def placed(entries: DataFrame) -> DataFrame:
+    """Entries of :func:`document_part` with ``place``, from 0, in their repository; written.
+
+    They are sorted by ranges over all tasks, so that a repository's entries may be more than a task holds. A place is what earlier tasks hold of the
+    repository, a running sum of few rows, and what comes before in its own.
+    """
+    order = ["repo", *FRAGMENT_ORDER[1:]]
+    x = entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    x = written(x.select("repo", "text", "at", F.shiftright("at", 33).alias("task")), "entries")
+    earlier = Window.partitionBy("repo").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy("repo", "task").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    sums = sums.select("repo", "task", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return x.join(sums, ["repo", "task"]).select("repo", (F.col("at") + F.col("shift")).alias("place"), "text")
+
+
 def document_fragments(t: Tables, repos: DataFrame | None = None) -> DataFrame:
     """The documents as fragments (repo, section, k1, k2, kind, text): in that order they are the JSON text of each.
 
     No row holds more than one entry, so documents may be larger than any row or task. ``repos`` adds the documents of roots that are not valid.
     """
-    c = F.col
     s = F.struct
+    facts = _facts_members()
     plan: list = [
-        ("open", "{"), ("item", _members(c("repo").alias("path"), F.lit(True).alias("valid"), "source_files", "total_lines", "total_files", "total_long_files", F.coalesce("max_in_degree_file", F.lit("")).alias("max_in_degree_file"), F.coalesce("total_cycles", F.lit(0)).alias("total_cycles"))),
-        ("[", "long_files", t.long, F.to_json(s(c("rel_path").alias("path"), "lines")), [c("rel_path")]),
-        ("item", _members("todo_count", "fixme_count")),
-        ("{", "per_file_stats", t.stats, F.to_json(s("lines", "function_count", "class_count")), "rel_path", F.split("rel_path", "/")),
-        ("open", '"dependency_stats": {'),
-        ("{", "import_map", t.imports, F.to_json("deps"), "rel_path", F.split("rel_path", "/")),
-        ("{", "in_degree", t.degree, c("in_degree").cast("string"), "rel_path", F.array("rel_path")),
-        ("[", "circular_dependencies", t.cycle, F.to_json(graph.closed("nodes")), c("nodes")),
-        ("open", '"cycle_analysis": {'), ("item", _members("tight_coupling_count", "layer_leak_count", "structural_cycle_count")),
-        ("[", "cycles", t.analysis, F.to_json(s("type", "length", "files", "folders", "risk_score")), F.concat(F.array(c("type"), F.lpad(c("length").cast("string"), 20, "0")), c("files"))),
-        ("close", "}"),
-        ("{", "folder_coupling", t.coupling, F.to_json(s("external_dependencies", "depends_on")), "folder", F.array("folder")),
-        ("item", _members(c("cross_folder_ratio").alias("cross_folder_dependency_ratio"), "possible_import_resolution_issue")), ("close", "}"),
-        ("open", '"architectural_risks": {'),
-        ("[", "tight_coupling_pairs", t.tight, F.to_json(F.array("a", "b")), F.array("a", "b")),
-        ("[", "core_modules", t.core, F.to_json(s("path", "in_degree", "out_degree", "normalized_in", "normalized_out", "centrality_score")), F.array("path"), -c("exact")),
-        ("[", "god_module_candidates", t.god, F.to_json(s("path", "lines", "in_degree", "out_degree")), F.array("path")),
-        ("[", "layer_violations", t.violations, F.to_json(s("importer_folder", "imported_folder")), F.array("importer_folder", "imported_folder")),
-        ("close", "}"), ("item", _members("structural_class", _meta().alias("structural_class_meta"), _score().alias("architecture_score"))), ("close", "}"),
+        ("open", "{"), ("item", facts["head"]), ("[", "long_files"), ("item", facts["markers"]), ("{", "per_file_stats"),
+        ("open", '"dependency_stats": {'), ("{", "import_map"), ("{", "in_degree"), ("[", "circular_dependencies"),
+        ("open", '"cycle_analysis": {'), ("item", facts["kinds"]), ("[", "cycles"), ("close", "}"),
+        ("{", "folder_coupling"), ("item", facts["cross"]), ("close", "}"),
+        ("open", '"architectural_risks": {'), ("[", "tight_coupling_pairs"), ("[", "core_modules"), ("[", "god_module_candidates"), ("[", "layer_violations"), ("close", "}"),
+        ("item", facts["class"]), ("close", "}"),
     ]
     own, rows = [], []  # fragments of the facts' rows; tables of entries
     none = F.array().cast("array<string>")
@@ -160,19 +243,14 @@ def document_fragments(t: Tables, repos: DataFrame | None = None) -> DataFrame:
     def fixed(kind: str, text: Column | str) -> None:
         own.append(s(F.lit(len(own) + len(rows)).alias("section"), F.lit(kind).alias("kind"), (F.lit(text) if isinstance(text, str) else text).alias("text")))
 
-    for kind, *rest in plan:
+    for kind, what in plan:
         if kind not in ("[", "{"):
-            fixed(kind, *rest)
+            fixed(kind, what)
             continue
-        name, table, text, *order = rest
-        fixed("open", f'"{name}": {kind}')
-        if table is not None:
-            if kind == "{":
-                text = F.concat(_json_text(order[0]), F.lit(": "), text)
-                order = order[1:]
-            names = order[0] if isinstance(order[0], Column) else F.array(*order[0])
-            number = order[1] if len(order) > 1 else F.lit(0.0)
-            rows.append(table.select("repo", F.lit(len(own) + len(rows)).alias("section"), number.alias("k1"), names.alias("k2"), F.lit("item").alias("kind"), text.alias("text")))
+        fixed("open", f'"{what}": {kind}')
+        part = document_part(t, what)
+        if part is not None:
+            rows.append(part.select("repo", F.lit(len(own) + len(rows)).alias("section"), "k1", "k2", F.lit("item").alias("kind"), "text"))
         fixed("close", "]" if kind == "[" else "}")
     out = t.facts.select("repo", F.inline(F.array(*own))).select("repo", "section", F.lit(0.0).alias("k1"), none.alias("k2"), "kind", "text")
     for part in rows:

@@ -1,60 +1,78 @@
 """Registered queries over the scan documents and reports, each with the SQL that gives the same rows.
 
-The documents are JSON texts of many parts; each part is read back out of them and held against SQL.
+The documents are JSON texts of many parts; each part is read back out of the text and held against SQL. It is read entry by entry, as the
+fragments of the documents have them, so that a document may be larger than any row or task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import metrics, report
+from strata.operators import graph, metrics, report
 from strata.plans import bridge as b
 from strata.plans import catalogue as k
 from strata.storage import written
 
-TYPE = """source_files long, total_files long, total_lines long, total_long_files long, max_in_degree_file string, total_cycles long, structural_class string,
-long_files array<struct<path: string, lines: long>>,
-dependency_stats struct<import_map: map<string, array<string>>, in_degree: map<string, long>, circular_dependencies: array<array<string>>, cross_folder_dependency_ratio: double,
-  cycle_analysis: struct<tight_coupling_count: long, layer_leak_count: long, structural_cycle_count: long, cycles: array<struct<type: string, length: long, files: array<string>, folders: array<string>, risk_score: long>>>,
-  folder_coupling: map<string, struct<external_dependencies: long, depends_on: array<string>>>>,
-architectural_risks struct<tight_coupling_pairs: array<array<string>>, god_module_candidates: array<struct<path: string, lines: long, in_degree: long, out_degree: long>>, layer_violations: array<struct<importer_folder: string, imported_folder: string>>, core_modules: array<struct<path: string, in_degree: long, out_degree: long, normalized_in: double, normalized_out: double, centrality_score: double>>>,
+#: Entries of the documents' lists and maps, by name.
+ENTRY = {
+    "long_files": "path string, lines long",
+    "import_map": "map<string, array<string>>",
+    "in_degree": "map<string, long>",
+    "circular_dependencies": "array<string>",
+    "cycles": "type string, length long, files array<string>, folders array<string>, risk_score long",
+    "folder_coupling": "map<string, struct<external_dependencies: long, depends_on: array<string>>>",
+    "tight_coupling_pairs": "array<string>",
+    "core_modules": "path string, in_degree long, out_degree long, normalized_in double, normalized_out double, centrality_score double",
+    "god_module_candidates": "path string, lines long, in_degree long, out_degree long",
+    "layer_violations": "importer_folder string, imported_folder string",
+}
+#: What documents hold outside of them.
+FACTS = """source_files long, total_files long, total_lines long, total_long_files long, max_in_degree_file string, total_cycles long, structural_class string,
 architecture_score struct<raw_score: long, normalized_score: long, risk_breakdown: struct<long_file_penalty: long, circular_dependency_penalty: long, centralization_penalty: long, cross_folder_penalty: long>,
   structural_profile: struct<long_file_ratio: double, cycle_ratio: double, centralization_score: double, cross_folder_ratio: double>>"""
 
 
-def _documents(s, d, graphs=b.GRAPHS, config=None):
-    x = report.scan_documents(b.supplier_files(s, d, graphs), written(b.supplier_edges(s, d, graphs), "edges"), config)
-    return x.select("repo", F.from_json("document", TYPE).alias("d")).select("repo", "d.*")
+def _tables(s, d, graphs=b.GRAPHS, config=None):
+    return report.document_tables(b.supplier_files(s, d, graphs), written(b.supplier_edges(s, d, graphs), "edges"), config)
 
 
-def _placed(x, items, *fields):
+def _listed(t, name, *fields):
     """A list's entries with their place."""
-    y = x.select("repo", F.posexplode(items).alias("place", "c"))
-    return y.select("repo", F.col("place").cast("long").alias("place"), *(fields or ("c.*",)))
+    x = report.placed(report.document_part(t, name)).select("repo", "place", F.from_json("text", ENTRY[name]).alias("c"))
+    return x.select("repo", "place", *(fields or ("c.*",)))
+
+
+def _mapped(t, name, key):
+    """A map's entries: repo, ``key`` and c, the value."""
+    return report.document_part(t, name).select("repo", F.explode(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), ENTRY[name])).alias(key, "c"))
 
 
 def _folders(s, d):
-    x = _documents(s, d, b.WIDE).select("repo", F.explode("dependency_stats.folder_coupling").alias("folder", "c"))
+    x = _mapped(_tables(s, d, b.WIDE), "folder_coupling", "folder")
     return x.select("repo", "folder", "c.external_dependencies", F.array_join("c.depends_on", ",").alias("depends_on"))
 
 
 def _imports(s, d):
-    x = _documents(s, d, b.WIDE).select("repo", "dependency_stats.in_degree", F.explode("dependency_stats.import_map").alias("rel_path", "to"))
-    return x.select("repo", "rel_path", F.element_at("in_degree", F.col("rel_path")).alias("in_degree"), F.size("to").cast("long").alias("n"), F.sha2(F.array_join("to", ","), 256).alias("imports"))
+    t = _tables(s, d, b.WIDE)
+    x = _mapped(t, "import_map", "rel_path").select("repo", "rel_path", F.size("c").cast("long").alias("n"), F.sha2(F.array_join("c", ","), 256).alias("imports"))
+    return x.join(_mapped(t, "in_degree", "rel_path").withColumnRenamed("c", "in_degree"), ["repo", "rel_path"], "left").select("repo", "rel_path", "in_degree", "n", "imports")
+
+
+def _long(s, d):
+    return _listed(report.document_tables(b.supplier_files(s, d, b.WIDE), b.supplier_edges(s, d, b.WIDE)), "long_files")  # no edge is asked for
 
 
 def _cycles(s, d):
-    x = _placed(_documents(s, d), "dependency_stats.cycle_analysis.cycles")
-    return x.withColumns({"files": F.array_join("files", ","), "folders": F.array_join("folders", ",")})
+    return _listed(_tables(s, d), "cycles").withColumns({"files": F.array_join("files", ","), "folders": F.array_join("folders", ",")})
 
 
 def _pairs(s, d):
-    return _placed(_documents(s, d), "architectural_risks.tight_coupling_pairs", F.col("c")[0].alias("a"), F.col("c")[1].alias("b"))
+    return _listed(_tables(s, d), "tight_coupling_pairs", F.col("c")[0].alias("a"), F.col("c")[1].alias("b"))
 
 
 def _violations(s, d):
     config = b.layers(s, b.WIDE).withColumn("scoring", F.lit(None).cast(metrics.config_struct()))
-    return _placed(_documents(s, d, b.WIDE, config), "architectural_risks.layer_violations")
+    return _listed(_tables(s, d, b.WIDE, config), "layer_violations")
 
 
 def _weak(s, d):
@@ -67,11 +85,15 @@ def _weak(s, d):
 
 
 def _facts(s, d):
-    x = _documents(s, d)
+    edges = written(b.supplier_edges(s, d), "edges")
+    cycle = written(graph.cycles(graph.strong_components(edges)), "cycles")  # facts and list read them
+    t = report.document_tables(b.supplier_files(s, d), edges, cycle=cycle)
+    chain = F.array_join(F.from_json("text", ENTRY["circular_dependencies"]), " -> ")
+    cycles = report.as_list(report.document_part(t, "circular_dependencies"), chain, "chains", F.col("k2")).select("repo", F.array_join("chains", "; ").alias("cycles"))
+    x = report.document_facts(t, FACTS).select("repo", "d.*").join(cycles, "repo", "left").na.fill("", ["cycles"])
     score = F.col("architecture_score")
-    cycles = F.array_join(F.transform("dependency_stats.circular_dependencies", lambda c: F.array_join(c, " -> ")), "; ")
     return x.select(
-        "repo", "source_files", "total_files", "total_lines", "total_long_files", "max_in_degree_file", "total_cycles", "structural_class", cycles.alias("cycles"),
+        "repo", "source_files", "total_files", "total_lines", "total_long_files", "max_in_degree_file", "total_cycles", "structural_class", "cycles",
         score["raw_score"].alias("raw_score"), score["normalized_score"].alias("normalized_score"), "architecture_score.risk_breakdown.*", "architecture_score.structural_profile.*",
     )
 
@@ -94,9 +116,9 @@ QUERIES = {
     "scan_documents": lambda s, d: report.scan_documents(b.supplier_files(s, d), k.edges_of(s, d)),
     "document_folders": _folders,
     "document_imports": _imports,
-    "document_core_modules": lambda s, d: _placed(_documents(s, d, b.WIDE), "architectural_risks.core_modules"),
-    "document_long_files": lambda s, d: _placed(_documents(s, d, b.WIDE), "long_files"),
-    "document_god_modules": lambda s, d: _placed(_documents(s, d, b.WIDE), "architectural_risks.god_module_candidates"),
+    "document_core_modules": lambda s, d: _listed(_tables(s, d, b.WIDE), "core_modules"),
+    "document_long_files": _long,
+    "document_god_modules": lambda s, d: _listed(_tables(s, d, b.WIDE), "god_module_candidates"),
     "document_layer_violations": _violations,
     "document_cycles": _cycles,
     "document_tight_pairs": _pairs,

@@ -11,7 +11,7 @@ from tests.compare import same
 
 SF = "/root/testdata/sf0.001"
 #: Queries that once read their part out of a whole document in one row.
-PARTS = ("document_core_modules", "document_folders", "document_god_modules", "document_imports", "document_layer_violations")
+PARTS = ("document_core_modules", "document_folders", "document_god_modules", "document_imports", "document_layer_violations", "document_long_files")
 
 
 def plan_of(df):

@@ -218,6 +218,7 @@ def _large_components(edges: DataFrame, local_edges: int, trims: int = 3, part_e
     small enough is solved in one task. The rest goes by joins, until no node is left: a few rounds take off nodes without edges in or out, then
     forward colours, then what reaches its colour's root within the colour.
 
+    Whether a repository is small enough is told to its edges where they lie: no join by repository alone brings them together.
     Every round is written to the shared folder and deleted when the next one is; nothing but counts is collected.
     """
     keys = ["repo", "rel_path"]
@@ -230,8 +231,9 @@ def _large_components(edges: DataFrame, local_edges: int, trims: int = 3, part_e
         discard(*old)
         return out
 
-    left = written(edges.where("src <> dst").distinct(), "scc-edges")
-    label = written(alone(ends(edges, "src").unionByName(ends(edges, "dst")).distinct()), "scc-label")
+    held = written(edges.distinct(), "scc-edges")
+    label = written(alone(ends(held, "src").unionByName(ends(held, "dst")).distinct()), "scc-label")
+    left = held.where("src <> dst")
     named = lambda found: label.join(found.select("repo", F.col("rel_path").alias("component"), F.col("component").alias("further")), ["repo", "component"], "left").select("repo", F.coalesce("further", "component").alias("component"), "rel_path")
     n = left.count()
     while n and (found := condensed(left, n, part_edges)) is not None:
@@ -240,9 +242,10 @@ def _large_components(edges: DataFrame, local_edges: int, trims: int = 3, part_e
         before, n = n, left.count()
         if n > 0.8 * before:
             break
-    large = left.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") > local_edges)
-    done = written(left.join(large, "repo", "left_anti").groupBy("repo").applyInPandas(_components, COMPONENT), "scc-done")
-    left = after(left, new=left.join(large, "repo", "left_semi"), name="scc-edges")
+    large = left.groupBy("repo").agg((F.count("*") > local_edges).alias("large"))
+    left = after(left, new=with_facts(left, large, "src"), name="scc-sized")
+    done = written(left.where("NOT large").select("repo", "src", "dst").groupBy("repo").applyInPandas(_components, COMPONENT), "scc-done")
+    left = after(left, new=left.where("large").select("repo", "src", "dst"), name="scc-edges")
     nodes = written(ends(left, "src").unionByName(ends(left, "dst")).distinct(), "scc-nodes")
     seed = 0
     while not nodes.isEmpty():
@@ -269,15 +272,14 @@ def _large_components(edges: DataFrame, local_edges: int, trims: int = 3, part_e
 def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, part_edges: int = PART_EDGES, log: list[str] | None = None) -> DataFrame:
     """(repo, component, rel_path) of all nodes of edges; a component is named by its smallest path.
 
-    A repo whose edges are counted to fit a task is solved in one; larger ones over all tasks.
+    Where the edges of every repo are counted to fit a task, each is solved in one; else all go over all tasks, as no task must read the edges of a
+    larger one.
     """
     edges = edges.select("repo", "src", "dst").distinct()
     counts = edges.groupBy("repo").agg(F.count("*").alias("n"))
-    large = counts.where(F.col("n") > local_edges)
-    if large.isEmpty():
+    if counts.where(F.col("n") > local_edges).isEmpty():
         return edges.groupBy("repo").applyInPandas(_components, COMPONENT)
-    small = edges.join(large, "repo", "left_anti").groupBy("repo").applyInPandas(_components, COMPONENT)
-    return small.unionByName(_large_components(edges.join(large, "repo", "left_semi"), local_edges, part_edges=part_edges, log=log))
+    return _large_components(edges, local_edges, part_edges=part_edges, log=log)
 
 
 def cycles(components: DataFrame) -> DataFrame:

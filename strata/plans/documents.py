@@ -32,8 +32,10 @@ architecture_score struct<raw_score: long, normalized_score: long, risk_breakdow
   structural_profile: struct<long_file_ratio: double, cycle_ratio: double, centralization_score: double, cross_folder_ratio: double>>"""
 
 
-def _tables(s, d, graphs=b.GRAPHS, config=None):
-    return report.document_tables(b.supplier_files(s, d, graphs), written(b.supplier_edges(s, d, graphs), "edges"), config)
+def _tables(s, d, graphs=b.GRAPHS, config=None, once=False):
+    """``once``: the edges are read a single time, and so are not written."""
+    edges = b.supplier_edges(s, d, graphs)
+    return report.document_tables(b.supplier_files(s, d, graphs), edges if once else written(edges, "edges"), config)
 
 
 def _listed(t, name, *fields):
@@ -48,7 +50,7 @@ def _mapped(t, name, key):
 
 
 def _folders(s, d):
-    x = _mapped(_tables(s, d, b.WIDE), "folder_coupling", "folder")
+    x = _mapped(_tables(s, d, b.WIDE, once=True), "folder_coupling", "folder")
     return x.select("repo", "folder", "c.external_dependencies", F.array_join("c.depends_on", ",").alias("depends_on"))
 
 

@@ -35,6 +35,16 @@ def test_no_row_holds_a_whole_list(spark, monkeypatch, name):
         assert not rows, rows
 
 
+@pytest.mark.parametrize("name", ["document_folders"])
+def test_edges_read_once_are_not_written(spark, monkeypatch, name):
+    """No copy of all edges goes to the shared folder where they are read a single time."""
+    names, kept = [], documents.written
+    for module in (documents, report):
+        monkeypatch.setattr(module, "written", lambda df, name, *a: names.append(name) or kept(df, name, *a))
+    same(spark, documents.QUERIES[name], documents.ORACLE_SQL[name], SF)
+    assert "edges" not in names, names
+
+
 def test_places_over_tasks(spark):
     """Entries of a repository that lie in several tasks are numbered through, by number, then names."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

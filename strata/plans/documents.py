@@ -74,7 +74,7 @@ def _pairs(s, d):
 
 def _violations(s, d):
     config = b.layers(s, b.WIDE).withColumn("scoring", F.lit(None).cast(metrics.config_struct()))
-    return _listed(_tables(s, d, b.WIDE, config), "layer_violations")
+    return _listed(_tables(s, d, b.WIDE, config, once=True), "layer_violations")
 
 
 def _weak(s, d):

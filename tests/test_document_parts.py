@@ -35,7 +35,7 @@ def test_no_row_holds_a_whole_list(spark, monkeypatch, name):
         assert not rows, rows
 
 
-@pytest.mark.parametrize("name", ["document_folders"])
+@pytest.mark.parametrize("name", ["document_folders", "document_layer_violations"])
 def test_edges_read_once_are_not_written(spark, monkeypatch, name):
     """No copy of all edges goes to the shared folder where they are read a single time."""
     names, kept = [], documents.written

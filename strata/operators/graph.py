@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.paths import top_folder
@@ -19,6 +19,10 @@ PART_EDGES = 200_000
 COMPONENT = "repo string, component string, rel_path string"
 #: Into how many places the rows of one repository are dealt where they meet its own facts.
 SALTS = 64
+#: Edges out, and as many in, that every node of a dense graph gives to its first components.
+FEW = 2
+#: So many names of nodes at most are sent to all tasks, some 40 MB; more are joined.
+SENT = 1_000_000
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, key: str = "rel_path") -> DataFrame:
@@ -155,118 +159,219 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"repo": repo, "component": [names[h - len(names)] for h in head], "rel_path": names})
 
 
-def condensed(edges: DataFrame, n: int, part_edges: int = PART_EDGES) -> DataFrame | None:
-    """(repo, rel_path, component) of the nodes that lie in cycles of some task's own edges, written; None where there are none. n: the edges' number.
+def permuted(x: Column, seed: int, back: bool = False) -> Column:
+    """A 64-bit number's place in a random order of all of them, or ``back`` the number at a place: halves that are mixed into each other."""
+    half = F.lit(0xFFFFFFFF)
+    high, low = F.shiftrightunsigned(x, 32), x.bitwiseAND(half)
+    for k in (2, 1, 0) if back else (0, 1, 2):
+        mixed = lambda v, k=k: F.xxhash64(F.lit(seed), F.lit(k), v).bitwiseAND(half)
+        high, low = (low.bitwiseXOR(mixed(high)), high) if back else (low, high.bitwiseXOR(mixed(low)))
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("id")).distinct().unionByName(edges.select(F.col("dst").alias("id")).distinct()).distinct()
+
+
+def _after(*old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    out = written(new, name)
+    discard(*old)
+    return out
+
+
+def _named(label: DataFrame, found: DataFrame) -> DataFrame:
+    """label (id, component) after the components that ``found`` (id, component) gives to some of its components."""
+    x = label.join(found.select(F.col("id").alias("component"), F.col("component").alias("further")), "component", "left")
+    return x.select("id", F.coalesce("further", "component").alias("component"))
 
-    Edges are dealt by ranges of their source's path, so that folders stay together. As all edges from a node lie in one task, a node is
-    in a cycle of one task at most.
-    """
-    parts = -(-n // part_edges)
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        for _, pdf in pd.concat(held).groupby("repo") if held else []:
-            found = _components(pdf)
-            yield found[found.groupby("component")["rel_path"].transform("size") > 1]
+def _own_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, component) of the nodes that lie in cycles of a task's own edges."""
+    held = [b for b in batches if len(b)]
+    if held:
+        found = _components(pd.concat(held, ignore_index=True).assign(repo=""))
+        found = found[found.groupby("component")["rel_path"].transform("size") > 1]
+        yield pd.DataFrame({"id": found["rel_path"].astype("int64"), "component": found["component"].astype("int64")})
 
-    dealt = edges.repartitionByRange(max(1, parts), "repo", "src")
-    found = written(dealt.select("repo", "src", "dst").mapInPandas(own, COMPONENT), "scc-own")
+
+def condensed(edges: DataFrame, n: int, part_edges: int = PART_EDGES) -> DataFrame | None:
+    """(id, component) of the nodes that lie in cycles of some task's own edges, written; None where there are none. n: the edges' number.
+
+    Edges are dealt by ranges of their source, so that folders stay together. As all edges from a node lie in one task, a node is in a cycle
+    of one task at most.
+    """
+    dealt = edges.repartitionByRange(max(1, -(-n // part_edges)), "src")
+    found = written(dealt.select("src", "dst").mapInPandas(_own_components, "id long, component long"), "scc-own")
     if found.isEmpty():
         discard(found)
         return None
     return found
 
 
-def renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Distinct edges between the components that ``names`` (repo, rel_path, component) gives to some of their ends."""
+def renamed(edges: DataFrame, names: DataFrame, few: bool = False) -> DataFrame:
+    """Distinct edges between the components that ``names`` (id, component) gives to some of their ends; ``few`` names are sent to all tasks."""
     x = edges
     for end in ("src", "dst"):
-        n = names.select("repo", F.col("rel_path").alias(end), "component")
-        x = x.join(n, ["repo", end], "left").withColumn(end, F.coalesce("component", end)).drop("component")
-    return x.where("src <> dst").select("repo", "src", "dst").distinct()
+        n = names.select(F.col("id").alias(end), "component")
+        x = x.join(F.broadcast(n) if few else n, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    return x.where("src <> dst").select("src", "dst").distinct()
 
 
-def least_reaching(nodes: DataFrame, edges: DataFrame, seed: int, log: list[str] | None = None) -> DataFrame:
-    """(repo, rel_path, colour): the first node, in a random order, from which each node is reached, itself included; written.
+def least_reaching(nodes: DataFrame, edges: DataFrame, log: list[str] | None = None, both: bool = False) -> DataFrame:
+    """(id, colour): the least node from which each node is reached, itself included; written. ``both``: edges go both ways.
 
-    In a round a node takes the first colour of those before it, and its colour's own colour, which reaches it too. As the order is
-    random, the colour lies anywhere on the way behind a node, so that the way it stands for grows by half in a round, whatever the names
-    are: the rounds follow the logarithm of the longest path. ``log`` gets an entry for each.
+    In a round a node takes the first colour of those before it, and its colour's own colour, which reaches it too. Where the ids are
+    in random order, the colour lies anywhere on the way behind a node, so that the way it stands for grows by half in a round: the rounds
+    follow the logarithm of the longest path. Where edges go both ways, a colour's nodes all take what any of them takes. ``log`` gets an
+    entry for each round.
     """
-    keys = ["repo", "rel_path"]
-    first = F.struct(F.xxhash64(F.lit(seed), "rel_path").alias("h"), F.col("rel_path").alias("p"))
-    colour = nodes.select(*keys, first.alias("colour"))
+    if both:
+        edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    colour = nodes.select("id", F.col("id").alias("colour"))
     held = None
     while True:
-        came = edges.join(colour.withColumnRenamed("rel_path", "src"), ["repo", "src"]).groupBy("repo", F.col("dst").alias("rel_path")).agg(F.min("colour").alias("near"))
-        step = colour.join(came, keys, "left").select(*keys, F.least("colour", F.coalesce("near", "colour")).alias("new"), "colour")
-        jump = colour.select("repo", F.col("rel_path").alias("p"), F.col("colour").alias("further"))
-        step = step.withColumn("p", F.col("new.p")).join(jump, ["repo", "p"], "left")
-        step = written(step.select(*keys, F.least("new", F.coalesce("further", "new")).alias("new"), "colour"), "scc-colour")
+        came = edges.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("near"))
+        step = colour.join(came, "id", "left").select("id", F.least("colour", F.coalesce("near", "colour")).alias("new"), "colour")
+        if both:
+            step = step.join(step.groupBy("colour").agg(F.min("new").alias("near")), "colour").select("id", F.col("near").alias("new"), "colour")
+        jump = colour.select(F.col("id").alias("new"), F.col("colour").alias("further"))
+        step = written(step.join(jump, "new", "left").select("id", F.least("new", F.coalesce("further", "new")).alias("new"), "colour"), "scc-colour")
         if held is not None:
             discard(held)
         held = step
-        colour = step.select(*keys, F.col("new").alias("colour"))
+        colour = step.select("id", F.col("new").alias("colour"))
         if log is not None:
             log.append("round")
         if step.where("new <> colour").isEmpty():
             return colour
 
 
-def _large_components(edges: DataFrame, local_edges: int, trims: int = 3, part_edges: int = PART_EDGES, log: list[str] | None = None) -> DataFrame:
-    """The same over all tasks. Tasks first condense the cycles of their own edges to one node each, as long as that shrinks the graph; what is then
-    small enough is solved in one task. The rest goes by joins, until no node is left: a few rounds take off nodes without edges in or out, then
-    forward colours, then what reaches its colour's root within the colour.
+def _coloured(edges: DataFrame, colour: DataFrame) -> DataFrame:
+    """The edges within a colour, with it."""
+    c = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"{end}_colour"))
+    x = edges.join(c("src"), "src").join(c("dst"), "dst").where("src_colour = dst_colour")
+    return x.select("src", "dst", F.col("src_colour").alias("colour"))
+
+
+def _by_joins(label: DataFrame, left: DataFrame, trims: int, part_edges: int, log: list[str] | None, weak: bool = False) -> DataFrame:
+    """label after the components of the edges ``left``, both written and replaced, over all tasks. Nodes get the first node that reaches
+    them as a colour, where ``weak`` at first against the edges too. A component lies in one colour, so that colours small enough for a task are solved in
+    one, many together. In the others, what reaches the colour's root is its component, and the rest goes on: a few rounds take off nodes
+    without edges in or out.
+    """
+    within = lambda e, n: e.join(n.withColumnRenamed("id", "src"), "src", "left_semi").join(n.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    against = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    seed = 0
+    while not left.isEmpty():
+        for _ in range(trims if seed else 0):
+            core = written(left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id"), "scc-core")
+            left = _after(left, new=within(left, core), name="scc-edges")
+            discard(core)
+        seed += 1
+        left = _after(left, new=left.select(permuted(F.col("src"), seed).alias("src"), permuted(F.col("dst"), seed).alias("dst")), name="scc-edges")
+        nodes = written(_ends(left), "scc-nodes")
+        colour = least_reaching(nodes, left, log, both=weak and seed == 1)
+        inner = _after(left, nodes, new=_coloured(left, colour), name="scc-inner")
+        sizes = written(inner.groupBy("colour").agg(F.count("*").alias("n")), "scc-sizes")
+        is_large = F.col("n") > part_edges
+        large = F.broadcast(sizes.where(is_large).select("colour"))  # one for part_edges edges at most
+        n = sizes.where(~is_large).agg(F.sum("n")).first()[0] or 0
+        dealt = inner.join(large, "colour", "left_anti").repartition(max(1, -(-n // part_edges)), "colour")
+        found = dealt.select("src", "dst").mapInPandas(_own_components, "id long, component long")
+        more = inner.join(large, "colour", "left_semi").select("src", "dst")
+        held = [inner, sizes, colour]
+        if not (weak and seed == 1) and not sizes.where(is_large).isEmpty():
+            many = written(against(more), "scc-back")
+            nodes = written(_ends(many), "scc-nodes")
+            back = least_reaching(nodes, many, log).withColumnRenamed("colour", "reached")
+            rooted = written(colour.join(back, "id").where("reached = colour").select("id", F.col("colour").alias("component")), "scc-found")
+            found = found.unionByName(rooted)  # the root is the first node of its colour
+            gone = lambda end: rooted.select(F.col("id").alias(end))
+            more = against(many).join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti")
+            held += [many, nodes, back, rooted]
+        origin = lambda x: permuted(F.col(x), seed, back=True).alias(x)
+        label = _after(label, new=_named(label, found.select(origin("id"), origin("component"))), name="scc-label")
+        left = _after(*held, new=more.select(origin("src"), origin("dst")), name="scc-edges")
+    discard(left)
+    return label
+
+
+def few_edges(edges: DataFrame, k: int = FEW) -> DataFrame:
+    """Of every node k edges out and k in at most, by chance."""
+    kinds = []
+    for one, other in (("src", "dst"), ("dst", "src")):
+        least = edges.groupBy(one).agg(*(F.min(permuted(F.col(other), -1 - i)).alias(f"p{i}") for i in range(k)))
+        ids = F.explode(F.array_distinct(F.array(*(permuted(F.col(f"p{i}"), -1 - i, back=True) for i in range(k)))))
+        kinds.append(least.select(one, ids.alias(other)).select("src", "dst"))
+    return kinds[0].unionByName(kinds[1]).distinct()
+
+
+def _condensed_as_far(label: DataFrame, left: DataFrame, n: int, part_edges: int) -> tuple[DataFrame, DataFrame]:
+    """label and edges after tasks have condensed the cycles of their own edges to one node each, as long as that shrinks the graph."""
+    while n and (found := condensed(left, n, part_edges)) is not None:
+        label = _after(label, new=_named(label, found), name="scc-label")
+        left = _after(left, found, new=renamed(left, found), name="scc-edges")
+        before, n = n, left.count()
+        if n > 0.8 * before:
+            break
+    return label, left
+
+
+def numbered_components(nodes: DataFrame, edges: DataFrame, local_edges: int, trims: int = 3, part_edges: int = PART_EDGES, log: list[str] | None = None) -> DataFrame:
+    """(repo, component, rel_path) of all nodes of edges, written, over all tasks. nodes: repo, rel_path, id; edges: src, dst, distinct, written and replaced.
+
+    Where edges are many for each node, the components of a few edges of every node come first: they lie within those of all edges, which
+    then go on between them. Tasks condense the cycles of their own edges; repositories that are then small enough are solved in one task
+    each, and the rest by joins. All edges that no component holds are looked at until the last step.
 
     Whether a repository is small enough is told to its edges where they lie: no join by repository alone brings them together.
     Every round is written to the shared folder and deleted when the next one is; nothing but counts is collected.
     """
-    keys = ["repo", "rel_path"]
-    ends = lambda e, c: e.select("repo", F.col(c).alias("rel_path")).distinct()
-    within = lambda e, n: e.join(n.withColumnRenamed("rel_path", "src"), ["repo", "src"], "left_semi").join(n.withColumnRenamed("rel_path", "dst"), ["repo", "dst"], "left_semi").select("repo", "src", "dst")
-    alone = lambda n: n.select("repo", F.col("rel_path").alias("component"), "rel_path")
-
-    def after(*old: DataFrame, new: DataFrame, name: str) -> DataFrame:
-        out = written(new, name)
-        discard(*old)
-        return out
-
-    held = written(edges.distinct(), "scc-edges")
-    label = written(alone(ends(held, "src").unionByName(ends(held, "dst")).distinct()), "scc-label")
-    left = held.where("src <> dst")
-    named = lambda found: label.join(found.select("repo", F.col("rel_path").alias("component"), F.col("component").alias("further")), ["repo", "component"], "left").select("repo", F.coalesce("further", "component").alias("component"), "rel_path")
-    n = left.count()
-    while n and (found := condensed(left, n, part_edges)) is not None:
-        label = after(label, new=named(found), name="scc-label")
-        left = after(left, found, new=renamed(left, found), name="scc-edges")
+    label = written(_ends(edges).select("id", F.col("id").alias("component")), "scc-label")
+    m, n = label.count(), edges.where("src <> dst").count()
+    left = edges.where("src <> dst")
+    dense = n > 4 * FEW * m  # its ways are short, those of others may be long
+    while n > 4 * FEW * m:  # else few edges are not much fewer
+        label = _by_joins(label, written(few_edges(left), "scc-few"), trims, part_edges, log, weak=True)
+        names = label.where("id <> component")
+        if names.isEmpty():
+            break
+        left = _after(left, new=renamed(left, names, names.count() <= SENT), name="scc-edges")
         before, n = n, left.count()
+        m = _ends(left).count()
         if n > 0.8 * before:
             break
-    large = left.groupBy("repo").agg((F.count("*") > local_edges).alias("large"))
-    left = after(left, new=with_facts(left, large, "src"), name="scc-sized")
-    done = written(left.where("NOT large").select("repo", "src", "dst").groupBy("repo").applyInPandas(_components, COMPONENT), "scc-done")
-    left = after(left, new=left.where("large").select("repo", "src", "dst"), name="scc-edges")
-    nodes = written(ends(left, "src").unionByName(ends(left, "dst")).distinct(), "scc-nodes")
-    seed = 0
-    while not nodes.isEmpty():
-        for _ in range(trims):
-            core = written(ends(left, "src").join(ends(left, "dst"), keys), "scc-core")
-            left = after(left, new=within(left, core), name="scc-edges")
-            discard(nodes)  # a node without edges in or out is a component of its own, as its label says
-            nodes = core
-        colour = least_reaching(nodes, left, seed := seed + 1, log)
-        c = lambda end: colour.select("repo", F.col("rel_path").alias(end), F.col("colour").alias(f"{end}_colour"))
-        inner = left.join(c("src"), ["repo", "src"]).join(c("dst"), ["repo", "dst"]).where("src_colour = dst_colour")
-        inner = written(inner.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-inner")  # against the edges
-        back = least_reaching(nodes, inner, seed, log).withColumnRenamed("colour", "reached")
-        found = colour.join(back, keys).where("reached = colour").select(*keys, "colour")  # the root is the first node of its colour
-        found = written(found, "scc-found")
-        least = found.groupBy("repo", "colour").agg(F.min("rel_path").alias("component"))
-        done = after(done, new=done.unionByName(found.join(least, ["repo", "colour"]).select("repo", "component", "rel_path")), name="scc-done")
-        discard(inner, colour, back)
-        nodes = after(nodes, new=nodes.join(found.select(*keys), keys, "left_anti"), name="scc-left")
-        left = after(left, found, new=within(left, nodes), name="scc-edges")
-    return after(label, done, left, nodes, new=named(done), name="scc-components")
+    label, left = _condensed_as_far(label, left, n, part_edges)
+    if local_edges:
+        left = _after(left, new=left.join(nodes.select(F.col("id").alias("src"), "repo"), "src"), name="scc-edges")
+        large = left.groupBy("repo").agg((F.count("*") > local_edges).alias("large"))
+        left = _after(left, new=with_facts(left, large, "src"), name="scc-sized")
+        whole = lambda pdf: next(_own_components(iter([pdf])))
+        done = left.where("NOT large").select("repo", "src", "dst").groupBy("repo").applyInPandas(whole, "id long, component long")
+        label = _after(label, new=_named(label, done), name="scc-label")
+        left = _after(left, new=left.where("large").select("src", "dst"), name="scc-edges")
+    else:
+        left = _after(left, new=left, name="scc-edges")
+    label = _by_joins(label, left, trims, part_edges, log, weak=dense)
+    x = nodes.join(label, "id")
+    least = x.groupBy("component").agg(F.min("rel_path").alias("least"))
+    x = x.join(least, "component").select("repo", F.col("least").alias("component"), "rel_path")
+    return _after(label, new=x, name="scc-components")
+
+
+def _large_components(edges: DataFrame, local_edges: int, part_edges: int = PART_EDGES, log: list[str] | None = None) -> DataFrame:
+    """:func:`numbered_components` of edges between paths. Numbers follow the paths, so that folders stay together."""
+    keys = ["repo", "rel_path"]
+    held = written(edges.distinct(), "scc-paths")
+    ends = [held.select("repo", F.col(c).alias("rel_path")).distinct() for c in ("src", "dst")]
+    nodes = written(ends[0].unionByName(ends[1]).distinct().orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("id")), "scc-paths")
+    x = held
+    for end in ("src", "dst"):
+        x = x.withColumnRenamed(end, "rel_path").join(nodes, keys).drop("rel_path").withColumnRenamed("id", end)
+    x = _after(held, new=x.select("src", "dst"), name="scc-edges")
+    out = numbered_components(nodes, x, local_edges, part_edges=part_edges, log=log)
+    discard(nodes)
+    return out
 
 
 def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, part_edges: int = PART_EDGES, log: list[str] | None = None) -> DataFrame:
@@ -277,7 +382,7 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, part_edg
     """
     edges = edges.select("repo", "src", "dst").distinct()
     counts = edges.groupBy("repo").agg(F.count("*").alias("n"))
-    if counts.where(F.col("n") > local_edges).isEmpty():
+    if local_edges and counts.where(F.col("n") > local_edges).isEmpty():
         return edges.groupBy("repo").applyInPandas(_components, COMPONENT)
     return _large_components(edges, local_edges, part_edges=part_edges, log=log)
 

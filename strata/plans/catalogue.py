@@ -130,7 +130,7 @@ QUERIES = {
     "cross_folder_ratio": lambda s, d: graph.edge_totals(b.supplier_edges(s, d, b.WIDE)),
     "layer_violations": lambda s, d: graph.layer_violations(b.supplier_edges(s, d, b.WIDE), b.layers(s, b.WIDE)),
     "scc": lambda s, d: graph.strong_components(b.supplier_edges(s, d)),
-    "scc_over_tasks": lambda s, d: graph.strong_components(b.supplier_edges(s, d, b.WIDE), local_edges=0),
+    "scc_over_tasks": lambda s, d: _over_tasks(s, d),
     "cycles": lambda s, d: _cycles(s, d).select("repo", F.array_join(graph.closed("nodes"), " -> ").alias("cycle")),
     "tight_pairs": lambda s, d: graph.tight_pairs(_cycles(s, d)),
     "cycle_analysis": _cycle_text,
@@ -148,6 +148,11 @@ QUERIES = {
 }
 
 
+def _over_tasks(s, d):
+    numbers = b.supplier_numbers(s, d, b.WIDE)
+    return graph.strong_components(b.supplier_edges(s, d, b.WIDE), local_edges=0) if numbers is None else graph.numbered_components(*numbers, local_edges=0)
+
+
 def _harness(s, d):
     x = metrics.harness_rows(metrics.score(_facts(s, d)))
     return x.withColumns({k: c(k).cast("long") for k in ("centralization_penalty", "cross_folder_penalty")})
